@@ -153,9 +153,9 @@ def feature_doubles() -> set[str]:
             ("symbol", "Datetime", "weekday", "month", "halving_event")}
 
 
-def features_cte(filled: bool = True) -> str:
+def features_cte(filled: bool = True, bars_cte: str = BARS_CTE) -> str:
     """``features`` CTE (unrounded) on top of bars and the calendar."""
     exprs = feature_table_exprs(filled)
     body = ",\n    ".join(f"{e} AS {q(n)}" for n, e in exprs.items())
-    return (f"{BARS_CTE},\n{calendar_cte(common.calendar())},\n"
+    return (f"{bars_cte},\n{calendar_cte(common.calendar())},\n"
             f"features AS (\n  SELECT\n    {body}\n  FROM bars)")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daycast.plans import features_q, forecast_q, models_q, store_q
+from daycast.plans import features_q, forecast_q, models_q, store_q, streams_q
 
-_MODULES = [features_q, store_q, forecast_q, models_q]
+_MODULES = [features_q, store_q, forecast_q, models_q, streams_q]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
