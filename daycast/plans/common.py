@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from daycast.functions.calendar import testdata_calendar
 from daycast.operators.bars import daily_ohlcv
+from daycast.session import checkpoint_dir
 from daycast.sources.ticks import orders_ticks
 
 # Decimal places doubles are rounded to in query outputs, so the Spark
@@ -37,5 +38,18 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_ohlcv(orders_ticks(spark, sf_dir))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a bar-level intermediate once when it feeds several branches
+    of a plan (the DataFrame API does not share subplans): a reliable
+    checkpoint in the shared ``spark.checkpoint.dir``, never a local one."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars scanned and aggregated once for plans that use them twice."""
+    return materialize(bars(spark, sf_dir))
+
+
 def calendar() -> list[dt.date]:
     return testdata_calendar()

@@ -52,6 +52,12 @@ def _log(spark, sf_dir) -> DataFrame:
     return forecast_log(common.bars(spark, sf_dir))
 
 
+def _shared_log(spark, sf_dir) -> DataFrame:
+    """The log tagged with each series' last run, computed once: the store
+    queries read it in two branches (older runs vs the newest run)."""
+    return common.materialize(_last_run(_log(spark, sf_dir)))
+
+
 def _last_run(log: DataFrame) -> DataFrame:
     """Tag each row with the last run_date of its series."""
     return log.withColumn("last_run", F.max("run_date").over(Window.partitionBy("symbol", "model")))
@@ -74,7 +80,7 @@ def q_cv_trend_ols(spark, sf_dir):
 
 
 def _fva(spark, sf_dir):
-    b = common.bars(spark, sf_dir)
+    b = common.shared_bars(spark, sf_dir)
     return ev.forecast_vs_actual(st.latest_per_target(forecast_log(b)), b)
 
 
@@ -97,7 +103,7 @@ def q_latest_per_target(spark, sf_dir):
 
 
 def q_merge_current(spark, sf_dir):
-    log = _last_run(_log(spark, sf_dir))
+    log = _shared_log(spark, sf_dir)
     current = _cur_cols(st.latest_per_target(log.where(F.col("run_date") < F.col("last_run"))))
     incoming = log.where(F.col("run_date") == F.col("last_run")).drop("last_run")
     return common.round_doubles(st.merge_current(current, incoming))
@@ -112,14 +118,14 @@ def q_list_runs(spark, sf_dir):
 
 
 def q_upsert_run(spark, sf_dir):
-    log = _last_run(_log(spark, sf_dir))
+    log = _shared_log(spark, sf_dir)
     old = st.run_rows(log.where(F.col("run_date") < F.col("last_run")), H)
     new = st.run_rows(log.where(F.col("run_date") == F.col("last_run")), H)
     return _index_cols(st.upsert_run(old, new))
 
 
 def q_replace_run(spark, sf_dir):
-    log = _last_run(_log(spark, sf_dir))
+    log = _shared_log(spark, sf_dir)
     index = st.run_rows(log, H)
     recent = log.where(F.col("run_date") > F.add_months("last_run", -RERUN_MONTHS))
     rerun = st.run_rows(recent, RERUN_HORIZON, {"rerun": "true"})
@@ -136,7 +142,7 @@ def q_is_stale(spark, sf_dir):
 
 
 def q_needs_forecast(spark, sf_dir):
-    log = _log(spark, sf_dir)
+    log = common.materialize(_log(spark, sf_dir))
     return st.needs_forecast(log, st.latest_per_target(log), AS_OF)
 
 
@@ -155,7 +161,7 @@ def q_compare_models(spark, sf_dir):
 
 
 def q_overlay_history_forecast(spark, sf_dir):
-    b = common.bars(spark, sf_dir)
+    b = common.shared_bars(spark, sf_dir)
     cur = st.latest_per_target(forecast_log(b))
     hist = b.select("symbol", F.col("Date").alias("date"), F.col("Close").alias("value"),
                     F.lit("actual").alias("series"))
