@@ -107,3 +107,9 @@ def test_scenarios_are_seeded(spark, features):
     pb = b.orderBy("symbol", "h").toPandas()
     pd.testing.assert_frame_equal(pa, pb)
     assert (pa["p10"] <= pa["p50"]).all() and (pa["p50"] <= pa["p90"]).all()
+
+
+def test_gbt_cross_validation(spark, features):
+    cv = md.cross_validate(features, "xgboost", 2,
+                           params={"maxIter": 3, "maxDepth": 2, "seed": 42}).collect()
+    assert len(cv) == 10 and all(r["MAE"] is not None for r in cv)
