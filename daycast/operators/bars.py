@@ -14,11 +14,20 @@ from pyspark.sql import functions as F
 from daycast.functions.values import no_nan
 
 
-def _order_key(ts: str, seq: str | None) -> Column:
-    """Order of ticks inside a day: time first, then the sequence number."""
+def tick_order_key(ts: str, seq: str | None) -> Column:
+    """Order of ticks inside a day: time first, then the sequence number.
+
+    Packed into one DECIMAL(38,0) = micros * 10^20 + (seq + 2^63), which
+    orders exactly like (ts, seq) for any timestamp up to year 9999 and any
+    long seq. A decimal aggregation buffer is mutable in place, so
+    ``min_by/max_by`` run as a hash aggregate (a struct key would force a
+    sort-based aggregate in every scan task).
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     if seq is None:
-        return F.col(ts)
-    return F.struct(F.col(ts).alias("t"), F.col(seq).alias("s"))
+        return micros
+    return (micros.cast("decimal(38,0)") * F.expr("CAST(1e20 AS DECIMAL(38,0))")
+            + (F.col(seq).cast("decimal(38,0)") + F.expr("CAST(9223372036854775808 AS DECIMAL(38,0))")))
 
 
 def daily_ohlcv(ticks: DataFrame, ts: str = "ts", seq: str | None = "seq",
@@ -29,7 +38,7 @@ def daily_ohlcv(ticks: DataFrame, ts: str = "ts", seq: str | None = "seq",
     (ts, seq) — the value is kept even when null, as "first"/"last" do;
     High/Low skip null and NaN; Volume of a day with only null volume is 0.
     """
-    order = _order_key(ts, seq)
+    order = tick_order_key(ts, seq)
     return (ticks
             .groupBy(F.col(key).alias("symbol"), F.to_date(F.col(ts)).alias("Date"))
             .agg(F.min_by(F.col("Open"), order).alias("Open"),

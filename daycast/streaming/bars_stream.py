@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daycast.functions.values import no_nan
+from daycast.operators.bars import tick_order_key
 from daycast.operators.features import feature_table
 from daycast.session import checkpoint_dir
 from daycast.sources.schemas import TICKS
@@ -35,7 +36,7 @@ def read_tick_stream(spark: SparkSession, path: str, schema=None,
 def stream_daily_ohlcv(ticks: DataFrame, lateness: str = "1 day", ts: str = "ts",
                        seq: str = "seq") -> DataFrame:
     """Streaming bars (symbol, Date, OHLCV); ``ts`` must be a timestamp."""
-    order = F.struct(F.col(ts).alias("t"), F.col(seq).alias("s"))
+    order = tick_order_key(ts, seq)
     return (ticks.withWatermark(ts, lateness)
                  .groupBy(F.col("symbol"), F.window(F.col(ts), "1 day").alias("w"))
                  .agg(F.min_by(F.col("Open"), order).alias("Open"),
