@@ -17,6 +17,11 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Bar-level stages are tiny in bytes but CPU-heavy (60+ window frames
+    # per row): let AQE keep one partition per ~64 KB instead of merging a
+    # whole bar table into a single task. Tick-level stages are far above
+    # this floor, so it changes nothing there.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
 }
