@@ -62,6 +62,44 @@ def assert_no_nan(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df
 
 
+# --- zone-free timestamp arithmetic --------------------------------------------
+# TIMESTAMP_NTZ values are wall-clock readings; converting them through a
+# cast to TIMESTAMP would depend on the session time zone (and skip or
+# repeat an hour at DST changes). These helpers never consult the zone.
+
+def _epoch_ntz() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def ntz_epoch_micros(c: Column) -> Column:
+    """Micros since 1970-01-01 00:00 of a TIMESTAMP_NTZ, read as UTC."""
+    return F.timestamp_diff("MICROSECOND", _epoch_ntz(), c)
+
+
+def ntz_from_epoch_micros(m: Column) -> Column:
+    """TIMESTAMP_NTZ whose UTC reading is the given epoch micros."""
+    return F.timestamp_add("MICROSECOND", m.cast("long"), _epoch_ntz())
+
+
+def epoch_micros(c: Column, dtype: T.DataType) -> Column:
+    """Epoch micros of a timestamp column of either kind."""
+    if isinstance(dtype, T.TimestampNTZType):
+        return ntz_epoch_micros(c)
+    return F.unix_micros(c.cast("timestamp"))
+
+
+def utc_instant(c: Column, dtype: T.DataType) -> Column:
+    """An event-time TIMESTAMP for watermarks and windows; NTZ is read as UTC."""
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_micros(ntz_epoch_micros(c))
+    return c.cast("timestamp")
+
+
+def utc_date(c: Column) -> Column:
+    """UTC calendar day of a TIMESTAMP instant, independent of the session zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(c) / F.lit(86_400_000_000)).cast("int"))
+
+
 def parse_datetime(c: Column) -> Column:
     """Text in any of the accepted formats → timestamp; unparsable → null."""
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATETIME_FORMATS])

@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daycast.functions.values import no_nan
+from pyspark.sql import types as T
 
+from daycast.functions.values import epoch_micros, no_nan
 
-def tick_order_key(ts: str, seq: str | None) -> Column:
+
+def tick_order_key(ts: str, seq: str | None, dtype: T.DataType | None = None) -> Column:
     """Order of ticks inside a day: time first, then the sequence number.
 
     Packed into one DECIMAL(38,0) = micros * 10^20 + (seq + 2^63), which
@@ -23,7 +25,7 @@ def tick_order_key(ts: str, seq: str | None) -> Column:
     ``min_by/max_by`` run as a hash aggregate (a struct key would force a
     sort-based aggregate in every scan task).
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    micros = epoch_micros(F.col(ts), dtype or T.TimestampNTZType())
     if seq is None:
         return micros
     return (micros.cast("decimal(38,0)") * F.expr("CAST(1e20 AS DECIMAL(38,0))")
@@ -38,7 +40,7 @@ def daily_ohlcv(ticks: DataFrame, ts: str = "ts", seq: str | None = "seq",
     (ts, seq) — the value is kept even when null, as "first"/"last" do;
     High/Low skip null and NaN; Volume of a day with only null volume is 0.
     """
-    order = tick_order_key(ts, seq)
+    order = tick_order_key(ts, seq, ticks.schema[ts].dataType)
     return (ticks
             .groupBy(F.col(key).alias("symbol"), F.to_date(F.col(ts)).alias("Date"))
             .agg(F.min_by(F.col("Open"), order).alias("Open"),

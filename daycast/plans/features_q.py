@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daycast.functions.values import any_nan_row, double_columns, fill_missing
+from daycast.functions.values import (any_nan_row, double_columns, fill_missing,
+                                     ntz_epoch_micros)
 from daycast.operators import features as feat
 from daycast.operators.bars import price_history
 from daycast.plans import common
@@ -23,8 +24,7 @@ def q_daily_ohlcv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _events_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a raw minute-style file: epoch seconds (fractional)."""
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) /
-                                 F.lit(1e6)).alias("Timestamp"))
+    return e.select("event_id", (ntz_epoch_micros(F.col("ts")) / F.lit(1e6)).alias("Timestamp"))
 
 
 def q_check_epoch_unit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from daycast.functions.values import utc_instant
 from daycast.operators.features import feature_table
 from daycast.plans import common
 from daycast.plans import oracle as O
@@ -24,7 +25,7 @@ def _tick_stream(spark, sf_dir):
     ev = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     price = F.col("value").cast("double")
     return ev.select(F.col("event_type").alias("symbol"),
-                     F.col("ts").cast("timestamp").alias("ts"),
+                     utc_instant(F.col("ts"), schema["ts"].dataType).alias("ts"),
                      F.col("event_id").alias("seq"),
                      price.alias("Open"), price.alias("High"), price.alias("Low"),
                      price.alias("Close"), F.lit(1.0).alias("Volume"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daycast.functions.values import ntz_from_epoch_micros
 from daycast.sources.schemas import OHLCV_CSV
 
 # The processed table keeps these columns, in this order.
@@ -48,7 +49,7 @@ def check_epoch_unit(df: DataFrame, col: str = "Timestamp") -> DataFrame:
 def epoch_to_ts(df: DataFrame, col: str = "Timestamp", out: str = "Datetime") -> DataFrame:
     """Epoch seconds (possibly fractional) to a zone-free timestamp."""
     micros = F.round(F.col(col).cast("double") * F.lit(1_000_000)).cast("long")
-    return df.withColumn(out, F.timestamp_micros(micros).cast("timestamp_ntz"))
+    return df.withColumn(out, ntz_from_epoch_micros(micros))
 
 
 def select_required(df: DataFrame) -> DataFrame:

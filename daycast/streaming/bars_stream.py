@@ -17,7 +17,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daycast.functions.values import no_nan
+from pyspark.sql import types as T
+
+from daycast.functions.values import no_nan, utc_date
 from daycast.operators.bars import tick_order_key
 from daycast.operators.features import feature_table
 from daycast.session import checkpoint_dir
@@ -35,8 +37,9 @@ def read_tick_stream(spark: SparkSession, path: str, schema=None,
 
 def stream_daily_ohlcv(ticks: DataFrame, lateness: str = "1 day", ts: str = "ts",
                        seq: str = "seq") -> DataFrame:
-    """Streaming bars (symbol, Date, OHLCV); ``ts`` must be a timestamp."""
-    order = tick_order_key(ts, seq)
+    """Streaming bars (symbol, Date, OHLCV); ``ts`` must be a TIMESTAMP
+    (see ``utc_instant``); days are UTC days whatever the session zone."""
+    order = tick_order_key(ts, seq, T.TimestampType())
     return (ticks.withWatermark(ts, lateness)
                  .groupBy(F.col("symbol"), F.window(F.col(ts), "1 day").alias("w"))
                  .agg(F.min_by(F.col("Open"), order).alias("Open"),
@@ -44,7 +47,7 @@ def stream_daily_ohlcv(ticks: DataFrame, lateness: str = "1 day", ts: str = "ts"
                       F.min(no_nan(F.col("Low"))).alias("Low"),
                       F.max_by(F.col("Close"), order).alias("Close"),
                       F.coalesce(F.sum(F.col("Volume")), F.lit(0.0)).alias("Volume"))
-                 .select("symbol", F.to_date(F.col("w.start")).alias("Date"),
+                 .select("symbol", utc_date(F.col("w.start")).alias("Date"),
                          "Open", "High", "Low", "Close", "Volume"))
 
 
