@@ -69,8 +69,14 @@ def scratch_paths(spark: SparkSession, name: str) -> tuple[str, str]:
 
 
 def incremental_features(bars_path: str, features_path: str, calendar, fill: float = 0.0):
-    """foreachBatch handler: append the batch's bars to the bar table, then
-    recompute and replace the feature partitions of the touched symbols."""
+    """foreachBatch handler: store the batch's bars, then recompute and
+    replace the feature partitions of the touched symbols.
+
+    Idempotent under retries: a micro-batch writes its bars to its own
+    ``epoch=<id>`` folder in overwrite mode, so a replayed epoch replaces
+    its earlier attempt instead of appending twice; the feature write is a
+    dynamic overwrite of the touched symbols only.
+    """
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
@@ -78,10 +84,10 @@ def incremental_features(bars_path: str, features_path: str, calendar, fill: flo
         try:
             if batch.isEmpty():
                 return
-            batch.write.mode("append").partitionBy("symbol").parquet(bars_path)
+            batch.write.mode("overwrite").parquet(f"{bars_path}/epoch={epoch_id}")
             touched = batch.select("symbol").distinct()
-            bars = spark.read.parquet(bars_path).join(touched, "symbol", "left_semi")
-            bars = bars.dropDuplicates(["symbol", "Date"])
+            bars = (spark.read.parquet(bars_path).drop("epoch")
+                         .join(touched, "symbol", "left_semi"))
             ft = feature_table(bars, calendar, fill)
             (ft.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                .partitionBy("symbol").parquet(features_path))

@@ -19,3 +19,15 @@ def test_stream_equals_batch_on_closed_days(spark):
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
     last = batch.agg(F.max("Date")).first()[0]
     assert stream.where(F.col("Date") >= last).count() == 0   # the open day is held back
+
+
+def test_foreach_batch_handler_is_idempotent(spark, tmp_dir):
+    from daycast.plans import common
+    from daycast.streaming.bars_stream import incremental_features
+    bars = common.bars(spark, SMALL)
+    handle = incremental_features(f"{tmp_dir}/bars", f"{tmp_dir}/features", common.calendar())
+    handle(bars, 7)
+    handle(bars, 7)                       # a retried epoch replaces its first attempt
+    assert spark.read.parquet(f"{tmp_dir}/bars").count() == bars.count()
+    ft = spark.read.parquet(f"{tmp_dir}/features")
+    assert ft.count() == bars.count() and "symbol" in ft.columns
