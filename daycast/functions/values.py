@@ -44,6 +44,13 @@ def fill_missing(df: DataFrame, cols: list[str] | None = None, value: float = 0.
                                          F.lit(float(value))) for c in cols})
 
 
+def cast_float(df: DataFrame, cols: list[str], strict: bool = True) -> DataFrame:
+    """Cast to double; non-strict turns unparsable values into null."""
+    cast = (lambda c: F.col(c).cast("double")) if strict else \
+        (lambda c: F.col(c).try_cast("double"))
+    return df.withColumns({c: cast(c) for c in cols})
+
+
 def any_nan_row(df: DataFrame, cols: list[str]) -> DataFrame:
     """One-row frame: per column, does any NaN or null remain."""
     return df.agg(*[F.coalesce(F.bool_or(F.isnan(F.col(c)) | F.col(c).isNull()),

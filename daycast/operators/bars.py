@@ -64,8 +64,14 @@ def daily_range_volume(ticks: DataFrame, ts: str = "ts", key: str = "symbol") ->
                  F.count(F.lit(1)).alias("ticks")))
 
 
-def price_history(bars: DataFrame, date_col: str = "Date") -> DataFrame:
+def price_history(bars: DataFrame, date_col: str = "Date", dedupe: bool = False) -> DataFrame:
     """(symbol, Date, Close), one row per date. Bars are unique per
-    (symbol, Date) by construction, so no dedupe shuffle is needed; the
-    sort is left to the consumer (final output only)."""
-    return bars.select("symbol", F.col(date_col).alias("Date"), "Close")
+    (symbol, Date) by construction, so the dedupe (a shuffle) is only
+    for inputs that are not; sorting is left to the final output."""
+    out = bars.select("symbol", F.col(date_col).alias("Date"), "Close")
+    return out.dropDuplicates(["symbol", "Date"]) if dedupe else out
+
+
+def sort_by_date(df: DataFrame, date_col: str = "Date") -> DataFrame:
+    """Final-output order (a range-partitioned sort; never mid-plan)."""
+    return df.orderBy("symbol", date_col)

@@ -31,6 +31,17 @@ def day_metrics(fva: DataFrame) -> DataFrame:
                F.abs(F.try_divide(err, F.col("actual"))) * F.lit(100.0)).alias("MAPE"))
 
 
+def match_day(df: DataFrame, day, col: str = "target_date") -> DataFrame:
+    """Rows of one day (pushed down to the scan when df reads Parquet)."""
+    return df.where(F.col(col) == F.lit(day))
+
+
+def metrics_for_day(fva: DataFrame, model: str, day) -> DataFrame:
+    """The one-day scorecard of a model (per symbol): actual, predicted,
+    MAE, RMSE, MAPE of ``day`` — typically the day before as_of."""
+    return day_metrics(match_day(fva.where(F.col("model") == model), day))
+
+
 def model_report(fva: DataFrame, grain: list[str] | None = None) -> DataFrame:
     """MAE / RMSE / MAPE per model (and symbol), optionally at a coarser
     time grain, e.g. ``grain=['month']``. Partial aggregation map-side."""

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daycast.functions import calendar as cal_fn
-from daycast.functions.values import iso_weekday
+from daycast.functions.values import greatest_nan_safe, iso_weekday
 from daycast.operators import features as feat
 from daycast.operators import recursion as rec
 from daycast.operators.forecast import train_window
@@ -46,7 +46,8 @@ def initial_state(features: DataFrame, window: int = 1095, scenarios: int = 1) -
     bars = F.struct("Datetime", *feat.BAR_COLS)
     agg = ranked.groupBy("symbol").agg(
         F.max("trend").alias("trend"),
-        F.max(F.greatest(*[F.col(c) for c in feat.PRICE_COLS])).alias("max_price"),
+        F.max(greatest_nan_safe([F.col(c) for c in feat.PRICE_COLS],
+                                rec.MIN_PRICE)).alias("max_price"),
         F.max("Volume").alias("max_volume"),
         F.sort_array(F.collect_list(F.when(recent, bars))).alias("_tail"))
     state = agg.select(

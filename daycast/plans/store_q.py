@@ -92,8 +92,18 @@ def q_day_metrics(spark, sf_dir):
     return common.round_doubles(ev.day_metrics(_fva(spark, sf_dir)))
 
 
+# Report averages are means of 2-decimal prices: at 6 places an exact
+# decimal tie (where half-up and binary rounding disagree) would need 2^6 or
+# 5^5 to divide the day count, which a month never does.
+REPORT_DIGITS = 6
+
+
 def q_model_report(spark, sf_dir):
-    return common.round_doubles(ev.model_report(_fva(spark, sf_dir)), 2)
+    return common.round_doubles(ev.model_report(_fva(spark, sf_dir)), REPORT_DIGITS)
+
+
+def q_model_report_monthly(spark, sf_dir):
+    return common.round_doubles(ev.model_report(_fva(spark, sf_dir), ["month"]), REPORT_DIGITS)
 
 
 # --- step 6 ---------------------------------------------------------------------
@@ -176,6 +186,7 @@ QUERIES = {
     "forecast_vs_actual": q_forecast_vs_actual,
     "day_metrics": q_day_metrics,
     "model_report": q_model_report,
+    "model_report_monthly": q_model_report_monthly,
     "latest_per_target": q_latest_per_target,
     "merge_current": q_merge_current,
     "list_runs": q_list_runs,
@@ -277,11 +288,18 @@ SELECT symbol, model, target_date AS date, {O.r('actual')} AS actual,
        {O.r('CASE WHEN actual <> 0 THEN abs((actual - predicted) / actual) * 100 END')} AS "MAPE"
 FROM fva""",
     "model_report": f"""WITH {FVA_CTE}
-SELECT symbol, model, {O.r('avg(abs(actual - predicted))', 2)} AS "MAE",
-       {O.r('sqrt(avg((actual - predicted) * (actual - predicted)))', 2)} AS "RMSE",
-       {O.r('CASE WHEN bool_and(actual <> 0) THEN avg(abs((actual - predicted) / actual)) * 100 END', 2)} AS "MAPE",
+SELECT symbol, model, {O.r('avg(abs(actual - predicted))', REPORT_DIGITS)} AS "MAE",
+       {O.r('sqrt(avg((actual - predicted) * (actual - predicted)))', REPORT_DIGITS)} AS "RMSE",
+       {O.r('CASE WHEN bool_and(actual <> 0) THEN avg(abs((actual - predicted) / actual)) * 100 END', REPORT_DIGITS)} AS "MAPE",
        count(*) AS days
 FROM fva GROUP BY symbol, model""",
+    "model_report_monthly": f"""WITH {FVA_CTE}
+SELECT symbol, model, CAST(date_trunc('month', target_date) AS DATE) AS month,
+       {O.r('avg(abs(actual - predicted))', REPORT_DIGITS)} AS "MAE",
+       {O.r('sqrt(avg((actual - predicted) * (actual - predicted)))', REPORT_DIGITS)} AS "RMSE",
+       {O.r('CASE WHEN bool_and(actual <> 0) THEN avg(abs((actual - predicted) / actual)) * 100 END', REPORT_DIGITS)} AS "MAPE",
+       count(*) AS days
+FROM fva GROUP BY symbol, model, date_trunc('month', target_date)""",
     "latest_per_target": f"""WITH {LOG_CTE}
 SELECT symbol, model, target_date, {O.r('prediction')} AS prediction, run_date FROM cur""",
     "merge_current": f"""WITH {LOG_CTE},

@@ -49,3 +49,21 @@ def test_mape_null_with_zero_actual(spark):
     r = df.agg(mae(F.col("y"), F.col("p")).alias("a"), rmse(F.col("y"), F.col("p")).alias("b"),
                mape(F.col("y"), F.col("p")).alias("c")).collect()[0]
     assert r["a"] == 1.0 and r["b"] == 1.0 and r["c"] is None
+
+
+def test_metrics_for_one_day_and_cast_float(spark):
+    from daycast.functions.values import cast_float
+    from daycast.operators.evaluation import metrics_for_day
+    fva = spark.createDataFrame(
+        [("S", "m", dt.date(2024, 1, 1), dt.date(2023, 12, 1), 100.0, 90.0),
+         ("S", "m", dt.date(2024, 1, 2), dt.date(2023, 12, 1), 0.0, 5.0),
+         ("S", "n", dt.date(2024, 1, 1), dt.date(2023, 12, 1), 100.0, 50.0)],
+        "symbol string, model string, target_date date, run_date date, actual double, "
+        "predicted double")
+    r = metrics_for_day(fva, "m", dt.date(2024, 1, 1)).collect()
+    assert len(r) == 1 and r[0]["MAE"] == 10.0 and r[0]["RMSE"] == 10.0
+    assert r[0]["MAPE"] == pytest.approx(10.0)
+    z = metrics_for_day(fva, "m", dt.date(2024, 1, 2)).collect()[0]
+    assert z["MAPE"] is None                     # actual 0 → no percentage error
+    txt = spark.createDataFrame([("1.5",), ("x",)], "v string")
+    assert [row["v"] for row in cast_float(txt, ["v"], strict=False).collect()] == [1.5, None]
