@@ -4,24 +4,23 @@ feature refresh per micro-batch.
 * ``stream_daily_ohlcv`` — event-time ``window(ts, '1 day')`` per symbol
   with a watermark; append mode emits a day once the watermark passes its
   end, so late ticks up to the allowed lateness still land in their day.
-* ``incremental_features`` — ``foreachBatch``: the symbols touched by a
-  batch get their features recomputed from the stored bars and their
-  partitions replaced (dynamic partition overwrite); other symbols are
-  not read or written.
+* ``incremental_features`` — ``foreachBatch``: each batch's new days get
+  their feature rows from the stored look-back of the touched symbols only
+  (180 rows), written per epoch so replays are idempotent.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
 from daycast.functions.values import no_nan, utc_date
 from daycast.operators.bars import tick_order_key
-from daycast.operators.features import feature_table
+from daycast.operators.features import RETURN_PERIODS, feature_table
 from daycast.session import checkpoint_dir
 from daycast.sources.schemas import TICKS
 
@@ -68,14 +67,43 @@ def scratch_paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{base}/out", f"{base}/_checkpoint"
 
 
+LOOKBACK = max(RETURN_PERIODS)   # rows of history the widest feature needs
+
+
+def incremental_feature_rows(history: DataFrame, new_bars: DataFrame, calendar,
+                             fill: float = 0.0) -> DataFrame:
+    """Feature rows for the days of ``new_bars`` only, from the last
+    LOOKBACK stored rows of each touched symbol (exact: no feature looks
+    further back). ``trend`` keeps counting from the stored history through
+    a per-symbol offset, so the rows equal a full recompute."""
+    first_new = new_bars.groupBy("symbol").agg(F.min("Date").alias("_first_new"))
+    before = (history.join(first_new, "symbol")          # touched symbols only
+                     .where(F.col("Date") < F.col("_first_new")))
+    by_symbol = Window.partitionBy("symbol")
+    newest_first = by_symbol.orderBy(F.col("Date").desc())
+    tail = (before.withColumn("_r", F.row_number().over(newest_first))
+                  .withColumn("_n_before", F.count(F.lit(1)).over(by_symbol))
+                  .where(F.col("_r") <= LOOKBACK))
+    offsets = tail.groupBy("symbol").agg(
+        (F.max("_n_before") - F.count(F.lit(1))).alias("_offset"))
+    cols = ["symbol", "Date", "Open", "High", "Low", "Close", "Volume"]
+    frame = tail.select(*cols).unionByName(new_bars.select(*cols))
+    ft = feature_table(frame, calendar, fill)
+    return (ft.join(first_new, "symbol")
+              .where(F.col("Datetime") >= F.col("_first_new"))
+              .join(offsets, "symbol", "left")
+              .withColumn("trend", F.col("trend") + F.coalesce(F.col("_offset"), F.lit(0)))
+              .drop("_first_new", "_offset"))
+
+
 def incremental_features(bars_path: str, features_path: str, calendar, fill: float = 0.0):
-    """foreachBatch handler: store the batch's bars, then recompute and
-    replace the feature partitions of the touched symbols.
+    """foreachBatch handler: store the batch's bars, then compute feature
+    rows for the new days only (with the look-back of each touched symbol).
 
-    Idempotent under retries: a micro-batch writes its bars to its own
-    ``epoch=<id>`` folder in overwrite mode, so a replayed epoch replaces
-    its earlier attempt instead of appending twice; the feature write is a
-    dynamic overwrite of the touched symbols only.
+    Idempotent under retries: a micro-batch writes its bars and its feature
+    rows to its own ``epoch=<id>`` folders in overwrite mode, so a replayed
+    epoch replaces its earlier attempt instead of appending twice. Readers
+    see the union of all epochs.
     """
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
@@ -84,19 +112,26 @@ def incremental_features(bars_path: str, features_path: str, calendar, fill: flo
         try:
             if batch.isEmpty():
                 return
+            fs, p, _ = _fs(spark, bars_path)
+            stored = (spark.read.parquet(bars_path).where(F.col("epoch") != epoch_id)
+                      .drop("epoch") if fs.exists(p) else None)
+            rows = (incremental_feature_rows(stored, batch, calendar, fill) if stored is not None
+                    else feature_table(batch, calendar, fill))
+            (rows.write.mode("overwrite").partitionBy("symbol")
+                 .parquet(f"{features_path}/epoch={epoch_id}"))
             batch.write.mode("overwrite").parquet(f"{bars_path}/epoch={epoch_id}")
-            touched = batch.select("symbol").distinct()
-            bars = (spark.read.parquet(bars_path).drop("epoch")
-                         .join(touched, "symbol", "left_semi"))
-            ft = feature_table(bars, calendar, fill)
-            (ft.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy("symbol").parquet(features_path))
         finally:
             batch.unpersist()
 
     return handle
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+
+
 def run_incremental_features(bars_stream: DataFrame, bars_path: str, features_path: str,
                              ckpt_path: str, calendar) -> None:
     q = (bars_stream.writeStream.outputMode("append")
