@@ -226,25 +226,49 @@ def scan_runs(spark: SparkSession, base: str) -> DataFrame:
     return scan_versioned(spark, f"{base}/runs", RUNS)
 
 
+def _model_dir(base: str, model: str) -> str:
+    return f"{base}/current/model={model}"
+
+
+def _models(spark: SparkSession, base: str) -> list[str]:
+    fs, p, _ = _fs(spark, f"{base}/current")
+    if not fs.exists(p):
+        return []
+    return sorted(st.getPath().getName().split("=", 1)[1] for st in fs.listStatus(p)
+                  if st.isDirectory() and st.getPath().getName().startswith("model="))
+
+
 def scan_current(spark: SparkSession, base: str, model: str | None = None) -> DataFrame:
-    df = scan_versioned(spark, f"{base}/current", CURRENT)
-    return df if model is None else get_current(df, model)
+    """Current forecast: the newest committed version of each model's table
+    (one versioned folder per model, so a run rewrites only its model)."""
+    models = [model] if model is not None else _models(spark, base)
+    paths = [v for v in (latest_version(spark, _model_dir(base, m)) for m in models) if v]
+    if not paths:
+        return spark.createDataFrame([], CURRENT)
+    return spark.read.schema(CURRENT).parquet(*paths)
 
 
 def save_run(spark: SparkSession, base: str, forecasts: DataFrame, horizon: int,
              params: dict | None = None, force: bool = False,
-             as_of: dt.date | None = None) -> tuple[str, str]:
+             as_of: dt.date | None = None) -> tuple[list[str], str]:
     """Store a run: the duplicate check comes first (before anything is
-    written), then the merged current table, then the run index — each a
-    new committed version. Returns the two version paths."""
+    written), then each touched model's merged current table, then the run
+    index — each a new committed version. Returns the version paths.
+
+    Only the models of the run are read and rewritten; the model names are
+    the one thing brought to the driver (a handful per run).
+    """
     index = scan_runs(spark, base)
     new_runs = run_rows(forecasts, horizon, params)
     new_index = upsert_run(index, new_runs, force)
-    current = scan_current(spark, base)
-    merged = merge_current(current, forecasts, as_of=as_of)
-    cur_path = sink_atomic(merged, f"{base}/current", ["model"])
+    models = [r["model"] for r in forecasts.select("model").distinct().collect()]
+    cur_paths = []
+    for m in models:
+        incoming = forecasts.where(F.col("model") == m)
+        merged = merge_current(scan_current(spark, base, m), incoming, as_of=as_of)
+        cur_paths.append(sink_atomic(merged, _model_dir(base, m)))
     idx_path = sink_atomic(new_index, f"{base}/runs")
-    return cur_path, idx_path
+    return cur_paths, idx_path
 
 
 PAYLOAD_SCHEMA = FORECAST_PAYLOAD

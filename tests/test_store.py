@@ -81,6 +81,11 @@ def test_versioned_store_roundtrip(spark, tmp_dir):
     assert st.scan_current(spark, base, "m").count() == 5
     with pytest.raises(FileExistsError):
         st.save_run(spark, base, fc, horizon=5)
-    cur_path, _ = st.save_run(spark, base, fc.withColumn("prediction", F.lit(7.0)), 5, force=True)
-    assert cur_path.endswith("v000002")
+    cur_paths, _ = st.save_run(spark, base, fc.withColumn("prediction", F.lit(7.0)), 5, force=True)
+    assert cur_paths == [f"{base}/current/model=m/v000002"]
     assert {r["prediction"] for r in st.scan_current(spark, base).collect()} == {7.0}
+    other = fc.withColumn("model", F.lit("k")).withColumn("run_date", F.lit(D(2024, 1, 2)))
+    st.save_run(spark, base, other, 5)                 # another model: m is not rewritten
+    assert st.latest_version(spark, f"{base}/current/model=m").endswith("v000002")
+    assert st.scan_current(spark, base).count() == 5 + 4   # k keeps targets after its run date
+    assert st.scan_runs(spark, base).count() == 2
