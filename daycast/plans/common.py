@@ -27,10 +27,12 @@ STORE_MODELS = ("naive", "ma7")
 
 
 def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every double column (output presentation only)."""
-    exprs = {f.name: F.round(F.col(f.name), digits) for f in df.schema.fields
-             if isinstance(f.dataType, T.DoubleType)}
-    return df.withColumns(exprs) if exprs else df
+    """Round every double column (output presentation only); one
+    ``selectExpr`` call, so wide tables cost no per-column round trips."""
+    exprs = [f"round(`{f.name}`, {digits}) AS `{f.name}`"
+             if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`"
+             for f in df.schema.fields]
+    return df.selectExpr(*exprs)
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:

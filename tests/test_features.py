@@ -78,3 +78,13 @@ def test_causal_features_do_not_see_the_future(spark):
         F.col("Datetime") <= D(2024, 1, 1) + dt.timedelta(days=39))
     b = feat.causal_features(feat.feature_table(cut, []))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_sql_text_table_equals_column_api_table(spark):
+    from conftest import SMALL
+    from daycast.plans import common
+    b = common.bars(spark, SMALL)
+    a = feat.feature_table(b, C.testdata_calendar())
+    c = feat.feature_table_columns_api(b, C.testdata_calendar())
+    assert a.columns == c.columns and a.dtypes == c.dtypes
+    assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
