@@ -6,7 +6,7 @@
 * ``recursive_forecast_ar`` — AR(1) fit once per series, then H steps
   inside one ``aggregate`` higher-order function (JVM, no Python).
 * ``recursive_forecast_ols`` — the refit-every-day recursion: a grouped
-  map per (symbol, scenario) over the bounded training window.
+  map per (symbol, block of scenarios) over the bounded training window.
 * ``scenario_forecast`` — many seeded noise paths, quantiles per day.
 * ``recursive_forecast_gbt`` — tree model fitted once; state table of
   series tails advanced by ``model.transform`` one day per step.
@@ -112,8 +112,10 @@ def _seed_for(seed: int, symbol: str, scenario: int) -> int:
 def roll_forward(hist: pd.DataFrame, horizon: int, as_of: dt.date, window: int,
                  cal: list[dt.date], feature_cols: list[str], noise_scale: float = 0.0,
                  seed: int = 42, scenario: int = 0, refit: bool = True,
-                 clip_prediction: bool = False) -> list[tuple[int, dt.date, float]]:
-    """Run the recursion for one series (rows sorted by date)."""
+                 clip_prediction: bool = False,
+                 coef: np.ndarray | None = None) -> list[tuple[int, dt.date, float]]:
+    """Run the recursion for one series (rows sorted by date). ``coef``
+    reuses a fit-once model across scenarios of the same series."""
     hist = hist.sort_values("Datetime")
     X = hist[feature_cols].to_numpy(dtype=float)
     y = hist["Close"].to_numpy(dtype=float)
@@ -122,7 +124,8 @@ def roll_forward(hist: pd.DataFrame, horizon: int, as_of: dt.date, window: int,
     max_volume = float(np.nanmax(tails["Volume"]))
     trend = float(hist["trend"].iloc[-1])
     rng = np.random.default_rng(_seed_for(seed, hist["symbol"].iloc[0], scenario))
-    coef = None if refit else ols_fit_np(X[-window:], y[-window:])
+    if not refit and coef is None:
+        coef = ols_fit_np(X[-window:], y[-window:])
     out = []
     for h in range(1, horizon + 1):
         d = as_of + dt.timedelta(days=h)
@@ -146,32 +149,50 @@ def roll_forward(hist: pd.DataFrame, horizon: int, as_of: dt.date, window: int,
     return out
 
 
+SCENARIOS_PER_TASK = 4
+
+
 def recursive_forecast_ols(features: DataFrame, horizon: int, as_of: dt.date,
                            cal: list[dt.date], window: int = 1095, scenarios: int = 1,
                            noise_scale: float = 0.0, seed: int = 42,
-                           refit: bool = True) -> DataFrame:
+                           refit: bool = True,
+                           scenarios_per_task: int = SCENARIOS_PER_TASK) -> DataFrame:
     """Refit-per-day OLS recursion for every (symbol, scenario).
 
     Only the last ``window`` rows of a series enter the grouped map, so a
-    group is bounded by the window (not by the history or tick volume);
-    scenarios are generated with ``explode`` (no join), one task each.
+    group is bounded by the window (not by the history or tick volume).
+    Scenarios run in blocks of ``scenarios_per_task`` inside one task: the
+    window is copied once per block (``explode``, no join) rather than once
+    per scenario, and a fit-once model is fitted once per block.
     """
     cols = feat.feature_columns(features)
     tw = train_window(features, window, order="Datetime")
     tw = tw.select("symbol", "Datetime", "Close", *cols)
-    if scenarios > 1:
-        tw = tw.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))))
+    per_task = max(1, int(scenarios_per_task))
+    blocks = -(-scenarios // per_task)
+    if blocks > 1:
+        tw = tw.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     else:
-        tw = tw.withColumn("scenario", F.lit(0))
+        tw = tw.withColumn("block", F.lit(0))
 
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        sym, scen = pdf["symbol"].iloc[0], int(pdf["scenario"].iloc[0])
-        res = roll_forward(pdf, horizon, as_of, window, cal, cols, noise_scale, seed, scen, refit)
-        return pd.DataFrame({"symbol": sym, "scenario": scen,
-                             "h": [r[0] for r in res], "target_date": [r[1] for r in res],
-                             "prediction": [r[2] for r in res]})
-
-    return tw.groupBy("symbol", "scenario").applyInPandas(per_group, FORECAST_SCHEMA)
+        sym, block = pdf["symbol"].iloc[0], int(pdf["block"].iloc[0])
+        pdf = pdf.sort_values("Datetime")
+        coef = None
+        if not refit:
+            coef = ols_fit_np(pdf[cols].to_numpy(dtype=float)[-window:],
+                              pdf["Close"].to_numpy(dtype=float)[-window:])
+        frames = []
+        for scen in range(block * per_task, min(scenarios, (block + 1) * per_task)):
+            res = roll_forward(pdf, horizon, as_of, window, cal, cols, noise_scale, seed, scen,
+                               refit, coef=coef)
+            frames.append(pd.DataFrame({"symbol": sym, "scenario": scen,
+                                        "h": [r[0] for r in res],
+                                        "target_date": [r[1] for r in res],
+                                        "prediction": [r[2] for r in res]}))
+        return pd.concat(frames, ignore_index=True)
+
+    return tw.groupBy("symbol", "block").applyInPandas(per_group, FORECAST_SCHEMA)
 
 
 def scenario_forecast(features: DataFrame, horizon: int, as_of: dt.date,
