@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daycast.functions.windows import series_window
 from daycast.operators import features as feat
 from daycast.operators import recursion as rec
 
