@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -47,6 +48,7 @@ def build_session(master: str | None = None, app_name: str = "daycast",
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -73,3 +75,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
                                       dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``daycast`` importable in executor Python workers.
+
+    Grouped-map functions reference this package's helpers by module name,
+    so workers must be able to import it. The package is zipped once per
+    application and distributed with ``SparkContext.addPyFile`` (the driver
+    serves the file to every executor; nothing needs shared storage).
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="daycast-pyfiles-"), "daycast.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("daycast", os.path.relpath(full, root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
