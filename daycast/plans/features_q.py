@@ -37,6 +37,16 @@ def q_epoch_to_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", F.round("Timestamp", 3).alias("Timestamp"), "Datetime")
 
 
+def q_daily_range_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-free bars of the volume source (lineitem: no tie-break key).
+    Not rounded: every double is one IEEE division or an exact max/min/sum
+    of integers, bit-identical in any engine (rounding would only add
+    half-up vs binary tie differences)."""
+    from daycast.operators.bars import daily_range_volume
+    from daycast.sources.ticks import lineitem_ticks
+    return daily_range_volume(lineitem_ticks(spark, sf_dir))
+
+
 def q_price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common.round_doubles(price_history(common.bars(spark, sf_dir)))
 
@@ -57,6 +67,13 @@ SELECT event_id, {O.r('"Timestamp"', 3)} AS "Timestamp",
        make_timestamp(CAST(round("Timestamp" * 1000000) AS BIGINT)) AS "Datetime" FROM epoch""",
     "price_history": f"""WITH {O.BARS_CTE}
 SELECT symbol, "Date", {O.r('"Close"')} AS "Close" FROM bars""",
+    "daily_range_volume": f"""WITH li AS (
+  SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS "Date",
+         CASE WHEN l_quantity = 0 THEN NULL ELSE l_extendedprice / l_quantity END AS px,
+         CAST(l_quantity AS DOUBLE) AS vol FROM lineitem)
+SELECT symbol, "Date", max(px) AS "High", min(px) AS "Low",
+       coalesce(sum(vol), 0) AS "Volume", count(*) AS ticks
+FROM li GROUP BY symbol, 2""",
 }
 
 
@@ -170,6 +187,7 @@ QUERIES = {
     "check_epoch_unit": q_check_epoch_unit,
     "epoch_to_ts": q_epoch_to_ts,
     "price_history": q_price_history,
+    "daily_range_volume": q_daily_range_volume,
     "trend_index": q_trend_index,
     **{k: _window_query(p) for k, (p, _) in WINDOW_PARTS.items()},
     "calendar_parts": q_calendar_parts,
