@@ -48,3 +48,33 @@ def test_incremental_equals_full_recompute(spark, tmp_dir):
     r = common.round_doubles
     assert inc.count() == full.count()
     assert r(inc).exceptAll(r(full)).count() == 0
+
+
+def test_late_ticks_within_lateness_are_kept(spark, tmp_dir):
+    import datetime as dt
+    from daycast.sources.schemas import TICKS
+    from daycast.streaming import bars_stream as bs
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField(f.name, T.TimestampType() if f.name == "ts"
+                                         else f.dataType) for f in TICKS.fields])
+    src, out, ck = f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ck"
+
+    def tick(day, hour, seq, px):
+        return ("A", dt.datetime(2024, 1, day, hour), seq, px, px, px, px, 1.0)
+
+    def run():
+        stream = bs.read_tick_stream(spark, src, schema)
+        bs.run_available(bs.stream_daily_ohlcv(stream, "1 day"), out, ck)
+
+    spark.createDataFrame([tick(1, 9, 1, 10.0), tick(2, 9, 2, 20.0), tick(4, 9, 3, 40.0)],
+                          schema).write.mode("append").parquet(src)
+    run()                                   # watermark: Jan 4 09:00 - 1 day = Jan 3 09:00
+    spark.createDataFrame([tick(3, 10, 4, 30.0),     # late, within lateness: kept
+                           tick(1, 12, 5, 99.0),     # its day already closed: dropped
+                           tick(6, 9, 6, 60.0)],     # moves the watermark past Jan 4
+                          schema).write.mode("append").parquet(src)
+    run()
+    got = {r["Date"]: r["Close"] for r in spark.read.parquet(out).collect()}
+    assert got[dt.date(2024, 1, 1)] == 10.0            # the too-late tick changed nothing
+    assert got[dt.date(2024, 1, 3)] == 30.0
+    assert dt.date(2024, 1, 4) in got and dt.date(2024, 1, 6) not in got   # Jan 6 still open
