@@ -262,7 +262,17 @@ def same_day_columns() -> list[str]:
 def causal_features(features: DataFrame, fill: float | None = 0.0) -> DataFrame:
     """Shift every same-day price column one row back, so each row only
     sees data up to the day before its target ``Close`` (no leakage).
-    Lags, trend and calendar columns are already known the day before."""
+    Lags, trend and calendar columns are already known the day before.
+    One ``selectExpr`` projection (one Window on the same partitioning)."""
+    shifted = set(same_day_columns())
+    over = _over("Datetime")
+    exprs = [f"{_sql_fill(f'lag({_q(c)}, 1) {over}', fill)} AS {_q(c)}" if c in shifted
+             else _q(c) for c in features.columns]
+    return features.selectExpr(*exprs)
+
+
+def causal_features_columns_api(features: DataFrame, fill: float | None = 0.0) -> DataFrame:
+    """Column-API form of ``causal_features`` (tests check they agree)."""
     w = series_window("symbol", "Datetime")
     shifted = {c: _fill(F.lag(F.col(c), 1).over(w), fill) for c in same_day_columns()}
     return features.withColumns(shifted)

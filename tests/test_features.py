@@ -88,3 +88,12 @@ def test_sql_text_table_equals_column_api_table(spark):
     c = feat.feature_table_columns_api(b, C.testdata_calendar())
     assert a.columns == c.columns and a.dtypes == c.dtypes
     assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
+
+
+def test_causal_sql_text_equals_column_api(spark):
+    from conftest import SMALL
+    from daycast.plans import common
+    ft = feat.feature_table(common.bars(spark, SMALL), C.testdata_calendar())
+    a, b = feat.causal_features(ft), feat.causal_features_columns_api(ft)
+    assert a.columns == b.columns and a.dtypes == b.dtypes
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
