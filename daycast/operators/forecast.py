@@ -93,10 +93,12 @@ FORECAST_SCHEMA = T.StructType([
 
 
 def ols_fit_np(X: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Least squares with intercept (minimum-norm when collinear)."""
-    A = np.hstack([np.ones((X.shape[0], 1)), X])
-    coef, *_ = np.linalg.lstsq(A, y, rcond=None)
-    return coef
+    """Least squares with intercept: solve on centred X and y (minimum-norm
+    when collinear), intercept from the means. Returns [b0, b1..bp]."""
+    xm = X.mean(axis=0)
+    ym = float(y.mean())
+    beta, *_ = np.linalg.lstsq(X - xm, y - ym, rcond=None)
+    return np.concatenate([[ym - float(xm @ beta)], beta])
 
 
 def ols_predict_np(coef: np.ndarray, x: np.ndarray) -> float:
@@ -112,9 +114,11 @@ def roll_forward(hist: pd.DataFrame, horizon: int, as_of: dt.date, window: int,
                  cal: list[dt.date], feature_cols: list[str], noise_scale: float = 0.0,
                  seed: int = 42, scenario: int = 0, refit: bool = True,
                  clip_prediction: bool = False,
-                 coef: np.ndarray | None = None) -> list[tuple[int, dt.date, float]]:
+                 coef: np.ndarray | None = None,
+                 legacy: bool = False) -> list[tuple[int, dt.date, float]]:
     """Run the recursion for one series (rows sorted by date). ``coef``
-    reuses a fit-once model across scenarios of the same series."""
+    reuses a fit-once model across scenarios of the same series;
+    ``legacy`` builds rows by ``recursion.next_row_legacy``."""
     hist = hist.sort_values("Datetime")
     X = hist[feature_cols].to_numpy(dtype=float)
     y = hist["Close"].to_numpy(dtype=float)
@@ -125,6 +129,7 @@ def roll_forward(hist: pd.DataFrame, horizon: int, as_of: dt.date, window: int,
     rng = np.random.default_rng(_seed_for(seed, hist["symbol"].iloc[0], scenario))
     if not refit and coef is None:
         coef = ols_fit_np(X[-window:], y[-window:])
+    first = {c: float(tails[c][0]) for c in feat.BAR_COLS}
     out = []
     for h in range(1, horizon + 1):
         d = as_of + dt.timedelta(days=h)
@@ -132,7 +137,13 @@ def roll_forward(hist: pd.DataFrame, horizon: int, as_of: dt.date, window: int,
             coef = ols_fit_np(X[-window:], y[-window:])
         z = {c: float(rng.standard_normal()) for c in feat.BAR_COLS} if noise_scale else None
         trend += 1.0
-        row = rec.next_row(tails, d, trend, cal, max_price, max_volume, z, noise_scale)
+        if legacy:
+            last = dict(zip(feature_cols, X[-1]))
+            last.update({c: float(tails[c][-1]) for c in feat.BAR_COLS})
+            row = rec.next_row_legacy(first, tails, last, feature_cols, max_price, max_volume,
+                                      z, noise_scale)
+        else:
+            row = rec.next_row(tails, d, trend, cal, max_price, max_volume, z, noise_scale)
         x = np.array([float(row[c]) for c in feature_cols])
         pred = ols_predict_np(coef, x)
         if clip_prediction:
@@ -155,7 +166,8 @@ def recursive_forecast_ols(features: DataFrame, horizon: int, as_of: dt.date,
                            cal: list[dt.date], window: int = 1095, scenarios: int = 1,
                            noise_scale: float = 0.0, seed: int = 42,
                            refit: bool = True,
-                           scenarios_per_task: int = SCENARIOS_PER_TASK) -> DataFrame:
+                           scenarios_per_task: int = SCENARIOS_PER_TASK,
+                           legacy: bool = False) -> DataFrame:
     """Refit-per-day OLS recursion for every (symbol, scenario).
 
     Only the last ``window`` rows of a series enter the grouped map, so a
@@ -163,8 +175,14 @@ def recursive_forecast_ols(features: DataFrame, horizon: int, as_of: dt.date,
     Scenarios run in blocks of ``scenarios_per_task`` inside one task: the
     window is copied once per block (``explode``, no join) rather than once
     per scenario, and a fit-once model is fitted once per block.
+
+    ``legacy=True`` reproduces the original loop: rows by
+    ``recursion.next_row_legacy`` and only double-typed features fitted.
     """
     cols = feat.feature_columns(features)
+    if legacy:
+        doubles = {f.name for f in features.schema.fields if f.dataType.typeName() == "double"}
+        cols = [c for c in cols if c in doubles]
     tw = train_window(features, window, order="Datetime")
     tw = tw.select("symbol", "Datetime", "Close", *cols)
     per_task = max(1, int(scenarios_per_task))
@@ -184,7 +202,7 @@ def recursive_forecast_ols(features: DataFrame, horizon: int, as_of: dt.date,
         frames = []
         for scen in range(block * per_task, min(scenarios, (block + 1) * per_task)):
             res = roll_forward(pdf, horizon, as_of, window, cal, cols, noise_scale, seed, scen,
-                               refit, coef=coef)
+                               refit, coef=coef, legacy=legacy)
             frames.append(pd.DataFrame({"symbol": sym, "scenario": scen,
                                         "h": [r[0] for r in res],
                                         "target_date": [r[1] for r in res],

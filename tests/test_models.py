@@ -113,3 +113,24 @@ def test_gbt_cross_validation(spark, features):
     cv = md.cross_validate(features, "xgboost", 2,
                            params={"maxIter": 3, "maxDepth": 2, "seed": 42}).collect()
     assert len(cv) == 10 and all(r["MAE"] is not None for r in cv)
+
+
+def test_legacy_row_rules():
+    tails = {c: np.array([10.0, 11.0, 12.0, 13.0, 14.0, 15.0, 16.0, 17.0]) for c in feat.BAR_COLS}
+    first = {c: 10.0 for c in feat.BAR_COLS}
+    names = ["Close_lag_1", "Close_ma_3", "Close_std_7", "Close_return_30",
+             "Close_momentum_7_30", "trend"]
+    last = {"Close_momentum_7_30": 5.0, "trend": 42.0, **{c: 17.0 for c in feat.BAR_COLS}}
+    row = rec.next_row_legacy(first, tails, last, names, 100.0, 100.0)
+    assert row["Close_lag_1"] == 17.0
+    assert row["Close_ma_3"] == pytest.approx(np.mean([10.0, 16.0, 17.0]))   # first row + last 2
+    assert row["Close_std_7"] == pytest.approx(np.std([10.0, 12, 13, 14, 15, 16, 17]))
+    assert row["Close_return_30"] == 0.0
+    assert row["Close_momentum_7_30"] == 5.0 and row["trend"] == 42.0      # copied
+
+
+def test_legacy_recursion_runs(spark, features):
+    one = features.where(F.col("symbol") == "2-HIGH")
+    out = fc.recursive_forecast_ols(one, 10, AS_OF, common.calendar(), window=300,
+                                    legacy=True).toPandas()
+    assert len(out) == 10 and np.isfinite(out["prediction"]).all()

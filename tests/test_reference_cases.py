@@ -8,6 +8,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from daycast.functions.values import assert_no_nan
@@ -21,11 +22,13 @@ from conftest import SMALL
 AS_OF = dt.date(2001, 8, 1)
 
 
-def test_linear_recursive_forecast_365_days(spark):
+@pytest.mark.parametrize("legacy", [False, True])
+def test_linear_recursive_forecast_365_days(spark, legacy):
     ft = feat.feature_table(common.bars(spark, SMALL), common.calendar())
     assert_no_nan(ft)
     one = ft.where(F.col("symbol") == "3-MEDIUM")
-    out = fc.recursive_forecast_ols(one, 365, AS_OF, common.calendar(), window=1095).toPandas()
+    out = fc.recursive_forecast_ols(one, 365, AS_OF, common.calendar(), window=1095,
+                                    legacy=legacy).toPandas()
     assert len(out) == 365
     assert np.isfinite(out["prediction"]).all()
     assert out["target_date"].min() == AS_OF + dt.timedelta(days=1)
