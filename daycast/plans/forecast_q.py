@@ -38,6 +38,12 @@ def q_recursive_forecast_ols(spark, sf_dir):
                                      WINDOW)
 
 
+def q_recursive_forecast_ols_legacy(spark, sf_dir):
+    """The same run with the original loop's row rules (``legacy=True``)."""
+    return fc.recursive_forecast_ols(_features(spark, sf_dir), H, AS_OF, common.calendar(),
+                                     WINDOW, legacy=True)
+
+
 def q_scenario_forecast(spark, sf_dir):
     return fc.scenario_forecast(_features(spark, sf_dir), H, AS_OF, common.calendar(),
                                 scenarios=SCENARIOS, window=WINDOW)
@@ -48,6 +54,7 @@ QUERIES = {
     "direct_forecast": q_direct_forecast,
     "recursive_forecast_ar": q_recursive_forecast_ar,
     "recursive_forecast_ols": q_recursive_forecast_ols,
+    "recursive_forecast_ols_legacy": q_recursive_forecast_ols_legacy,
     "scenario_forecast": q_scenario_forecast,
 }
 
