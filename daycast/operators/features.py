@@ -218,7 +218,12 @@ def feature_table(bars: DataFrame, calendar: list[dt.date] | None = None,
     one Window operator.
     """
     dates = cal_fn.reference_calendar() if calendar is None else calendar
-    return bars.selectExpr(*feature_sql(dates, fill, date_col))
+    # Rename first so the windows sort on (symbol, Datetime): downstream
+    # series windows (training window, causal shift, folds) then reuse
+    # that order instead of sorting again.
+    if date_col != "Datetime":
+        bars = bars.withColumnRenamed(date_col, "Datetime")
+    return bars.selectExpr(*feature_sql(dates, fill, "Datetime"))
 
 
 def feature_table_columns_api(bars: DataFrame, calendar: list[dt.date] | None = None,

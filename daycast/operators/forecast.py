@@ -27,9 +27,16 @@ from daycast.operators import recursion as rec
 
 
 def train_window(df: DataFrame, n: int, order: str = "Date", key: str = "symbol") -> DataFrame:
-    """Last n rows of each series by date."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    """Last n rows of each series by date.
+
+    Ranked in ascending order against the series length, so it reuses the
+    (key, date) sort of the feature windows instead of adding a
+    descending one.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    return (df.withColumn("_r", F.row_number().over(w))
+              .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+              .where(F.col("_r") > F.col("_n") - F.lit(n)).drop("_r", "_n"))
 
 
 def direct_forecast(bars: DataFrame, horizon: int, as_of: dt.date, window: int = 1095,
