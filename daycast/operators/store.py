@@ -124,13 +124,17 @@ def merge_current(current: DataFrame, incoming: DataFrame,
     cols = [f.name for f in CURRENT.fields]
     both = (current.select(*cols).withColumn("_src", F.lit(0))
             .unionByName(inc.select(*cols).withColumn("_src", F.lit(1))))
-    series = Window.partitionBy(*SERIES)
-    inc_run = F.max(F.when(F.col("_src") == 1, F.col("run_date"))).over(series)
-    per_day = Window.partitionBy(*SERIES, "target_date").orderBy(
-        F.col("run_date").desc(), F.col("_src").desc())
-    ranked = both.withColumn("_inc_run", inc_run).withColumn("_rank", F.row_number().over(per_day))
+    # One sort serves both windows: rows of a series ordered by day, newest
+    # run first (incoming first on a tie); the first row of each day wins.
+    ordered = Window.partitionBy(*SERIES).orderBy(
+        F.col("target_date"), F.col("run_date").desc(), F.col("_src").desc())
+    prev_day = F.lag("target_date", 1).over(ordered)
+    inc_run = F.max(F.when(F.col("_src") == 1, F.col("run_date"))).over(
+        Window.partitionBy(*SERIES))
+    ranked = both.withColumn("_first", prev_day.isNull() | (prev_day != F.col("target_date"))) \
+                 .withColumn("_inc_run", inc_run)
     keep = (F.col("_inc_run").isNull() | (F.col("target_date") < F.col("_inc_run"))
-            | (F.col("_rank") == 1))
+            | F.col("_first"))
     return ranked.where(keep).select(*cols)
 
 
