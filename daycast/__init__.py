@@ -6,6 +6,32 @@ collected to the driver except schema-level checks and one-row
 validation aggregates.
 """
 
-from daycast.session import build_session, checkpoint_dir
+from daycast.session import build_session, checkpoint_dir, ship_package
+from daycast.operators.bars import daily_ohlcv, daily_range_volume, price_history
+from daycast.operators.features import causal_features, feature_columns, feature_table
+from daycast.operators.folds import cv_trend_ols, expanding_folds, fold_bounds
+from daycast.operators.evaluation import (day_metrics, forecast_vs_actual, metrics_for_day,
+                                          model_report)
+from daycast.operators.forecast import (direct_forecast, recursive_forecast_ar,
+                                        recursive_forecast_ols, scenario_forecast,
+                                        train_window)
+from daycast.operators.tree_forecast import recursive_forecast_gbt
+from daycast.operators.models import (cross_validate, gbt_fit, gbt_predict, ols_fit,
+                                      ols_predict, train_or_load)
+from daycast.operators.store import (latest_per_target, merge_current, replace_run, save_run,
+                                     scan_current, scan_runs, upsert_run)
+from daycast.streaming.bars_stream import incremental_features, stream_daily_ohlcv
 
-__all__ = ["build_session", "checkpoint_dir"]
+__all__ = [
+    "build_session", "checkpoint_dir", "ship_package",
+    "daily_ohlcv", "daily_range_volume", "price_history",
+    "feature_table", "causal_features", "feature_columns",
+    "expanding_folds", "fold_bounds", "cv_trend_ols",
+    "forecast_vs_actual", "day_metrics", "metrics_for_day", "model_report",
+    "train_window", "direct_forecast", "recursive_forecast_ar", "recursive_forecast_ols",
+    "scenario_forecast", "recursive_forecast_gbt",
+    "ols_fit", "ols_predict", "gbt_fit", "gbt_predict", "train_or_load", "cross_validate",
+    "latest_per_target", "merge_current", "upsert_run", "replace_run", "save_run",
+    "scan_runs", "scan_current",
+    "stream_daily_ohlcv", "incremental_features",
+]
