@@ -64,7 +64,7 @@ def preprocess(df: DataFrame) -> DataFrame:
     return select_required(epoch_to_ts(df))
 
 
-def processed_to_ticks(df: DataFrame, symbol: str = "BTCUSD") -> DataFrame:
+def processed_to_ticks(df: DataFrame, symbol: str = "SERIES") -> DataFrame:
     """Processed single-series frame → tick frame with an explicit key."""
     return df.select(
         F.lit(symbol).alias("symbol"),
