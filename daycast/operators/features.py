@@ -1,6 +1,6 @@
 """The wide daily feature table (76 reference columns + the series key).
 
-All row windows share ``partitionBy(symbol).orderBy(Date)``; the whole
+All row windows share ``partitionBy(symbol).orderBy(Datetime)``; the whole
 table is one projection over one Window operator, i.e. one exchange on
 ``symbol`` (free when the bars are already hash-partitioned by it) and
 one sort. A series of *daily* bars is bounded by the number of days of
