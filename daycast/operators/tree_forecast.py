@@ -7,7 +7,7 @@ tails with SQL higher-order functions (same rules as ``recursion.py``),
 scores it with ``model.transform`` and appends the prediction. All series
 advance together; the state is cut from its lineage with a reliable
 ``checkpoint()`` (in ``spark.checkpoint.dir``) after every step, so the
-plan stays shallow and a lost executor recomputes at most those steps.
+plan stays shallow and a lost executor recomputes at most one step.
 """
 
 from __future__ import annotations
