@@ -4,9 +4,11 @@ Folds follow the expanding split: with n rows in a series and k folds,
 ``ts = n div (k+1)``; fold f tests rows ``start_f <= i < start_f + ts``
 with ``start_f = n - (k - f) * ts`` and trains on every row ``i < start_f``.
 
-Each row is exploded into the (at most k) folds it belongs to; all later
-windows and aggregates are keyed by (symbol, fold), which the hash
-partitioning on ``symbol`` already satisfies — one exchange in all.
+``expanding_folds`` lists each row once per fold it belongs to (at most
+k); its later aggregates are keyed by (symbol, fold), which the hash
+partitioning on ``symbol`` already satisfies. ``cv_trend_ols`` needs no
+such copies: every training set is a prefix, so one running regression
+over the (symbol, date) order serves all folds.
 """
 
 from __future__ import annotations
@@ -78,16 +80,49 @@ def mape_test(y: Column, p: Column, te: Column) -> Column:
 def cv_trend_ols(df: DataFrame, k: int = 5, target: str = "Close", key: str = "symbol",
                  order: str = "Date") -> DataFrame:
     """Cross-validate ``target ~ a + b * trend`` on expanding folds, all
-    series and folds in one query: the fit is ``regr_slope/regr_intercept``
-    over the train rows of the (symbol, fold) partition, the score an
-    aggregate over its test rows. No join, no Python."""
-    folds = expanding_folds(df, k, key, order)
-    pf = Window.partitionBy(key, "fold")
-    tr = F.col("role") == "train"
-    y_tr = F.when(tr, F.col(target))
-    x_tr = F.when(tr, F.col("i").cast("double"))
-    slope = F.regr_slope(y_tr, x_tr).over(pf)
-    icpt = F.regr_intercept(y_tr, x_tr).over(pf)
-    scored = (folds.select(key, order, "fold", "role", F.col(target).alias("y"),
-                           (icpt + slope * F.col("i").cast("double")).alias("p")))
-    return fold_metrics(scored, "y", "p", key, order)
+    series and folds in one query, without copying rows per fold.
+
+    Every fold trains on a prefix of its series (rows ``i < start_f``), so
+    one running ``regr_slope/regr_intercept`` over the (symbol, date) order
+    holds every fold's fit: the fit of fold f is the running value at row
+    ``start_f - 1``, carried forward to the fold's test rows with
+    ``last(..., ignorenulls)``. One sort, no explode, no join, no Python.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    series = Window.partitionBy(key)
+    base = df.select(key, order, F.col(target).alias("_y"),
+                     (F.row_number().over(w) - 1).cast("long").alias("i"),
+                     F.count(F.lit(1)).over(series).alias("n"),
+                     F.min(order).over(series).alias("train_start"))
+    ts = F.floor(F.col("n") / F.lit(k + 1)).cast("long")
+    base = base.withColumn("_ts", ts).where(F.col("_ts") > 0)
+    x = F.col("i").cast("double")
+    back = F.col("n") - 1 - F.col("i")           # rows after this one
+    fit_end = ((back % F.col("_ts")) == 0) & (back >= F.col("_ts")) & \
+        (back <= F.lit(k) * F.col("_ts"))        # row start_f - 1 of some fold
+    marked = base.withColumns({
+        "_b": F.when(fit_end, F.regr_slope("_y", x).over(running)),
+        "_a": F.when(fit_end, F.regr_intercept("_y", x).over(running)),
+        "_d": F.when(fit_end, F.col(order)),
+    })
+    carried = marked.withColumns({
+        "b": F.last("_b", ignorenulls=True).over(before),
+        "a": F.last("_a", ignorenulls=True).over(before),
+        "train_end": F.last("_d", ignorenulls=True).over(before),
+    })
+    first_test = F.col("n") - F.lit(k) * F.col("_ts")
+    test = (carried.where(F.col("i") >= first_test)
+                   .withColumn("fold", F.floor((F.col("i") - first_test) / F.col("_ts"))
+                               .cast("int"))
+                   .withColumn("p", F.col("a") + F.col("b") * x))
+    y, p = F.col("_y"), F.col("p")
+    return test.groupBy(key, "fold").agg(
+        F.min("train_start").alias("train_start"),
+        F.max("train_end").alias("train_end"),
+        F.min(order).alias("test_start"),
+        F.max(order).alias("test_end"),
+        mae(y, p).alias("MAE"),
+        rmse(y, p).alias("RMSE"),
+        mape(y, p).alias("MAPE"))

@@ -67,3 +67,22 @@ def test_metrics_for_one_day_and_cast_float(spark):
     assert z["MAPE"] is None                     # actual 0 → no percentage error
     txt = spark.createDataFrame([("1.5",), ("x",)], "v string")
     assert [row["v"] for row in cast_float(txt, ["v"], strict=False).collect()] == [1.5, None]
+
+
+def test_cv_trend_ols_equals_numpy_per_fold(spark):
+    import numpy as np
+    from conftest import SMALL
+    from daycast.plans import common
+    bars = common.bars(spark, SMALL)
+    got = {(r["symbol"], r["fold"]): r for r in fo.cv_trend_ols(bars, 5).collect()}
+    pdf = bars.toPandas()
+    for sym, g in pdf.groupby("symbol"):
+        y = g.sort_values("Date")["Close"].to_numpy()
+        dates = g.sort_values("Date")["Date"].to_numpy()
+        for f, (train, test) in enumerate(brute_force_split(len(y), 5)):
+            b, a = np.polyfit(np.array(train, float), y[train], 1)
+            p = a + b * np.array(test, float)
+            r = got[(sym, f)]
+            assert r["MAE"] == pytest.approx(np.mean(np.abs(y[test] - p)), rel=1e-9)
+            assert r["RMSE"] == pytest.approx(np.sqrt(np.mean((y[test] - p) ** 2)), rel=1e-9)
+            assert r["train_end"] == dates[train[-1]] and r["test_start"] == dates[test[0]]
