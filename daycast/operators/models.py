@@ -152,22 +152,41 @@ SCORED_SCHEMA = T.StructType([
 ])
 
 
-def _score_linear(folds: DataFrame, feature_cols: list[str], target: str) -> DataFrame:
-    data = folds.select("symbol", F.col("fold").cast("int").alias("fold"), "role", "Datetime",
-                        F.col(target).cast("double").alias("y"),
-                        *[F.col(c).cast("double").alias(c) for c in feature_cols])
-
-    def per_fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        train = pdf[pdf["role"] == "train"]
-        beta = ols_fit_np(train[feature_cols].to_numpy(dtype=float),
-                          train["y"].to_numpy(dtype=float))
+def _score_linear(features: DataFrame, feature_cols: list[str], target: str,
+                  k: int, order: str = "Datetime") -> DataFrame:
+    """Per series, fit the k expanding folds in turn (each training set is a
+    prefix of the series, so the series is shipped once, not once per
+    fold). Emits the test rows with their prediction plus the first and
+    last training row of each fold (all the fold bounds need)."""
+    data = features.select("symbol", F.col(order).alias("Datetime"),
+                           F.col(target).cast("double").alias("y"),
+                           *[F.col(c).cast("double").alias(c) for c in feature_cols])
+
+    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("Datetime").reset_index(drop=True)
+        n, ts = len(pdf), len(pdf) // (k + 1)
         X = pdf[feature_cols].to_numpy(dtype=float)
-        p = beta[0] + X @ beta[1:]
-        p = np.where(pdf["role"].to_numpy() == "test", p, np.nan)
-        return pd.DataFrame({"symbol": pdf["symbol"], "fold": pdf["fold"], "role": pdf["role"],
-                             "Datetime": pdf["Datetime"], "y": pdf["y"], "p": p})
-
-    return data.groupBy("symbol", "fold").applyInPandas(per_fold, SCORED_SCHEMA)
+        y = pdf["y"].to_numpy(dtype=float)
+        out = []
+        if ts == 0:
+            return pd.DataFrame(columns=[f.name for f in SCORED_SCHEMA.fields])
+        for f in range(k):
+            start = n - (k - f) * ts
+            beta = ols_fit_np(X[:start], y[:start])
+            test = np.arange(start, start + ts)
+            edges = np.array([0, start - 1])
+            out.append(pd.DataFrame({
+                "fold": f,
+                "role": ["train"] * 2 + ["test"] * len(test),
+                "Datetime": pdf["Datetime"].to_numpy()[np.concatenate([edges, test])],
+                "y": np.concatenate([y[edges], y[test]]),
+                "p": np.concatenate([[np.nan, np.nan], beta[0] + X[test] @ beta[1:]]),
+            }))
+        res = pd.concat(out, ignore_index=True)
+        res.insert(0, "symbol", pdf["symbol"].iloc[0])
+        return res
+
+    return data.groupBy("symbol").applyInPandas(per_series, SCORED_SCHEMA)
 
 
 def _score_gbt(folds: DataFrame, feature_cols: list[str], target: str, k: int,
@@ -191,9 +210,9 @@ def cross_validate(features: DataFrame, model_name: str = "linear", k: int = 5,
     known_model(model_name)
     from daycast.operators.features import feature_columns
     cols = feature_cols or feature_columns(features)
-    folds = fo.expanding_folds(features, k, order="Datetime")
     if model_name == "linear":
-        scored = _score_linear(folds, cols, target)
+        scored = _score_linear(features, cols, target, k)
     else:
-        scored = _score_gbt(folds, cols, target, k, params)
+        scored = _score_gbt(fo.expanding_folds(features, k, order="Datetime"), cols, target, k,
+                            params)
     return fo.fold_metrics(scored, "y", "p", order="Datetime")

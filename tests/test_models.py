@@ -134,3 +134,23 @@ def test_legacy_recursion_runs(spark, features):
     out = fc.recursive_forecast_ols(one, 10, AS_OF, common.calendar(), window=300,
                                     legacy=True).toPandas()
     assert len(out) == 10 and np.isfinite(out["prediction"]).all()
+
+
+def test_linear_cv_equals_numpy_prefix_fits(spark, features):
+    causal = feat.causal_features(features)      # no leakage: errors are real, not ~1e-10
+    cols = feat.feature_columns(causal)
+    got = {(r["symbol"], r["fold"]): r for r in md.cross_validate(causal, "linear", 5).collect()}
+    pdf = causal.toPandas()
+    for sym, g in pdf.groupby("symbol"):
+        g = g.sort_values("Datetime")
+        X, y = g[cols].to_numpy(float), g["Close"].to_numpy(float)
+        n, ts = len(y), len(y) // 6
+        for f in range(5):
+            start = n - (5 - f) * ts
+            beta = fc.ols_fit_np(X[:start], y[:start])
+            p = beta[0] + X[start:start + ts] @ beta[1:]
+            r = got[(sym, f)]
+            assert r["MAE"] == pytest.approx(np.mean(np.abs(y[start:start + ts] - p)),
+                                             rel=1e-6, abs=1e-9 * np.abs(y).mean())
+            assert r["train_end"] == g["Datetime"].iloc[start - 1]
+            assert r["test_end"] == g["Datetime"].iloc[start + ts - 1]
