@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daycast.llm import quality
+from daycast.llm import bpe, quality, toxicity
 from daycast.llm.common import fold, prepare, table
 
+WORD_VOCABULARY = "word_bpe_49k.json"
 QUALITY_FOLDS, QUALITY_HELD = 3, 1
 
 
@@ -24,7 +25,26 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality.score(docs, weights), 0.5)
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(WORD_VOCABULARY)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return bpe.digest(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return _scored(docs, toxicity.score(docs, model), 0.7)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
+    "op5_bpe": op5_bpe,
+    "op8_toxicity": op8_toxicity,
 }
 SQL: dict[str, str] = {}
