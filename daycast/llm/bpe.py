@@ -8,7 +8,7 @@ for many pieces at a time; pieces outside it are merged exactly.
 
 Rules of the vocabulary file: special tokens are cut out of the raw text; the
 rest is NFC-normalised, white space becomes a space, every code point is
-lowered; the split pattern gives the pieces; a piece is a row of byte letters
+lowered (so A-Z may be lowered first); the split pattern gives the pieces; a piece is a row of byte letters
 whose last one has the end-of-word mark. White space never joins two pieces, so
 a text's ids are those of its words (runs without ASCII white space), one after
 the other, and are remembered per word. Decoding joins token strings by spaces
@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daycast.llm.common import CACHE_WORDS, arrow_map, texts
+from daycast.llm.common import CACHE_WORDS, arrow_map, fold_case, texts
 
 # Most frequent words compiled into the lexicon (their pieces; bounds what is sent).
 LEXICON_WORDS = 131_072
@@ -257,7 +257,7 @@ class Encoder:
         return {w: b"".join([known[p] for p in ps]) for w, ps in zip(words, parts)}
 
     def __call__(self, batch: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in batch]
+        split = [fold_case(t).split() for t in batch]
         wanted = set().union(*split)
         if len(self.words) > CACHE_WORDS:
             self.words = {w: self.words[w] for w in wanted if w in self.words}
@@ -276,7 +276,7 @@ def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[bytes]:
         from collections import Counter
         c: Counter = Counter()
         for t in texts(batch.column("text")):
-            c.update(t.split())
+            c.update(fold_case(t).split())
         return {"word": pa.array(list(c.keys()), pa.binary()), "n": list(c.values())}
 
     counted = arrow_map(docs.select("text"), count, "word binary, n long")

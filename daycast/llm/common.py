@@ -51,6 +51,13 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def fold_case(text: bytes) -> bytes:
+    """The text with A-Z lowered, where that cannot change a lowering vocabulary's
+    ids: not where a combining mark (U+0300-U+036F, lead bytes CC and CD) could
+    compose with the letter, nor where a special token's mark occurs."""
+    return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
+
+
 def hash64(data: bytes, seed: int = 0) -> int:
     return xxhash.xxh3_64_intdigest(data, seed)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daycast.llm import bpe, quality, toxicity
+from daycast.llm import bpe, quality, tokenfile, toxicity
 from daycast.llm.common import fold, prepare, table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -42,9 +42,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, toxicity.score(docs, model), 0.7)
 
 
+def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    folder = tokenfile.new_folder(spark)
+    tokenfile.write(table(spark, sf_dir, "documents"), vocabulary_path(), folder)
+    return tokenfile.read(spark, folder)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op5_bpe": op5_bpe,
     "op8_toxicity": op8_toxicity,
+    "op10_repair": op10_repair,
 }
 SQL: dict[str, str] = {}
