@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from daycast.session import checkpoint_dir, ship_package
 
-# Rows of one Arrow batch handed to a Python worker; bounds a batch of long texts.
-ARROW_ROWS = 512
+# Size of one Arrow batch handed to a Python worker: rows, and bytes (long texts).
+ARROW_ROWS, ARROW_BYTES = 65_536, 4 << 20
 # Entries of a worker's word cache (about 75 MB); further words are recomputed.
 CACHE_WORDS = 400_000
 
@@ -27,6 +27,7 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
     checkpoint_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daycast.llm import bpe, quality, tokenfile, toxicity
+from daycast.llm import bpe, jaccard, quality, tokenfile, toxicity
 from daycast.llm.common import fold, prepare, table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -25,6 +25,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality.score(docs, weights), 0.5)
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
     return public_tokenizers.path(WORD_VOCABULARY)
@@ -51,6 +56,7 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_jaccard": op2_jaccard,
     "op5_bpe": op5_bpe,
     "op8_toxicity": op8_toxicity,
     "op10_repair": op10_repair,
