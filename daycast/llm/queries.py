@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daycast.llm import bpe, jaccard, quality, tokenfile, toxicity
+from daycast.llm import bpe, jaccard, maxent, quality, tokenfile, toxicity
 from daycast.llm.common import fold, prepare, table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 QUALITY_FOLDS, QUALITY_HELD = 3, 1
+LM_FOLDS, LM_HELD = 7, 2
 
 
 def _scored(docs: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
@@ -40,6 +41,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op7_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    learn = F.coalesce(fold("doc_id", LM_FOLDS) != LM_HELD, F.lit(True))
+    return maxent.score(docs, learn, maxent.train(docs, learn))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +66,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_jaccard": op2_jaccard,
     "op5_bpe": op5_bpe,
+    "op7_maxent": op7_maxent,
     "op8_toxicity": op8_toxicity,
     "op10_repair": op10_repair,
 }
