@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daycast.llm import bpe, jaccard, maxent, quality, tokenfile, toxicity
+import corpus_pipeline
+from daycast.llm import (bpe, decontaminate, html, jaccard, lines, maxent, quality, tokenfile,
+                         toxicity, vectors)
 from daycast.llm.common import fold, prepare, table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -31,6 +33,23 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup(docs).select(
+        "doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), "text")
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
     return public_tokenizers.path(WORD_VOCABULARY)
@@ -55,6 +74,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, toxicity.score(docs, model), 0.7)
 
 
+def op9_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     folder = tokenfile.new_folder(spark)
@@ -62,12 +86,22 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, folder)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_quality": op1_quality,
     "op2_jaccard": op2_jaccard,
+    "op3_lines": op3_lines,
+    "op4_html": op4_html,
     "op5_bpe": op5_bpe,
+    "op6_templates": op6_templates,
     "op7_maxent": op7_maxent,
     "op8_toxicity": op8_toxicity,
+    "op9_pca": op9_pca,
     "op10_repair": op10_repair,
 }
 SQL: dict[str, str] = {}
