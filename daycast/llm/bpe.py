@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daycast.llm.common import CACHE_WORDS, arrow_map, fold_case, texts
+from daycast.llm.common import CACHE_WORDS, arrow_map, fold_case, hash64, texts
 
 # Most frequent words compiled into the lexicon (their pieces; bounds what is sent).
 LEXICON_WORDS = 131_072
@@ -43,6 +43,7 @@ LEXICON_WORDS = 131_072
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+")
 SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 WORD_END = "</w>"
+PLAIN_ENDS = (b".", b",")        # after letters, a piece of their own
 
 
 def byte_letters() -> list[str]:
@@ -53,6 +54,49 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
 
 
+NO_RANK = np.int64(1 << 40)
+
+
+class PairTable:
+    """Hash table of the merges: pair of ids -> rank, for arrays of pairs."""
+
+    def __init__(self, merges: list[tuple[int, int, int]]):
+        self.merged = np.array([m[2] for m in merges], np.int64)
+        keys = np.array([(a << 32) | b for a, b, _ in merges], np.int64)
+        self.shift = np.uint64(64 - max(4, (len(keys) * 8).bit_length()))
+        size = 1 << int(64 - int(self.shift))
+        self.keys, self.ranks = np.full(size, -1, np.int64), np.full(size, NO_RANK)
+        left, self.probes = np.arange(len(keys)), 0
+        while len(left):                      # one round places what falls on free slots
+            slot = self._slot(keys[left], self.probes)
+            free = self.keys[slot] == -1
+            _, first = np.unique(slot[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            self.keys[slot[put]], self.ranks[slot[put]] = keys[left[put]], left[put]
+            left = np.delete(left, put)
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        mixed = (keys.astype(np.uint64) + np.uint64(probe)) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> self.shift).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair, ``NO_RANK`` where it is no merge (or an id is negative)."""
+        key = (a << 32) | (b & 0xFFFFFFFF)
+        out = np.full(key.shape, NO_RANK)
+        open_ = np.flatnonzero((a.ravel() >= 0) & (b.ravel() >= 0))
+        flat, keys = out.ravel(), key.ravel()
+        for probe in range(self.probes):
+            slot = self._slot(keys[open_], probe)
+            held = self.keys[slot]
+            hit = held == keys[open_]
+            flat[open_[hit]] = self.ranks[slot[hit]]
+            open_ = open_[~hit & (held != -1)]
+            if not len(open_):
+                break
+        return flat.reshape(key.shape)
+
+
 class Vocabulary:
     """Ids, merges and special tokens of a vocabulary file."""
 
@@ -64,6 +108,7 @@ class Vocabulary:
         merges = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
         self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b])
                        for rank, (a, b) in enumerate(merges)}
+        self.pairs = PairTable([(*p, new) for p, (_, new) in self.merges.items()])
         letters = byte_letters()
         self.inner = [self.ids[c] for c in letters]
         self.last = [self.ids[c + WORD_END] for c in letters]
@@ -72,6 +117,56 @@ class Vocabulary:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") \
             if self.special else None
 
+    def merge_many(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """``merge`` of many pieces in step: each step merges the lowest-ranked,
+        leftmost pair of every piece that still has one."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
+        by_length = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        inner, last = np.array(self.inner, np.int64), np.array(self.last, np.int64)
+        at = 0
+        while at < len(by_length):
+            part = by_length[at:at + 8192]
+            longest = len(pieces[part[-1]])
+            if longest > 48:                 # long pieces one by one
+                part = [i for i in part if len(pieces[i]) <= 48] or part[:1]
+                if len(pieces[part[0]]) > 48:
+                    out[part[0]] = np.array(self.merge(pieces[part[0]]), np.uint32)
+                    at += 1
+                    continue
+                longest = len(pieces[part[-1]])
+            n = np.fromiter((len(pieces[i]) for i in part), np.int64, len(part))
+            raw = np.frombuffer(b"".join(pieces[i].ljust(longest, b"\0") for i in part),
+                                np.uint8).reshape(len(part), longest)
+            ids = inner[raw]
+            rows = np.arange(len(part))
+            ids[rows, n - 1] = last[raw[rows, n - 1]]
+            ids[np.arange(longest) >= n[:, None]] = -1
+            rank = np.full(ids.shape, NO_RANK)          # of the pair beginning there
+            rank[:, :-1] = self.pairs.rank(ids[:, :-1], ids[:, 1:])
+            where = np.array(part)
+            while len(ids):
+                best = rank.argmin(axis=1)
+                rows = np.arange(len(ids))
+                done = rank[rows, best] == NO_RANK
+                for i, row in zip(where[done].tolist(), ids[done]):
+                    out[i] = row[row >= 0].astype(np.uint32)
+                ids, rank, where, best = ids[~done], rank[~done], where[~done], best[~done]
+                rows = rows[:len(ids)]
+                if not len(ids):
+                    break
+                ids[rows, best] = self.pairs.merged[rank[rows, best]]
+                shift = np.arange(ids.shape[1] - 1) + (np.arange(ids.shape[1] - 1) > best[:, None])
+                ids = np.take_along_axis(ids, shift, axis=1)
+                rank = np.take_along_axis(rank, shift, axis=1)
+                ids = np.concatenate([ids, np.full((len(ids), 1), -1)], axis=1)
+                rank = np.concatenate([rank, np.full((len(ids), 1), NO_RANK)], axis=1)
+                rank[rows, best] = self.pairs.rank(ids[rows, best], ids[rows, best + 1])
+                left = np.maximum(best - 1, 0)
+                again = self.pairs.rank(ids[rows, left], ids[rows, left + 1])
+                rank[rows, left] = np.where(best > 0, again, rank[rows, left])
+            at += len(part)
+        return out
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: always the lowest-ranked, then leftmost pair is merged."""
         ids = [self.inner[b] for b in piece[:-1]] + [self.last[piece[-1]]]
@@ -105,6 +200,10 @@ class Vocabulary:
 
     def pieces(self, word: bytes) -> list[bytes | int]:
         """Normalised pieces (and ids of special tokens) of one word, in order."""
+        if word.isalpha():                       # ASCII letters are one piece
+            return [word.lower()]
+        if word[-1:] in PLAIN_ENDS and word[:-1].isalpha():
+            return [word[:-1].lower(), word[-1:]]
         text = word.decode("utf-8", "replace")
         if self.cut is None or not self.cut.search(text):
             return _normal_pieces(text)
@@ -246,10 +345,11 @@ class Encoder:
         parts = [self.vocabulary.pieces(w) for w in words]
         distinct = list({p for ps in parts for p in ps if isinstance(p, bytes)})
         number = self.lexicon.find(distinct)
-        known: dict[bytes | int, bytes] = {}
-        for p, n in zip(distinct, number.tolist()):
-            known[p] = self.lexicon.entry(n) if n >= 0 else \
-                np.array(self.vocabulary.merge(p), "<u4").tobytes()
+        known: dict[bytes | int, bytes] = {
+            p: self.lexicon.entry(n) for p, n in zip(distinct, number.tolist()) if n >= 0}
+        unseen = [p for p, n in zip(distinct, number.tolist()) if n < 0]
+        for p, ids in zip(unseen, self.vocabulary.merge_many(unseen)):
+            known[p] = ids.tobytes()
         for ps in parts:
             for p in ps:
                 if isinstance(p, int):
@@ -290,7 +390,8 @@ def build(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> bytes:
     vocabulary = Vocabulary(path)
     pieces = {p for w in frequent_words(docs, words) for p in vocabulary.pieces(w)
               if isinstance(p, bytes)}
-    return compile_lexicon({p: vocabulary.merge(p) for p in pieces})
+    pieces = sorted(pieces)
+    return compile_lexicon({p: ids.tolist() for p, ids in zip(pieces, vocabulary.merge_many(pieces))})
 
 
 def encode(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> DataFrame:
@@ -299,25 +400,36 @@ def encode(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> DataFrame:
                     lambda ids, text: {"ids": ids, "decoded": [t.decode() for t in text]})
 
 
-def digest(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode, hash in one pass."""
-    return _encoded(
-        docs, path, words,
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
-        lambda ids, text: {"n_tokens": [len(x) // 4 for x in ids],
-                           "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                           "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in text]})
+def digest(docs: DataFrame, path: str, words: int = LEXICON_WORDS, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): encode, decode, hash in one pass."""
+    def columns(ids: list[bytes], text: list[bytes]) -> dict:
+        out = {"n_tokens": [len(x) // 4 for x in ids],
+               "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+               "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in text]}
+        return out | ({"ids": ids} if with_ids else {})
+    return _encoded(docs, path, words, "doc_id long, n_tokens long, ids_sha256 string, "
+                    "decoded_sha256 string" + (", ids binary" if with_ids else ""), columns)
 
 
 def _encoded(docs: DataFrame, path: str, words: int, schema: str, columns) -> DataFrame:
-    block = docs.sparkSession.sparkContext.broadcast(build(docs, path, words))
-    state: dict = {}
+    lexicon = build(docs, path, words)
+    key = (path, hash64(lexicon))
+    block = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def rows(batch: pa.RecordBatch) -> dict:
-        if not state:
-            state["v"] = Vocabulary(path)
-            state["e"] = Encoder(state["v"], Lexicon(block.value))
-        ids = state["e"](texts(batch.column("text")))
-        text = [decode(np.frombuffer(x, "<u4"), state["v"].strings) for x in ids]
+        encoder = worker_encoder(key, block.value)
+        ids = encoder(texts(batch.column("text")))
+        text = [decode(np.frombuffer(x, "<u4"), encoder.vocabulary.strings) for x in ids]
         return {"doc_id": batch.column("doc_id")} | columns(ids, text)
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, schema)
+
+
+_WORKER: dict = {}
+
+
+def worker_encoder(key: tuple[str, int], lexicon: bytes) -> Encoder:
+    """The encoder of this worker process, kept from task to task."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = Encoder(Vocabulary(key[0]), Lexicon(lexicon))
+    return _WORKER[key]
