@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daycast.llm.common import CACHE_WORDS, arrow_map, fold_case, hash64, texts
+from daycast.llm.common import CACHE_WORDS, arrow_map, fold_case, hash64, most_frequent, texts
 
 # Most frequent words compiled into the lexicon (their pieces; bounds what is sent).
 LEXICON_WORDS = 131_072
@@ -371,7 +371,7 @@ def decode(ids: np.ndarray, strings: list[bytes]) -> bytes:
 
 
 def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[bytes]:
-    """The ``words`` most frequent words of all texts (counts cover the whole corpus)."""
+    """The most frequent words of all texts, at most ``words`` (counts cover the whole corpus)."""
     def count(batch: pa.RecordBatch) -> dict:
         from collections import Counter
         c: Counter = Counter()
@@ -379,10 +379,9 @@ def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[bytes]:
             c.update(fold_case(t).split())
         return {"word": pa.array(list(c.keys()), pa.binary()), "n": list(c.values())}
 
-    counted = arrow_map(docs.select("text"), count, "word binary, n long")
-    top = (counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-           .orderBy(F.desc("n"), "word").limit(words))
-    return [bytes(w) for w in top.toPandas()["word"]]
+    counted = (arrow_map(docs.select("text"), count, "word binary, n long")
+               .groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    return [bytes(w) for w in most_frequent(counted, "word", "n", words)["word"]]
 
 
 def build(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> bytes:

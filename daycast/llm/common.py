@@ -45,6 +45,26 @@ def fold(col: str, mod: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod
 
 
+def most_frequent(counts: DataFrame, key: str, n: str, rows: int):
+    """pandas frame (key, n), most frequent first: all keys whose count reaches a
+    level (an eighth of a power of two) such that at most ``rows`` do.
+
+    A histogram of levels (a few hundred rows) finds the level, so no more than
+    ``rows`` keys reach the driver, however many partitions hold them.
+    """
+    counts = cut(counts.select(key, n))
+    level = F.floor(F.log2(F.col(n)) * 8)
+    sizes = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    total, least = 0, None
+    for r in sizes:
+        total += r["count"]
+        if total > rows:
+            break
+        least = r.level
+    kept = counts.where(level >= least) if least is not None else counts.limit(0)
+    return kept.toPandas().sort_values([n, key], ascending=[False, True], ignore_index=True)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

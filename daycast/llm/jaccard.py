@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daycast.llm.common import arrow_map, cut, lists, shingles, signed, texts, word_hashes
+from daycast.llm.common import arrow_map, cut, lists, most_frequent, shingles, signed, texts, word_hashes
 from daycast.llm.graph import UnionFind, components
 
 WIDTH = 5                 # words of a shingle
@@ -214,7 +214,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
     counted = (arrow_map(docs.select("text"), low, "token long, n int")
                .groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT))
-    top = counted.orderBy(F.desc("n"), "token").limit(HOT_SHINGLES).select("token").toPandas()
+    top = most_frequent(counted, "token", "n", HOT_SHINGLES)
     return np.sort(top.token.to_numpy(np.int64).view(np.uint64))
 
 
