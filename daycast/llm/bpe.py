@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daycast.llm.common import CACHE_WORDS, arrow_map, fold_case, hash64, most_frequent, texts
+from daycast.llm.common import CACHE_WORDS, arrow_map, foldable, hash64, most_frequent, texts
 
 # Most frequent words compiled into the lexicon (their pieces; bounds what is sent).
 LEXICON_WORDS = 131_072
@@ -357,7 +357,7 @@ class Encoder:
         return {w: b"".join([known[p] for p in ps]) for w, ps in zip(words, parts)}
 
     def __call__(self, batch: list[bytes]) -> list[bytes]:
-        split = [fold_case(t).split() for t in batch]
+        split = [(t.lower() if low else t).split() for t, low in zip(batch, foldable(batch))]
         wanted = set().union(*split)
         if len(self.words) > CACHE_WORDS:
             self.words = {w: self.words[w] for w in wanted if w in self.words}
@@ -375,8 +375,9 @@ def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[bytes]:
     def count(batch: pa.RecordBatch) -> dict:
         from collections import Counter
         c: Counter = Counter()
-        for t in texts(batch.column("text")):
-            c.update(fold_case(t).split())
+        body = texts(batch.column("text"))
+        for t, low in zip(body, foldable(body)):
+            c.update((t.lower() if low else t).split())
         return {"word": pa.array(list(c.keys()), pa.binary()), "n": list(c.values())}
 
     counted = (arrow_map(docs.select("text"), count, "word binary, n long")

@@ -72,11 +72,11 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def fold_case(text: bytes) -> bytes:
-    """The text with A-Z lowered, where that cannot change a lowering vocabulary's
-    ids: not where a combining mark (U+0300-U+036F, lead bytes CC and CD) could
-    compose with the letter, nor where a special token's mark occurs."""
-    return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
+def foldable(batch_texts: list[bytes]) -> np.ndarray:
+    """Texts whose A-Z may be lowered without changing a lowering vocabulary's ids:
+    no combining mark (U+0300-U+036F, lead bytes CC and CD) that could compose with
+    the letter, no mark of a special token."""
+    return np.array([not (b"\xcc" in t or b"\xcd" in t or b"<|" in t) for t in batch_texts], bool)
 
 
 def hash64(data: bytes, seed: int = 0) -> int:
@@ -97,13 +97,154 @@ class Cache(dict):
         return value
 
 
-WORD_HASH = Cache(hash64)
+# Fixed tables of the word hash: a random value per byte, a random odd base.
+_BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C55
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[44, 46]] = True
+_LETTER[65:91] = _LETTER[97:123] = True
+_POWERS: dict[int, np.ndarray] = {}
+_SPAN = 1 << 15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... (mod 2**64), at least n of them."""
+    held = _POWERS.get(base)
+    if held is None or len(held) < n:
+        size = max(1 << 16, 1 << max(0, n - 1).bit_length())
+        held = np.ones(size, np.uint64)
+        held[1:] = np.cumprod(np.full(size - 1, base, np.uint64))
+        if size <= 1 << 23:
+            _POWERS[base] = held
+    return held
+
+
+class Words:
+    """Words of many texts at once: places and 64-bit hashes, text after text.
+
+    ``lower``: True lowers A-Z; a boolean array says so per text. ``marks``: a full
+    stop or comma that ends a word after an ASCII letter is a word of its own.
+    """
+
+    def __init__(self, column: pa.Array | list[bytes], lower=True, marks: bool = False):
+        if isinstance(column, list):
+            column = pa.array(column, pa.binary())
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        column = column.cast(pa.large_binary()).fill_null(b"")
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset) \
+            if offsets is not None and len(column) else np.zeros(1, np.int64)
+        raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None \
+            else np.zeros(0, np.uint8)
+        self.offsets = offsets - offsets[0]
+        if lower is True:
+            self.raw = _LOWER[raw]
+        elif lower is False or not len(lower):
+            self.raw = raw
+        else:
+            self.raw = np.where(np.repeat(lower, np.diff(self.offsets)), _LOWER[raw], raw)
+        inside = ~_SPACE[self.raw]
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1]
+        heads = self.offsets[:-1][np.diff(self.offsets) > 0]
+        begin[heads] |= inside[heads]                    # a text's first byte begins a word
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | begin[1:]
+        if marks:
+            at = np.flatnonzero(last & ~begin)
+            at = at[_MARK[self.raw[at]] & _LETTER[self.raw[at - 1]]]
+            begin[at] = last[at - 1] = True
+        self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
+        self.counts = np.diff(np.searchsorted(self.starts, self.offsets))
+        self.hash = self._hashes()
+
+    def _hashes(self) -> np.ndarray:
+        """Polynomial hashes from running sums, in spans that stay in the cache."""
+        out = np.empty(len(self.starts), np.uint64)
+        g = 0
+        while g < len(out):
+            lo = int(self.starts[g])
+            end = max(g + 1, int(np.searchsorted(self.starts, lo + _SPAN)))
+            hi = int(self.ends[end - 1])
+            total = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum(_BYTES[self.raw[lo:hi]] * _powers(_BASE, hi - lo)[:hi - lo], out=total[1:])
+            a, b = self.starts[g:end] - lo, self.ends[g:end] - lo
+            out[g:end] = mix((total[b] - total[a]) * _powers(_INVERSE, hi - lo)[a]
+                             + (b - a).astype(np.uint64) * _M1)
+            g = end
+        return out
+
+    def bytes_of(self, which: np.ndarray) -> list[bytes]:
+        data = self.raw.tobytes()
+        return [data[a:b] for a, b in zip(self.starts[which].tolist(), self.ends[which].tolist())]
+
+    def per_text(self, values: np.ndarray) -> list[np.ndarray]:
+        """``values`` (one per word) cut into the texts' runs."""
+        at = np.concatenate([[0], np.cumsum(self.counts)]).tolist()
+        return [values[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hash of every word of the A-Z-lowered text."""
-    words = text.lower().split()
-    return np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
+    return Words([text]).hash
+
+
+class Numbers:
+    """Numbers 0, 1, ... for 64-bit hashes in order of arrival (open addressing)."""
+
+    def __init__(self):
+        self._size(1 << 16)
+        self.count = 0
+
+    def _size(self, size: int) -> None:
+        self.shift = np.uint64(64 - (size.bit_length() - 1))
+        self.keys, self.values = np.zeros(size, np.uint64), np.full(size, -1, np.int64)
+
+    def _probe(self, h: np.ndarray, step: int) -> np.ndarray:
+        return ((((h * _M1) >> self.shift).astype(np.int64)) + step) & (len(self.keys) - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash, -1 if it has none."""
+        out = np.full(len(h), -1, np.int64)
+        open_, step = None, 0
+        while open_ is None or len(open_):
+            want = h if open_ is None else h[open_]
+            slot = self._probe(want, step)
+            value, same = self.values[slot], self.keys[slot] == want
+            if open_ is None:
+                out = np.where(same, value, -1)
+                open_ = np.flatnonzero(~same & (value >= 0))
+            else:
+                out[open_[same]] = value[same]
+                open_ = open_[~same & (value >= 0)]
+            step += 1
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Number new distinct hashes."""
+        if 2 * (self.count + len(h)) > len(self.keys):
+            held, values = self.keys[self.values >= 0], self.values[self.values >= 0]
+            self._size(1 << (4 * (self.count + len(h))).bit_length())
+            self._put(held, values)
+        self._put(h, np.arange(self.count, self.count + len(h)))
+        self.count += len(h)
+
+    def _put(self, h: np.ndarray, values: np.ndarray) -> None:
+        left, step = np.arange(len(h)), 0
+        while len(left):
+            slot = self._probe(h[left], step)
+            free = np.flatnonzero(self.values[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.values[slot[put]] = h[left[put]], values[left[put]]
+            left = np.delete(left, put)
+            step += 1
 
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)

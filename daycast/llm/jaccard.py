@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daycast.llm.common import arrow_map, cut, lists, most_frequent, shingles, signed, texts, word_hashes
+from daycast.llm.common import Words, arrow_map, cut, lists, most_frequent, shingles, signed
 from daycast.llm.graph import UnionFind, components
 
 WIDTH = 5                 # words of a shingle
@@ -49,9 +49,10 @@ LEAST_WEIGHT = 500
 FAN_OUT = 8
 
 
-def sets(batch_texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    return [np.unique(shingles(word_hashes(t), width)) for t in batch_texts]
+def sets(batch_texts: list[bytes] | pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text (bytes, or an Arrow column)."""
+    words = Words(batch_texts)
+    return [np.unique(shingles(h, width)) for h in words.per_text(words.hash)]
 
 
 def need(n, percent: int = PERCENT):
@@ -208,7 +209,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     to the driver.
     """
     def low(batch: pa.RecordBatch) -> dict:
-        got = [s[:len(s) * 3 // 10 + 8] for s in sets(texts(batch.column("text")))]
+        got = [s[:len(s) * 3 // 10 + 8] for s in sets(batch.column("text"))]
         token, n = np.unique(np.concatenate(got), return_counts=True)
         return {"token": signed(token), "n": n.astype(np.int32)}
 
@@ -232,7 +233,7 @@ def _digests(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def rows(batch: pa.RecordBatch) -> dict:
-        got = sets(texts(batch.column("text")))
+        got = sets(batch.column("text"))
         pre = [prefix(s, sent.value) for s in got]
         return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in got],
                 "cls": signed(np.fromiter(map(class_key, got), np.uint64, len(got))),
@@ -283,7 +284,7 @@ def _grouped(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
             where = list(zip(*(batch.column(k).to_pylist() for k in keys)))
             for k, s, lab, m in zip(where, batch.column("side").to_pylist(),
                                     batch.column("label").to_pylist(),
-                                    sets(texts(batch.column("text")))):
+                                    sets(batch.column("text"))):
                 if k != held and members:
                     yield done()
                     members, side, labels = [], [], []
@@ -305,7 +306,7 @@ def _own_text(rows: DataFrame) -> DataFrame:
     """Rows whose text is of their class (ids may repeat with other texts)."""
     def run(batches):
         for b in batches:
-            got = sets(texts(b.column("text")))
+            got = sets(b.column("text"))
             own = signed(np.fromiter(map(class_key, got), np.uint64, len(got)))
             yield b.filter(pa.array(own == b.column("cls").to_numpy()))
     return rows.mapInArrow(run, rows.schema)
