@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daycast.llm.common import (arrow_map, cut, hash64, lists, mix, signed, texts,
                                 word_hashes)
@@ -252,7 +253,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     gone = dropped(docs).select(F.col("doc_id").alias("__key"), F.col("places").alias("__places"))
     joined = docs.withColumn("__key", key).join(gone, "__key", "left").drop("__key")
-    schema = docs.schema.add("__lines", "int").add("__dropped", "int").add("__left", "int")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.IntegerType())
+                                                  for c in ("__lines", "__dropped", "__left"))])
     names = docs.columns
     at = names.index("text")
 
