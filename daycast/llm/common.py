@@ -296,6 +296,55 @@ def arrow_map(df: DataFrame, rows, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of consecutive batches, cut so that no run of equal keys is parted.
+
+    For rows sorted by the key whose runs are bounded."""
+    held: dict[str, np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        got = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names}
+        if held is not None:
+            got = {n: np.concatenate([held[n], v]) for n, v in got.items()}
+        k = got[key]
+        other = np.flatnonzero(k != k[-1])
+        cut_at = other[-1] + 1 if len(other) else 0
+        if cut_at:
+            yield {n: v[:cut_at] for n, v in got.items()}
+        held = {n: v[cut_at:] for n, v in got.items()}
+    if held is not None:
+        yield held
+
+
+def run_starts(k: np.ndarray) -> np.ndarray:
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = k[1:] != k[:-1]
+    return np.flatnonzero(fresh)
+
+
+def bitmap(rows: DataFrame, h, least_bits: int = 1 << 20, most_bits: int = 1 << 28):
+    """Bitmap of 64-bit hashes, and a numpy test for it.
+
+    About 64 bits per row within the bounds, so its size is bounded; beyond that
+    the test lets more through, and a join behind it stays exact. Returns
+    (array, test) with test(array, hashes).
+    """
+    n = rows.count()
+    bits = min(most_bits, max(least_bits, 1 << max(1, 64 * n).bit_length()))
+    shift = 64 - (bits.bit_length() - 1)
+    place = F.shiftrightunsigned(h, shift)
+    got = rows.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+
+    def test(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(shift)
+        return (held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out.view(np.uint64), test
+
+
 def lists(values: np.ndarray, lengths) -> pa.Array:
     """Arrow list column of consecutive runs of ``values``."""
     offsets = np.zeros(len(lengths) + 1, np.int32)

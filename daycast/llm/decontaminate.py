@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daycast.llm.common import Cache, arrow_map, chain, hash64, signed, texts
+from daycast.llm.common import Cache, arrow_map, bitmap, chain, hash64, signed, texts
 
 WINDOW = 6
 LEAST_WORDS = 10
@@ -127,19 +127,6 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         "item_id long, at int, h long, slots array<long>, length int")
 
 
-def _bitmap(items: DataFrame) -> tuple[np.ndarray, int]:
-    """Bitmap of the windows' hashes; its size depends on their number, within bounds."""
-    n = items.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(1, 64 * n).bit_length()))
-    shift = 64 - bits.bit_length() + 1
-    rows = items.groupBy(F.expr(f"shiftright(shiftrightunsigned(h, {shift}), 6)").alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {shift}) & 63 as int))")).alias("bits"))
-    got = rows.toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[got.word.to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return out.view(np.uint64), shift
-
-
 def passages(hits: list[tuple[int, int, list[int], list[int]]], length: int) -> int:
     """Most item words that one passage of a document covers with consistent slots.
 
@@ -168,13 +155,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     column names them) with each item found in them."""
     spark = docs.sparkSession
     items = item_windows(benchmark)
-    bitmap, shift = _bitmap(items)
-    sent = spark.sparkContext.broadcast(bitmap)
+    held, test = bitmap(items, F.col("h"), LEAST_BITS, MOST_BITS)
+    sent = spark.sparkContext.broadcast(held)
 
     def allowed(h: np.ndarray) -> np.ndarray:
-        place = h >> np.uint64(shift)
-        return (sent.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) \
-            & np.uint64(1) == 1
+        return test(sent.value, h)
 
     found = arrow_map(
         docs.select("__row", "text"),
