@@ -9,10 +9,10 @@ off to the same value in both and is neutral, and a new ending of a known stem
 is still recognised.
 
 A word's evidence is the difference of its two log-likelihoods; a document is
-described by its strongest word, that word per byte, its second strongest
-distinct word, and the mean per word over the whole text (length-normalised).
-A four-weight logistic map of these, fitted on documents the counts have not
-seen (two-fold cross-fitting), gives the score.
+described by its strongest word (the best run of bytes in it, so an ending
+neither class has seen takes nothing away) and the mean per word over the whole
+text (length-normalised). A logistic map of these two, fitted on documents the
+counts have not seen (two-fold cross-fitting), gives the score.
 
 Cases: null or empty text has zero evidence; rows without label, or with a null
 id, are scored only; repeated label rows count once (largest label); without
@@ -33,6 +33,7 @@ from daycast.llm.quality import labelled
 
 ORDER = 6                 # bytes of the longest gram; a gram is packed in one integer
 DISCOUNT = 0.75
+EVIDENCE = 2              # numbers that describe a document
 # Labelled rows learned from, at most, of each class (smallest id hashes).
 SAMPLE_PER_CLASS = 5_000
 _PAD = b"\x00" * (ORDER - 2) + b"\x01"      # start of a word
@@ -106,14 +107,21 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray):
 
 
 def word_llr(words: list[bytes], m: dict[str, np.ndarray]) -> np.ndarray:
-    """Toxic minus ordinary log-likelihood of each word."""
+    """Toxic minus ordinary log-likelihood of each word (real part), and of its best
+    run of bytes (imaginary part, 0 if none favours toxic)."""
     if not words:
-        return np.zeros(0)
+        return np.zeros(0, complex)
     code, lengths = grams(words)
     llr, hit = _find(m["gram"], m["gram_llr"], code)
     miss = ~hit
     llr[miss] = _find(m["ctx"], m["ctx_llr"], code[miss] >> np.uint64(8))[0]
-    return np.add.reduceat(llr, np.cumsum(lengths) - lengths)
+    first = np.cumsum(lengths) - lengths
+    best, run = np.zeros(len(words)), np.zeros(len(words))
+    for k in range(int(lengths.max())):                 # byte by byte, all words in step
+        on = np.flatnonzero(lengths > k)
+        run[on] = np.maximum(run[on] + llr[first[on] + k], 0)
+        best[on] = np.maximum(best[on], run[on])
+    return np.add.reduceat(llr, first) + 1j * best
 
 
 class Evidence:
@@ -130,15 +138,12 @@ class Evidence:
         for at in range(0, len(new), 50_000):
             part = new[at:at + 50_000]
             self.known.update(zip(part, word_llr(part, self.m).tolist()))
-        out = np.zeros((len(batch), 4))
+        out = np.zeros((len(batch), EVIDENCE))
         for j, ws in enumerate(words):
             if not ws:
                 continue
-            v = np.fromiter(map(self.known.__getitem__, ws), float, len(ws))
-            top = int(v.argmax())
-            rest = v[v < v[top]]
-            out[j] = (max(v[top], 0), max(v[top], 0) / (len(ws[top]) + 1),
-                      max(rest.max(), 0) if len(rest) else 0, v.mean())
+            v = np.fromiter(map(self.known.__getitem__, ws), complex, len(ws))
+            out[j] = v.imag.max(), v.real.mean()
         return out
 
 
@@ -194,14 +199,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic",
     def evidence(batch: pa.RecordBatch) -> dict:
         half = _half(batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False))
         body = texts(batch.column("text"))
-        x = np.zeros((len(body), 4))
+        x = np.zeros((len(body), EVIDENCE))
         for h in (0, 1):
             own = np.flatnonzero(half == h)
             x[own] = Evidence(other.value[h])([body[i] for i in own])
-        return {"y": batch.column("y")} | {f"x{k}": x[:, k] for k in range(4)}
+        return {"y": batch.column("y")} | {f"x{k}": x[:, k] for k in range(EVIDENCE)}
 
-    seen = arrow_map(sample, evidence, "y int, x0 double, x1 double, x2 double, x3 double").toPandas()
-    x = seen[["x0", "x1", "x2", "x3"]].to_numpy()
+    names = [f"x{k}" for k in range(EVIDENCE)]
+    seen = arrow_map(sample, evidence, ", ".join(["y int", *(f"{n} double" for n in names)])).toPandas()
+    x = seen[names].to_numpy()
     scale = np.maximum(x.std(axis=0), 1e-9)
     w = calibrate(x / scale, seen.y.to_numpy(float))
     return whole | {"weights": np.append(w[:-1] / scale, w[-1])}
