@@ -31,17 +31,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daycast.llm.common import CACHE_WORDS, arrow_map, fold_case, texts
+from daycast.llm.common import Numbers, Words, arrow_map, foldable, texts
 from daycast.session import checkpoint_dir
 
 BLOCK_IDS = 1 << 20
 END_ID = 2
+# Words a worker remembers, about 60 bytes each; then it begins anew.
+KNOWN_WORDS = 2_000_000
 MAGIC = 0x52503031
-ROUNDS = 7                # replacement rounds of a block
+ROUNDS = 16               # replacement rounds of a block, at most; fewer when
+LEAST_GAIN = 0.005        # a round replaces a smaller share of its symbols
 RULES_PER_ROUND = 1024    # pairs replaced in one round
 RULE_LIMIT = 16_000       # keeps symbols of a 49k vocabulary in 16 bits
 MIN_PAIRS = 24            # a rule must save more than it costs
 _TOP = 1024               # symbols whose pairs are counted in a round
+_NONE = 1 << 20           # more than any pair of them; times _TOP still 32 bits
 NULL_ID = np.iinfo(np.int64).min
 BLOCK_SCHEMA = ("shard int, block int, start_in_shard long, n_docs int, n_ids long, "
                 "payload binary")
@@ -50,11 +54,15 @@ BLOCK_SCHEMA = ("shard int, block int, start_in_shard long, n_docs int, n_ids lo
 class LibraryEncoder:
     """Ids of texts by the tokenizers library, remembered per word.
 
-    With a vocabulary that lowers its input, words are remembered with A-Z
-    lowered (unless a special token or a combining mark may be near).
+    New words go to the library many at a time. Letters alone are one piece, whose
+    last token is marked as a word's end, so words of letters are joined by spaces
+    and told apart by these marks. All other words are parted by a special token
+    none of them holds. With a vocabulary that lowers its input, words are
+    remembered with A-Z lowered (unless a special token or a combining mark may be
+    near), and where it splits them off, full stops and commas are words of their own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = KNOWN_WORDS):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -65,40 +73,90 @@ class LibraryEncoder:
         self.special = [t.content for t in added.values()]
         self.gap = next(((i, t.content) for i, t in added.items()
                          if t.special and not t.normalized and not t.lstrip and not t.rstrip), None)
-        self.words: dict[bytes, bytes] = {}
-        self.lowers = (self.ids("AZ") == self.ids("az")).all()
+        self.limit = limit
+        self.reset()
+        same = lambda a, *b: np.array_equal(self.ids(a), np.concatenate([self.ids(x) for x in b]))
+        self.lowers = same("AZ", "az")
+        ending = self.tokenizer.model.end_of_word_suffix or ""
+        self.marks = bool(ending) and same("az.", "az", ".") and same("az,", "az", ",")
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        if ending:
+            self.ends[[i for t, i in names.items() if t.endswith(ending)]] = True
+
+    def reset(self) -> None:
+        """Forget all words; then ``flat`` holds the ids of words 0, 1, ... of ``numbers``."""
+        self.numbers = Numbers()
+        self.flat = np.zeros(0, np.uint32)
+        self.begin = self.size = np.zeros(0, np.int64)
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        got = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(got.ids, np.uint32)
 
-    def learn(self, words: list[bytes]) -> None:
-        """One call for many words, parted by a special token none of them holds."""
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Number new distinct words and keep their ids."""
         named = [w.decode("utf-8", "replace") for w in words]
-        alone = [self.gap is None or any(s in n for s in self.special) for n in named]
-        for w, n, a in zip(words, named, alone):
-            if a:
-                self.words[w] = self.ids(n).tobytes()
-        words = [w for w, a in zip(words, alone) if not a]
-        named = [n for n, a in zip(named, alone) if not a]
-        for at in range(0, len(words), 20_000):
-            part = words[at:at + 20_000]
-            got = self.ids(self.gap[1].join(named[at:at + 20_000]))
-            cuts = np.flatnonzero(got == self.gap[0])
-            raw = got.tobytes()
-            begins = [0, *(4 * (cuts + 1)).tolist()]
-            ends = [*(4 * cuts).tolist(), len(raw)]
-            if len(begins) != len(part):
-                raise ValueError("the vocabulary does not keep words apart")
-            self.words.update({w: raw[b:e] for w, b, e in zip(part, begins, ends)})
-
-    def __call__(self, batch: list[bytes]) -> list[bytes]:
-        split = [(fold_case(t) if self.lowers else t).split() for t in batch]
-        wanted = set().union(*split)
-        if len(self.words) > CACHE_WORDS:
-            self.words = {w: self.words[w] for w in wanted if w in self.words}
-        self.learn(list(wanted.difference(self.words)))
-        got = self.words.__getitem__
-        return [b"".join(map(got, ws)) for ws in split]
+        alone = np.array([self.gap is None or "<" in n and any(s in n for s in self.special)
+                          for n in named], bool)
+        # U+0130 is the one letter that lowers to more than letters
+        plain = np.array([n.isalpha() and "\u0130" not in n for n in named], bool) \
+            & self.ends.any() & ~alone
+        parts, sizes = [], np.zeros(len(named), np.int64)
+        order = [np.zeros(0, np.int64)]
+        for k, kind in enumerate((plain, ~plain & ~alone, alone)):
+            at = np.flatnonzero(kind)
+            for s in range(0, len(at), 20_000 if k < 2 else 1):
+                part = at[s:s + (20_000 if k < 2 else 1)]
+                got = self.ids((" ", (self.gap or (0, ""))[1], "")[k].join([named[i] for i in part]))
+                if k == 0:
+                    last = np.flatnonzero(self.ends[got]) + 1
+                    n = np.diff(last, prepend=0)
+                elif k == 1:
+                    cuts = np.flatnonzero(got == self.gap[0])
+                    n = np.diff(np.append(cuts, len(got)), prepend=-1) - 1
+                    got = np.delete(got, cuts)
+                else:
+                    n = np.array([len(got)])
+                if len(n) != len(part) or n.sum() != len(got):
+                    raise ValueError("the vocabulary does not keep words apart")
+                parts.append(got)
+                sizes[part] = n
+                order.append(part)
+        order = np.concatenate(order)
+        begin = np.zeros(len(named), np.int64)
+        begin[order] = len(self.flat) + np.cumsum(sizes[order]) - sizes[order]
+        self.flat = np.concatenate([self.flat, *parts])
+        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
+        self.numbers.add(hashes)
+
+    def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, ids per text) of an Arrow column."""
+        words = Words(column, foldable(texts(column)) if self.lowers else False, self.marks)
+        if self.numbers.count > self.limit:
+            self.reset()
+        at = self.numbers.find(words.hash)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            h, first = np.unique(words.hash[new], return_index=True)
+            self.learn(h, words.bytes_of(new[first]))
+            at[new] = self.numbers.find(words.hash[new])
+        n = self.size[at]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ends = total[np.cumsum(words.counts)] if len(words.counts) else total[:0]
+        shift = np.repeat(self.begin[at] - total[:-1], n)
+        return self.flat[shift + np.arange(len(shift))], np.diff(ends, prepend=0)
+
+
+_WORKER: dict[str, LibraryEncoder] = {}
+
+
+def worker_encoder(path: str) -> LibraryEncoder:
+    """The encoder of this worker process, kept from task to task."""
+    if path not in _WORKER:
+        _WORKER.clear()
+        _WORKER[path] = LibraryEncoder(path)
+    return _WORKER[path]
 
 
 def compress(ids: np.ndarray, doc_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -119,36 +177,38 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray) -> tuple[np.ndarray, np.n
             break
         used = np.bincount(seq, minlength=terminals + n_rules)
         top = np.argsort(-used, kind="stable")[:_TOP].astype(np.int32)
-        rank = np.full(len(used), -1, np.int32)
+        rank = np.full(len(used), _NONE, np.int32)      # a pair with a rarer symbol is no pair
         rank[top] = np.arange(len(top), dtype=np.int32)
         r = rank[seq]
-        able = (r[:-1] >= 0) & (r[1:] >= 0) & ~last[:-1]
-        at = np.flatnonzero(able)
-        pair = r[at] * _TOP + r[at + 1]
-        seen = np.bincount(pair, minlength=_TOP * _TOP)
+        pair = r[:-1] * _TOP
+        pair += r[1:]
+        pair[last[:-1]] = _NONE
+        np.minimum(pair, _TOP * _TOP, out=pair)
+        seen = np.bincount(pair, minlength=_TOP * _TOP + 1)[:-1]
         chosen = np.flatnonzero(seen >= MIN_PAIRS)
         most = min(RULES_PER_ROUND, RULE_LIMIT - n_rules)
         if len(chosen) > most:
             chosen = chosen[np.argsort(-seen[chosen], kind="stable")[:most]]
         if not len(chosen):
             break
-        name = np.full(_TOP * _TOP, -1, np.int32)
+        name = np.zeros(_TOP * _TOP + 1, np.int32)
         name[chosen] = terminals + n_rules + np.arange(len(chosen), dtype=np.int32)
         new = name[pair]
-        hit = new >= 0
-        at, new = at[hit], new[hit]
+        at = np.flatnonzero(new)
         fresh = np.ones(len(at), bool)
         fresh[1:] = at[1:] != at[:-1] + 1
-        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        keep = (np.arange(len(at)) - begin) % 2 == 0
-        at, new = at[keep], new[keep]
+        if not fresh.all():                             # of a run of pairs, every second one
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]
         rules.append(np.column_stack([top[chosen // _TOP], top[chosen % _TOP]]))
         n_rules += len(chosen)
-        seq[at] = new
+        seq[at] = new[at]
         last[at] |= last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
+        if len(at) < LEAST_GAIN * len(seq):
+            break
     counts = np.diff(np.flatnonzero(last), prepend=-1)
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int32)
     return seq, counts, pairs.astype(np.uint32), terminals
@@ -214,16 +274,15 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
           block_ids: int = BLOCK_IDS) -> None:
     """Encode every text and write the blocks, in ascending doc_id order, to ``folder``."""
     def run(batches):
-        encoder = LibraryEncoder(path)
+        encoder = worker_encoder(path)
         shard = TaskContext.get().partitionId()
-        ends = np.array([end_id], "<u4").tobytes()
         names, parts, size, block, start = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal names, parts, size, block, start
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            lengths = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
-            row = [shard, block, start, len(parts), size, pack(np.array(names, np.int64), ids, lengths)]
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+            row = [shard, block, start, len(parts), size,
+                   pack(np.array(names, np.int64), np.concatenate(parts), lengths)]
             names, parts, size, block, start = [], [], 0, block + 1, start + size
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays(
@@ -232,10 +291,14 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            for key, ids in zip(keys, encoder(texts(batch.column("text")))):
+            ids, counts = encoder(batch.column("text"))
+            last = np.cumsum(counts)
+            ids = np.insert(ids, last, end_id)            # after each document
+            last = last + np.arange(1, len(last) + 1)
+            for key, a, b in zip(keys, [0, *last[:-1].tolist()], last.tolist()):
                 names.append(NULL_ID if key is None else key)
-                parts.append(ids + ends)
-                size += len(ids) // 4 + 1
+                parts.append(ids[a:b])
+                size += b - a
                 if size >= block_ids:
                     yield flush()
         if parts:
