@@ -226,30 +226,6 @@ def feature_table(bars: DataFrame, calendar: list[dt.date] | None = None,
     return bars.selectExpr(*feature_sql(dates, fill, "Datetime"))
 
 
-def feature_table_columns_api(bars: DataFrame, calendar: list[dt.date] | None = None,
-                              fill: float | None = 0.0, date_col: str = "Date") -> DataFrame:
-    """The same table built with the Column API (kept as the readable
-    specification; tests check it equals ``feature_table``)."""
-    dates = cal_fn.reference_calendar() if calendar is None else calendar
-    w = series_window("symbol", date_col)
-    d = F.col(date_col)
-    cols: dict[str, Column] = {
-        "symbol": F.col("symbol"),
-        "Datetime": d,
-    }
-    for c in BAR_COLS:
-        cols[c] = _fill(F.col(c), fill)
-    cols["trend"] = trend_index(w)
-    cols.update(calendar_part_exprs(d))
-    for name, expr in event_exprs(d, dates).items():
-        cols[name] = expr if name == "halving_event" else _fill(expr, fill)
-    for name, expr in window_feature_exprs(w).items():
-        cols[name] = _fill(expr, fill)
-    for name, expr in derived_exprs().items():
-        cols[name] = _fill(expr, fill)
-    return bars.select(*[e.alias(n) for n, e in cols.items()])
-
-
 def feature_columns(df: DataFrame) -> list[str]:
     """Model inputs: every column but the key, dates and the target."""
     return [c for c in df.columns if c not in NON_FEATURES]
@@ -274,10 +250,3 @@ def causal_features(features: DataFrame, fill: float | None = 0.0) -> DataFrame:
     exprs = [f"{_sql_fill(f'lag({_q(c)}, 1) {over}', fill)} AS {_q(c)}" if c in shifted
              else _q(c) for c in features.columns]
     return features.selectExpr(*exprs)
-
-
-def causal_features_columns_api(features: DataFrame, fill: float | None = 0.0) -> DataFrame:
-    """Column-API form of ``causal_features`` (tests check they agree)."""
-    w = series_window("symbol", "Datetime")
-    shifted = {c: _fill(F.lag(F.col(c), 1).over(w), fill) for c in same_day_columns()}
-    return features.withColumns(shifted)

@@ -23,8 +23,8 @@ def expanding_folds(df: DataFrame, k: int = 5, key: str = "symbol",
                     order: str = "Date") -> DataFrame:
     """df → df + (i, n, fold, role) with one row per (row, fold) it takes part in.
 
-    ``role`` is 'train' or 'test'. Series with fewer than k+1 rows have no
-    fold (the split is undefined for them).
+    ``role`` is 'train' or 'test'. The split is undefined for series with fewer
+    than k+1 rows: these keep each row once, with a null fold and role 'short'.
     """
     w = Window.partitionBy(key).orderBy(order)
     wall = Window.partitionBy(key)
@@ -32,10 +32,11 @@ def expanding_folds(df: DataFrame, k: int = 5, key: str = "symbol",
               .withColumn("n", F.count(F.lit(1)).over(wall)))
     ts = F.floor(F.col("n") / F.lit(k + 1)).cast("long")
     start = F.col("n") - (F.lit(k) - F.col("fold")) * ts
-    role = (F.when(F.col("i") < start, F.lit("train"))
+    role = (F.when(F.col("fold").isNull(), F.lit("short"))
+             .when(F.col("i") < start, F.lit("train"))
              .when(F.col("i") < start + ts, F.lit("test")))
-    return (base.where(ts > 0)
-                .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    folds = F.when(ts > 0, F.sequence(F.lit(0), F.lit(k - 1)))
+    return (base.withColumn("fold", F.explode_outer(folds))
                 .withColumn("role", role)
                 .where(F.col("role").isNotNull()))
 
@@ -97,7 +98,8 @@ def cv_trend_ols(df: DataFrame, k: int = 5, target: str = "Close", key: str = "s
                      F.count(F.lit(1)).over(series).alias("n"),
                      F.min(order).over(series).alias("train_start"))
     ts = F.floor(F.col("n") / F.lit(k + 1)).cast("long")
-    base = base.withColumn("_ts", ts).where(F.col("_ts") > 0)
+    # null where the series is too short: its rows end up as one row without a fold
+    base = base.withColumn("_ts", F.when(ts > 0, ts))
     x = F.col("i").cast("double")
     back = F.col("n") - 1 - F.col("i")           # rows after this one
     fit_end = ((back % F.col("_ts")) == 0) & (back >= F.col("_ts")) & \
@@ -113,16 +115,17 @@ def cv_trend_ols(df: DataFrame, k: int = 5, target: str = "Close", key: str = "s
         "train_end": F.last("_d", ignorenulls=True).over(before),
     })
     first_test = F.col("n") - F.lit(k) * F.col("_ts")
-    test = (carried.where(F.col("i") >= first_test)
+    short = F.col("_ts").isNull()
+    test = (carried.where(short | (F.col("i") >= first_test))
                    .withColumn("fold", F.floor((F.col("i") - first_test) / F.col("_ts"))
                                .cast("int"))
                    .withColumn("p", F.col("a") + F.col("b") * x))
-    y, p = F.col("_y"), F.col("p")
+    y, p = F.when(~short, F.col("_y")), F.col("p")
     return test.groupBy(key, "fold").agg(
-        F.min("train_start").alias("train_start"),
+        F.min(F.when(~short, F.col("train_start"))).alias("train_start"),
         F.max("train_end").alias("train_end"),
-        F.min(order).alias("test_start"),
-        F.max(order).alias("test_end"),
+        F.min(F.when(~short, F.col(order))).alias("test_start"),
+        F.max(F.when(~short, F.col(order))).alias("test_end"),
         mae(y, p).alias("MAE"),
         rmse(y, p).alias("RMSE"),
         mape(y, p).alias("MAPE"))

@@ -1,15 +1,18 @@
-"""Forecast operators.
-
-* ``train_window``  — last N rows of every series (window function).
-* ``direct_forecast`` — one ``Close[t+h] ~ Close[t]`` fit per (symbol, h):
-  no recursion, one window + one aggregate, all in the JVM.
-* ``recursive_forecast_ar`` — AR(1) fit once per series, then H steps
-  inside one ``aggregate`` higher-order function (JVM, no Python).
-* ``recursive_forecast_ols`` — the refit-every-day recursion: a grouped
-  map per (symbol, block of scenarios) over the bounded training window.
-* ``scenario_forecast`` — many seeded noise paths, quantiles per day.
-* ``recursive_forecast_gbt`` — tree model fitted once; state table of
-  series tails advanced by ``model.transform`` one day per step.
+"""Forecast operators. Every one reads rows up to ``as_of`` only.
+
+* ``direct_forecast`` — one ``Close[t+h] ~ Close[t]`` fit per (symbol, h), all from
+  one array per series: no pairs of rows, no Python.
+* ``recursive_forecast_ar`` — AR(1) fit once per series, then H steps inside one
+  ``aggregate`` expression.
+* ``recursive_forecast_ols`` — a model of all features. Fitted once, it is rolled
+  forward in SQL (``rollout.py``); with ``refit`` it is fitted anew every day, a
+  grouped map per (symbol, scenario) over the bounded training window.
+* ``recursive_forecast_lags`` — the fit-once recursion on two lags of Close.
+* ``scenario_forecast`` — seeded noise paths of the fit-once model, quantiles per day.
+
+The causal feature set is the default: the as-is set holds the day's own candle
+body, from which Close follows by addition, so a fit on it is exact and its
+recursion only carries the last bar.
 """
 
 from __future__ import annotations
@@ -24,19 +27,11 @@ from pyspark.sql import types as T
 
 from daycast.operators import features as feat
 from daycast.operators import recursion as rec
+from daycast.operators import rollout
+from daycast.operators.windowing import train_window
 
-
-def train_window(df: DataFrame, n: int, order: str = "Date", key: str = "symbol") -> DataFrame:
-    """Last n rows of each series by date.
-
-    Ranked in ascending order against the series length, so it reuses the
-    (key, date) sort of the feature windows instead of adding a
-    descending one.
-    """
-    w = Window.partitionBy(key).orderBy(order)
-    return (df.withColumn("_r", F.row_number().over(w))
-              .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-              .where(F.col("_r") > F.col("_n") - F.lit(n)).drop("_r", "_n"))
+__all__ = ["train_window", "direct_forecast", "ar_coefficients", "ar_path", "recursive_forecast_ar",
+           "recursive_forecast_ols", "recursive_forecast_lags", "scenario_forecast"]
 
 
 def direct_forecast(bars: DataFrame, horizon: int, as_of: dt.date, window: int = 1095,
@@ -44,25 +39,30 @@ def direct_forecast(bars: DataFrame, horizon: int, as_of: dt.date, window: int =
     """Per (symbol, h): ``target[t+h] = a_h + b_h * target[t]`` fitted on the
     training window, applied to the last value. Output one row per
     (symbol, h) with ``target_date = as_of + h``."""
-    tw = train_window(bars.select("symbol", order, target), window, order)
-    w = Window.partitionBy("symbol").orderBy(order)
-    nxt = F.collect_list(F.col(target)).over(w.rowsBetween(1, horizon))
-    pairs = (tw.select("symbol", order, F.col(target).alias("x"), nxt.alias("nxt"))
-               .select("symbol", order, "x",
-                       F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(horizon)),
-                                                lambda k: F.try_element_at("nxt", k))).alias("pos", "y"))
-               .withColumn("h", (F.col("pos") + 1).cast("int")))
-    fit = pairs.groupBy("symbol", "h").agg(
-        F.regr_intercept("y", "x").alias("a"), F.regr_slope("y", "x").alias("b"),
-        F.max_by("x", order).alias("x_last"))
-    return fit.select("symbol", "h", F.date_add(F.lit(as_of), F.col("h")).alias("target_date"),
-                      (F.col("a") + F.col("b") * F.col("x_last")).alias("prediction"))
+    tw = train_window(bars.select("symbol", order, target), window, order, as_of=as_of)
+    series = tw.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct(
+        F.col(order).alias("d"), F.col(target).cast("double").alias("v")))).alias("r"))
+    # pairs (v[t], v[t+h]) of the window, moments centred on their means
+    each = (series.select("symbol", F.expr("transform(r, e -> e.v)").alias("v"),
+                          F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
+            .withColumn("p", F.expr(
+                "filter(zip_with(slice(v, 1, greatest(size(v) - h, 0)), slice(v, least(h, size(v)) + 1, "
+                "size(v)), (x, y) -> named_struct('x', x, 'y', y)), p -> p.x IS NOT NULL AND p.y IS NOT NULL)"))
+            .withColumn("n", F.size("p").cast("double"))
+            .withColumn("mx", F.expr("aggregate(p, 0D, (a, e) -> a + e.x) / nullif(n, 0D)"))
+            .withColumn("my", F.expr("aggregate(p, 0D, (a, e) -> a + e.y) / nullif(n, 0D)"))
+            .withColumn("sxx", F.expr("aggregate(p, 0D, (a, e) -> a + (e.x - mx) * (e.x - mx))"))
+            .withColumn("sxy", F.expr("aggregate(p, 0D, (a, e) -> a + (e.x - mx) * (e.y - my))"))
+            .withColumn("b", F.expr("sxy / nullif(sxx, 0D)")))
+    return each.select("symbol", F.col("h").cast("int").alias("h"),
+                       F.date_add(F.lit(as_of), F.col("h")).alias("target_date"),
+                       F.expr("my + b * (element_at(v, -1) - mx)").alias("prediction"))
 
 
 def ar_coefficients(bars: DataFrame, window: int = 1095, target: str = "Close",
-                    order: str = "Date") -> DataFrame:
+                    order: str = "Date", as_of: dt.date | None = None) -> DataFrame:
     """AR(1) per series on the training window: intercept, slope, last value."""
-    tw = train_window(bars.select("symbol", order, target), window, order)
+    tw = train_window(bars.select("symbol", order, target), window, order, as_of=as_of)
     w = Window.partitionBy("symbol").orderBy(order)
     lagged = tw.withColumn("x", F.lag(target, 1).over(w))
     return lagged.groupBy("symbol").agg(
@@ -80,7 +80,7 @@ def ar_path(b0: Column, b1: Column, y0: Column, horizon: int) -> Column:
 
 def recursive_forecast_ar(bars: DataFrame, horizon: int, as_of: dt.date,
                           window: int = 1095) -> DataFrame:
-    coef = ar_coefficients(bars, window)
+    coef = ar_coefficients(bars, window, as_of=as_of)
     return (coef.select("symbol", F.posexplode(ar_path(F.col("b0"), F.col("b1"), F.col("y0"),
                                                        horizon)).alias("pos", "prediction"))
                 .select("symbol", (F.col("pos") + 1).cast("int").alias("h"),
@@ -88,7 +88,7 @@ def recursive_forecast_ar(bars: DataFrame, horizon: int, as_of: dt.date,
                         "prediction"))
 
 
-# --- refit-per-day OLS recursion (grouped map) ---------------------------------------
+# --- models of all features ----------------------------------------------------------
 
 FORECAST_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
@@ -108,125 +108,115 @@ def ols_fit_np(X: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate([[ym - float(xm @ beta)], beta])
 
 
-def ols_predict_np(coef: np.ndarray, x: np.ndarray) -> float:
-    return float(coef[0] + x @ coef[1:])
-
-
 def _seed_for(seed: int, symbol: str, scenario: int) -> int:
     import zlib
     return (seed * 1_000_003 + zlib.crc32(str(symbol).encode()) * 31 + int(scenario)) % (2**32)
 
 
+def training_frame(features: DataFrame, window: int, as_of: dt.date, causal: bool = True) -> DataFrame:
+    """Model inputs and Close of the training window, with the raw bars as ``bar_*``."""
+    raw = features.where(F.col("Datetime") <= F.lit(as_of)).withColumns(
+        {f"bar_{c}": F.col(c) for c in feat.BAR_COLS})
+    rows = feat.causal_features(raw) if causal else raw
+    return train_window(rows, window, order="Datetime")
+
+
 def roll_forward(hist: pd.DataFrame, horizon: int, as_of: dt.date, window: int,
-                 cal: list[dt.date], feature_cols: list[str], noise_scale: float = 0.0,
-                 seed: int = 42, scenario: int = 0, refit: bool = True,
-                 clip_prediction: bool = False,
-                 coef: np.ndarray | None = None,
-                 legacy: bool = False) -> list[tuple[int, dt.date, float]]:
-    """Run the recursion for one series (rows sorted by date). ``coef``
-    reuses a fit-once model across scenarios of the same series;
-    ``legacy`` builds rows by ``recursion.next_row_legacy``."""
-    hist = hist.sort_values("Datetime")
-    X = hist[feature_cols].to_numpy(dtype=float)
-    y = hist["Close"].to_numpy(dtype=float)
-    tails = {c: hist[c].to_numpy(dtype=float) for c in feat.BAR_COLS}
-    max_price = float(np.nanmax(np.concatenate([tails[c] for c in feat.PRICE_COLS])))
-    max_volume = float(np.nanmax(tails["Volume"]))
+                 cal: list[dt.date], cols: list[str], causal: bool = True,
+                 noise_scale: float = 0.0, seed: int = 42, scenario: int = 0,
+                 clip: bool = True) -> pd.DataFrame:
+    """Refit and predict day by day for one series (a ``training_frame`` in date order)."""
+    n = len(hist)
+    X, y = np.empty((n + horizon, len(cols))), np.empty(n + horizon)
+    X[:n], y[:n] = hist[cols].to_numpy(dtype=float), hist["Close"].to_numpy(dtype=float)
+    bars = {c: np.empty(n + horizon) for c in feat.BAR_COLS}
+    for c in feat.BAR_COLS:
+        bars[c][:n] = hist[f"bar_{c}"].to_numpy(dtype=float)
+    max_price = float(np.nanmax([bars[c][:n] for c in feat.PRICE_COLS]))
+    max_volume = float(np.nanmax(bars["Volume"][:n]))
+    ceiling = max(max_price, rec.PRICE_CEILING_FLOOR)
     trend = float(hist["trend"].iloc[-1])
     rng = np.random.default_rng(_seed_for(seed, hist["symbol"].iloc[0], scenario))
-    if not refit and coef is None:
-        coef = ols_fit_np(X[-window:], y[-window:])
-    first = {c: float(tails[c][0]) for c in feat.BAR_COLS}
-    out = []
-    for h in range(1, horizon + 1):
-        d = as_of + dt.timedelta(days=h)
-        if refit:
-            coef = ols_fit_np(X[-window:], y[-window:])
+    for k in range(n, n + horizon):
+        first = max(0, k - window)
+        coef = ols_fit_np(X[first:k], y[first:k])
+        tails = {c: bars[c][:k] for c in feat.BAR_COLS}
         z = {c: float(rng.standard_normal()) for c in feat.BAR_COLS} if noise_scale else None
+        bar = rec.carried_bar(tails, max_price, max_volume, z, noise_scale)
         trend += 1.0
-        if legacy:
-            last = dict(zip(feature_cols, X[-1]))
-            last.update({c: float(tails[c][-1]) for c in feat.BAR_COLS})
-            row = rec.next_row_legacy(first, tails, last, feature_cols, max_price, max_volume,
-                                      z, noise_scale)
-        else:
-            row = rec.next_row(tails, d, trend, cal, max_price, max_volume, z, noise_scale)
-        x = np.array([float(row[c]) for c in feature_cols])
-        pred = ols_predict_np(coef, x)
-        if clip_prediction:
-            pred = min(max(pred, rec.MIN_PRICE), max(max_price, rec.PRICE_CEILING_FLOOR))
-        row["Close"] = pred
-        X = np.vstack([X, x])
-        y = np.append(y, pred)
+        row = rec.next_row(tails, as_of + dt.timedelta(days=k - n + 1), trend, cal, bar, causal)
+        X[k] = [float(row[c]) for c in cols]
+        y[k] = float(coef[0] + X[k] @ coef[1:])
+        if clip:
+            y[k] = min(max(y[k], rec.MIN_PRICE), ceiling)
+        bar["Close"] = y[k]
         for c in feat.BAR_COLS:
-            tails[c] = np.append(tails[c], row[c])
-        max_price = max(max_price, *(row[c] for c in feat.PRICE_COLS))
-        max_volume = max(max_volume, row["Volume"])
-        out.append((h, d, pred))
-    return out
+            bars[c][k] = bar[c]
+        max_price = max(max_price, *(bar[c] for c in feat.PRICE_COLS))
+        max_volume = max(max_volume, bar["Volume"])
+    return pd.DataFrame({"symbol": hist["symbol"].iloc[0], "scenario": scenario,
+                         "h": np.arange(1, horizon + 1, dtype=np.int32),
+                         "target_date": [as_of + dt.timedelta(days=h + 1) for h in range(horizon)],
+                         "prediction": y[n:]})
 
 
-SCENARIOS_PER_TASK = 4
+def _refit_daily(features: DataFrame, horizon: int, as_of: dt.date, cal: list[dt.date], window: int,
+                 scenarios: int, noise_scale: float, seed: int, causal: bool, clip: bool) -> DataFrame:
+    cols = feat.feature_columns(features)
+    tw = training_frame(features, window, as_of, causal).select(
+        "symbol", "Datetime", "Close", *cols, *[f"bar_{c}" for c in feat.BAR_COLS],
+        F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))).alias("scenario"))
+
+    def per_path(pdf: pd.DataFrame) -> pd.DataFrame:
+        return roll_forward(pdf.sort_values("Datetime"), horizon, as_of, window, cal, cols, causal,
+                            noise_scale, seed, int(pdf["scenario"].iloc[0]), clip)
+    return tw.groupBy("symbol", "scenario").applyInPandas(per_path, FORECAST_SCHEMA)
 
 
 def recursive_forecast_ols(features: DataFrame, horizon: int, as_of: dt.date,
                            cal: list[dt.date], window: int = 1095, scenarios: int = 1,
-                           noise_scale: float = 0.0, seed: int = 42,
-                           refit: bool = True,
-                           scenarios_per_task: int = SCENARIOS_PER_TASK,
-                           legacy: bool = False) -> DataFrame:
-    """Refit-per-day OLS recursion for every (symbol, scenario).
-
-    Only the last ``window`` rows of a series enter the grouped map, so a
-    group is bounded by the window (not by the history or tick volume).
-    Scenarios run in blocks of ``scenarios_per_task`` inside one task: the
-    window is copied once per block (``explode``, no join) rather than once
-    per scenario, and a fit-once model is fitted once per block.
-
-    ``legacy=True`` reproduces the original loop: rows by
-    ``recursion.next_row_legacy`` and only double-typed features fitted.
+                           noise_scale: float = 0.0, seed: int = 42, refit: bool = True,
+                           causal: bool = True, cols: list[str] | None = None,
+                           clip: bool = True) -> DataFrame:
+    """Least-squares recursion for every (symbol, scenario); ``features`` is the
+    as-is table, whose raw bars both feature sets are built from. ``clip`` keeps
+    predictions in the price range ``[1, max(history max, 1e6)]``: a fit with many
+    collinear inputs may feed back on itself without bound.
+
+    With ``refit`` every path fits anew each day on the last ``window`` rows
+    (bounded by the window, not the history). Without it, one fit per series is
+    joined to the series' one-row state and rolled forward in SQL; scenarios are
+    made from that row.
     """
-    cols = feat.feature_columns(features)
-    if legacy:
-        doubles = {f.name for f in features.schema.fields if f.dataType.typeName() == "double"}
-        cols = [c for c in cols if c in doubles]
-    tw = train_window(features, window, order="Datetime")
-    tw = tw.select("symbol", "Datetime", "Close", *cols)
-    per_task = max(1, int(scenarios_per_task))
-    blocks = -(-scenarios // per_task)
-    if blocks > 1:
-        tw = tw.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    else:
-        tw = tw.withColumn("block", F.lit(0))
-
-    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        sym, block = pdf["symbol"].iloc[0], int(pdf["block"].iloc[0])
-        pdf = pdf.sort_values("Datetime")
-        coef = None
-        if not refit:
-            coef = ols_fit_np(pdf[cols].to_numpy(dtype=float)[-window:],
-                              pdf["Close"].to_numpy(dtype=float)[-window:])
-        frames = []
-        for scen in range(block * per_task, min(scenarios, (block + 1) * per_task)):
-            res = roll_forward(pdf, horizon, as_of, window, cal, cols, noise_scale, seed, scen,
-                               refit, coef=coef, legacy=legacy)
-            frames.append(pd.DataFrame({"symbol": sym, "scenario": scen,
-                                        "h": [r[0] for r in res],
-                                        "target_date": [r[1] for r in res],
-                                        "prediction": [r[2] for r in res]}))
-        return pd.concat(frames, ignore_index=True)
-
-    return tw.groupBy("symbol", "block").applyInPandas(per_group, FORECAST_SCHEMA)
+    if refit:
+        return _refit_daily(features, horizon, as_of, cal, window, scenarios, noise_scale, seed,
+                            causal, clip)
+    from daycast.operators.models import ols_fit
+    cols = cols or feat.feature_columns(features)
+    coefs = ols_fit(training_frame(features, window, as_of, causal), cols).drop("n_rows")
+    rows = rollout.state(features, window, as_of, scenarios).join(coefs, "symbol")
+    return rollout.roll(rows, rollout.linear(cols), cols, horizon, as_of, cal, causal, noise_scale,
+                        seed, clip=clip)
+
+
+LAG_COLS = ["Close_lag_1", "Close_lag_3"]
+
+
+def recursive_forecast_lags(features: DataFrame, horizon: int, as_of: dt.date, cal: list[dt.date],
+                            window: int = 1095) -> DataFrame:
+    """The fit-once recursion on two lags of Close."""
+    return recursive_forecast_ols(features, horizon, as_of, cal, window, refit=False, cols=LAG_COLS,
+                                  clip=False)
 
 
 def scenario_forecast(features: DataFrame, horizon: int, as_of: dt.date,
                       cal: list[dt.date], scenarios: int = 16, window: int = 1095,
                       noise_scale: float = rec.NOISE_FACTOR, seed: int = 42,
-                      refit: bool = False) -> DataFrame:
+                      refit: bool = False, causal: bool = True) -> DataFrame:
     """Seeded noise paths per series, then the median and 10/90% quantiles
     of each day across paths (exact percentile per (symbol, day))."""
     paths = recursive_forecast_ols(features, horizon, as_of, cal, window, scenarios,
-                                   noise_scale, seed, refit)
+                                   noise_scale, seed, refit, causal)
     return paths.groupBy("symbol", "h", "target_date").agg(
         F.percentile("prediction", 0.1).alias("p10"),
         F.percentile("prediction", 0.5).alias("p50"),

@@ -1,32 +1,43 @@
 """Model fit / predict / save / load and k-fold cross-validation.
 
-* Linear: one least-squares fit per series. The fit runs as a grouped map
-  over the rows of one series (daily rows, bounded by the days of
-  history); the coefficients come back as a small table and prediction
-  is a JVM dot product after a join on ``symbol``.
-* Boosted trees: one ``pyspark.ml`` GBT pipeline fitted on all series at
-  once (distributed tree building); no bit parity with other boosters.
+* Linear: least squares per series from mergeable factors. Every block of a
+  series' rows is reduced to the triangular factor of its QR decomposition (as
+  many rows as columns), the factors of a series are stacked and factored again,
+  and a small solve gives the coefficients; so Spark spreads and combines the
+  work, and a series of any length never meets in one task. Prediction is a JVM
+  dot product after a join on ``symbol``.
+* Boosted trees: one ``pyspark.ml`` pipeline fitted on all series at once. Each
+  row also carries its series' level and scale (mean and deviation of the training
+  Close), so the pooled model knows which series it is in; no bit parity with
+  other boosters.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daycast.operators import folds as fo
 from daycast.operators.forecast import ols_fit_np
+from daycast.session import checkpoint_dir
 
 KNOWN_MODELS = ("linear", "xgboost")
 # Boosted-tree settings of the forecast service and of the unit test.
 GBT_SERVICE_PARAMS = {"maxIter": 200, "maxDepth": 5, "stepSize": 0.05,
                       "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
 GBT_TEST_PARAMS = {"maxIter": 50, "maxDepth": 3, "stepSize": 0.1, "seed": 42}
+LEVEL_COLS = ["series_level", "series_scale"]
+FIT_BLOCKS = 16          # blocks a series' rows are dealt to for the linear fit
 
 COEF_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
@@ -38,7 +49,7 @@ COEF_SCHEMA = T.StructType([
 
 def known_model(name: str) -> str:
     if name not in KNOWN_MODELS:
-        raise ValueError(f"Unknown model: {name}")
+        raise ValueError(f"no model called {name!r}; there are {', '.join(KNOWN_MODELS)}")
     return name
 
 
@@ -47,29 +58,58 @@ def check_model_inputs(df: DataFrame, feature_cols: list[str], target: str | Non
     """Schema checks on the driver; the emptiness probe stops at one row."""
     missing = [c for c in feature_cols + ([target] if target else []) if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing features for prediction: {missing}")
+        raise ValueError(f"the frame lacks the model columns {missing}")
     if check_empty and df.isEmpty():
-        raise ValueError("Input DataFrame to fit() is empty.")
+        raise ValueError("there are no rows to fit on")
     return df
 
 
 # --- linear, one fit per series ----------------------------------------------------------
 
+_FACTOR = "symbol string, n long, width int, r array<double>"
+
+
+def _triangle(a: np.ndarray) -> np.ndarray:
+    return np.linalg.qr(a, mode="r")
+
+
+def solve_factor(r: np.ndarray) -> np.ndarray:
+    """[b0, b1..bp] from the stacked factors of the columns (1, X, y).
+
+    Below the first row the factor belongs to the centred columns, so the solution
+    is the minimum-norm one of the centred system, the intercept follows.
+    """
+    r = _triangle(r)
+    p = r.shape[1] - 2
+    beta, *_ = np.linalg.lstsq(r[1:, 1:p + 1], r[1:, p + 1], rcond=None)
+    return np.concatenate([[(r[0, p + 1] - r[0, 1:p + 1] @ beta) / r[0, 0]], beta])
+
+
 def ols_fit(df: DataFrame, feature_cols: list[str], target: str = "Close",
-            key: str = "symbol") -> DataFrame:
-    """Coefficient table (symbol, intercept, coef[], n_rows)."""
+            key: str = "symbol", blocks: int = FIT_BLOCKS) -> DataFrame:
+    """Coefficient table (symbol, intercept, coef[], n_rows). Rows without a target
+    are left out, null inputs count as 0."""
     check_model_inputs(df, feature_cols, target, check_empty=False)
-    data = df.select(F.col(key).alias("symbol"), F.col(target).cast("double").alias("_y"),
-                     *[F.col(c).cast("double").alias(c) for c in feature_cols])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = pdf[feature_cols].to_numpy(dtype=float)
-        y = pdf["_y"].to_numpy(dtype=float)
-        beta = ols_fit_np(X, y)
+    data = df.where(F.col(target).isNotNull()).select(
+        F.col(key).alias("symbol"), F.col(target).cast("double").alias("_y"),
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feature_cols])
+    data = data.withColumn("_block", F.pmod(F.xxhash64("_y", *feature_cols[:3]), F.lit(blocks)))
+
+    def factor(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[feature_cols].to_numpy(dtype=float)
+        r = _triangle(np.column_stack([np.ones(len(x)), x, pdf["_y"].to_numpy(dtype=float)]))
+        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "n": [len(pdf)],
+                             "width": [r.shape[1]], "r": [r.ravel()]})
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.concatenate([np.asarray(x).reshape(-1, w) for x, w in zip(pdf["r"], pdf["width"])])
+        short = r.shape[1] - len(r)
+        beta = solve_factor(np.vstack([r, np.zeros((max(short, 0), r.shape[1]))]))
         return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "intercept": [float(beta[0])],
-                             "coef": [beta[1:].tolist()], "n_rows": [len(pdf)]})
+                             "coef": [beta[1:].tolist()], "n_rows": [int(pdf["n"].sum())]})
 
-    return data.groupBy("symbol").applyInPandas(fit, COEF_SCHEMA)
+    factors = data.groupBy("symbol", "_block").applyInPandas(factor, _FACTOR)
+    return factors.groupBy("symbol").applyInPandas(solve, COEF_SCHEMA)
 
 
 def dot(coef: str, intercept: str, feature_cols: list[str]):
@@ -81,9 +121,10 @@ def dot(coef: str, intercept: str, feature_cols: list[str]):
 def ols_predict(coefs: DataFrame, df: DataFrame, feature_cols: list[str],
                 key: str = "symbol") -> DataFrame:
     """Rows of df + ``prediction`` (JVM dot product after a join on the key;
-    the coefficient side is one row per series)."""
+    the coefficient side is one row per series). A series without coefficients
+    keeps its rows, with a null prediction."""
     check_model_inputs(df, feature_cols, None, check_empty=False)
-    j = df.join(coefs.select(F.col("symbol").alias(key), "intercept", "coef"), key)
+    j = df.join(coefs.select(F.col("symbol").alias(key), "intercept", "coef"), key, "left")
     return j.withColumn("prediction", dot("coef", "intercept", feature_cols)).drop("intercept", "coef")
 
 
@@ -102,41 +143,117 @@ def load_coefficients(spark, path: str) -> tuple[DataFrame, list[str]]:
 
 # --- boosted trees (pyspark.ml) ------------------------------------------------------------
 
-def gbt_pipeline(feature_cols: list[str], target: str = "Close", params: dict | None = None) -> Pipeline:
+@dataclass
+class TreeModel:
+    """A fitted pipeline with what it needs to be used rightly."""
+
+    pipeline: PipelineModel
+    features: list[str]
+    params: dict
+    levels: DataFrame | None           # (symbol, series_level, series_scale)
+    as_of: dt.date | None = None
+
+    @property
+    def inputs(self) -> list[str]:
+        return self.features + (LEVEL_COLS if self.levels is not None else [])
+
+    def meta(self) -> str:
+        return json.dumps({"features": self.features, "params": self.params,
+                           "as_of": self.as_of.isoformat() if self.as_of else None}, sort_keys=True)
+
+
+def gbt_pipeline(feature_cols: list[str], target: str = "Close", params: dict | None = None,
+                 cache_node_ids: bool = True) -> Pipeline:
     p = dict(GBT_SERVICE_PARAMS if params is None else params)
     assembler = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
-    # Node-id caching pays off for deep trees; for shallow ones it only adds
-    # the periodic checkpoints (about 10% slower measured at depth 3).
-    deep = int(p.get("maxDepth", 5)) >= 5
     gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="prediction",
-                       cacheNodeIds=deep, checkpointInterval=10, **p)
+                       cacheNodeIds=cache_node_ids, checkpointInterval=10, **p)
     return Pipeline(stages=[assembler, gbt])
 
 
-def gbt_fit(df: DataFrame, feature_cols: list[str], target: str = "Close",
-            params: dict | None = None) -> PipelineModel:
-    check_model_inputs(df, feature_cols, target)
-    data = df.select(*feature_cols, F.col(target).cast("double").alias(target))
-    return gbt_pipeline(feature_cols, target, params).fit(data)
+def _with_levels(df: DataFrame, levels: DataFrame | None) -> DataFrame:
+    if levels is None:
+        return df
+    return (df.join(levels, "symbol", "left")
+            .withColumns({c: F.coalesce(c, F.lit(0.0)) for c in LEVEL_COLS}))
+
+
+def series_levels(df: DataFrame, target: str = "Close") -> DataFrame:
+    return df.groupBy("symbol").agg(F.avg(target).alias(LEVEL_COLS[0]),
+                                    F.coalesce(F.stddev_samp(target), F.lit(0.0)).alias(LEVEL_COLS[1]))
+
 
+def gbt_fit(df: DataFrame, feature_cols: list[str], target: str = "Close", params: dict | None = None,
+            as_of: dt.date | None = None, with_levels: bool = True) -> TreeModel:
+    """Pooled boosted trees; the training rows are computed once. Without levels the
+    model does not know which series a row is of."""
+    check_model_inputs(df, feature_cols, target, check_empty=False)
+    checkpoint_dir(df.sparkSession)
+    data = df.select("symbol", *[F.col(c).cast("double").alias(c) for c in feature_cols],
+                     F.col(target).cast("double").alias(target)).checkpoint(eager=True)
+    check_model_inputs(data, feature_cols, target)
+    levels = series_levels(data, target).checkpoint(eager=True) if with_levels else None
+    model = TreeModel(None, list(feature_cols), dict(GBT_SERVICE_PARAMS if params is None else params),
+                      levels, as_of)
+    model.pipeline = gbt_pipeline(model.inputs, target, model.params).fit(_with_levels(data, levels))
+    return model
+
+
+def known_features(model: TreeModel, columns: list[str]) -> None:
+    missing = [c for c in model.features if c not in columns]
+    if missing:
+        raise ValueError(f"the model was fitted on columns that are not there: {missing}")
 
-def gbt_predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df).drop("features")
+
+def gbt_predict(model: TreeModel, df: DataFrame) -> DataFrame:
+    known_features(model, df.columns)
+    return model.pipeline.transform(_with_levels(df, model.levels)).drop("features", *LEVEL_COLS)
+
+
+def gbt_predict_file(model: TreeModel, spark: SparkSession, path: str) -> DataFrame:
+    """Predictions for a feature file; its columns are checked, not its order."""
+    return gbt_predict(model, spark.read.parquet(path))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def save_model(model: TreeModel, spark: SparkSession, path: str) -> None:
+    """Pipeline, series levels and, last, what they were fitted on."""
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    if model.levels is not None:
+        model.levels.write.mode("overwrite").parquet(f"{path}/levels")
+    spark.createDataFrame([(model.meta(),)], "value string").coalesce(1).write.mode("overwrite").text(
+        f"{path}/meta")
+
+
+def load_model(spark: SparkSession, path: str) -> TreeModel:
+    meta = json.loads(spark.read.text(f"{path}/meta").first().value)
+    return TreeModel(PipelineModel.load(f"{path}/pipeline"), meta["features"], meta["params"],
+                     spark.read.parquet(f"{path}/levels") if _exists(spark, f"{path}/levels") else None,
+                     dt.date.fromisoformat(meta["as_of"]) if meta["as_of"] else None)
+
+
+def model_path(base: str, name: str, symbol: str, as_of: dt.date) -> str:
+    return f"{base}/model={known_model(name)}/symbol={symbol}/as_of={as_of.isoformat()}"
 
 
 def train_or_load(path: str | None, df: DataFrame, feature_cols: list[str],
-                  params: dict | None = None) -> PipelineModel:
-    """Load the saved pipeline when present, else fit and save it once."""
+                  params: dict | None = None, as_of: dt.date | None = None) -> TreeModel:
+    """The saved model if it was fitted on these features, settings and as-of day;
+    else a new fit, which takes its place."""
     spark = df.sparkSession
+    wanted = TreeModel(None, list(feature_cols), dict(GBT_SERVICE_PARAMS if params is None else params),
+                       None, as_of)
+    if path and _exists(spark, f"{path}/meta/_SUCCESS"):
+        held = load_model(spark, path)
+        if held.meta() == wanted.meta():
+            return held
+    model = gbt_fit(df, feature_cols, params=params, as_of=as_of)
     if path:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(p):
-            return PipelineModel.load(path)
-    model = gbt_fit(df, feature_cols, params=params)
-    if path:
-        model.write().overwrite().save(path)
+        save_model(model, spark, path)
     return model
 
 
@@ -168,8 +285,9 @@ def _score_linear(features: DataFrame, feature_cols: list[str], target: str,
         X = pdf[feature_cols].to_numpy(dtype=float)
         y = pdf["y"].to_numpy(dtype=float)
         out = []
-        if ts == 0:
-            return pd.DataFrame(columns=[f.name for f in SCORED_SCHEMA.fields])
+        if ts == 0:                   # too short for the split: kept, without a fold
+            return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "fold": pd.array([pd.NA], "Int32"),
+                                 "role": ["short"], "Datetime": [None], "y": [np.nan], "p": [np.nan]})
         for f in range(k):
             start = n - (k - f) * ts
             beta = ols_fit_np(X[:start], y[:start])
@@ -189,30 +307,70 @@ def _score_linear(features: DataFrame, feature_cols: list[str], target: str,
     return data.groupBy("symbol").applyInPandas(per_series, SCORED_SCHEMA)
 
 
-def _score_gbt(folds: DataFrame, feature_cols: list[str], target: str, k: int,
+def fold_dates(df: DataFrame, k: int, order: str = "Datetime") -> list[tuple[dt.date, dt.date | None]]:
+    """(first test day, first day after the test) of every fold, cut over all series'
+    days, so no series trains on days another is tested on. k + 1 rows come back."""
+    days = df.select(F.col(order).alias("d")).distinct()
+    w = Window.orderBy("d")                       # one row per day of history
+    ranked = days.withColumns({"i": F.row_number().over(w) - 1,
+                               "n": F.count(F.lit(1)).over(Window.partitionBy())})
+    ts = F.expr(f"n div {k + 1}")
+    edge = F.expr(f"i - (n - {k} * (n div {k + 1}))")
+    got = (ranked.where(ts > 0).where((edge >= 0) & (F.pmod(edge, ts) == 0)).select("d").orderBy("d").collect())
+    starts = [r.d for r in got][:k]
+    return list(zip(starts, [*starts[1:], None])) if len(starts) == k else []
+
+
+def _score_gbt(features: DataFrame, feature_cols: list[str], target: str, k: int,
                params: dict | None) -> DataFrame:
-    out = None
-    for f in range(k):       # k pooled fits (k is a small constant), all series at once
-        part = folds.where(F.col("fold") == f)
-        model = gbt_fit(part.where(F.col("role") == "train"), feature_cols, target, params)
-        scored = gbt_predict(model, part).select(
-            "symbol", F.col("fold").cast("int").alias("fold"), "role", "Datetime",
-            F.col(target).cast("double").alias("y"),
-            F.when(F.col("role") == "test", F.col("prediction")).alias("p"))
-        out = scored if out is None else out.unionByName(scored)
+    """k pooled fits (k is a small constant), folds cut by date."""
+    checkpoint_dir(features.sparkSession)
+    rows = features.select("symbol", "Datetime", target, *[c for c in feature_cols if c != target]) \
+        .checkpoint(eager=True)
+    out = rows.limit(0).select("symbol", F.lit(0).alias("fold"), F.lit("").alias("role"), "Datetime",
+                               F.col(target).cast("double").alias("y"), F.lit(None).cast("double").alias("p"))
+    for f, (start, end) in enumerate(fold_dates(rows, k)):
+        train = rows.where(F.col("Datetime") < F.lit(start))
+        test = rows.where(F.col("Datetime") >= F.lit(start))
+        test = test if end is None else test.where(F.col("Datetime") < F.lit(end))
+        scored = gbt_predict(gbt_fit(train, feature_cols, target, params), test).select(
+            "symbol", F.lit(f).alias("fold"), F.lit("test").alias("role"), "Datetime",
+            F.col(target).cast("double").alias("y"), F.col("prediction").alias("p"))
+        seen = train.select("symbol", F.lit(f).alias("fold"), F.lit("train").alias("role"), "Datetime",
+                            F.col(target).cast("double").alias("y"), F.lit(None).cast("double").alias("p"))
+        out = out.unionByName(scored).unionByName(seen)
     return out
 
 
 def cross_validate(features: DataFrame, model_name: str = "linear", k: int = 5,
                    feature_cols: list[str] | None = None, target: str = "Close",
                    params: dict | None = None) -> DataFrame:
-    """Expanding-window CV per series: fold bounds and MAE / RMSE / MAPE."""
+    """Expanding-window CV: fold bounds and MAE / RMSE / MAPE per (symbol, fold).
+
+    A series too short for the split has one row with a null fold (linear). Boosted
+    folds are cut by date over all series.
+    """
     known_model(model_name)
     from daycast.operators.features import feature_columns
     cols = feature_cols or feature_columns(features)
+    scored = _score_linear(features, cols, target, k) if model_name == "linear" \
+        else _score_gbt(features, cols, target, k, params)
+    return fo.fold_metrics(scored, "y", "p", order="Datetime")
+
+
+def cross_validate_and_save(features: DataFrame, base: str, model_name: str = "linear", k: int = 5,
+                            feature_cols: list[str] | None = None, params: dict | None = None,
+                            as_of: dt.date | None = None) -> DataFrame:
+    """Cross-validate, store the metrics, then fit on all rows and store that model.
+
+    Returns the stored metrics."""
+    from daycast.operators.features import feature_columns
+    from daycast.sources.io import sink_cv_metrics
+    spark = features.sparkSession
+    cols = feature_cols or feature_columns(features)
+    sink_cv_metrics(cross_validate(features, model_name, k, cols, params=params), f"{base}/cv/{model_name}")
     if model_name == "linear":
-        scored = _score_linear(features, cols, target, k)
+        save_coefficients(ols_fit(features, cols), f"{base}/model=linear", cols)
     else:
-        scored = _score_gbt(fo.expanding_folds(features, k, order="Datetime"), cols, target, k,
-                            params)
-    return fo.fold_metrics(scored, "y", "p", order="Datetime")
+        save_model(gbt_fit(features, cols, params=params, as_of=as_of), spark, f"{base}/model={model_name}")
+    return spark.read.parquet(f"{base}/cv/{model_name}")

@@ -1,203 +1,65 @@
-"""Recursive forecast with a tree model fitted once.
+"""Forecasts of a boosted-tree model fitted once.
 
-A Spark ML model can only score a DataFrame, so the recursion keeps a
-*state table*: one row per (symbol, scenario) with the tail of each bar
-column as an array. One step builds the next day's feature row from the
-tails with SQL higher-order functions (same rules as ``recursion.py``),
-scores it with ``model.transform`` and appends the prediction. All series
-advance together; the state is cut from its lineage with a reliable
-``checkpoint()`` (in ``spark.checkpoint.dir``) after every step, so the
-plan stays shallow and a lost executor recomputes at most one step.
+* ``recursive_forecast_gbt`` — the fitted trees become SQL (nested IFs over the
+  inputs), and the recursion of ``rollout.py`` rolls all series and scenarios
+  forward in one job; there is no job per day.
+* ``direct_forecast_gbt`` — the horizon as a feature: one model of
+  Close[t+h] over (inputs of t, h), one pass to score all horizons.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import math
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daycast.functions import calendar as cal_fn
-from daycast.functions.values import greatest_nan_safe, iso_weekday
 from daycast.operators import features as feat
-from daycast.operators import recursion as rec
-from daycast.operators.forecast import train_window
-from daycast.session import checkpoint_dir
-
-TAIL = max(feat.RETURN_PERIODS)      # longest look-back a feature needs
-# The state has one row per (symbol, scenario); cutting its lineage after
-# every step keeps each step's plan flat (analysis cost would otherwise
-# grow with the number of steps) and bounds recomputation on executor loss.
-CHECKPOINT_EVERY = 1
-
-
-def _tail(c: str) -> str:
-    return f"tail_{c}"
-
-
-def initial_state(features: DataFrame, window: int = 1095, scenarios: int = 1) -> DataFrame:
-    """(symbol, scenario, trend, max_price, max_volume, tail_* arrays, preds)."""
-    tw = train_window(features, window, order="Datetime")
-    recent = F.col("_rk") <= TAIL
-    ranked = tw.withColumn("_rk", F.row_number().over(
-        Window.partitionBy("symbol").orderBy(F.col("Datetime").desc())))
-    bars = F.struct("Datetime", *feat.BAR_COLS)
-    agg = ranked.groupBy("symbol").agg(
-        F.max("trend").alias("trend"),
-        F.max(greatest_nan_safe([F.col(c) for c in feat.PRICE_COLS],
-                                rec.MIN_PRICE)).alias("max_price"),
-        F.max("Volume").alias("max_volume"),
-        F.sort_array(F.collect_list(F.when(recent, bars))).alias("_tail"))
-    state = agg.select(
-        "symbol", "trend", "max_price", "max_volume",
-        *[F.transform("_tail", _field(c)).alias(_tail(c)) for c in feat.BAR_COLS],
-        F.array().cast("array<double>").alias("preds"))
-    return state.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))))
-
-
-def _field(name: str):
-    def get(s: Column) -> Column:
-        return s[name]
-    return get
-
-
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _last_n(c: str, n: int) -> tuple[Column, Column]:
-    t = F.col(_tail(c))
-    k = F.least(F.lit(n), F.size(t))
-    return F.slice(t, -k, k), k
-
-
-def _mean(c: str, n: int) -> Column:
-    s, k = _last_n(c, n)
-    return F.when(k > 0, _sum(s) / k).otherwise(F.lit(0.0))
-
-
-def _std(c: str, n: int) -> Column:
-    s, k = _last_n(c, n)
-    m = _sum(s) / k
-    ss = F.aggregate(s, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m))
-    return F.when(k > 1, F.sqrt(ss / (k - 1))).otherwise(F.lit(0.0))
-
-
-def _std_normal(seed: int, step: Column, c: str) -> Column:
-    """Deterministic N(0,1) draw per (seed, symbol, scenario, step, column):
-    Box-Muller on two hash-derived uniforms (retries give the same value)."""
-    def u(salt: str) -> Column:
-        hv = F.xxhash64(F.lit(seed), F.col("symbol"), F.col("scenario"), step, F.lit(c), F.lit(salt))
-        return ((F.abs(hv % F.lit(1 << 52)) + F.lit(1)).cast("double") / F.lit(float(1 << 52) + 1))
-    return F.sqrt(F.lit(-2.0) * F.log(u("a"))) * F.cos(F.lit(2 * math.pi) * u("b"))
-
-
-def _row_exprs(cal: tuple, noise_scale: float, seed: int):
-    """Feature expressions of the next day, read from the state columns
-    ``_d`` (the day) and ``_step``; built once and reused by every step."""
-    d, step = F.col("_d"), F.col("_step")
-    carried = {c: F.element_at(F.col(_tail(c)), -1) for c in feat.BAR_COLS}
-    stats: dict[str, Column] = {}
-    for c in feat.BAR_COLS:
-        for k in feat.LAGS:
-            stats[f"{c}_lag_{k}"] = F.coalesce(F.try_element_at(F.col(_tail(c)), F.lit(-k)),
-                                               carried[c])
-    for c in feat.PRICE_COLS:
-        for n in feat.MA_WINDOWS:
-            stats[f"{c}_ma_{n}"] = _mean(c, n)
-        for n in feat.STD_WINDOWS:
-            stats[f"{c}_std_{n}"] = _std(c, n)
-        for n in feat.RETURN_PERIODS:
-            base = F.try_element_at(F.col(_tail(c)), F.lit(-n))
-            safe = F.when(base == 0, F.lit(rec.ZERO_BASE)).otherwise(base)
-            stats[f"{c}_return_{n}"] = F.coalesce(carried[c] / safe - F.lit(1.0), F.lit(0.0))
-    for n in feat.VOLUME_WINDOWS:
-        stats[f"Volume_ma_{n}"] = _mean("Volume", n)
-        stats[f"Volume_std_{n}"] = _std("Volume", n)
-
-    price_cap = F.greatest(F.col("max_price"), F.lit(rec.PRICE_CEILING_FLOOR))
-    bars: dict[str, Column] = {}
-    for c in feat.BAR_COLS:
-        std = F.col(f"{c}_std_{rec.NOISE_STD_COL}")
-        ma = F.col(f"{c}_ma_{rec.NOISE_STD_COL}")
-        noise = (F.when(std > 0, F.lit(noise_scale) * _std_normal(seed, step, c) * std)
-                 .otherwise(F.lit(0.0)) if noise_scale else F.lit(0.0))
-        v = F.lit(rec.MEAN_REVERSION) * (carried[c] + noise) + F.lit(1 - rec.MEAN_REVERSION) * ma
-        lo, hi = ((F.lit(0.0), F.col("max_volume")) if c == "Volume"
-                  else (F.lit(rec.MIN_PRICE), price_cap))
-        bars[c] = F.least(F.greatest(v, lo), hi)
-
-    cal_arr = cal_fn.calendar_array(list(cal))
-    short, long_ = feat.MOMENTUM
-    rest: dict[str, Column] = {
-        f"{c}_momentum_{short}_{long_}": F.col(f"{c}_ma_{short}") - F.col(f"{c}_ma_{long_}")
-        for c in feat.PRICE_COLS}
-    rest.update({
-        "Datetime": d,
-        "trend": F.col("trend") + F.lit(1.0),
-        "weekday": iso_weekday(d),
-        "month": F.month(d).cast("int"),
-        "halving_event": cal_fn.event_flag(d, cal_arr).cast("int"),
-        "days_since_last_halving": cal_fn.days_since_event(d, cal_arr).cast("double"),
-        "days_until_next_halving": cal_fn.days_until_event(d, cal_arr).cast("double"),
-        "halving_cycle": cal_fn.event_cycle(d, cal_arr).cast("double"),
-        "post_halving_flag": cal_fn.post_event_flag(d, cal_arr).cast("double"),
-        "hl_range": F.col("High") - F.col("Low"),
-        "candle_body": F.col("Close") - F.col("Open"),
-        "log_volume": F.log1p(F.col("Volume")),
-    })
-    return stats, bars, rest
-
-
-def next_row_columns(state: DataFrame, d: Column, step: Column, cal: list[dt.date],
-                     noise_scale: float = 0.0, seed: int = 42, exprs=None) -> DataFrame:
-    """state → state + every feature column of day d (rules of recursion.py)."""
-    stats, bars, rest = exprs or _row_exprs(tuple(cal), noise_scale, seed)
-    staged = state.withColumns({"_d": d.cast("date"), "_step": step.cast("int")})
-    return (staged.withColumns(stats).withColumns(bars).withColumns(rest)
-                  .drop("_d", "_step"))
-
-
-def advance(scored: DataFrame) -> DataFrame:
-    """Append the new day (prediction as Close) to the tails; keep TAIL values."""
-    new_close = F.col("prediction")
-    appended = {}
-    for c in feat.BAR_COLS:
-        v = new_close if c == "Close" else F.col(c)
-        appended[_tail(c)] = F.slice(F.concat(F.col(_tail(c)), F.array(v.cast("double"))),
-                                     -TAIL, TAIL)
-    nxt = scored.select(
-        "symbol", "scenario", F.col("trend"),
-        F.greatest(F.col("max_price"), F.col("Open"), F.col("High"), F.col("Low"),
-                   new_close).alias("max_price"),
-        F.greatest(F.col("max_volume"), F.col("Volume")).alias("max_volume"),
-        *[e.alias(n) for n, e in appended.items()],
-        F.concat(F.col("preds"), F.array(new_close.cast("double"))).alias("preds"))
-    return nxt
-
-
-def recursive_forecast_gbt(model: PipelineModel, features: DataFrame, horizon: int,
-                           as_of: dt.date, cal: list[dt.date], window: int = 1095,
-                           scenarios: int = 1, noise_scale: float = 0.0,
-                           seed: int = 42) -> DataFrame:
-    """(symbol, scenario, h, target_date, prediction) for h = 1..horizon."""
-    spark = features.sparkSession
-    state = initial_state(features, window, scenarios)
-    ckpt = horizon > 1
-    if ckpt:
-        checkpoint_dir(spark)
-        state = state.checkpoint(eager=True)
-    exprs = _row_exprs(tuple(cal), noise_scale, seed)
-    for h in range(1, horizon + 1):
-        d = F.lit(as_of + dt.timedelta(days=h))
-        row = next_row_columns(state, d, F.lit(h), cal, noise_scale, seed, exprs)
-        state = advance(model.transform(row))
-        if ckpt and h % CHECKPOINT_EVERY == 0 and h < horizon:
-            state = state.checkpoint(eager=True)
-    out = state.select("symbol", "scenario", F.posexplode("preds").alias("pos", "prediction"))
-    return out.select("symbol", F.col("scenario").cast("int").alias("scenario"),
-                      (F.col("pos") + 1).cast("int").alias("h"),
-                      F.date_add(F.lit(as_of), F.col("pos") + 1).alias("target_date"),
-                      "prediction")
+from daycast.operators import models as md
+from daycast.operators import rollout
+from daycast.operators.forecast import training_frame
+
+
+def recursive_forecast_gbt(model: md.TreeModel, features: DataFrame, horizon: int, as_of: dt.date,
+                           cal: list[dt.date], window: int = 1095, scenarios: int = 1,
+                           noise_scale: float = 0.0, seed: int = 42, causal: bool = True) -> DataFrame:
+    """(symbol, scenario, h, target_date, prediction) for h = 1..horizon.
+
+    ``features`` is the as-is table; ``causal`` must be the set the model was
+    fitted on.
+    """
+    md.known_features(model, feat.feature_columns(features))
+    rows = rollout.state(features, window, as_of, scenarios)
+    extra = {}
+    if model.levels is not None:
+        rows = rows.join(model.levels, "symbol", "left")
+        extra = {c: f"coalesce({c}, 0D)" for c in md.LEVEL_COLS}
+    return rollout.roll(rows, rollout.trees(model.pipeline.stages[-1], model.inputs), model.inputs,
+                        horizon, as_of, cal, causal, noise_scale, seed, extra)
+
+
+HORIZON_COL = "horizon_days"
+
+
+def direct_pairs(features: DataFrame, horizons: list[int], as_of: dt.date, window: int = 1095) -> DataFrame:
+    """Training rows of the direct form: causal inputs of a day, with h and the
+    Close h rows later (rows whose target lies beyond as_of are left out)."""
+    tw = training_frame(features, window, as_of)
+    w = Window.partitionBy("symbol").orderBy("Datetime")
+    later = F.array(*[F.struct(F.lit(float(h)).alias("h"), F.lead("Close", h - 1).over(w).alias("y"))
+                      for h in horizons])
+    return (tw.withColumn("_l", later).withColumn("_l", F.explode("_l"))
+            .withColumns({HORIZON_COL: F.col("_l.h"), "Close": F.col("_l.y")})
+            .where("Close IS NOT NULL").drop("_l"))
+
+
+def direct_forecast_gbt(features: DataFrame, horizons: list[int], as_of: dt.date, cal: list[dt.date],
+                        window: int = 1095, params: dict | None = None) -> DataFrame:
+    """(symbol, h, target_date, prediction): one model with the horizon as a feature."""
+    cols = feat.feature_columns(features) + [HORIZON_COL]
+    model = md.gbt_fit(direct_pairs(features, horizons, as_of, window), cols, params=params)
+    rows = rollout.next_day(rollout.state(features, window, as_of), cols[:-1], as_of, cal)
+    asked = rows.withColumn(HORIZON_COL, F.explode(F.array(*[F.lit(float(h)) for h in horizons])))
+    h = F.col(HORIZON_COL).cast("int")
+    return md.gbt_predict(model, asked).select("symbol", h.alias("h"), F.date_add(F.lit(as_of), h).alias("target_date"),
+                                               "prediction")

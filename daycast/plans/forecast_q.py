@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import datetime as dt
 
 from daycast.operators import features as feat
 from daycast.operators import forecast as fc
@@ -13,6 +13,8 @@ H = common.FORECAST_HORIZON
 WINDOW = common.TRAIN_WINDOW
 AS_OF = common.AS_OF
 SCENARIOS = 8
+YEAR = 365                     # the service's horizon
+MID = dt.date(1998, 1, 1)      # an as-of day in mid-history
 
 
 def _features(spark, sf_dir):
@@ -33,19 +35,37 @@ def q_recursive_forecast_ar(spark, sf_dir):
         fc.recursive_forecast_ar(common.bars(spark, sf_dir), H, AS_OF, WINDOW), 2)
 
 
+def q_train_window_as_of(spark, sf_dir):
+    tw = fc.train_window(common.bars(spark, sf_dir), WINDOW, as_of=MID)
+    return common.round_doubles(tw.select("symbol", "Date", "Close"))
+
+
+def q_direct_forecast_as_of(spark, sf_dir):
+    return common.round_doubles(fc.direct_forecast(common.bars(spark, sf_dir), H, MID, WINDOW), 2)
+
+
+def q_recursive_forecast_ar_as_of(spark, sf_dir):
+    return common.round_doubles(
+        fc.recursive_forecast_ar(common.bars(spark, sf_dir), H, MID, WINDOW), 2)
+
+
 def q_recursive_forecast_ols(spark, sf_dir):
-    return fc.recursive_forecast_ols(_features(spark, sf_dir), H, AS_OF, common.calendar(),
-                                     WINDOW)
+    """Refitted every day, all causal features, the service's year."""
+    return fc.recursive_forecast_ols(_features(spark, sf_dir), YEAR, AS_OF, common.calendar(), WINDOW)
+
+
+def q_recursive_forecast_ols_once(spark, sf_dir):
+    return fc.recursive_forecast_ols(_features(spark, sf_dir), YEAR, AS_OF, common.calendar(), WINDOW,
+                                     refit=False)
 
 
-def q_recursive_forecast_ols_legacy(spark, sf_dir):
-    """The same run with the original loop's row rules (``legacy=True``)."""
-    return fc.recursive_forecast_ols(_features(spark, sf_dir), H, AS_OF, common.calendar(),
-                                     WINDOW, legacy=True)
+def q_recursive_forecast_lags(spark, sf_dir):
+    out = fc.recursive_forecast_lags(_features(spark, sf_dir), YEAR, MID, common.calendar(), WINDOW)
+    return common.round_doubles(out.select("symbol", "h", "target_date", "prediction"), 2)
 
 
 def q_scenario_forecast(spark, sf_dir):
-    return fc.scenario_forecast(_features(spark, sf_dir), H, AS_OF, common.calendar(),
+    return fc.scenario_forecast(_features(spark, sf_dir), YEAR, AS_OF, common.calendar(),
                                 scenarios=SCENARIOS, window=WINDOW)
 
 
@@ -53,24 +73,65 @@ QUERIES = {
     "train_window": q_train_window,
     "direct_forecast": q_direct_forecast,
     "recursive_forecast_ar": q_recursive_forecast_ar,
+    "train_window_as_of": q_train_window_as_of,
+    "direct_forecast_as_of": q_direct_forecast_as_of,
+    "recursive_forecast_ar_as_of": q_recursive_forecast_ar_as_of,
     "recursive_forecast_ols": q_recursive_forecast_ols,
-    "recursive_forecast_ols_legacy": q_recursive_forecast_ols_legacy,
+    "recursive_forecast_ols_once": q_recursive_forecast_ols_once,
+    "recursive_forecast_lags": q_recursive_forecast_lags,
     "scenario_forecast": q_scenario_forecast,
 }
 
-TW_CTE = f"""{O.BARS_CTE},
+
+def window_cte(as_of) -> str:
+    return f"""{O.BARS_CTE},
 tw AS (
   SELECT symbol, "Date", "Close",
          row_number() OVER (PARTITION BY symbol ORDER BY "Date") AS i
-  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY "Date" DESC) AS r FROM bars)
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY "Date" DESC) AS r FROM bars
+        WHERE "Date" <= {O.date_lit(as_of)})
   WHERE r <= {WINDOW})"""
 
-_ASOF = O.date_lit(AS_OF)
 
-SQL = {
-    "train_window": f"""WITH {TW_CTE}
+def lag_rows_cte(as_of=None, window: bool = True) -> str:
+    """lagged(symbol, "Date", i, n, x1, x2, y): Close and its lags 1 and 3, missing lags 0."""
+    until = f'WHERE "Date" <= {O.date_lit(as_of)}' if as_of else ""
+    last = f"WHERE i > n - {WINDOW}" if window else ""
+    return f"""{O.BARS_CTE},
+lagged AS (
+  SELECT symbol, "Date", i - 1 AS i, n, x1, x2, y FROM (
+    SELECT symbol, "Date", "Close" AS y,
+           coalesce(lag("Close", 1) OVER (PARTITION BY symbol ORDER BY "Date"), 0) AS x1,
+           coalesce(lag("Close", 3) OVER (PARTITION BY symbol ORDER BY "Date"), 0) AS x2,
+           row_number() OVER (PARTITION BY symbol ORDER BY "Date") AS i,
+           count(*) OVER (PARTITION BY symbol) AS n
+    FROM bars {until}) {last})"""
+
+
+def ols2(rows: str, keys: str) -> str:
+    """means, sums, coef: closed-form least squares of y on x1, x2 per key."""
+    same = " AND ".join(f"r.{k} = m.{k}" for k in keys.split(", "))
+    out = ", ".join(f"r.{k}" for k in keys.split(", "))
+    return f"""means AS (
+  SELECT {keys}, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, count(*) AS n_rows FROM {rows} GROUP BY {keys}),
+sums AS (
+  SELECT {out}, any_value(m1) AS m1, any_value(m2) AS m2, any_value(my) AS my, any_value(n_rows) AS n_rows,
+         sum((x1 - m1) * (x1 - m1)) AS s11, sum((x2 - m2) * (x2 - m2)) AS s22,
+         sum((x1 - m1) * (x2 - m2)) AS s12, sum((x1 - m1) * (y - my)) AS s1y,
+         sum((x2 - m2) * (y - my)) AS s2y
+  FROM {rows} r JOIN means m ON {same} GROUP BY {out}),
+slopes AS (
+  SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1,
+         (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM sums),
+coef AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0 FROM slopes)"""
+
+
+def _sql(as_of) -> dict[str, str]:
+    cte, day = window_cte(as_of), O.date_lit(as_of)
+    return {
+    "train_window": f"""WITH {cte}
 SELECT symbol, "Date", {O.r('"Close"')} AS "Close" FROM tw""",
-    "direct_forecast": f"""WITH {TW_CTE},
+    "direct_forecast": f"""WITH {cte},
 pairs AS (
   SELECT a.symbol, t.h, a."Date", a."Close" AS x, b."Close" AS y
   FROM tw a CROSS JOIN range(1, {H + 1}) t(h)
@@ -79,9 +140,9 @@ fit AS (
   SELECT symbol, h, regr_intercept(y, x) AS a, regr_slope(y, x) AS b,
          arg_max(x, "Date") AS x_last
   FROM pairs GROUP BY symbol, h)
-SELECT symbol, CAST(h AS INTEGER) AS h, CAST({_ASOF} + CAST(h AS INTEGER) AS DATE) AS target_date,
+SELECT symbol, CAST(h AS INTEGER) AS h, CAST({day} + CAST(h AS INTEGER) AS DATE) AS target_date,
        {O.r('a + b * x_last', 2)} AS prediction FROM fit""",
-    "recursive_forecast_ar": f"""WITH RECURSIVE {TW_CTE},
+    "recursive_forecast_ar": f"""WITH RECURSIVE {cte},
 lagged AS (
   SELECT symbol, "Date", "Close" AS y,
          lag("Close") OVER (PARTITION BY symbol ORDER BY "Date") AS x FROM tw),
@@ -93,6 +154,24 @@ path(symbol, h, v) AS (
   UNION ALL
   SELECT p.symbol, p.h + 1, c.b0 + c.b1 * p.v FROM path p JOIN coef c ON p.symbol = c.symbol
   WHERE p.h < {H})
-SELECT symbol, CAST(h AS INTEGER) AS h, CAST({_ASOF} + CAST(h AS INTEGER) AS DATE) AS target_date,
+SELECT symbol, CAST(h AS INTEGER) AS h, CAST({day} + CAST(h AS INTEGER) AS DATE) AS target_date,
        {O.r('v', 2)} AS prediction FROM path WHERE h >= 1""",
+    }
+
+
+SQL = _sql(AS_OF) | {f"{k}_as_of": v for k, v in _sql(MID).items()} | {
+    "recursive_forecast_lags": f"""WITH RECURSIVE {lag_rows_cte(MID)},
+{ols2("lagged", "symbol")},
+last AS (
+  SELECT symbol, max(CASE WHEN k = 1 THEN y END) AS c1, max(CASE WHEN k = 2 THEN y END) AS c2,
+         max(CASE WHEN k = 3 THEN y END) AS c3
+  FROM (SELECT symbol, y, row_number() OVER (PARTITION BY symbol ORDER BY "Date" DESC) AS k FROM lagged)
+  WHERE k <= 3 GROUP BY symbol),
+path(symbol, h, c1, c2, c3) AS (
+  SELECT symbol, 0, c1, c2, c3 FROM last
+  UNION ALL
+  SELECT p.symbol, p.h + 1, c.b0 + c.b1 * p.c1 + c.b2 * p.c3, p.c1, p.c2
+  FROM path p JOIN coef c ON p.symbol = c.symbol WHERE p.h < {YEAR})
+SELECT symbol, CAST(h AS INTEGER) AS h, CAST({O.date_lit(MID)} + CAST(h AS INTEGER) AS DATE) AS target_date,
+       {O.r('c1', 2)} AS prediction FROM path WHERE h >= 1""",
 }

@@ -4,6 +4,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import column_api
 from daycast.functions import calendar as C
 from daycast.functions.windows import period_return, rolling_mean, rolling_std, series_window
 from daycast.operators import features as feat
@@ -93,7 +94,7 @@ def test_sql_text_table_equals_column_api_table(spark):
     from daycast.plans import common
     b = common.bars(spark, SMALL)
     a = feat.feature_table(b, C.testdata_calendar())
-    c = feat.feature_table_columns_api(b, C.testdata_calendar())
+    c = column_api.feature_table_columns_api(b, C.testdata_calendar())
     assert a.columns == c.columns and a.dtypes == c.dtypes
     _same_rows(a, c)
 
@@ -102,6 +103,6 @@ def test_causal_sql_text_equals_column_api(spark):
     from conftest import SMALL
     from daycast.plans import common
     ft = feat.feature_table(common.bars(spark, SMALL), C.testdata_calendar())
-    a, b = feat.causal_features(ft), feat.causal_features_columns_api(ft)
+    a, b = feat.causal_features(ft), column_api.causal_features_columns_api(ft)
     assert a.columns == b.columns and a.dtypes == b.dtypes
     _same_rows(a, b)

@@ -22,13 +22,13 @@ from conftest import SMALL
 AS_OF = dt.date(2001, 8, 1)
 
 
-@pytest.mark.parametrize("legacy", [False, True])
-def test_linear_recursive_forecast_365_days(spark, legacy):
+@pytest.mark.parametrize("causal", [True, False])
+def test_linear_recursive_forecast_365_days(spark, causal):
     ft = feat.feature_table(common.bars(spark, SMALL), common.calendar())
     assert_no_nan(ft)
     one = ft.where(F.col("symbol") == "3-MEDIUM")
     out = fc.recursive_forecast_ols(one, 365, AS_OF, common.calendar(), window=1095,
-                                    legacy=legacy).toPandas()
+                                    causal=causal).toPandas()
     assert len(out) == 365
     assert np.isfinite(out["prediction"]).all()
     assert out["target_date"].min() == AS_OF + dt.timedelta(days=1)
