@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,7 +63,7 @@ def assert_no_nan(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     row = any_nan_row(df, cols).first()
     bad = [c for c in cols if row is not None and row[c]]
     if bad:
-        raise AssertionError(f"There are still NaNs in numeric features: {bad}")
+        raise AssertionError(f"columns that still hold NaN or null: {bad}")
     return df
 
 
@@ -112,11 +110,6 @@ def parse_datetime(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATETIME_FORMATS])
 
 
-def date_part(c: Column) -> Column:
-    """Calendar day of a timestamp (or of its text)."""
-    return F.to_date(c)
-
-
 def iso_weekday(d: Column) -> Column:
     """ISO weekday, Monday=1 .. Sunday=7."""
     return (F.weekday(d) + F.lit(1)).cast("int")
@@ -127,10 +120,6 @@ def greatest_nan_safe(cols: list[Column], floor: float) -> Column:
     return F.greatest(*[no_nan(c) for c in cols], F.lit(float(floor)))
 
 
-def clip(c: Column, lo: Column, hi: Column) -> Column:
-    return F.least(F.greatest(c, lo), hi)
-
-
 # --- error metrics (aggregate expressions) ---------------------------------
 
 def mae(y: Column, p: Column) -> Column:
@@ -144,7 +133,3 @@ def rmse(y: Column, p: Column) -> Column:
 def mape(y: Column, p: Column) -> Column:
     """Mean absolute percentage error ×100; null when any actual is 0."""
     return F.when(F.bool_and(y != 0), F.avg(F.abs(F.try_divide(y - p, y))) * F.lit(100.0))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

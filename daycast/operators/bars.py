@@ -19,9 +19,9 @@ from daycast.functions.values import epoch_micros, no_nan
 def tick_order_key(ts: str, seq: str | None, dtype: T.DataType | None = None) -> Column:
     """Order of ticks inside a day: time first, then the sequence number.
 
-    Packed into one DECIMAL(38,0) = micros * 10^20 + (seq + 2^63), which
+    Packed into one DECIMAL(38,0) = micros * 10^20 + (seq + 2^63 + 1), which
     orders exactly like (ts, seq) for any timestamp up to year 9999 and any
-    long seq. A decimal aggregation buffer is mutable in place, so
+    long seq; a null seq (0) comes before all others of its time. A decimal aggregation buffer is mutable in place, so
     ``min_by/max_by`` run as a hash aggregate (a struct key would force a
     sort-based aggregate in every scan task).
     """
@@ -29,7 +29,8 @@ def tick_order_key(ts: str, seq: str | None, dtype: T.DataType | None = None) ->
     if seq is None:
         return micros
     return (micros.cast("decimal(38,0)") * F.expr("CAST(1e20 AS DECIMAL(38,0))")
-            + (F.col(seq).cast("decimal(38,0)") + F.expr("CAST(9223372036854775808 AS DECIMAL(38,0))")))
+            + F.coalesce(F.col(seq).cast("decimal(38,0)") + F.expr("CAST(9223372036854775809 AS DECIMAL(38,0))"),
+                         F.lit(0).cast("decimal(38,0)")))
 
 
 def daily_ohlcv(ticks: DataFrame, ts: str = "ts", seq: str | None = "seq",
@@ -39,10 +40,12 @@ def daily_ohlcv(ticks: DataFrame, ts: str = "ts", seq: str | None = "seq",
     Open is the first tick's Open and Close the last tick's Close by
     (ts, seq) — the value is kept even when null, as "first"/"last" do;
     High/Low skip null and NaN; Volume of a day with only null volume is 0.
+    A tick without a time belongs to no day and fails the job.
     """
+    day = F.coalesce(F.to_date(F.col(ts)), F.raise_error(F.lit("a tick has no time")).cast("date"))
     order = tick_order_key(ts, seq, ticks.schema[ts].dataType)
     return (ticks
-            .groupBy(F.col(key).alias("symbol"), F.to_date(F.col(ts)).alias("Date"))
+            .groupBy(F.col(key).alias("symbol"), day.alias("Date"))
             .agg(F.min_by(F.col("Open"), order).alias("Open"),
                  F.max(no_nan(F.col("High"))).alias("High"),
                  F.min(no_nan(F.col("Low"))).alias("Low"),

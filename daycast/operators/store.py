@@ -17,6 +17,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from daycast.session import checkpoint_dir
 from daycast.sources.schemas import CURRENT, FORECAST_PAYLOAD, FORECAST_ROW, RUNS
 
 RUN_KEY = ["symbol", "model", "run_date"]
@@ -26,25 +27,66 @@ SERIES = ["symbol", "model"]
 # --- rows in -------------------------------------------------------------------
 
 def rows_to_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """A forecast payload's row list → (target_date, prediction) frame."""
+    """A forecast payload's row list → (target_date, prediction) frame; a whole
+    number is a prediction too."""
     if not rows:
-        raise ValueError("No forecast rows provided.")
+        raise ValueError("a forecast needs at least one row")
     try:
-        df = spark.createDataFrame(rows, FORECAST_ROW)
-    except Exception as exc:  # wrong shape of a row
-        raise ValueError("rows must be a list of {target_date, prediction}") from exc
-    return df.withColumn("target_date", F.to_date("target_date"))
+        plain = [(str(r["target_date"]), None if r["prediction"] is None else float(r["prediction"]))
+                 for r in rows]
+    except (KeyError, TypeError, ValueError) as exc:
+        raise ValueError("every forecast row holds a target_date and a numeric prediction") from exc
+    return spark.createDataFrame(plain, FORECAST_ROW).withColumn("target_date", F.to_date("target_date"))
 
 
 def explode_payloads(payloads: DataFrame) -> DataFrame:
-    """Nested payload records (model, horizon, params, force, rows[]) →
-    one forecast row per element; the explode runs in the scan tasks."""
-    return (payloads.select("*", F.explode("rows").alias("r"))
-                    .select("model", "horizon", "params",
+    """Uploaded payload records → one forecast row per element, with the key
+    (symbol, model, run_date) and ``force``. A payload without rows is refused: it
+    fails the job rather than vanish."""
+    some = F.when(F.size("rows") > 0, F.col("rows")).otherwise(F.raise_error(F.concat(
+        F.lit("payload without rows: "), F.coalesce("symbol", F.lit("?")), F.lit(" "),
+        F.coalesce("model", F.lit("?")))).cast(payloads.schema["rows"].dataType))
+    return (payloads.select("*", F.explode(some).alias("r"))
+                    .select("symbol", "model", F.to_date("run_date").alias("run_date"), "horizon",
+                            "params", F.coalesce("force", F.lit(False)).alias("force"),
                             F.to_date("r.target_date").alias("target_date"),
                             F.col("r.prediction").cast("double").alias("prediction")))
 
 
+def save_payloads(spark: SparkSession, base: str, payloads: DataFrame,
+                  as_of: dt.date | None = None) -> tuple[list[str], str]:
+    """Store uploaded payloads as runs; one stored already needs ``force``."""
+    keys = payloads.select("symbol", "model", F.to_date("run_date").alias("run_date"),
+                           F.coalesce("force", F.lit(False)).alias("force"))
+    return save_run(spark, base, explode_payloads(payloads), F.first("horizon"), as_of=as_of,
+                    keys=keys.where("not force"), params_of=F.first("params"), force=True)
+
+
+# --- text forms ------------------------------------------------------------------
+
+def day_text(c: Column, pattern: str = "yyyy-MM-dd") -> Column:
+    """A day as text (ISO by default)."""
+    return F.date_format(c, pattern)
+
+
+def number_text(c: Column, digits: int | None = None) -> Column:
+    """A number as text, with a fixed number of decimals if given."""
+    return c.cast("string") if digits is None else F.format_string(f"%.{digits}f", c.cast("double"))
+
+
+def merge_params(base: Column, over: Column) -> Column:
+    """Two parameter maps in one; the second wins, null counts as empty."""
+    empty = F.create_map().cast("map<string,string>")
+    kept = F.map_filter(F.coalesce(base, empty), lambda k, v: ~F.array_contains(
+        F.map_keys(F.coalesce(over, empty)), k))
+    return F.map_concat(kept, F.coalesce(over, empty))
+
+
+def params_json(params: Column) -> Column:
+    """A parameter map as JSON text, keys in order."""
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(params))))
+
+
 def add_if_absent(df: DataFrame, **values) -> DataFrame:
     """Add literal columns (model, run_date, symbol, ...) missing from df."""
     add = {k: F.lit(v) for k, v in values.items() if v is not None and k not in df.columns}
@@ -54,16 +96,18 @@ def add_if_absent(df: DataFrame, **values) -> DataFrame:
 # --- run index -----------------------------------------------------------------
 
 def run_rows(forecasts: DataFrame, horizon: int | Column | None = None,
-             params: dict | None = None) -> DataFrame:
-    """Run index rows of forecast rows: one per (symbol, model, run_date)."""
+             params: dict | None = None, params_of: Column | None = None) -> DataFrame:
+    """Run index rows of forecast rows: one per (symbol, model, run_date).
+
+    ``horizon`` and ``params_of`` may be aggregates over a run's rows."""
     p = (F.create_map(*[F.lit(x) for kv in sorted((params or {}).items()) for x in
                         (kv[0], str(kv[1]))]) if params
          else F.lit(None).cast("map<string,string>"))
-    h = horizon if isinstance(horizon, Column) else F.lit(horizon)
+    h = horizon if isinstance(horizon, Column) else F.max(F.lit(horizon))
     return (forecasts.groupBy(*RUN_KEY)
-                     .agg(F.count(F.lit(1)).alias("rows_count"))
-                     .select(*RUN_KEY, h.cast("int").alias("horizon"), "rows_count",
-                             p.alias("params")))
+                     .agg(F.count(F.lit(1)).alias("rows_count"), h.cast("int").alias("horizon"),
+                          (F.first(p) if params_of is None else params_of).alias("params"))
+                     .select(*RUN_KEY, "horizon", "rows_count", "params"))
 
 
 def existing_runs(index: DataFrame, new_runs: DataFrame) -> DataFrame:
@@ -81,8 +125,8 @@ def upsert_run(index: DataFrame, new_runs: DataFrame, force: bool = False) -> Da
     """Insert run rows; an existing (symbol, model, run_date) raises unless
     ``force``. The duplicate test stops at the first matching row."""
     if not force and not existing_runs(index, new_runs).isEmpty():
-        raise FileExistsError("Metadata already exists for a (symbol, model, run_date) "
-                              "of the new runs; pass force=True to replace it")
+        raise FileExistsError("a run of this symbol, model and run_date is stored already; "
+                              "force=True takes its place")
     return replace_run(index, new_runs)
 
 
@@ -138,12 +182,6 @@ def merge_current(current: DataFrame, incoming: DataFrame,
     return ranked.where(keep).select(*cols)
 
 
-def split_by_run_date(current: DataFrame, run_date: dt.date) -> tuple[DataFrame, DataFrame]:
-    """(preserved rows before run_date, rows open to replacement)."""
-    rd = F.lit(run_date)
-    return current.where(F.col("target_date") < rd), current.where(F.col("target_date") >= rd)
-
-
 def get_current(current: DataFrame, model: str) -> DataFrame:
     """Current forecast of one model (partition pruning when stored by model)."""
     return current.where(F.col("model") == model)
@@ -160,10 +198,21 @@ def forecast_table(current: DataFrame, horizon: int, digits: int = 2) -> DataFra
 
 # --- freshness ---------------------------------------------------------------------
 
-def is_stale(bars: DataFrame, as_of: dt.date, date_col: str = "Date") -> DataFrame:
-    """Per symbol: last bar date and whether it is not the day before as_of."""
-    last = F.max(F.col(date_col))
-    return bars.groupBy("symbol").agg(last.alias("last_date")).withColumn(
+def is_stale(bars: DataFrame | None, as_of: dt.date, date_col: str = "Date",
+             series: DataFrame | None = None) -> DataFrame:
+    """Per symbol: last bar date and whether it is not the day before as_of.
+
+    With ``series`` (the symbols that should be there) a symbol without bars, or a
+    table that is absent (None) or empty, is stale rather than missing."""
+    if bars is None and series is None:
+        raise ValueError("without a table the series to report must be given")
+    if bars is None:
+        last = series.select("symbol").distinct().withColumn("last_date", F.lit(None).cast("date"))
+    else:
+        last = bars.groupBy("symbol").agg(F.max(F.col(date_col)).alias("last_date"))
+        if series is not None:
+            last = series.select("symbol").distinct().join(last, "symbol", "left")
+    return last.withColumn(
         "stale", F.coalesce(F.col("last_date") != F.date_sub(F.lit(as_of), 1), F.lit(True)))
 
 
@@ -195,25 +244,37 @@ def latest_version(spark: SparkSession, path: str) -> str | None:
     fs, p, jvm = _fs(spark, path)
     if not fs.exists(p):
         return None
-    versions = sorted(s.getPath().getName() for s in fs.listStatus(p)
-                      if s.isDirectory() and s.getPath().getName().startswith("v"))
-    for name in reversed(versions):
+    for _, name in sorted(_versions(fs, p), reverse=True):
         if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")):
             return f"{path}/{name}"
     return None
 
 
-def sink_atomic(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
+def _versions(fs, p) -> list[tuple[int, str]]:
+    """(number, name) of every version folder, committed or not."""
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return [(int(n[1:]), n) for n in names if n[:1] == "v" and n[1:].isdigit()]
+
+
+KEEP_VERSIONS = 5
+
+
+def sink_atomic(df: DataFrame, path: str, partition_by: list[str] | None = None,
+                keep: int | None = KEEP_VERSIONS) -> str:
     """Write df as the next version of the table at path; readers switch
-    to it only after the commit. Older versions stay readable."""
+    to it only after the commit. A half-written version, left by a crash, keeps its
+    number and is passed over. The last ``keep`` versions stay (None: all)."""
     spark = df.sparkSession
-    cur = latest_version(spark, path)
-    nxt = 1 if cur is None else int(cur.rsplit("/v", 1)[1]) + 1
-    target = f"{path}/v{nxt:06d}"
+    fs, p, jvm = _fs(spark, path)
+    held = sorted(_versions(fs, p)) if fs.exists(p) else []
+    target = f"{path}/v{(held[-1][0] if held else 0) + 1:06d}"
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(target)
+    if keep is not None:
+        for _, name in held[:max(0, len(held) + 1 - keep)]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
     return target
 
 
@@ -252,19 +313,28 @@ def scan_current(spark: SparkSession, base: str, model: str | None = None) -> Da
     return spark.read.schema(CURRENT).parquet(*paths)
 
 
-def save_run(spark: SparkSession, base: str, forecasts: DataFrame, horizon: int,
-             params: dict | None = None, force: bool = False,
-             as_of: dt.date | None = None) -> tuple[list[str], str]:
-    """Store a run: the duplicate check comes first (before anything is
-    written), then each touched model's merged current table, then the run
-    index — each a new committed version. Returns the version paths.
+def save_run(spark: SparkSession, base: str, forecasts: DataFrame, horizon: int | Column,
+             params: dict | None = None, force: bool = False, as_of: dt.date | None = None,
+             keys: DataFrame | list[tuple] | None = None,
+             params_of: Column | None = None) -> tuple[list[str], str]:
+    """Store a run: the duplicate check comes first, then each touched model's
+    merged current table, then the run index — each a new committed version.
 
-    Only the models of the run are read and rewritten; the model names are
-    the one thing brought to the driver (a handful per run).
+    With ``keys``, the run's (symbol, model, run_date), a duplicate is refused
+    before the forecast is computed at all. The forecast is computed once, cut in
+    the shared folder; index and tables come from that copy. Only the models of
+    the run are read and rewritten; their names (a handful per run) are the one
+    thing brought to the driver.
     """
     index = scan_runs(spark, base)
-    new_runs = run_rows(forecasts, horizon, params)
-    new_index = upsert_run(index, new_runs, force)
+    if isinstance(keys, list):
+        keys = spark.createDataFrame(keys, "symbol string, model string, run_date date")
+    if keys is not None:
+        if not force or params_of is not None:      # payload keys hold those without force only
+            upsert_run(index, keys, force=False)
+    checkpoint_dir(spark)
+    forecasts = forecasts.checkpoint(eager=True)
+    new_index = upsert_run(index, run_rows(forecasts, horizon, params, params_of), force)
     models = [r["model"] for r in forecasts.select("model").distinct().collect()]
     cur_paths = []
     for m in models:

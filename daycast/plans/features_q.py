@@ -21,6 +21,21 @@ def q_daily_ohlcv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common.round_doubles(common.bars(spark, sf_dir))
 
 
+def q_csv_daily_ohlcv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as a raw minute file with its columns in another order and two
+    more, read back by name, and made into bars."""
+    from daycast.operators.bars import daily_ohlcv
+    from daycast.sources.ticks import orders_ticks
+    from daycast.streaming.bars_stream import scratch_paths
+    t = orders_ticks(spark, sf_dir)
+    epoch = (ntz_epoch_micros(F.col("ts").cast("timestamp_ntz")) / F.lit(1e6)).alias("Timestamp")
+    path, _ = scratch_paths(spark, "ohlcv_csv")
+    t.select("Close", "symbol", "Low", epoch, "High", "seq", "Open", "Volume") \
+        .write.option("header", True).csv(path)
+    back = raw.epoch_to_ts(raw.epoch_seconds(raw.scan_ohlcv_csv(spark, path)), out="ts")
+    return common.round_doubles(daily_ohlcv(back.withColumn("seq", F.col("seq").cast("long"))))
+
+
 def _events_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a raw minute-style file: epoch seconds (fractional)."""
     e = table(spark, sf_dir, "events")
@@ -136,6 +151,7 @@ WINDOW_PARTS = {
 for _key, (_part, _names) in WINDOW_PARTS.items():
     SQL[_key] = _sql_window_query(_names())
 
+SQL["csv_daily_ohlcv"] = SQL["daily_ohlcv"]
 SQL["trend_index"] = f"""WITH {O.BARS_CTE}
 SELECT symbol, "Date", CAST(row_number() OVER ({O.W}) - 1 AS DOUBLE) AS trend FROM bars"""
 SQL["calendar_parts"] = f"""WITH {O.BARS_CTE}
@@ -184,6 +200,7 @@ for _key, _col in EVENT_KEYS.items():
 
 QUERIES = {
     "daily_ohlcv": q_daily_ohlcv,
+    "csv_daily_ohlcv": q_csv_daily_ohlcv,
     "check_epoch_unit": q_check_epoch_unit,
     "epoch_to_ts": q_epoch_to_ts,
     "price_history": q_price_history,

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daycast.functions.windows import rolling_mean, series_window
@@ -21,6 +21,7 @@ from daycast.operators import folds as fo
 from daycast.operators import store as st
 from daycast.plans import common
 from daycast.plans import oracle as O
+from daycast.sources.ticks import table
 
 H = common.FORECAST_HORIZON
 AS_OF = common.AS_OF
@@ -59,8 +60,10 @@ def _shared_log(spark, sf_dir) -> DataFrame:
 
 
 def _last_run(log: DataFrame) -> DataFrame:
-    """Tag each row with the last run_date of its series."""
-    return log.withColumn("last_run", F.max("run_date").over(Window.partitionBy("symbol", "model")))
+    """Tag each row with the last run_date of its series (an aggregate joined back:
+    the log of a series is not bounded by its days)."""
+    last = log.groupBy("symbol", "model").agg(F.max("run_date").alias("last_run"))
+    return log.join(last, ["symbol", "model"])
 
 
 def _cur_cols(df: DataFrame) -> DataFrame:
@@ -156,6 +159,32 @@ def q_needs_forecast(spark, sf_dir):
     return st.needs_forecast(log, st.latest_per_target(log), AS_OF)
 
 
+def q_is_stale_series(spark, sf_dir):
+    """Freshness of a list of series, some without any bar (order classes and line flags)."""
+    b = common.bars(spark, sf_dir)
+    flags = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("symbol")).distinct()
+    classes = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("symbol")).distinct()
+    return st.is_stale(b, AS_OF, series=classes.unionByName(flags))
+
+
+def q_needs_forecast_models(spark, sf_dir):
+    """Every series with every known model, one of which has never run."""
+    log = common.materialize(_log(spark, sf_dir))
+    series = log.select("symbol").distinct().select("symbol", F.explode(F.array(
+        *[F.lit(m) for m in (*common.STORE_MODELS, "drift")])).alias("model"))
+    return st.needs_forecast(series, st.latest_per_target(log), AS_OF)
+
+
+def q_runs_as_text(spark, sf_dir):
+    """The run index as text: days, counts, and the merged settings as JSON."""
+    runs = st.run_rows(_log(spark, sf_dir), H, {"source": "bars", "horizon": "7"})
+    over = F.create_map(F.lit("horizon"), st.number_text(F.col("horizon")))
+    return runs.select("symbol", "model", st.day_text(F.col("run_date")).alias("run_day"),
+                       st.number_text(F.col("rows_count")).alias("rows_text"),
+                       st.number_text(F.col("rows_count") / 7, 2).alias("weeks"),
+                       st.params_json(st.merge_params(F.col("params"), over)).alias("params"))
+
+
 # --- step 10: reports -------------------------------------------------------------
 
 def q_forecast_table(spark, sf_dir):
@@ -195,6 +224,9 @@ QUERIES = {
     "get_current": q_get_current,
     "is_stale": q_is_stale,
     "needs_forecast": q_needs_forecast,
+    "is_stale_series": q_is_stale_series,
+    "needs_forecast_models": q_needs_forecast_models,
+    "runs_as_text": q_runs_as_text,
     "forecast_table": q_forecast_table,
     "compare_models": q_compare_models,
     "overlay_history_forecast": q_overlay_history_forecast,
@@ -342,6 +374,23 @@ tom AS (SELECT symbol, model, run_date AS tomorrow_run FROM cur
 SELECT s.symbol, s.model, t.tomorrow_run,
        coalesce(t.tomorrow_run <> {_d(AS_OF)}, true) AS needs_forecast
 FROM series s LEFT JOIN tom t ON s.symbol = t.symbol AND s.model = t.model""",
+    "is_stale_series": f"""WITH {O.BARS_CTE},
+series AS (SELECT DISTINCT o_orderpriority AS symbol FROM orders UNION SELECT DISTINCT l_returnflag FROM lineitem)
+SELECT s.symbol, max("Date") AS last_date,
+       coalesce(max("Date") <> CAST({_d(AS_OF)} - INTERVAL 1 DAY AS DATE), true) AS stale
+FROM series s LEFT JOIN bars b ON s.symbol = b.symbol GROUP BY s.symbol""",
+    "needs_forecast_models": f"""WITH {LOG_CTE},
+series AS (SELECT DISTINCT symbol, m.model FROM log CROSS JOIN (VALUES ('naive'), ('ma7'), ('drift')) m(model)),
+tom AS (SELECT symbol, model, run_date AS tomorrow_run FROM cur
+        WHERE target_date = CAST({_d(AS_OF)} + INTERVAL 1 DAY AS DATE))
+SELECT s.symbol, s.model, t.tomorrow_run,
+       coalesce(t.tomorrow_run <> {_d(AS_OF)}, true) AS needs_forecast
+FROM series s LEFT JOIN tom t ON s.symbol = t.symbol AND s.model = t.model""",
+    "runs_as_text": f"""WITH {LOG_CTE}
+SELECT symbol, model, strftime(run_date, '%Y-%m-%d') AS run_day, CAST(count(*) AS VARCHAR) AS rows_text,
+       printf('%.2f', count(*) / 7.0) AS weeks,
+       concat('{{"horizon":"', {H}, '","source":"bars"}}') AS params
+FROM log GROUP BY symbol, model, run_date""",
     "forecast_table": f"""WITH {LOG_CTE},
 fut AS (SELECT *, row_number() OVER (PARTITION BY symbol, model ORDER BY target_date) AS rn
         FROM cur WHERE target_date > {_d(AS_OF)})

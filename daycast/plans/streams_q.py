@@ -22,15 +22,40 @@ LATENESS = "1 day"
 def _tick_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     # a glob names the one file (a plain file path is refused as a stream source)
-    ev = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    return _ticks(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"),
+                  schema["ts"].dataType)
+
+
+def _ticks(ev, ts_type):
     price = F.col("value").cast("double")
     return ev.select(F.col("event_type").alias("symbol"),
-                     utc_instant(F.col("ts"), schema["ts"].dataType).alias("ts"),
+                     utc_instant(F.col("ts"), ts_type).alias("ts"),
                      F.col("event_id").alias("seq"),
                      price.alias("Open"), price.alias("High"), price.alias("Low"),
                      price.alias("Close"), F.lit(1.0).alias("Volume"))
 
 
+BATCHES = 4        # files the events are dealt to by time, one per micro-batch
+
+
+def _arriving(spark, sf_dir, folder):
+    """The events as files that arrive in order of time, and a stream over them."""
+    ev = table(spark, sf_dir, "events")
+    lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
+    if lo is None:
+        ev.limit(0).write.parquet(f"{folder}/part=0")
+    else:
+        step = (hi - lo) / BATCHES
+        for k in range(BATCHES):      # written one after the other: sources take older files first
+            after, until = lo + step * k, (lo + step * (k + 1) if k < BATCHES - 1 else None)
+            rows = ev.where(F.col("ts") >= F.lit(after))
+            rows = rows if until is None else rows.where(F.col("ts") < F.lit(until))
+            rows.coalesce(1).write.parquet(f"{folder}/part={k}")
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{folder}/part=*"))
+    return _ticks(stream, ev.schema["ts"].dataType)
+
+
 def q_stream_daily_ohlcv(spark, sf_dir):
     out, ckpt = bs.scratch_paths(spark, "stream_daily_ohlcv")
     bs.run_available(bs.stream_daily_ohlcv(_tick_stream(spark, sf_dir), LATENESS), out, ckpt)
@@ -40,7 +65,7 @@ def q_stream_daily_ohlcv(spark, sf_dir):
 def q_incremental_features(spark, sf_dir):
     base, ckpt = bs.scratch_paths(spark, "incremental_features")
     bars_path, feat_path = f"{base}/bars", f"{base}/features"
-    stream = bs.stream_daily_ohlcv(_tick_stream(spark, sf_dir), LATENESS)
+    stream = bs.stream_daily_ohlcv(_arriving(spark, sf_dir, f"{base}/events"), LATENESS)
     bs.run_incremental_features(stream, bars_path, feat_path, ckpt, common.calendar())
     ft = spark.read.parquet(feat_path)
     cols = [c for c in feature_table(spark.read.parquet(bars_path), common.calendar()).columns]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from daycast.sources.raw import PROCESSED_COLUMNS, preprocess, scan_ohlcv_csv
 
@@ -11,14 +12,23 @@ def scan_processed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+BUCKETS = 64          # folders of the feature table, whatever the number of symbols
+BUCKET = "symbol_bucket"
+
+
+def _bucket(symbol):
+    return F.pmod(F.xxhash64(symbol), F.lit(BUCKETS)).cast("int")
+
+
 def scan_features(spark: SparkSession, path: str, columns: list[str] | None = None,
                   symbols: list[str] | None = None) -> DataFrame:
-    """Feature table; a column list prunes the scan, a symbol list prunes
-    partitions (the table is partitioned by symbol)."""
+    """Feature table; a column list prunes the scan, a symbol list prunes the
+    folders of other symbols' buckets."""
     df = spark.read.parquet(path)
     if symbols is not None:
-        df = df.where(df["symbol"].isin(symbols))
-    return df.select(*columns) if columns else df
+        df = df.where(F.col(BUCKET).isin([_bucket(F.lit(x)) for x in symbols])
+                      & F.col("symbol").isin(symbols))
+    return df.select(*columns) if columns else df.drop(BUCKET)
 
 
 def sink_processed(df: DataFrame, path: str) -> None:
@@ -26,9 +36,12 @@ def sink_processed(df: DataFrame, path: str) -> None:
 
 
 def sink_features(df: DataFrame, path: str) -> None:
-    """One folder per symbol: later reads of one series prune the rest."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("symbol").parquet(path))
+    """A fixed number of folders by the symbol's hash, one file each: a read of one
+    series prunes the rest, and many symbols do not make many files. A symbol's
+    bucket is replaced as a whole, so the frame holds all symbols of its buckets."""
+    (df.withColumn(BUCKET, _bucket(F.col("symbol"))).repartition(BUCKET)
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(BUCKET).parquet(path))
 
 
 def sink_cv_metrics(df: DataFrame, path: str) -> None:

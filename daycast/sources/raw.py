@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daycast.functions.values import ntz_from_epoch_micros
 from daycast.sources.schemas import OHLCV_CSV
@@ -14,16 +15,42 @@ PROCESSED_COLUMNS = ["Datetime", "Timestamp", "Open", "High", "Low", "Close", "V
 EPOCH_SECONDS_LIMIT = 1e12
 
 
-def scan_ohlcv_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Minute OHLCV CSV with header; a fixed schema, never inferred."""
-    return spark.read.schema(OHLCV_CSV).option("header", True).csv(path)
+CORRUPT = "_corrupt_record"
+
+
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of the file's header; reads its first line only."""
+    return spark.read.option("header", True).csv(path).columns
+
+
+def scan_ohlcv_csv(spark: SparkSession, path: str, rejects: bool = False):
+    """Minute OHLCV CSV with header, columns taken by name in any order.
+
+    The types are fixed, never inferred; columns beyond the known ones stay text; a
+    missing one raises; every file's header is checked against the first one's. A
+    malformed row fails the read, or with ``rejects`` the result is a pair of good
+    rows and rejected rows (their text in ``_corrupt_record``).
+    """
+    names = csv_header(spark, path)
+    known = {f.name: f.dataType for f in OHLCV_CSV.fields}
+    missing = [c for c in known if c not in names]
+    if missing:
+        raise ValueError(f"the file has no columns {missing}")
+    schema = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in names])
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    if not rejects:
+        return reader.schema(schema).option("mode", "FAILFAST").csv(path)
+    both = reader.schema(schema.add(CORRUPT, T.StringType())).option("mode", "PERMISSIVE") \
+        .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    return both.where(F.col(CORRUPT).isNull()).drop(CORRUPT), \
+        both.where(F.col(CORRUPT).isNotNull())
 
 
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
     """Fail on the driver, without a job, when columns are missing."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing columns: {missing}")
+        raise ValueError(f"columns not found: {missing}")
     return df
 
 
@@ -42,10 +69,18 @@ def check_epoch_unit(df: DataFrame, col: str = "Timestamp") -> DataFrame:
     """
     row = epoch_unit_check(df, col).first()
     if row is not None and not row["is_seconds"]:
-        raise ValueError(f"The '{col}' column appears to be in milliseconds, not seconds.")
+        raise ValueError(f"{col} holds milliseconds, seconds are needed")
     return df
 
 
+def epoch_seconds(df: DataFrame, col: str = "Timestamp") -> DataFrame:
+    """The same check inside the projection: a value in milliseconds fails the job
+    that reads it, so no pass of its own is needed."""
+    v = F.col(col).cast("double")
+    return df.withColumn(col, F.when(v > EPOCH_SECONDS_LIMIT, F.raise_error(F.lit(
+        f"{col} holds milliseconds, seconds are needed")).cast("double")).otherwise(v))
+
+
 def epoch_to_ts(df: DataFrame, col: str = "Timestamp", out: str = "Datetime") -> DataFrame:
     """Epoch seconds (possibly fractional) to a zone-free timestamp."""
     micros = F.round(F.col(col).cast("double") * F.lit(1_000_000)).cast("long")
@@ -60,8 +95,7 @@ def select_required(df: DataFrame) -> DataFrame:
 def preprocess(df: DataFrame) -> DataFrame:
     """Raw minute frame → processed frame (checks, Datetime, fixed columns)."""
     require_columns(df, ["Timestamp"])
-    check_epoch_unit(df)
-    return select_required(epoch_to_ts(df))
+    return select_required(epoch_to_ts(epoch_seconds(df)))
 
 
 def processed_to_ticks(df: DataFrame, symbol: str = "SERIES") -> DataFrame:

@@ -51,7 +51,9 @@ FORECAST_ROW = T.StructType([
 
 # Uploaded payload: rows nested in one record, exploded on read.
 FORECAST_PAYLOAD = T.StructType([
+    T.StructField("symbol", T.StringType()),
     T.StructField("model", T.StringType()),
+    T.StructField("run_date", T.StringType()),
     T.StructField("horizon", T.IntegerType()),
     T.StructField("params", T.MapType(T.StringType(), T.StringType())),
     T.StructField("force", T.BooleanType()),

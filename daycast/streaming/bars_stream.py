@@ -5,15 +5,15 @@ feature refresh per micro-batch.
   with a watermark; append mode emits a day once the watermark passes its
   end, so late ticks up to the allowed lateness still land in their day.
 * ``incremental_features`` — ``foreachBatch``: each batch's new days get
-  their feature rows from the stored look-back of the touched symbols only
-  (180 rows), written per epoch so replays are idempotent.
+  their feature rows from a state of one row per symbol (rows seen, last 180
+  bars), written per epoch so replays are idempotent.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
@@ -68,43 +68,65 @@ def scratch_paths(spark: SparkSession, name: str) -> tuple[str, str]:
 
 
 LOOKBACK = max(RETURN_PERIODS)   # rows of history the widest feature needs
+BAR_NAMES = ["symbol", "Date", "Open", "High", "Low", "Close", "Volume"]
 
 
-def incremental_feature_rows(history: DataFrame, new_bars: DataFrame, calendar,
+def series_state(bars: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(symbol, n, tail): rows seen of each symbol and its last LOOKBACK bars.
+
+    ``before`` is the state the bars are added to; symbols without new bars keep
+    theirs. A row is bounded by LOOKBACK, whatever the history.
+    """
+    bar = F.struct(*BAR_NAMES[1:])
+    new = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.collect_list(bar).alias("tail"))
+    if before is not None:
+        new = before.unionByName(new).groupBy("symbol").agg(
+            F.sum("n").alias("n"), F.flatten(F.collect_list("tail")).alias("tail"))
+    newest = F.reverse(F.sort_array("tail"))
+    return new.select("symbol", "n", F.sort_array(F.slice(newest, 1, LOOKBACK)).alias("tail"))
+
+
+def incremental_feature_rows(state: DataFrame | None, new_bars: DataFrame, calendar,
                              fill: float = 0.0) -> DataFrame:
-    """Feature rows for the days of ``new_bars`` only, from the last
-    LOOKBACK stored rows of each touched symbol (exact: no feature looks
-    further back). ``trend`` keeps counting from the stored history through
-    a per-symbol offset, so the rows equal a full recompute."""
+    """Feature rows for the days of ``new_bars`` only, from the state of the touched
+    symbols (exact: no feature looks further back). ``trend`` keeps counting from the
+    rows seen before, so the rows equal a full recompute."""
+    if state is None:
+        return feature_table(new_bars.select(*BAR_NAMES), calendar, fill)
     first_new = new_bars.groupBy("symbol").agg(F.min("Date").alias("_first_new"))
-    before = (history.join(first_new, "symbol")          # touched symbols only
-                     .where(F.col("Date") < F.col("_first_new")))
-    by_symbol = Window.partitionBy("symbol")
-    newest_first = by_symbol.orderBy(F.col("Date").desc())
-    tail = (before.withColumn("_r", F.row_number().over(newest_first))
-                  .withColumn("_n_before", F.count(F.lit(1)).over(by_symbol))
-                  .where(F.col("_r") <= LOOKBACK))
-    offsets = tail.groupBy("symbol").agg(
-        (F.max("_n_before") - F.count(F.lit(1))).alias("_offset"))
-    cols = ["symbol", "Date", "Open", "High", "Low", "Close", "Volume"]
-    frame = tail.select(*cols).unionByName(new_bars.select(*cols))
-    ft = feature_table(frame, calendar, fill)
-    return (ft.join(first_new, "symbol")
-              .where(F.col("Datetime") >= F.col("_first_new"))
-              .join(offsets, "symbol", "left")
+    touched = state.join(first_new, "symbol")
+    old = touched.select("symbol", F.explode("tail").alias("b")).select("symbol", "b.*")
+    ft = feature_table(old.select(*BAR_NAMES).unionByName(new_bars.select(*BAR_NAMES)), calendar, fill)
+    offset = touched.select("symbol", (F.col("n") - F.size("tail")).alias("_offset"))
+    return (ft.join(first_new, "symbol").where(F.col("Datetime") >= F.col("_first_new"))
+              .join(offset, "symbol", "left")
               .withColumn("trend", F.col("trend") + F.coalesce(F.col("_offset"), F.lit(0)))
               .drop("_first_new", "_offset"))
 
 
-def incremental_features(bars_path: str, features_path: str, calendar, fill: float = 0.0):
-    """foreachBatch handler: store the batch's bars, then compute feature
-    rows for the new days only (with the look-back of each touched symbol).
+def _last_epoch(spark: SparkSession, path: str, before: int) -> int | None:
+    """Newest committed ``epoch=<id>`` folder older than this epoch."""
+    fs, p, jvm = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    ids = [int(n.split("=")[1]) for n in (s.getPath().getName() for s in fs.listStatus(p))
+           if n.startswith("epoch=")]
+    done = [i for i in ids if i < before and
+            fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/epoch={i}/_SUCCESS"))]
+    return max(done, default=None)
+
+
+def incremental_features(bars_path: str, features_path: str, calendar, fill: float = 0.0,
+                         state_path: str | None = None):
+    """foreachBatch handler: feature rows for the batch's days from a small state.
 
-    Idempotent under retries: a micro-batch writes its bars and its feature
-    rows to its own ``epoch=<id>`` folders in overwrite mode, so a replayed
-    epoch replaces its earlier attempt instead of appending twice. Readers
-    see the union of all epochs.
+    Idempotent under retries: a micro-batch writes its bars, its feature rows and
+    the state after it to its own ``epoch=<id>`` folders in overwrite mode, reading
+    only the state of the epoch before, so a replayed epoch replaces its earlier
+    attempt. What a batch reads is bounded by the number of symbols, not by the
+    history. Readers see the union of all epochs' bars and feature rows.
     """
+    state_path = state_path or f"{features_path}_state"
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
@@ -112,14 +134,12 @@ def incremental_features(bars_path: str, features_path: str, calendar, fill: flo
         try:
             if batch.isEmpty():
                 return
-            fs, p, _ = _fs(spark, bars_path)
-            stored = (spark.read.parquet(bars_path).where(F.col("epoch") != epoch_id)
-                      .drop("epoch") if fs.exists(p) else None)
-            rows = (incremental_feature_rows(stored, batch, calendar, fill) if stored is not None
-                    else feature_table(batch, calendar, fill))
-            (rows.write.mode("overwrite").partitionBy("symbol")
-                 .parquet(f"{features_path}/epoch={epoch_id}"))
+            last = _last_epoch(spark, state_path, epoch_id)
+            state = None if last is None else spark.read.parquet(f"{state_path}/epoch={last}")
+            incremental_feature_rows(state, batch, calendar, fill).write.mode("overwrite") \
+                .parquet(f"{features_path}/epoch={epoch_id}")
             batch.write.mode("overwrite").parquet(f"{bars_path}/epoch={epoch_id}")
+            series_state(batch, state).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch_id}")
         finally:
             batch.unpersist()
 

@@ -89,3 +89,97 @@ def test_versioned_store_roundtrip(spark, tmp_dir):
     assert st.latest_version(spark, f"{base}/current/model=m").endswith("v000002")
     assert st.scan_current(spark, base).count() == 5 + 4   # k keeps targets after its run date
     assert st.scan_runs(spark, base).count() == 2
+
+
+def frame(spark, n=5, model="m", run=D(2024, 1, 1)):
+    return spark.createDataFrame(
+        [("S", model, run, run + dt.timedelta(days=i + 1), float(i)) for i in range(n)],
+        "symbol string, model string, run_date date, target_date date, prediction double")
+
+
+def test_a_half_written_version_is_passed_over(spark, tmp_dir):
+    import os
+    base = f"{tmp_dir}/store"
+    st.save_run(spark, base, frame(spark), 5)
+    os.makedirs(f"{base}/current/model=m/v000002")          # a crash before _SUCCESS
+    os.makedirs(f"{base}/runs/v000010")
+    paths, index = st.save_run(spark, base, frame(spark, run=D(2024, 1, 2)), 5)
+    assert paths == [f"{base}/current/model=m/v000003"] and index == f"{base}/runs/v000011"
+    assert st.scan_runs(spark, base).count() == 2
+
+
+def test_versions_are_numbers_and_old_ones_go(spark, tmp_dir):
+    import os
+    df = spark.range(1)
+    os.makedirs(f"{tmp_dir}/t/v1000000")
+    assert st.sink_atomic(df, f"{tmp_dir}/t").endswith("/v1000001")
+    for _ in range(4):
+        st.sink_atomic(df, f"{tmp_dir}/t", keep=2)
+    assert sorted(os.listdir(f"{tmp_dir}/t")) == ["v1000004", "v1000005"]
+    assert st.latest_version(spark, f"{tmp_dir}/t").endswith("/v1000005")
+
+
+def test_the_forecast_is_computed_once_and_not_for_a_refused_duplicate(spark, tmp_dir):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    two = frame(spark).unionByName(frame(spark, model="k"))
+    slow = two.mapInArrow(counted, two.schema)
+    st.save_run(spark, f"{tmp_dir}/s", slow, 5, keys=[("S", "m", D(2024, 1, 1)), ("S", "k", D(2024, 1, 1))])
+    assert seen.value == 10
+    with pytest.raises(FileExistsError):
+        st.save_run(spark, f"{tmp_dir}/s", slow, 5, keys=[("S", "m", D(2024, 1, 1))])
+    assert seen.value == 10
+
+
+def test_payloads_into_the_store(spark, tmp_dir):
+    from daycast.sources.schemas import FORECAST_PAYLOAD
+    row = lambda d, p: (d, p)
+    one = ("S", "m", "2024-01-01", 2, {"a": "1"}, None, [row("2024-01-02", 1.0), row("2024-01-03", 2.0)])
+    df = lambda *r: spark.createDataFrame(list(r), FORECAST_PAYLOAD)
+    base = f"{tmp_dir}/s"
+    st.save_payloads(spark, base, df(one))
+    run = st.scan_runs(spark, base).first()
+    assert (run.symbol, run.horizon, run.rows_count, run.params) == ("S", 2, 2, {"a": "1"})
+    with pytest.raises(FileExistsError):
+        st.save_payloads(spark, base, df(one))
+    forced = (*one[:5], True, [row("2024-01-02", 9.0)])
+    st.save_payloads(spark, base, df(forced))
+    assert {r.prediction for r in st.scan_current(spark, base).collect()} >= {9.0}
+    with pytest.raises(Exception, match="payload without rows: S m"):
+        st.explode_payloads(df((*one[:6], []))).collect()
+
+
+def test_rows_to_frame_takes_whole_numbers(spark):
+    got = st.rows_to_frame(spark, [{"target_date": "2024-01-02", "prediction": 5},
+                                   {"target_date": D(2024, 1, 3), "prediction": 1.5}]).collect()
+    assert [(r.target_date, r.prediction) for r in got] == [(D(2024, 1, 2), 5.0), (D(2024, 1, 3), 1.5)]
+    for bad in ([], [{"target_date": "2024-01-02"}], [{"target_date": "2024-01-02", "prediction": "x"}]):
+        with pytest.raises(ValueError):
+            st.rows_to_frame(spark, bad)
+
+
+def test_absent_tables_are_stale(spark):
+    series = spark.createDataFrame([("A",), ("B",)], "symbol string")
+    assert [r.stale for r in st.is_stale(None, D(2024, 1, 2), series=series).collect()] == [True, True]
+    bars = spark.createDataFrame([("A", D(2024, 1, 1))], "symbol string, Date date")
+    assert {r.symbol: r.stale for r in st.is_stale(bars, D(2024, 1, 2), series=series).collect()} == \
+        {"A": False, "B": True}
+    empty = bars.limit(0)
+    assert {r.stale for r in st.is_stale(empty, D(2024, 1, 2), series=series).collect()} == {True}
+    with pytest.raises(ValueError):
+        st.is_stale(None, D(2024, 1, 2))
+
+
+def test_text_forms(spark):
+    df = spark.createDataFrame([(D(2024, 2, 9), 7, 2.5, {"b": "1", "a": "2"}, {"b": "9"}),
+                                (None, None, None, None, None)],
+                               "d date, n int, x double, p map<string,string>, q map<string,string>")
+    out = df.select(st.day_text(F.col("d")).alias("d"), st.number_text(F.col("n")).alias("n"),
+                    st.number_text(F.col("x"), 2).alias("x"),
+                    st.params_json(st.merge_params(F.col("p"), F.col("q"))).alias("j")).collect()
+    assert tuple(out[0]) == ("2024-02-09", "7", "2.50", '{"a":"2","b":"9"}')
+    assert out[1].d is None and out[1].n is None and out[1].j == "{}"

@@ -78,3 +78,33 @@ def test_late_ticks_within_lateness_are_kept(spark, tmp_dir):
     assert got[dt.date(2024, 1, 1)] == 10.0            # the too-late tick changed nothing
     assert got[dt.date(2024, 1, 3)] == 30.0
     assert dt.date(2024, 1, 4) in got and dt.date(2024, 1, 6) not in got   # Jan 6 still open
+
+
+def test_every_batch_after_the_first_reads_a_bounded_state(spark, tmp_dir, monkeypatch):
+    import datetime as dt
+    from daycast.plans import common
+    from daycast.streaming import bars_stream as bs
+    bars = common.bars(spark, SMALL).cache()
+    calls = []
+    plain = bs.incremental_feature_rows
+    monkeypatch.setattr(bs, "incremental_feature_rows",
+                        lambda state, *a, **k: calls.append(state) or plain(state, *a, **k))
+    handle = bs.incremental_features(f"{tmp_dir}/b", f"{tmp_dir}/f", common.calendar())
+    edges = [dt.date(1900, 1, 1), dt.date(1994, 1, 1), dt.date(1997, 1, 1), dt.date(2000, 1, 1), dt.date(2100, 1, 1)]
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        handle(bars.where((F.col("Date") >= F.lit(a)) & (F.col("Date") < F.lit(b))), k)
+    assert calls[0] is None and all(c is not None for c in calls[1:])
+    for k in range(1, 4):
+        state = spark.read.parquet(f"{tmp_dir}/f_state/epoch={k}")
+        assert state.agg(F.max(F.size("tail"))).first()[0] <= bs.LOOKBACK
+        assert state.count() == bars.select("symbol").distinct().count()
+
+
+def test_the_registered_query_runs_in_several_batches(spark, monkeypatch):
+    from daycast.streaming import bars_stream as bs
+    states = []
+    plain = bs.incremental_feature_rows
+    monkeypatch.setattr(bs, "incremental_feature_rows",
+                        lambda state, *a, **k: states.append(state) or plain(state, *a, **k))
+    assert streams_q.q_incremental_features(spark, SMALL).count() > 0
+    assert len(states) >= 3 and sum(s is not None for s in states) >= 2
