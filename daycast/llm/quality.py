@@ -112,10 +112,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int = 3, held:
     y = F.col(label).cast("int").alias("y")
     ids = (labels.select("doc_id", y).where(F.col("y").isin(0, 1) & (fold("doc_id", mod) != held))
            .groupBy("doc_id").agg(F.max("y").alias("y")))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    parts = [ids.where(f"y = {c}").orderBy(*order).limit(rows) for c in (0, 1)] if per_class \
-        else [ids.orderBy(*order).limit(rows)]
-    picked = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    sizes = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
+    h = F.xxhash64("doc_id")
+
+    def smallest(part: DataFrame, n: int) -> DataFrame:
+        """The ``rows`` smallest hashes; of many more, a bound on the hash first keeps
+        the candidates few (half as many again as wanted), in all partitions together."""
+        if n > 2 * rows:
+            part = part.where(h < int(-2 ** 63 + 1.5 * rows / n * 2 ** 64))
+        return part.orderBy(h, "doc_id").limit(rows)
+
+    picked = smallest(ids, sum(sizes.values())) if not per_class else smallest(
+        ids.where("y = 0"), sizes.get(0, 0)).unionByName(smallest(ids.where("y = 1"), sizes.get(1, 0)))
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
