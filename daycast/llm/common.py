@@ -345,6 +345,20 @@ def bitmap(rows: DataFrame, h, least_bits: int = 1 << 20, most_bits: int = 1 <<
     return out.view(np.uint64), test
 
 
+def only_ids(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, text) of the rows of ``docs`` with a wanted key, and of few others: a
+    bitmap of bounded size keeps most other texts out of a later join's shuffle."""
+    held, test = bitmap(wanted, F.xxhash64(key))
+    sent = docs.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        for b in batches:
+            h = b.column("h").to_numpy().view(np.uint64)
+            yield b.select([key, "text"]).filter(pa.array(test(sent.value, h)))
+    return (docs.select(F.col(key).cast("long").alias(key), "text").where(f"{key} is not null")
+            .withColumn("h", F.xxhash64(key)).mapInArrow(run, f"{key} long, text string"))
+
+
 def lists(values: np.ndarray, lengths) -> pa.Array:
     """Arrow list column of consecutive runs of ``values``."""
     offsets = np.zeros(len(lengths) + 1, np.int32)

@@ -3,12 +3,15 @@
 Two texts link when 100 * |A n B| >= 80 * |A u B| for their sets of distinct
 5-word shingles (64-bit hashes; a shorter text is one shingle). Steps:
 
-1. Shingle counts over the whole corpus name the common shingles. They only fix
-   an order of all shingles (uncommon first, then by hash): any order gives the
-   same result, a good one keeps shared passages from tying texts together.
-2. Equal sets form a class. Of every class the first n - ceil(0.8 n) + 1
-   shingles in that order are kept: linked classes share one of them (prefix
-   filter). Classes sharing one fall into one block (a star per shingle,
+1. Equal sets form a class. Every class posts its shingles with a hash below
+   ``SHARE`` of all (and further ones in order, up to its prefix length, if these
+   are fewer). In a stream sorted by shingle, each learns in how many classes it
+   occurs. Ordered by this count (the rest after them by hash), the first n -
+   ceil(0.8 n) + 1 shingles of a class are its prefix: linked classes share a
+   shingle of both prefixes (prefix filter). Shingles of one class only cannot be
+   shared, so a class with enough of them is done; passages that many texts
+   share come last and rarely count.
+2. Classes sharing a prefix shingle fall into one block (a star per shingle,
    streamed from a sorted shuffle, then connected components).
 3. Blocks are dealt into chunks of bounded weight by size class and hash. In a
    chunk, a signature tree over the classes (leaves ordered by size, nodes
@@ -37,13 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daycast.llm.common import Words, arrow_map, cut, lists, most_frequent, shingles, signed
+from daycast.llm.common import (Words, arrow_map, cut, only_ids, run_starts, shingles, signed,
+                                whole_runs)
 from daycast.llm.graph import UnionFind, components
 
 WIDTH = 5                 # words of a shingle
 PERCENT = 80              # least similarity
-HOT_COUNT = 8             # a shingle in so many texts is common ...
-HOT_SHINGLES = 1 << 19    # ... and at most so many, the most frequent, are ordered last
+SHARE = 0.28              # of all hash values: shingles whose classes are counted
+MOST_COUNT = 500          # counts beyond are alike, so a stream holds no more rows
 CHUNK_WEIGHT = 1_500_000  # shingles of one chunk (a class weighs 500 at least)
 LEAST_WEIGHT = 500
 FAN_OUT = 8
@@ -201,45 +205,98 @@ def link_group(members: list[np.ndarray], side: np.ndarray, labels: np.ndarray,
     return [(int(names[k]), int(names[r])) for k, r in enumerate(roots) if k != r]
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the most frequent shingles, of those that can be in a prefix.
+def posted(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """(shingles to post, how many of the counted ones may be of this class alone
+    for it to link at all, less one)."""
+    length = len(s) - need(len(s), percent) + 1 if len(s) else 0
+    counted = int(np.searchsorted(s, np.uint64(int(SHARE * 2 ** 64))))
+    return s[:max(counted, length)] if len(s) else s, length - counted
 
-    Counts cover every text; of each the 30 % (and 8) smallest hashes, which hold
-    the prefixes of texts with few common shingles. At most ``HOT_SHINGLES`` come
-    to the driver.
-    """
-    def low(batch: pa.RecordBatch) -> dict:
-        got = [s[:len(s) * 3 // 10 + 8] for s in sets(batch.column("text"))]
-        token, n = np.unique(np.concatenate(got), return_counts=True)
-        return {"token": signed(token), "n": n.astype(np.int32)}
 
-    counted = (arrow_map(docs.select("text"), low, "token long, n int")
-               .groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT))
-    top = most_frequent(counted, "token", "n", HOT_SHINGLES)
-    return np.sort(top.token.to_numpy(np.int64).view(np.uint64))
+def digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, cls) of every row."""
+    def rows(batch: pa.RecordBatch) -> dict:
+        got = sets(batch.column("text"))
+        return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in got],
+                "cls": signed(np.fromiter(map(class_key, got), np.uint64, len(got)))}
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows,
+                     "doc_id long, n long, cls long")
 
 
-def prefix(s: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    k = len(s) - need(len(s), percent) + 1 if len(s) else 0
-    if not len(hot) or not k:
-        return s[:k]
-    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-    common = hot[at] == s
-    cold = s[~common]
-    return cold[:k] if len(cold) >= k else np.concatenate([cold, s[common][:k - len(cold)]])
+def _postings(docs: DataFrame, percent: int) -> DataFrame:
+    """(token, cls, spare) of every posted shingle; ids may be null."""
+    def rows(batch: pa.RecordBatch) -> dict:
+        got = sets(batch.column("text"))
+        post = [posted(s, percent) for s in got]
+        n = [len(p) for p, _ in post]
+        return {"token": signed(np.concatenate([p for p, _ in post])),
+                "cls": np.repeat(signed(np.fromiter(map(class_key, got), np.uint64, len(got))), n),
+                "spare": np.repeat([s for _, s in post], n).astype(np.int32)}
+    return arrow_map(docs.where("doc_id is not null").select("text"), rows,
+                     "token long, cls long, spare int")
 
 
-def _digests(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
+def _shared(postings: DataFrame) -> DataFrame:
+    """(cls, spare, token, n) of shingles posted by several classes, n of them."""
+    def run(batches):
+        names = ("token", "cls", "spare")
+        held, flushed = None, False          # rows of the last shingle; whether some left already
 
-    def rows(batch: pa.RecordBatch) -> dict:
-        got = sets(batch.column("text"))
-        pre = [prefix(s, sent.value) for s in got]
-        return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in got],
-                "cls": signed(np.fromiter(map(class_key, got), np.uint64, len(got))),
-                "prefix": lists(signed(np.concatenate(pre)), [len(p) for p in pre])}
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows,
-                     "doc_id long, n long, cls long, prefix array<long>")
+        def rows(t, c, s, n):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (c, s, t, n.astype(np.int32))],
+                                              names=["cls", "spare", "token", "n"])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t, c, s = (b.column(k).to_numpy() for k in names)
+            if held is not None:
+                t, c, s = (np.concatenate([h, x]) for h, x in zip(held, (t, c, s)))
+            once = np.ones(len(t), bool)
+            once[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+            t, c, s = t[once], c[once], s[once]
+            start = run_starts(t)
+            n = np.diff(np.append(start, len(t)))
+            if flushed:                      # its first row is only there to tell repeats
+                n[0] += MOST_COUNT
+            out = np.repeat(np.minimum(n, MOST_COUNT), np.diff(np.append(start, len(t))))
+            good = out > 1
+            if flushed:
+                good[0] = False
+            last = start[-1]
+            if len(t) - last >= MOST_COUNT or (flushed and last == 0):
+                held, flushed = (t[-1:], c[-1:], s[-1:]), True
+            else:
+                good[last:] = False
+                held, flushed = (t[last:], c[last:], s[last:]), False
+            if good.any():
+                yield rows(t[good], c[good], s[good], out[good])
+        if held is not None and not flushed and len(held[0]) > 1:
+            yield rows(*held, np.full(len(held[0]), len(held[0])))
+    return (postings.repartition("token").sortWithinPartitions("token", "cls")
+            .mapInArrow(run, "cls long, spare int, token long, n int"))
+
+
+def _prefixes(shared: DataFrame) -> DataFrame:
+    """(token, cls) of the prefix shingles that other classes posted too."""
+    edge = int(SHARE * 2 ** 64)
+
+    def run(batches):
+        for got in whole_runs(batches, "cls"):
+            start = run_starts(got["cls"])
+            size = np.diff(np.append(start, len(got["cls"])))
+            late = got["token"].view(np.uint64) >= np.uint64(edge)
+            counted = np.add.reduceat(~late, start, dtype=np.int64)
+            # prefix length, less the counted shingles of this class alone
+            left = np.repeat(got["spare"][start] + counted, size)
+            keep = (np.arange(len(late)) - np.repeat(start, size) < left) | late & (left > 0)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(got[k][keep]) for k in ("token", "cls")], names=["token", "cls"])
+    late = F.expr(f"case when token >= 0 and token < {edge} then 0 else 1 end") if edge < 2 ** 63 \
+        else F.expr(f"case when token >= 0 or token < {edge - 2 ** 64} then 0 else 1 end")
+    return (shared.withColumn("late", late).repartition("cls")
+            .sortWithinPartitions("cls", "late", "n", "token").drop("late")
+            .mapInArrow(run, "token long, cls long"))
 
 
 def _stars(postings: DataFrame) -> DataFrame:
@@ -312,11 +369,11 @@ def _own_text(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def link_classes(docs: DataFrame, digests: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id, component) of every class that links with another class."""
-    postings = digests.select("cls", F.explode("prefix").alias("token"))
-    blocks = components(_stars(postings))                       # id = class, component = block
-    first = (digests.where("n > 0 and doc_id is not null").groupBy("cls")
+def link_classes(docs: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(id, component) of every class that links with another class; ``found`` are
+    the digests of ``docs``."""
+    blocks = components(_stars(_prefixes(_shared(_postings(docs, percent)))))   # id = class
+    first = (found.where("n > 0 and doc_id is not null").groupBy("cls")
              .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
     size = F.floor(F.log("n") / float(np.log(100 / percent))).alias("size")
     member = blocks.select(F.col("id").alias("cls"), F.col("component").alias("block")) \
@@ -329,7 +386,7 @@ def link_classes(docs: DataFrame, digests: DataFrame, percent: int = PERCENT) ->
             F.col("size") * 1_000_000 + F.pmod(F.xxhash64("cls"), F.ceil(F.col("part") / CHUNK_WEIGHT))))
     many = F.col("total") > CHUNK_WEIGHT
     member = cut(member.select("doc_id", "cls", "block", "chunk", "size", "weight", many.alias("many")))
-    held = cut(_own_text(member.join(docs.select("doc_id", "text"), "doc_id")))
+    held = cut(_own_text(member.join(only_ids(docs, member), "doc_id")))
     side = F.lit(0).alias("side")
     links = cut(_grouped(held.select("block", "chunk", side, F.col("cls").alias("label"), "text"),
                          ["block", "chunk"], percent))
@@ -366,9 +423,9 @@ def _by(*keys: str):
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    digests = cut(_digests(docs, common_shingles(docs)))
-    linked_classes = link_classes(docs, digests, percent)
-    rows = digests.select("doc_id", F.col("n").alias("n_shingles"), "cls")
+    found = cut(digests(docs))
+    linked_classes = link_classes(docs, found, percent)
+    rows = found.select("doc_id", F.col("n").alias("n_shingles"), "cls")
     some = (rows.where("n_shingles > 0")
             .join(linked_classes.withColumnRenamed("id", "cls"), "cls", "left")
             .withColumn("part", F.coalesce("component", "cls")))
