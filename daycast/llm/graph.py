@@ -1,9 +1,11 @@
 """Connected components of an edge table, by alternating star contractions.
 
-Every round shrinks the graph in two grouped minima with map-side combining
-(large star, then small star); a vertex with very many neighbours is a plain
-equi-join key, which adaptive execution splits. Rounds are cut in the shared
-checkpoint folder. Nothing but two numbers per round reaches the driver.
+First every batch of edges is reduced to a forest. A graph of at most ``SMALL``
+edges (counted, so the task's memory is bounded) is finished by one union-find in
+one task; beyond that, every round shrinks the graph in two grouped minima with
+map-side combining (large star, then small star); a vertex with very many
+neighbours is a plain equi-join key there, which adaptive execution splits. Rounds
+are cut in the shared checkpoint folder. Nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 from daycast.llm.common import cut
 
 
+SMALL = 1_000_000
+
+
 class UnionFind:
     """Disjoint sets over 0..n-1; the root is the smallest member."""
 
@@ -51,15 +56,23 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[keep], ids[roots[keep]]
 
 
-def _contract(edges: DataFrame) -> DataFrame:
-    """Batchwise forests: fewer edges with the same components."""
+def _contract(edges: DataFrame, whole: bool = False) -> DataFrame:
+    """Forests of the batches, or of a task's whole share: fewer edges, same components."""
     def run(batches):
+        if whole:
+            held = [b for b in batches if b.num_rows]
+            batches = [pa.Table.from_batches(held).combine_chunks().to_batches()[0]] if held else []
         for b in batches:
             u, v = forest(b.column("u").to_numpy(), b.column("v").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
     return edges.mapInArrow(run, "u long, v long")
 
 
+def _named(e: DataFrame) -> DataFrame:
+    return (e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            .unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest vertex reachable, for every vertex of an edge.
 
@@ -67,7 +80,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = (edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
          .where("u is not null and v is not null and u <> v"))
-    e = cut(_contract(e).distinct())
+    e = cut(_contract(e))
+    if e.count() <= SMALL:
+        return _named(cut(_contract(e.coalesce(1), whole=True)))
+    e = cut(e.distinct())
     state = None
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -82,5 +98,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state is not None and tuple(now) == state:
             break
         state = tuple(now)
-    return (e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-            .unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
+    return _named(e)
