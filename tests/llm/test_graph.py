@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from daycast.llm import graph
 
@@ -20,7 +21,9 @@ def brute(edges):
     return {x: find(x) for x in up}
 
 
-def test_components_of_random_chains_and_stars(spark):
+@pytest.mark.parametrize("small", [0, graph.SMALL])
+def test_components_of_random_chains_and_stars(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)]
     edges += [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]
