@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from daycast.functions import calendar as cal_fn
 from daycast.functions.values import iso_weekday
-from daycast.functions.windows import (lag_n, period_return, rolling_mean, rolling_std,
-                                       series_window, trend_index)
+from daycast.functions.windows import lag_n, period_return, rolling_mean, rolling_std
 
 # Column families and window sizes of the feature table.
 PRICE_COLS = ["Open", "High", "Low", "Close"]
