@@ -17,8 +17,8 @@ are joined in page order by line feeds.
 
 Cases: null and empty html give an empty text; a null or odd url is a host of
 its own text; text before any tag is a block; unclosed or stray tags are
-tolerated, what is open at the end is closed; equal page_ids are told apart by
-the row; repeated pages count as pages; an empty table gives an empty result;
+tolerated, what is open at the end is closed; rows of equal page_id are pages of
+their own; repeated pages count as pages; an empty table gives an empty result;
 other columns are neither read nor returned.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daycast.llm.common import arrow_map, cut, hash64, signed
+from daycast.llm.common import arrow_map, bitmap, cut, hash64, signed
 
 MIN_PAGES = 3
 MIN_SHARE = 0.005
@@ -60,14 +60,15 @@ NAMES = frozenset(
     "masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login search share sharing social related recommended "
     "recommendations comment comments respond replies disqus discussion widget complementary "
-    "contentinfo dialog form skip".split())
+    "contentinfo dialog form skip disclaimer copyright legal privacy announcement trending popular "
+    "promoted sidenav subnav submenu rail".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 
@@ -82,10 +83,10 @@ class _Element:
 def named_aside(attributes: str, article: bool = False) -> bool:
     """A class, id or role names what is no main text (an article may have a header)."""
     for groups in _NAMED.findall(attributes):
-        for word in "".join(groups).lower().replace("_", "-").split():
-            if any(p in NAMES and not (article and p in ("header", "masthead"))
-                   for p in _WORDS.findall(word)):
-                return True
+        named = "".join(groups)
+        words = {w.lower() for w in _WORDS.findall(named)} | set(re.findall("[a-z]+", named.lower()))
+        if words & NAMES - ({"header", "masthead"} if article else set()):
+            return True
     return False
 
 
@@ -207,28 +208,36 @@ def host(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].rsplit("@", 1)[-1].lower() or url
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, texts, around, subtrees): the main-text candidates of every page."""
+def candidates(html: str | None) -> tuple[list[str], list[list[int]], list[int]]:
+    """(texts, subtrees around each, all subtrees) of a page's main-text candidates."""
+    blocks, subtrees = parse(html or "")
+    if any(b[1] for b in blocks):
+        blocks = [b for b in blocks if b[1]]
+    marks = signed(np.array(subtrees, np.uint64)).tolist()
+    return [b[0] for b in blocks], [[marks[k] for k in b[2] if marks[k]] for b in blocks], \
+        sorted({m for m in marks if m})
+
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    """Rows named by a hash of all they hold: equal pages share a name and a fate."""
+    return (pages.select(F.col("page_id").cast("long").alias("page_id"),
+                         F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+            .withColumn("key", F.xxhash64("page_id", "url", "html")))
+
+
+def structure(pages: DataFrame) -> DataFrame:
+    """(key, host, subtrees, around) of every page: its subtrees, and those of them
+    that hold a main-text candidate; no texts."""
     def rows(batch: pa.RecordBatch) -> dict:
-        out: dict = {c: [] for c in ("host", "texts", "around", "subtrees")}
-        for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            blocks, subtrees = parse(html or "")
-            if any(b[1] for b in blocks):
-                blocks = [b for b in blocks if b[1]]
-            marks = signed(np.array(subtrees, np.uint64)).tolist()
-            out["host"].append(host(url))
-            out["texts"].append([b[0] for b in blocks])
-            out["around"].append([[marks[k] for k in b[2] if marks[k]] for b in blocks])
-            out["subtrees"].append(sorted({m for m in marks if m}))
-        return {"page_id": batch.column("page_id"), "url": batch.column("url")} | out
-    return arrow_map(pages.select(F.col("page_id").cast("long").alias("page_id"),
-                                  F.col("url").cast("string").alias("url"), "html"), rows,
-                     "page_id long, url string, host string, texts array<string>, "
-                     "around array<array<long>>, subtrees array<long>")
+        got = [candidates(h) for h in batch.column("html").to_pylist()]
+        return {"key": batch.column("key"), "host": [host(u) for u in batch.column("url").to_pylist()],
+                "subtrees": [g[2] for g in got],
+                "around": [sorted({m for ms in g[1] for m in ms}) for g in got]}
+    return arrow_map(_keyed(pages), rows, "key long, host string, subtrees array<long>, around array<long>")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree) recurring across many pages of its host; from ``parsed`` rows."""
+    """(host, subtree) recurring across many pages of its host; from ``structure`` rows."""
     size = pages.groupBy("host").agg(F.count("*").alias("pages"))
     seen = (pages.select("host", F.explode("subtrees").alias("subtree"))
             .groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
@@ -237,15 +246,41 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of ``pages``."""
-    rows = cut(parsed(pages).withColumn("row", F.monotonically_increasing_id()))
-    found = templates(rows)
-    # only subtrees around a candidate block can change a text
-    around = rows.select("row", "host", F.explode(F.array_distinct(F.flatten("around"))).alias("subtree"))
-    gone = (around.join(found, ["host", "subtree"]).groupBy("row")
-            .agg(F.collect_list("subtree").alias("gone")))
-    kept = F.expr("transform(filter(arrays_zip(texts, around), "
-                  "b -> gone is null or not arrays_overlap(b.around, gone)), b -> b.texts)")
-    text = F.array_join(kept, "\n").alias("text")
-    return (rows.select("row", "page_id", "url", "texts", "around").join(gone, "row", "left")
-            .select("page_id", "url", text).withColumn("n_chars", F.char_length("text").cast("long")))
+    """(page_id, url, text, n_chars) of every row of ``pages``.
+
+    Pages are read twice: for the counts, and for the texts. Only pages that hold a
+    template around a candidate (found by a bitmap of bounded size) are joined with
+    the templates to delete.
+    """
+    rows = cut(structure(pages))
+    around = rows.select("key", "host", F.explode("around").alias("subtree")).distinct()
+    gone = cut(around.join(templates(rows), ["host", "subtree"]).groupBy("key")
+               .agg(F.collect_list("subtree").alias("gone")))
+    held, test = bitmap(gone, F.col("key"))
+    sent = pages.sparkSession.sparkContext.broadcast(held)
+    schema = "page_id long, url string, text string, n_chars long"
+
+    def out(batch: pa.RecordBatch, texts: list[str]) -> dict:
+        return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts,
+                "n_chars": [len(t) for t in texts]}
+
+    def untouched(batch: pa.RecordBatch) -> dict | None:
+        hit = test(sent.value, batch.column("key").to_numpy().view(np.uint64))
+        batch = batch.filter(pa.array(~hit))
+        return out(batch, ["\n".join(candidates(h)[0]) for h in batch.column("html").to_pylist()])
+
+    def marked(batches):
+        for b in batches:
+            yield b.filter(pa.array(test(sent.value, b.column("key").to_numpy().view(np.uint64))))
+
+    def pruned(batch: pa.RecordBatch) -> dict:
+        texts = []
+        for h, bad in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist()):
+            blocks, around, _ = candidates(h)
+            bad = set(bad or ())
+            texts.append("\n".join(t for t, ms in zip(blocks, around) if bad.isdisjoint(ms)))
+        return out(batch, texts)
+
+    keyed = _keyed(pages)
+    some = keyed.mapInArrow(marked, keyed.schema).join(gone, "key", "left")
+    return arrow_map(keyed, untouched, schema).unionByName(arrow_map(some, pruned, schema))
