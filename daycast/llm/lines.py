@@ -25,64 +25,107 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daycast.llm.common import (arrow_map, cut, hash64, lists, mix, signed, texts,
-                                word_hashes)
+from daycast.llm.common import (_BASE, _INVERSE, Words, _powers, arrow_map, cut, lists, mix,
+                                only_ids, run_starts, signed, texts)
 
 EXACT_WORDS = 3
 NEAR_WORDS = 8
 LAST_ID = np.iinfo(np.int64).max
-_BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-
-
-def split_lines(text: bytes) -> list[bytes]:
-    return text.split(b"\n")
-
-
-def line_key(words: list[bytes]) -> int:
-    return hash64(b" ".join(words))
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.ones(n + 1, np.uint64)
-    out[1:] = np.cumprod(np.full(n, _BASE, np.uint64))
-    return out
-
-
-def run_hash(h: np.ndarray, begin: int, end: int) -> int:
-    """Polynomial hash of the words begin..end-1."""
-    part = h[begin:end]
-    return int((mix(part) * _powers(len(part))[:len(part)]).sum())
+_LENGTH, _SIDE = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x632BE59BD9B4E019)
+
+
+class Sums:
+    """Polynomial hashes of runs of words of lines (first word, number of words)."""
+
+    def __init__(self, h: np.ndarray, first: np.ndarray, n: np.ndarray):
+        self.first, self.n = first, n
+        most = int(n.max(initial=0)) + 2
+        self.power, self.inverse = _powers(_BASE, most), _powers(_INVERSE, most)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        terms = np.zeros(len(h), np.uint64)
+        at = place + np.repeat(first, n)
+        terms[at] = mix(h[at]) * self.power[place]
+        self.total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(terms, out=self.total[1:])
+
+    def run(self, line: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words begin..end-1 of each line, as if the run began the line."""
+        a = self.first[line]
+        return (self.total[a + end] - self.total[a + begin]) * self.inverse[begin]
+
+    def keys(self) -> np.ndarray:
+        """Hash of each line."""
+        line = np.arange(len(self.n))
+        return mix(self.run(line, np.zeros_like(line), self.n) + self.n.astype(np.uint64) * _LENGTH)
+
+    def half_keys(self, line: np.ndarray) -> np.ndarray:
+        """Four keys of each line, of which lines within one edit share at least one.
+
+        For the longer length m of a pair: the words before m // 2, and those from
+        there on (one place earlier in the shorter line).
+        """
+        n, zero = self.n[line], np.zeros_like(line)
+        out = []
+        for shorter in (0, 1):
+            m = n + shorter
+            for side, (begin, end) in enumerate(((zero, m // 2), (m // 2 - shorter, n))):
+                out.append(mix(self.run(line, begin, end) + m.astype(np.uint64) * _LENGTH
+                               + np.uint64(side) * _SIDE))
+        return np.column_stack(out)
+
+    def variants(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, gaps) of each whole line (gap -1) and of it without word 0, 1, ..."""
+        n = self.n[line]
+        each = np.repeat(line, n + 1)
+        gap = np.arange(len(each)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1) - 1
+        whole = gap < 0
+        left = np.maximum(gap, 0)
+        size = self.n[each]
+        head = self.run(each, np.zeros_like(each), np.where(whole, size, left))
+        # the words after the gap move one place to the front
+        after = np.minimum(left + 1, size)
+        tail = self.run(each, after, size) * self.power[left]
+        value = head + np.where(whole, np.uint64(0), tail)
+        return mix(value + (size - ~whole).astype(np.uint64) * _LENGTH), gap
+
+
+class Lines:
+    """Lines with enough words of a column of texts: document, number, first word, words."""
+
+    def __init__(self, column):
+        words = Words(column)
+        self.words = words
+        doc = np.repeat(np.arange(len(words.counts)), words.counts)
+        breaks = np.flatnonzero(words.raw == 10)
+        before = np.searchsorted(breaks, words.offsets)       # line breaks before each text
+        line = np.searchsorted(breaks, words.starts) - before[doc]
+        self.breaks = np.diff(before)
+        start = run_starts(doc * (int(line.max(initial=0)) + 1) + line)
+        n = np.diff(np.append(start, len(doc)))
+        keep = n >= EXACT_WORDS
+        self.first, self.n = start[keep], n[keep]
+        self.doc, self.line = doc[self.first], line[self.first]
+        self.sums = Sums(words.hash, self.first, self.n)
+        self.key = self.sums.keys()
+
+
+def _one(h: np.ndarray) -> Sums:
+    return Sums(h, np.zeros(1, np.int64), np.array([len(h)]))
 
 
 def half_keys(h: np.ndarray) -> np.ndarray:
-    """Keys of which lines within one edit share at least one.
-
-    For the longer length m of a pair: the words before m // 2, and those from
-    there on (one place earlier in the shorter line).
-    """
-    n = len(h)
-    cells = []
-    for m, shorter in ((n, 0), (n + 1, 1)):
-        cut_at = m // 2
-        for side, value in ((0, run_hash(h, 0, cut_at)), (1, run_hash(h, cut_at - shorter, n))):
-            cells.append((value + m * 0x2545F4914F6CDD1D + side * 0x632BE59BD9B4E019) & _MASK)
-    return mix(np.array(cells, np.uint64))
+    """The half keys of one line of word hashes."""
+    return _one(h).half_keys(np.zeros(1, np.int64))[0]
 
 
 def variants(h: np.ndarray) -> np.ndarray:
-    """Hash of the whole line, then of the line without word 0, 1, ..."""
-    n = len(h)
-    terms, p = mix(h), _powers(n)
-    head = np.concatenate([[np.uint64(0)], np.cumsum(terms * p[:n])])
-    # words after the gap move one place to the front
-    tail = np.concatenate([np.cumsum((terms[1:] * p[:n - 1])[::-1])[::-1], [np.uint64(0)]])
-    return mix(np.concatenate([head[-1:] + p[n:] * np.uint64(n),
-                               head[:n] + tail + p[n - 1:n] * np.uint64(n - 1)]))
+    """The variants of one line of word hashes: whole, without word 0, 1, ..."""
+    return _one(h).variants(np.zeros(1, np.int64))[0]
 
 
 def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -99,27 +142,11 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
 def occurrences(docs: DataFrame) -> DataFrame:
     """(h, doc_id, line, keys) of every line that may be dropped."""
     def rows(batch: pa.RecordBatch) -> dict:
-        h, doc, line, keys, n_keys = [], [], [], [], []
-        ids = batch.column("doc_id").to_pylist()
-        for i, t in zip(ids, texts(batch.column("text"))):
-            low = t.lower()
-            whole = word_hashes(low)
-            at = 0
-            for k, raw in enumerate(split_lines(low)):
-                words = raw.split()
-                begin, at = at, at + len(words)
-                if len(words) < EXACT_WORDS:
-                    continue
-                h.append(line_key(words))
-                doc.append(LAST_ID if i is None else i)
-                line.append(k)
-                n_keys.append(0)
-                if len(words) >= NEAR_WORDS:
-                    keys.append(half_keys(whole[begin:at]))
-                    n_keys[-1] = 4
-        flat = signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        return {"h": signed(np.array(h, np.uint64)), "doc_id": doc, "line": line,
-                "keys": lists(flat, n_keys)}
+        got = Lines(batch.column("text"))
+        ids = batch.column("doc_id").fill_null(LAST_ID).to_numpy()
+        near = got.n >= NEAR_WORDS
+        return {"h": signed(got.key), "doc_id": ids[got.doc], "line": got.line.astype(np.int32),
+                "keys": lists(signed(got.sums.half_keys(np.flatnonzero(near)).ravel()), 4 * near)}
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows,
                      "h long, doc_id long, line int, keys array<long>")
 
@@ -154,33 +181,41 @@ def _meetings(rows: DataFrame) -> DataFrame:
     order, a variant's whole line comes first, then each gap with its earliest.
     """
     def run(batches):
-        variant = whole = beaten = gap = head = None
+        whole = None                       # (variant, doc_id, line, h) of the last whole line
+        head = None                        # (variant, gap, h) of the last run of a gap
         for b in batches:
-            losers, winners = [], []
-            for v, g, d, k, h in zip(*(b.column(c).to_pylist() for c in
-                                       ("variant", "gap", "doc_id", "line", "h"))):
-                if v != variant:
-                    variant, whole, beaten, gap, head = v, None, False, None, None
-                if g < 0:
-                    whole = whole or (d, k, h)
-                    continue
-                if whole is not None and h != whole[2]:
-                    if whole[:2] < (d, k):
-                        losers.append(h)
-                        winners.append(whole[2])
-                    elif not beaten:
-                        beaten = True
-                        losers.append(whole[2])
-                        winners.append(h)
-                if g != gap:
-                    gap, head = g, h
-                elif h != head:
-                    losers.append(h)
-                    winners.append(head)
-            if losers:
+            if not b.num_rows:
+                continue
+            v, g, d, k, h = (b.column(c).to_numpy() for c in ("variant", "gap", "doc_id", "line", "h"))
+            n, at = len(v), np.arange(len(v))
+            # the whole line of each row's variant, if there is one
+            w = np.maximum.accumulate(np.where(g < 0, at, -1))
+            same = (w >= 0) & (v[w] == v)
+            wd, wk, wh = (np.where(same, x[w], 0) for x in (d, k, h))
+            if whole is not None:
+                carried = ~same & (v == whole[0])
+                wd, wk, wh = (np.where(carried, x, y) for x, y in zip(whole[1:], (wd, wk, wh)))
+                same |= carried
+            other = same & (g >= 0) & (h != wh)
+            later = (wd < d) | ((wd == d) & (wk < k))
+            # the earliest of each gap of a variant
+            fresh = np.ones(n, bool)
+            fresh[1:] = (v[1:] != v[:-1]) | (g[1:] != g[:-1])
+            first = np.maximum.accumulate(np.where(fresh, at, 0))
+            hh = h[first]
+            if head is not None and (v[0], g[0]) == head[:2]:
+                hh[first == 0] = head[2]
+            behind = (g >= 0) & (h != hh)
+            beats = np.flatnonzero(other & ~later)
+            losers = np.concatenate([h[other & later], h[behind], wh[beats]])
+            winners = np.concatenate([wh[other & later], hh[behind], h[beats]])
+            if w[-1] >= 0:
+                whole = (v[w[-1]], d[w[-1]], k[w[-1]], h[w[-1]])
+            head = (v[-1], g[-1], hh[-1])
+            if len(losers):
+                pair = np.unique(np.column_stack([losers, winners]), axis=0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(losers, pa.int64()), pa.array(winners, pa.int64())],
-                    names=["loser", "winner"])
+                    [pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["loser", "winner"])
     return (rows.repartition("variant").sortWithinPartitions("variant", "gap", "doc_id", "line")
             .mapInArrow(run, "loser long, winner long").distinct())
 
@@ -188,35 +223,50 @@ def _meetings(rows: DataFrame) -> DataFrame:
 def _emit(near: DataFrame) -> DataFrame:
     """All variants of (h, doc_id, line, words)."""
     def rows(batch: pa.RecordBatch) -> dict:
-        got = [variants(word_hashes(w)) for w in texts(batch.column("words"))]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        out = {c: np.repeat(batch.column(c).to_numpy(), n) for c in ("doc_id", "line", "h")}
-        return out | {"variant": signed(np.concatenate(got)),
-                      "gap": np.concatenate([np.arange(-1, k - 1) for k in n.tolist()])}
+        got = Lines(batch.column("words"))
+        hashes, gap = got.sums.variants(np.arange(len(got.n)))
+        out = {c: np.repeat(batch.column(c).to_numpy()[got.doc], got.n + 1)
+               for c in ("doc_id", "line", "h")}
+        return out | {"variant": signed(hashes), "gap": gap.astype(np.int32)}
     return arrow_map(near, rows, "variant long, gap int, doc_id long, line int, h long")
 
 
 def _line_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(h, doc_id, line, words) of wanted first occurrences (h, doc_id, line)."""
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), "text")
     places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h")).alias("places"))
-    held = places.join(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-                                   .alias("doc_id"), "text"), "doc_id")
+    held = places.join(only_ids(keyed, wanted), "doc_id")
 
     def rows(batch: pa.RecordBatch) -> dict:
-        out: dict = {c: [] for c in ("h", "doc_id", "line", "words")}
-        for i, places, t in zip(batch.column("doc_id").to_pylist(),
-                                batch.column("places").to_pylist(), texts(batch.column("text"))):
-            parts = split_lines(t.lower())
-            for p in places:
-                words = parts[p["line"]].split() if p["line"] < len(parts) else []
-                if signed(np.array([line_key(words)], np.uint64))[0] == p["h"]:
-                    for c, v in (("h", p["h"]), ("doc_id", i), ("line", p["line"]),
-                                 ("words", b" ".join(words).decode())):
-                        out[c].append(v)
-        return out
+        got = Lines(batch.column("text"))
+        at = found(got, batch.column("places"))
+        data = got.words.raw.tobytes()
+        begin = got.words.starts[got.first[at]]
+        end = got.words.ends[got.first[at] + got.n[at] - 1]
+        return {"h": signed(got.key[at]), "doc_id": batch.column("doc_id").to_numpy()[got.doc[at]],
+                "line": got.line[at].astype(np.int32),
+                "words": pa.array([b" ".join(data[a:b].split()) for a, b in
+                                   zip(begin.tolist(), end.tolist())], pa.binary())}
     return arrow_map(held, rows, "h long, doc_id long, line int, words string")
 
 
+def found(got: Lines, places: pa.Array) -> np.ndarray:
+    """Places in ``got`` of the listed lines (line, h) of each text that are there."""
+    if isinstance(places, pa.ChunkedArray):
+        places = places.combine_chunks()
+    flat = places.flatten()
+    n = np.array([0 if x is None else x for x in pa.compute.list_value_length(places).to_pylist()], np.int64)
+    doc = np.repeat(np.arange(len(n)), n)
+    line, h = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("line", "h"))
+    code = got.doc * (1 << 32) + got.line
+    want = doc * (1 << 32) + line
+    if not len(code) or not len(want):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(code, want), len(code) - 1)
+    ok = (code[at] == want) & (signed(got.key[at]) == h)
+    return np.unique(at[ok])
+
+
 def _verified(pairs: DataFrame, near: DataFrame) -> DataFrame:
     """(h) of losers whose edit distance to their winner is at most one word."""
     words = near.select("h", "words").dropDuplicates(["h"])
@@ -260,26 +310,24 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            text, n, k, left = [], [], [], []
-            for t, places in zip(texts(b.column("text")), b.column("__places").to_pylist()):
-                parts = split_lines(t)
-                n.append(len(parts) if t else 0)
-                out = set()
-                for p in places or ():
-                    words = parts[p["line"]].lower().split() if p["line"] < len(parts) else []
-                    if words and signed(np.array([line_key(words)], np.uint64))[0] == p["h"]:
-                        out.add(p["line"])
-                if out:
-                    t = b"\n".join([x for i, x in enumerate(parts) if i not in out])
-                text.append(t)
-                k.append(len(out))
-                left.append(len(t.split()))
-            nulls = b.column("text").is_null()
-            new = pa.array([None if x else v for x, v in zip(nulls.to_pylist(), text)],
-                           pa.binary()).cast(b.column("text").type)
+            got = Lines(b.column("text"))
+            gone = found(got, b.column("__places"))
+            out: dict[int, set] = {}
+            for d, k in zip(got.doc[gone].tolist(), got.line[gone].tolist()):
+                out.setdefault(d, set()).add(k)
+            body = b.column("text")
+            if out:
+                raw = body.cast(pa.binary()).to_pylist()
+                for d, lines_gone in out.items():
+                    raw[d] = b"\n".join([x for i, x in enumerate(raw[d].split(b"\n")) if i not in lines_gone])
+                body = pa.array(raw, pa.binary()).cast(body.type)
+            length = len(got.words.counts)
+            filled = np.diff(got.words.offsets) > 0
+            left = got.words.counts - np.bincount(got.doc[gone], got.n[gone], length).astype(np.int64)
             columns = [b.column(c) for c in names]
-            columns[at] = new
+            columns[at] = body
+            counts = ((got.breaks + 1) * filled, np.bincount(got.doc[gone], minlength=length), left)
             yield pa.RecordBatch.from_arrays(
-                columns + [pa.array(x, pa.int32()) for x in (n, k, left)],
+                columns + [pa.array(x.astype(np.int32)) for x in counts],
                 names=[*names, "__lines", "__dropped", "__left"])
     return joined.select(*names, "__places").mapInArrow(run, schema)
