@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daycast.llm.common import CACHE_WORDS, arrow_map, foldable, hash64, most_frequent, texts
+from daycast.llm.common import CACHE_WORDS, arrow_map, foldable, hash64, keep, most_frequent, texts
 
 # Most frequent words compiled into the lexicon (their pieces; bounds what is sent).
 LEXICON_WORDS = 131_072
@@ -424,7 +424,7 @@ def _encoded(docs: DataFrame, path: str, words: int, schema: str, columns) -> Da
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, schema)
 
 
-_WORKER: dict = {}
+_WORKER: dict = keep({})
 
 
 def worker_encoder(key: tuple[str, int], lexicon: bytes) -> Encoder:

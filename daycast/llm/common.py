@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from daycast.session import checkpoint_dir, ship_package
 
 # Size of one Arrow batch handed to a Python worker: rows, and bytes (long texts).
-ARROW_ROWS, ARROW_BYTES = 65_536, 4 << 20
-# Entries of a worker's word cache (about 75 MB); further words are recomputed.
-CACHE_WORDS = 400_000
+ARROW_ROWS, ARROW_BYTES = 65_536, 2 << 20
+# Entries of a worker's word cache (about 40 MB); further words are recomputed.
+CACHE_WORDS = 200_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -83,12 +83,32 @@ def hash64(data: bytes, seed: int = 0) -> int:
     return xxhash.xxh3_64_intdigest(data, seed)
 
 
+_KEPT: list = []                   # what a worker keeps from task to task
+_OWNER = [""]
+
+
+def keep(store):
+    """Register a dict that a worker keeps for one operator at a time."""
+    _KEPT.append(store)
+    return store
+
+
+def claim(owner: str) -> None:
+    """Workers serve one operator after the other: another one's caches are let go."""
+    if _OWNER[0] != owner:
+        for store in _KEPT:
+            store.clear()
+        _OWNER[0] = owner
+        pa.default_memory_pool().release_unused()
+
+
 class Cache(dict):
     """word -> f(word), remembering the first ``limit`` distinct words."""
 
     def __init__(self, f, limit: int = CACHE_WORDS):
         super().__init__()
         self.f, self.limit = f, limit
+        keep(self)
 
     def __missing__(self, word):
         value = self.f(word)
@@ -286,7 +306,10 @@ def arrow_map(df: DataFrame, rows, schema: str) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
     out = to_arrow_schema(_parse_datatype_string(schema))
 
+    owner = rows.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         for batch in batches:
             got = rows(batch) if batch.num_rows else None
             if got is not None:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daycast.llm.common import Cache, arrow_map, fold, hash64, mix, texts
+from daycast.llm.common import Cache, arrow_map, claim, fold, hash64, mix, texts
 
 BITS = 18
 SHARDS = 8
@@ -184,6 +184,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> D
     at = docs.columns.index("text")
 
     def run(batches):
+        claim(__name__)
         for b in batches:
             yield b.filter(pa.array(scores(texts(b.column(at)), model.value) >= threshold))
     return docs.mapInArrow(run, docs.schema)

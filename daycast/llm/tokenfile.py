@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daycast.llm.common import Numbers, Words, arrow_map, foldable, texts
+from daycast.llm.common import Numbers, Words, arrow_map, claim, foldable, keep, texts
 from daycast.session import checkpoint_dir
 
 BLOCK_IDS = 1 << 20
@@ -148,7 +148,7 @@ class LibraryEncoder:
         return self.flat[shift + np.arange(len(shift))], np.diff(ends, prepend=0)
 
 
-_WORKER: dict[str, LibraryEncoder] = {}
+_WORKER: dict[str, LibraryEncoder] = keep({})
 
 
 def worker_encoder(path: str) -> LibraryEncoder:
@@ -274,6 +274,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
           block_ids: int = BLOCK_IDS) -> None:
     """Encode every text and write the blocks, in ascending doc_id order, to ``folder``."""
     def run(batches):
+        claim(__name__)
         encoder = worker_encoder(path)
         shard = TaskContext.get().partitionId()
         names, parts, size, block, start = [], [], 0, 0, 0
