@@ -37,6 +37,7 @@ GBT_SERVICE_PARAMS = {"maxIter": 200, "maxDepth": 5, "stepSize": 0.05,
                       "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
 GBT_TEST_PARAMS = {"maxIter": 50, "maxDepth": 3, "stepSize": 0.1, "seed": 42}
 LEVEL_COLS = ["series_level", "series_scale"]
+ROWS_PER_TASK = 20_000   # rows of one task of a boosted fit
 FIT_BLOCKS = 16          # blocks a series' rows are dealt to for the linear fit
 
 COEF_SCHEMA = T.StructType([
@@ -163,7 +164,7 @@ class TreeModel:
 
 
 def gbt_pipeline(feature_cols: list[str], target: str = "Close", params: dict | None = None,
-                 cache_node_ids: bool = True) -> Pipeline:
+                 cache_node_ids: bool = False) -> Pipeline:
     p = dict(GBT_SERVICE_PARAMS if params is None else params)
     assembler = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="prediction",
@@ -192,6 +193,9 @@ def gbt_fit(df: DataFrame, feature_cols: list[str], target: str = "Close", param
     data = df.select("symbol", *[F.col(c).cast("double").alias(c) for c in feature_cols],
                      F.col(target).cast("double").alias(target)).checkpoint(eager=True)
     check_model_inputs(data, feature_cols, target)
+    # daily rows are few: a tree's many small jobs cost their task count
+    tasks = -(-data.count() // ROWS_PER_TASK)
+    data = data.coalesce(max(1, tasks))
     levels = series_levels(data, target).checkpoint(eager=True) if with_levels else None
     model = TreeModel(None, list(feature_cols), dict(GBT_SERVICE_PARAMS if params is None else params),
                       levels, as_of)
