@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daycast.llm.common import (_BASE, _INVERSE, Words, _powers, arrow_map, cut, lists, mix,
+from daycast.llm.common import (_BASE, _INVERSE, Words, _powers, arrow_map, claim, cut, lists, mix,
                                 only_ids, run_starts, signed, texts)
 
 EXACT_WORDS = 3
@@ -288,7 +288,7 @@ def dropped(docs: DataFrame) -> DataFrame:
     kinds = cut(first.select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"),
                              "keys"))
     sharing = _sharing(kinds.select("h", F.explode("keys").alias("key")))
-    near = cut(_line_texts(kinds.drop("keys").join(sharing, "h"), docs))
+    near = cut(_line_texts(cut(kinds.drop("keys").join(sharing, "h")), docs))
     losers = _verified(_meetings(_emit(near)), near).withColumn("loses", F.lit(True))
     fate = (kinds.select("h", F.col("doc_id").alias("d0"), F.col("line").alias("l0"))
             .join(losers, "h", "left"))
@@ -309,6 +309,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
+        claim(__name__)
         for b in batches:
             got = Lines(b.column("text"))
             gone = found(got, b.column("__places"))
