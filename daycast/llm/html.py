@@ -5,8 +5,10 @@ of paragraphs, list items and cells; raw text of scripts and styles is skipped).
 Every block element's subtree is hashed: tag, class, text and children. Spark
 counts on how many pages of its host each subtree occurs, and subtrees recurring
 on ``MIN_PAGES`` pages and a share of ``MIN_SHARE`` of the host's pages are
-deleted from them. A text block (paragraph, heading, list item and the like) of
-an article is no template: the same sentence may be written twice.
+deleted from them; pages of equal main-text candidates count once, so that copies
+of a page do not make templates of its text. A text block (paragraph, heading,
+list item and the like) of an article is no template: the same sentence may be
+written twice. Nor is a subtree that holds an article (or main) element.
 
 What a page does not repeat elsewhere is still no main text if its element says
 so (navigation, footer, aside, form, script ...) or is called so (class, id or
@@ -17,9 +19,10 @@ are joined in page order by line feeds.
 
 Cases: null and empty html give an empty text; a null or odd url is a host of
 its own text; text before any tag is a block; unclosed or stray tags are
-tolerated, what is open at the end is closed; rows of equal page_id are pages of
-their own; repeated pages count as pages; an empty table gives an empty result;
-other columns are neither read nor returned.
+tolerated, what is open at the end is closed; an embedded element (svg, object and
+the like) that is self-closed or never closed is empty; rows of equal page_id are
+pages of their own; an empty table gives an empty result; other columns are
+neither read nor returned.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ MIN_SHARE = 0.005
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea noscript template iframe svg math object canvas "
                 "noframes noembed xmp title".split())
+# Of these, those that are empty if self-closed or never closed.
+EMBEDDED = frozenset("svg math object canvas template noscript iframe noframes noembed".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark "
                    "q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img "
                    "input".split())
@@ -67,17 +72,21 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_EMBEDDED_TAGS = {t: re.compile(
+    rf"<!--.*?(?:-->|\Z)|<script(?=[\s/>]).*?</script\s*>"
+    rf"|<(/?){t}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I) for t in EMBEDDED}
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("tag", "parts", "aside", "article", "mark")
+    __slots__ = ("tag", "parts", "aside", "article", "mark", "holds")
 
     def __init__(self, tag: str, parts: list, aside: bool, article: bool, mark: int):
         self.tag, self.parts, self.aside, self.article = tag, parts, aside, article
         self.mark = mark             # place in the page's list of subtrees, -1 if none
+        self.holds = False           # an article begins in it
 
 
 def named_aside(attributes: str, article: bool = False) -> bool:
@@ -101,6 +110,7 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
     root = _Element("", [], False, False, -1)
     stack = [root]
     text: list[str] = []
+    ends: dict[str, dict[int, int]] = {}        # per tag, where embedded elements end
 
     def flush() -> None:
         if not text:
@@ -118,7 +128,7 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
         e = stack.pop()
         if e.mark >= 0:
             subtrees[e.mark] = hash64("\x1f".join([e.tag, *e.parts]).encode("utf-8", "replace")) | 1 \
-                if e.parts else 0
+                if e.parts and not e.holds else 0
         stack[-1].parts.append(f"\x1e{subtrees[e.mark]}" if e.mark >= 0 and e.parts
                                else "\x1f".join(e.parts))
 
@@ -147,6 +157,11 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
             else:
                 flush()
             continue
+        if tag in EMBEDDED:
+            if tag not in ends:
+                ends[tag] = _embedded_ends(html, tag)
+            at = ends[tag].get(at, at)
+            continue
         if tag in RAW:
             done = _RAW_END[tag].search(html, at)
             at = done.end() if done else end
@@ -174,12 +189,16 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
             while len(stack) > k:
                 close()
         up = stack[-1]
-        article = up.article or tag in ("article", "main") or 'role="main"' in m.group(3)
+        main = tag in ("article", "main") or 'role="main"' in m.group(3)
+        if main:
+            for e in stack:
+                e.holds = True
+        article = up.article or main
         aside = up.aside or named_aside(m.group(3), up.article) or (
             tag in ASIDE and not (tag == "header" and up.article))
         if tag in ("article", "main", "body", "html"):
             aside = up.aside
-        whole = tag in ("html", "body", "article", "main") or (tag in TEXT_BLOCKS and article)
+        whole = main or tag in ("html", "body") or (tag in TEXT_BLOCKS and article)
         mark = -1
         if not whole:
             mark = len(subtrees)
@@ -191,6 +210,18 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
     return blocks, subtrees
 
 
+def _embedded_ends(html: str, tag: str) -> dict[int, int]:
+    """Place after its end tag by place after the begin tag, of every closed element ``tag``."""
+    begun, ends = [], {}
+    for m in _EMBEDDED_TAGS[tag].finditer(html):
+        if m.group(1):
+            if begun:
+                ends[begun.pop()] = m.end()
+        elif m.group(1) is not None and not m.group(2).rstrip().endswith("/"):
+            begun.append(m.end())
+    return ends
+
+
 def _skip(html: str, at: int, tag: str) -> int:
     """Place after the element ``tag`` that begins before ``at`` (nested ones counted)."""
     depth = 1
@@ -226,20 +257,23 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def structure(pages: DataFrame) -> DataFrame:
-    """(key, host, subtrees, around) of every page: its subtrees, and those of them
-    that hold a main-text candidate; no texts."""
+    """(key, host, content, subtrees, around) of every page: a hash of its main-text
+    candidates, its subtrees, and those of them that hold a candidate; no texts."""
     def rows(batch: pa.RecordBatch) -> dict:
         got = [candidates(h) for h in batch.column("html").to_pylist()]
         return {"key": batch.column("key"), "host": [host(u) for u in batch.column("url").to_pylist()],
+                "content": signed(np.array([hash64("\x1f".join(g[0]).encode("utf-8", "replace"))
+                                            for g in got], np.uint64)),
                 "subtrees": [g[2] for g in got],
                 "around": [sorted({m for ms in g[1] for m in ms}) for g in got]}
-    return arrow_map(_keyed(pages), rows, "key long, host string, subtrees array<long>, around array<long>")
+    return arrow_map(_keyed(pages), rows, "key long, host string, content long, subtrees array<long>, around array<long>")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree) recurring across many pages of its host; from ``structure`` rows."""
-    size = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = (pages.select("host", F.explode("subtrees").alias("subtree"))
+    """(host, subtree) recurring across many pages of its host, pages of equal content
+    counted once; from ``structure`` rows."""
+    size = pages.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    seen = (pages.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
             .groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
     return (seen.join(size, "host").where(F.col("n") >= min_share * F.col("pages"))
             .select("host", "subtree"))

@@ -46,6 +46,30 @@ def test_recurring_paragraphs_of_articles_stay_and_recurring_boxes_go(spark):
     assert texts(spark, rows) == {k: f"Same words\nOwn {k}" for k in range(4)}
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    plain = "<div><p>One</p><p>Two</p></div><div>Three</div>"
+    wrapped = "<div id=page><div>Site</div><article><p>Four</p><div>Five</div></article></div>"
+    rows = [(k, "http://a.b/", plain) for k in range(4)] + [(10 + k, "http://c.d/", wrapped) for k in range(4)]
+    got = texts(spark, rows)
+    assert all(got[k] == "One\nTwo\nThree" and got[10 + k] == "Four\nFive" for k in range(4))
+
+
+def test_a_subtree_with_an_article_is_no_template():
+    """Also if it is equal on pages that differ elsewhere."""
+    blocks, around, marks = html.candidates("<div><div>Box</div><div role=\"main\"><p>Text</p></div></div>")
+    assert blocks == ["Text"] and around == [[]] and len(marks) == 1
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "canvas"])
+def test_embedded_elements_without_an_end(tag):
+    def blocks(page):
+        return html.candidates(f"<article><p>One</p>{page}<p>Last</p></article>")[0]
+    assert blocks(f"<{tag}/>") == blocks(f"<{tag} a='b'>") == ["One", "Last"]
+    assert blocks(f"<{tag}><p>x</p><{tag}>y</{tag}>z</{tag}>") == ["One", "Last"]
+    assert blocks(f"<{tag}/><p>Two</p><{tag}>x</{tag}>") == ["One", "Two", "Last"]
+    assert blocks(f"<{tag}><p>Two</p><{tag}>x</{tag}><!-- </{tag}> -->") == ["One", "Two", "Last"]
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "", ""), (3, "no url", "just text"), (None, "http://a/", "<p>a"), (4, "http://a/", "</p></div>"),
             (5, "http://a/", "<article><p>" + "word " * 50_000 + "</article>"), (6, "http://a/", "<script>x"),
