@@ -4,20 +4,25 @@ A text's words become template tokens: numbers, names (capitalised words that do
 not begin a sentence) and units (after a number) turn into typed placeholders
 and keep their value as a slot; other words are lowered and lose the punctuation
 around them. Windows of ``WINDOW`` tokens of documents and benchmark items are
-joined by hash. Per document and item the shared windows are walked in document
-order: a window counts if its slots fit the one-to-one mapping of item values to
-document values found so far, so a question with other numbers and names is
-caught, while a chance mix of values is not. Windows lying within twice the
-item's length of each other form one passage. A document is contaminated when a
-passage covers at least half of an item's words, and ``LEAST_WORDS`` of them (the
-whole item if it is shorter).
+joined by hash. A window with fewer than ``LEAST_LITERALS`` plain words says too
+little as a template; such windows of items, and their first ones, whose first
+word may be a name or not by what stands before it, are joined by the words
+themselves. Per document and item the shared windows are walked in document
+order: a window counts if its slots fit a one-to-one mapping of item values to
+document values, so a question with other numbers and names is caught, while a
+chance mix of values is not. A window that fits no mapping found so far begins
+one of its own, and takes in what fits it of the windows before. Windows lying
+within twice the item's length of each other form one passage. A document is
+contaminated when a passage covers at least half of an item's words, and
+``LEAST_WORDS`` of them (the whole item if it is shorter).
 
 The windows of the benchmark are put into a bitmap of at most ``MOST_BITS`` bits,
 which travels to the tasks and lets through all windows of documents that can
 join and few others; so its size is bounded whatever the benchmark's.
 
-Cases: null and empty texts hold no windows and are clean; an item or text of
-fewer than ``WINDOW`` words is one window of its own length; null doc_ids are
+Cases: null and empty texts hold no windows and are clean; an item of fewer than
+``WINDOW`` words is one window of its own length, and documents are also read in
+windows of every such length that the benchmark has; null doc_ids are
 judged like others; an empty benchmark or table gives no contaminated rows;
 repeated items are reported each; repeated rows are judged alike; other columns
 pass through untouched.
@@ -50,6 +55,7 @@ UNITS = frozenset(
 
 _NUMBER = re.compile(rb"[+-]?[$]?[0-9][0-9.,:/]*%?$")
 _EDGE = b".,;:!?\"'()[]{}<>|*#$&-"
+VERBATIM = np.uint64(hash64(b"verbatim", 23))
 NUM, NAME, UNIT = (np.uint64(hash64(x, 21) >> 4 << 4) for x in (b"num", b"name", b"unit"))
 # flags in a token's lowest four bits
 F_NUMBER, F_UNIT, F_CAPITAL, F_STOP = 1, 2, 4, 8
@@ -90,63 +96,129 @@ def template(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, kind, value
 
 
-def windows(token: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(token: np.ndarray, kind: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(window hashes, which of them hold enough plain words)."""
     if not len(token):
         return token, np.zeros(0, bool)
-    w = min(WINDOW, len(token))
+    w = min(width, len(token))
     h = chain(token[i:len(token) - w + 1 + i] for i in range(w)) + np.uint64(w)
     plain = np.concatenate([[0], np.cumsum(kind == 0)])
     return h, plain[w:] - plain[:-w] >= min(LEAST_LITERALS, w)
 
 
-def _slots(kind: np.ndarray, value: np.ndarray, at: int) -> list[int]:
+def _slots(kind: np.ndarray, value: np.ndarray, at: int, width: int = WINDOW) -> list[int]:
     """Per token of a window: 0 for a plain word, else the value's hash marked with its kind."""
-    k = kind[at:at + WINDOW]
-    return np.where(k > 0, signed(value[at:at + WINDOW] | k.astype(np.uint64)), 0).tolist()
+    k = kind[at:at + width]
+    return np.where(k > 0, signed(value[at:at + width] | k.astype(np.uint64)), 0).tolist()
 
 
-def _window_rows(names: list, bodies: list[bytes], id_name: str, allowed=None) -> dict:
-    out: dict = {c: [] for c in (id_name, "at", "h", "slots", "length")}
-    for i, t in zip(names, bodies):
-        words = t.split()
-        token, kind, value = template(words)
-        h, ok = windows(token, kind)
-        if allowed is not None:
-            ok = ok & allowed(h)
-        for at in np.flatnonzero(ok).tolist():
-            for c, v in zip(out, (i, at, signed(h[at:at + 1])[0], _slots(kind, value, at), len(words))):
-                out[c].append(v)
-    return out
+def _verbatim(value: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """Window hashes of the words themselves, apart from those of templates."""
+    return windows(value ^ VERBATIM, np.zeros(len(value), np.int64), width)[0]
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    return arrow_map(
-        benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"),
-        lambda b: _window_rows(b.column("item_id").to_pylist(), texts(b.column("text")), "item_id"),
-        "item_id long, at int, h long, slots array<long>, length int")
+    def rows(batch: pa.RecordBatch) -> dict:
+        out: dict = {c: [] for c in ("item_id", "at", "h", "slots", "length")}
+        for i, t in zip(batch.column("item_id").to_pylist(), texts(batch.column("text"))):
+            words = t.split()
+            token, kind, value = template(words)
+            h, ok = windows(token, kind)
+            same = ~ok
+            same[:1] = True
+            for hashes, chosen in ((h, ok), (_verbatim(value), same)):
+                for at in np.flatnonzero(chosen).tolist():
+                    for c, v in zip(out, (i, at, signed(hashes[at:at + 1])[0],
+                                          _slots(kind, value, at), len(words))):
+                        out[c].append(v)
+        return out
+    return arrow_map(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), rows,
+                     "item_id long, at int, h long, slots array<long>, length int")
+
+
+def document_windows(docs: DataFrame, widths: list[int], allowed) -> DataFrame:
+    """(row, at, h, slots) of the allowed windows of ``widths`` tokens; no slots for
+    windows of the words themselves, whose values are the item's."""
+    def rows(batch: pa.RecordBatch) -> dict:
+        out: dict = {c: [] for c in ("row", "at", "h", "slots")}
+        for row, t in zip(batch.column("__row").to_pylist(), texts(batch.column("text"))):
+            token, kind, value = template(t.split())
+            for w in widths:
+                if w > len(token):
+                    continue
+                h, ok = windows(token, kind, w)
+                n = len(h)
+                both = np.concatenate([h, _verbatim(value, w)])
+                hit = allowed(both)
+                hit[:n] &= ok
+                for k in np.flatnonzero(hit).tolist():
+                    at = k if k < n else k - n
+                    for c, v in zip(out, (row, at, signed(both[k:k + 1])[0],
+                                          _slots(kind, value, at, w) if k < n else None)):
+                        out[c].append(v)
+        return out
+    return arrow_map(docs.select("__row", "text"), rows, "row long, at int, h long, slots array<long>")
+
+
+class _Passage:
+    """Item words covered by windows whose slots fit one mapping of values."""
+
+    def __init__(self):
+        self.covered: set[int] = set()
+        self.there: dict[int, int] = {}
+        self.back: dict[int, int] = {}
+        self.last = self.slotted = None      # places of the last window, and the last with slots
+
+    def takes(self, at: int, words: range, pairs: list[tuple[int, int]]) -> bool:
+        """Adds a window if its slots fit."""
+        there, back = self.there, self.back
+        if not all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs):
+            return False
+        there.update(pairs)
+        back.update((b, a) for a, b in pairs)
+        self.covered.update(words)
+        self.last = at
+        if pairs:
+            self.slotted = at
+        return True
 
 
-def passages(hits: list[tuple[int, int, list[int], list[int]]], length: int) -> int:
+def passages(hits: list[tuple[int, int, list[int] | None, list[int]]], length: int) -> int:
     """Most item words that one passage of a document covers with consistent slots.
 
-    ``hits``: (place in document, place in item, document slots, item slots).
+    ``hits``: (place in document, place in item, document slots or None if they are
+    the item's, item slots). The oldest mapping lives as long as windows fit it; a
+    later one also ends when no window with slots has fit it for the same distance,
+    so there are never more than the windows of that distance.
     """
     best = 0
-    covered: set[int] = set()
-    there: dict[int, int] = {}
-    back: dict[int, int] = {}
-    previous = None
-    for at, item_at, mine, its in sorted(hits, key=lambda x: (x[0], x[1])):
-        if previous is not None and at - previous > 2 * length:
-            covered, there, back = set(), {}, {}
-        pairs = [(a, b) for a, b in zip(its, mine) if a or b]
-        if all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs):
-            there.update(pairs)
-            back.update((b, a) for a, b in pairs)
-            covered.update(range(item_at, min(item_at + WINDOW, length)))
-            previous = at
-            best = max(best, len(covered))
+    reach = 2 * length
+    seen = []                                 # (at, item words, pairs) of the hits
+    first = 0                                 # the first of them within reach
+    old: _Passage | None = None
+    others: list[_Passage] = []
+    for at, item_at, mine, its in sorted(hits, key=lambda x: x[:2]):
+        pairs = [(a, b) for a, b in zip(its, its if mine is None else mine) if a or b]
+        words = range(item_at, min(item_at + WINDOW, length))
+        if old is not None and at - old.last > reach:
+            old = None
+        others = [p for p in others if at - p.last <= reach and at - p.slotted <= reach]
+        if old is None:
+            old = _Passage()
+        seen.append((at, words, pairs))
+        while seen[first][0] < at - reach:
+            first += 1
+        fits = [p for p in (old, *others) if p.takes(at, words, pairs)]
+        if not fits:
+            fresh = _Passage()
+            for k in range(len(seen) - 1, first - 1, -1):      # the nearest first
+                fresh.takes(*seen[k])
+            fresh.last = fresh.slotted = at
+            others.append(fresh)
+            fits = [fresh]
+        best = max(best, *(len(p.covered) for p in fits))
+        if best >= length:
+            break
     return best
 
 
@@ -156,15 +228,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = item_windows(benchmark)
     held, test = bitmap(items, F.col("h"), LEAST_BITS, MOST_BITS)
+    short = items.where(F.col("length") < WINDOW).select("length").distinct().collect()
+    widths = [WINDOW, *sorted(r.length for r in short)]
     sent = spark.sparkContext.broadcast(held)
 
     def allowed(h: np.ndarray) -> np.ndarray:
         return test(sent.value, h)
 
-    found = arrow_map(
-        docs.select("__row", "text"),
-        lambda b: _window_rows(b.column("__row").to_pylist(), texts(b.column("text")), "row", allowed),
-        "row long, at int, h long, slots array<long>, length int")
+    found = document_windows(docs, widths, allowed)
     joined = found.select("row", F.col("at").alias("doc_at"), "h", F.col("slots").alias("mine")).join(items, "h")
     hits = joined.groupBy("row", "item_id", "length").agg(
         F.collect_list(F.struct("doc_at", "at", "mine", F.col("slots").alias("its"))).alias("hits"))

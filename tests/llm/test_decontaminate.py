@@ -62,6 +62,41 @@ def test_short_item_is_found_whole(docs, items):
     assert found(docs([(1, "short one here")]), items) == {1: [5]}
 
 
+def test_short_item_inside_a_longer_document(docs, items, spark):
+    filler = words(*range(30), stem="fill")
+    rows = [(1, f"{filler} short one here {filler}"), (2, f"{filler} Short one, here."), (3, "the short one here now"),
+            (4, f"{filler} short one {filler}"), (5, f"{filler} The 12 Bells rang")]
+    assert found(docs(rows), items) == {1: [5], 2: [5], 3: [5]}
+    few = spark.createDataFrame([(7, "The 12 Bells"), (8, "fill7")], items.schema)
+    assert found(docs(rows[3:]), few) == {4: [8], 5: [7, 8]}
+
+
+def test_items_of_numbers_and_names(docs, spark):
+    numbers = " ".join(str(n * n + 7) for n in range(14))
+    title = "Pride And Prejudice By Jane Austen Published In London By Thomas Egerton"
+    own = spark.createDataFrame([(1, numbers), (2, title)], "item_id long, text string")
+    filler = words(*range(30), stem="fill")
+    rows = [(1, f"{filler} {numbers} {filler}"), (2, f"{filler} {title} {filler}"), (3, title.lower()),
+            (4, f"{filler} {' '.join(str(n * n + 8) for n in range(14))}"),
+            (5, f"{filler} War And Peace By Leo Tolstoy Published In Moscow By The Russian Messenger")]
+    assert found(docs(rows), own) == {1: [1], 2: [2], 3: [2]}
+
+
+def test_copy_after_other_values(docs, items):
+    """A truncated variant, or a chance window, just before a copy does not hide it."""
+    cut, chance = " ".join(OTHER.split()[:9]), "If Bob sells 31 baskets every day, how"
+    rows = [(1, f"{cut} {QUESTION}"), (2, f"{chance} {QUESTION}"), (3, f"{chance} {cut}. {OTHER}"),
+            (4, f"{cut} {chance}")]
+    out = {r.doc_id: r.words for r in decontaminate.report(docs(rows), items).collect()}
+    assert out == {1: len(QUESTION.split()), 2: len(QUESTION.split()), 3: len(QUESTION.split()), 4: 0}
+
+
+def test_many_variants_in_a_row():
+    """Work grows with the hits, not with their square."""
+    hits = [(20 * v + k, k, [v * 4 + 4, 0, v * 4 + 8], [1, 0, 2]) for v in range(4000) for k in range(10)]
+    assert decontaminate.passages(hits, 40) == 15
+
+
 def test_clean_keeps_columns_and_rows(docs, items):
     d = docs(ODD + [(90, QUESTION), (None, OTHER), (91, "fine")])
     out = decontaminate.clean(d, items)
