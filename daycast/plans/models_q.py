@@ -89,7 +89,7 @@ def q_cross_validate_lags(spark, sf_dir):
 
 def q_cross_validate_gbt(spark, sf_dir):
     return common.round_doubles(md.cross_validate(_features(spark, sf_dir, causal=True), "xgboost",
-                                                  common.CV_FOLDS, params=md.GBT_TEST_PARAMS), 2)
+                                                  common.CV_FOLDS, params=md.GBT_SERVICE_PARAMS), 2)
 
 
 def q_recursive_forecast_gbt(spark, sf_dir):
@@ -100,7 +100,7 @@ def q_recursive_forecast_gbt(spark, sf_dir):
 
 def q_direct_forecast_gbt(spark, sf_dir):
     return direct_forecast_gbt(_features(spark, sf_dir), HORIZONS, AS_OF, common.calendar(),
-                               common.TRAIN_WINDOW, md.GBT_TEST_PARAMS)
+                               common.TRAIN_WINDOW, md.GBT_SERVICE_PARAMS)
 
 
 QUERIES = {

@@ -310,3 +310,16 @@ def test_linear_cv_equals_numpy_prefix_fits(spark, features):
                                              rel=1e-5, abs=1e-9 * np.abs(y).mean())
             assert r["train_end"] == g["Datetime"].iloc[start - 1]
             assert r["test_end"] == g["Datetime"].iloc[start + ts - 1]
+
+
+@pytest.mark.parametrize("key,operator", [("cross_validate_gbt", "cross_validate"),
+                                          ("direct_forecast_gbt", "direct_forecast_gbt")])
+def test_boosted_queries_use_the_service_settings(monkeypatch, key, operator):
+    from daycast.plans import models_q
+    seen = []
+    monkeypatch.setattr(models_q, "_features", lambda *a, **k: None)
+    monkeypatch.setattr(common, "round_doubles", lambda df, digits=0: df)
+    monkeypatch.setattr(md if operator == "cross_validate" else models_q, operator,
+                        lambda *a, **k: seen.extend([*a, *k.values()]))
+    models_q.QUERIES[key](None, SMALL)
+    assert md.GBT_SERVICE_PARAMS in seen and md.GBT_TEST_PARAMS not in seen
