@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from daycast.functions.values import (any_nan_row, double_columns, fill_missing,
                                      ntz_epoch_micros)
+from daycast.functions.windows import series_window, trend_index
 from daycast.operators import features as feat
 from daycast.operators.bars import price_history
 from daycast.plans import common
@@ -101,12 +102,12 @@ def _bars_with(spark, sf_dir, exprs: dict) -> DataFrame:
 
 def _window_query(part):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _bars_with(spark, sf_dir, part(feat.series_window()))
+        return _bars_with(spark, sf_dir, part(series_window()))
     return run
 
 
 def q_trend_index(spark, sf_dir):
-    return _bars_with(spark, sf_dir, {"trend": feat.trend_index(feat.series_window())})
+    return _bars_with(spark, sf_dir, {"trend": trend_index(series_window())})
 
 
 def q_calendar_parts(spark, sf_dir):
@@ -119,7 +120,7 @@ def q_derived_ohlcv(spark, sf_dir):
 
 def q_fill_missing(spark, sf_dir):
     """Lag columns with incomplete history filled with 0 (null and NaN)."""
-    lags = _bars_with(spark, sf_dir, feat.lag_exprs(feat.series_window()))
+    lags = _bars_with(spark, sf_dir, feat.lag_exprs(series_window()))
     names = feat.lag_names()
     return fill_missing(lags, names)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,13 +23,17 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def scan_ohlcv_csv(spark: SparkSession, path: str, rejects: bool = False):
+def scan_ohlcv_csv(spark: SparkSession, path: str, rejects: bool = False,
+                   report: Observation | None = None):
     """Minute OHLCV CSV with header, columns taken by name in any order.
 
     The types are fixed, never inferred; columns beyond the known ones stay text; a
     missing one raises; every file's header is checked against the first one's. A
     malformed row fails the read, or with ``rejects`` the result is a pair of good
-    rows and rejected rows (their text in ``_corrupt_record``).
+    rows and rejected rows (their text in ``_corrupt_record``). Both are ordinary
+    frames: they can be counted, projected and written. ``report`` then gets, in the
+    pass of the first action on either, ``rows`` read, ``rejected`` ones, good ones
+    whose epoch is in ``milliseconds`` and ``headers`` (see ``check_report``).
     """
     names = csv_header(spark, path)
     known = {f.name: f.dataType for f in OHLCV_CSV.fields}
@@ -37,13 +41,43 @@ def scan_ohlcv_csv(spark: SparkSession, path: str, rejects: bool = False):
     if missing:
         raise ValueError(f"the file has no columns {missing}")
     schema = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in names])
-    reader = spark.read.option("header", True).option("enforceSchema", False)
     if not rejects:
-        return reader.schema(schema).option("mode", "FAILFAST").csv(path)
-    both = reader.schema(schema.add(CORRUPT, T.StringType())).option("mode", "PERMISSIVE") \
-        .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    return both.where(F.col(CORRUPT).isNull()).drop(CORRUPT), \
-        both.where(F.col(CORRUPT).isNotNull())
+        return spark.read.option("header", True).option("enforceSchema", False) \
+            .schema(schema).option("mode", "FAILFAST").csv(path)
+    # lines are read as text and split by from_csv, so no later projection can
+    # prune the columns that tell a malformed line
+    lines = spark.read.text(path)
+    header = lines.first()["value"]
+    shape = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
+    split = F.from_csv(F.col("value"), shape.simpleString()[7:-1].replace(":", " "),
+                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    is_header = F.col("value") == F.lit(header)
+    rows = lines.where(F.trim("value") != "").select(is_header.alias("_header"), split.alias("_row"))
+    bad = F.col(f"_row.{CORRUPT}").isNotNull()
+    if report is not None:
+        one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+        body = ~F.col("_header")
+        rows = rows.observe(report, one(body).alias("rows"), one(body & bad).alias("rejected"),
+                            one(body & ~bad & F.coalesce(F.col("_row.Timestamp") > EPOCH_SECONDS_LIMIT,
+                                                         F.lit(False))).alias("milliseconds"),
+                            one(F.col("_header")).alias("headers"))
+    rows = rows.where(~F.col("_header"))
+    return rows.where(~bad).select(*[F.col(f"_row.`{c}`").alias(c) for c in names]), \
+        rows.where(bad).select("_row.*")
+
+
+def check_report(report: Observation, files: int | None = None, most_rejected: float = 1.0) -> dict:
+    """The counts of a scan that set rows aside; raises when epochs are in
+    milliseconds, when a larger share than ``most_rejected`` was rejected, or when
+    not each of ``files`` files had the first one's header."""
+    got = report.get
+    if got["milliseconds"]:
+        raise ValueError(f"{got['milliseconds']} rows hold milliseconds, seconds are needed")
+    if files is not None and got["headers"] != files:
+        raise ValueError(f"{got['headers']} of {files} files have the header of the first")
+    if got["rejected"] > most_rejected * got["rows"]:
+        raise ValueError(f"{got['rejected']} of {got['rows']} rows are malformed")
+    return got
 
 
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:

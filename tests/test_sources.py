@@ -81,6 +81,33 @@ def test_malformed_rows_fail_or_are_set_aside(spark, tmp_dir):
     good, bad = raw.scan_ohlcv_csv(spark, path, rejects=True)
     assert raw.preprocess(good).count() == 1
     assert [r[raw.CORRUPT] for r in bad.collect()] == ["noon,1,2,3,4,5"]
+    assert good.count() == 1 and bad.count() == 1 and bad.select(raw.CORRUPT).count() == 1
+    assert [r.Close for r in good.select("Close").collect()] == [4.0]
+    good.write.parquet(f"{tmp_dir}/good")
+    bad.write.parquet(f"{tmp_dir}/bad")
+    assert spark.read.parquet(f"{tmp_dir}/good").count() == spark.read.parquet(f"{tmp_dir}/bad").count() == 1
+
+
+def test_rejects_are_counted_in_the_same_pass(spark, tmp_dir):
+    from pyspark.sql import Observation
+    head = "Close,Timestamp,Open,High,Low,note,Volume"
+    for name, body in (("a", ["1,60,1,1,1,x,1", "2,oops,1,1,1,y,1", "", "3,120,1,1,1"]),
+                       ("b", ["4,180,1,1,1,z,1", "5,240,1,1,1,z,1,too,many"])):
+        write_csv(tmp_dir, name, "\n".join([head, *body]) + "\n")
+    report = Observation()
+    good, bad = raw.scan_ohlcv_csv(spark, f"{tmp_dir}/*.csv", rejects=True, report=report)
+    assert sorted((r.Timestamp, r.Close, r.note) for r in good.collect()) == [(60.0, 1.0, "x"), (180.0, 4.0, "z")]
+    assert raw.check_report(report, files=2) == {"rows": 5, "rejected": 3, "milliseconds": 0, "headers": 2}
+    with pytest.raises(ValueError, match="3 of 5 rows"):
+        raw.check_report(report, most_rejected=0.1)
+    with pytest.raises(ValueError, match="2 of 3 files"):
+        raw.check_report(report, files=3)
+    assert bad.count() == 3
+    late = Observation()
+    path = write_csv(tmp_dir, "late", "Timestamp,Open,High,Low,Close,Volume\n1e13,1,1,1,1,1\n")
+    raw.scan_ohlcv_csv(spark, path, rejects=True, report=late)[0].count()
+    with pytest.raises(ValueError, match="milliseconds"):
+        raw.check_report(late)
 
 
 def test_ticks_without_sequence_or_time(spark):
