@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from daycast.llm import (bpe, decontaminate, html, jaccard, lines, maxent, quality, tokenfile,
+from daycast.llm import (audit, bpe, decontaminate, html, jaccard, lines, maxent, quality, tokenfile,
                          toxicity, vectors)
 from daycast.llm.common import fold, prepare, table
 
@@ -86,6 +86,11 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, folder)
 
 
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return corpus_pipeline.run(spark, sf_dir)
@@ -103,5 +108,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pca": op9_pca,
     "op10_repair": op10_repair,
+    "op12_audit": op12_audit,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_audit": audit.SQL}
