@@ -6,6 +6,7 @@ split on runs of the bytes 0x20 and 0x09-0x0D (``bytes.split``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,6 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once to a new folder of the shared checkpoint folder, and read back.
+
+    Unlike ``checkpoint()``, which runs its last stage once to count and once to
+    write, this computes the rows once."""
+    folder = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def fold(col: str, mod: int):
     """crc32 of the id's text modulo ``mod`` (null ids: null)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from daycast.llm import (audit, bpe, decontaminate, html, jaccard, lines, maxent, quality, tokenfile,
+from daycast.llm import (audit, bpe, curve, decontaminate, html, jaccard, lines, maxent, negatives, quality, tokenfile,
                          toxicity, vectors)
 from daycast.llm.common import fold, prepare, table
 
@@ -86,11 +86,23 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, folder)
 
 
+def op11_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return curve.pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return corpus_pipeline.run(spark, sf_dir)
@@ -108,6 +120,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pca": op9_pca,
     "op10_repair": op10_repair,
+    "op11_hilbert": op11_hilbert,
     "op12_audit": op12_audit,
+    "op13_negatives": op13_negatives,
 }
-SQL: dict[str, str] = {"op12_audit": audit.SQL}
+SQL: dict[str, str] = {"op12_audit": audit.SQL, "op13_negatives": negatives.SQL}
