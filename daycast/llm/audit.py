@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daycast.llm.common import arrow_map, cut
+from daycast.llm.common import arrow_map, stored
 
 # The filters' limits.
 LEAST_WORDS = 50
@@ -56,9 +56,9 @@ def flags(docs: DataFrame, labels: DataFrame, part: str = "source") -> DataFrame
     """(doc_id, part, mask, good, toxic): mask has bit i for the i-th of ``NAMES``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bits = [F.shiftleft(c.cast("int"), i) for i, c in enumerate(text_filters(text))]
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                            F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
-                           sum(bits[1:], bits[0]).alias("mask"), F.unhex(F.sha2(text, 256)).alias("same")))
+                           sum(bits[1:], bits[0]).alias("mask"), F.unhex(F.sha2(text, 256)).alias("same")), "flags")
     named = rows.where("doc_id IS NOT NULL")
     first = named.groupBy("same").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     marks = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
