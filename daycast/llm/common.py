@@ -44,8 +44,8 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written once to a new folder of the shared checkpoint folder, and read back.
 
-    Unlike ``checkpoint()``, which runs its last stage once to count and once to
-    write, this computes the rows once."""
+    Cuts the lineage like ``checkpoint()``; as Parquet, so that each later use reads only
+    the columns it needs."""
     folder = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
