@@ -1,13 +1,13 @@
 """Forecast operators. Every one reads rows up to ``as_of`` only.
 
 * ``direct_forecast`` — one ``Close[t+h] ~ Close[t]`` fit per (symbol, h), all from
-  one array per series: no pairs of rows, no Python.
+  running sums and one array per series: no pairs of rows, no copy per horizon.
 * ``recursive_forecast_ar`` — AR(1) fit once per series, then H steps inside one
   ``aggregate`` expression.
 * ``recursive_forecast_ols`` — a model of all features. Fitted once, it is rolled
-  forward in SQL (``rollout.py``); with ``refit`` it is fitted anew every day, a
-  grouped map per (symbol, scenario) over the bounded training window.
-* ``recursive_forecast_lags`` — the fit-once recursion on two lags of Close.
+  forward in SQL (``rollout.py``); with ``refit`` it is fitted anew every day from a
+  sliding window of mergeable factors.
+* ``recursive_forecast_lags`` — either recursion on two lags of Close.
 * ``scenario_forecast`` — seeded noise paths of the fit-once model, quantiles per day.
 
 The causal feature set is the default: the as-is set holds the day's own candle
@@ -20,15 +20,18 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from daycast.operators import factors as fa
 from daycast.operators import features as feat
 from daycast.operators import recursion as rec
 from daycast.operators import rollout
 from daycast.operators.windowing import train_window
+from daycast.session import stored
 
 __all__ = ["train_window", "direct_forecast", "ar_coefficients", "ar_path", "recursive_forecast_ar",
            "recursive_forecast_ols", "recursive_forecast_lags", "scenario_forecast"]
@@ -39,24 +42,42 @@ def direct_forecast(bars: DataFrame, horizon: int, as_of: dt.date, window: int =
     """Per (symbol, h): ``target[t+h] = a_h + b_h * target[t]`` fitted on the
     training window, applied to the last value. Output one row per
     (symbol, h) with ``target_date = as_of + h``."""
-    tw = train_window(bars.select("symbol", order, target), window, order, as_of=as_of)
-    series = tw.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct(
-        F.col(order).alias("d"), F.col(target).cast("double").alias("v")))).alias("r"))
-    # pairs (v[t], v[t+h]) of the window, moments centred on their means
-    each = (series.select("symbol", F.expr("transform(r, e -> e.v)").alias("v"),
-                          F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
-            .withColumn("p", F.expr(
-                "filter(zip_with(slice(v, 1, greatest(size(v) - h, 0)), slice(v, least(h, size(v)) + 1, "
-                "size(v)), (x, y) -> named_struct('x', x, 'y', y)), p -> p.x IS NOT NULL AND p.y IS NOT NULL)"))
-            .withColumn("n", F.size("p").cast("double"))
-            .withColumn("mx", F.expr("aggregate(p, 0D, (a, e) -> a + e.x) / nullif(n, 0D)"))
-            .withColumn("my", F.expr("aggregate(p, 0D, (a, e) -> a + e.y) / nullif(n, 0D)"))
-            .withColumn("sxx", F.expr("aggregate(p, 0D, (a, e) -> a + (e.x - mx) * (e.x - mx))"))
-            .withColumn("sxy", F.expr("aggregate(p, 0D, (a, e) -> a + (e.x - mx) * (e.y - my))"))
-            .withColumn("b", F.expr("sxy / nullif(sxx, 0D)")))
+    tw = train_window(bars.select("symbol", order, F.col(target).cast("double").alias("_v")), window, order,
+                      as_of=as_of)
+    every = Window.partitionBy("symbol")
+    running = every.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # u: distance to the series' mean (0 where the value is missing), with running sums
+    rows = (tw.withColumn("_c", F.avg("_v").over(every))
+            .withColumn("_u", F.coalesce(F.col("_v") - F.col("_c"), F.lit(0.0)))
+            .withColumns({"_su": F.sum("_u").over(running), "_sq": F.sum(F.col("_u") * F.col("_u")).over(running)}))
+    series = rows.groupBy("symbol").agg(
+        F.first("_c").alias("c"), F.count(F.lit(1)).cast("int").alias("n"),
+        (F.count("_v") < F.count(F.lit(1))).alias("gaps"),
+        F.sort_array(F.collect_list(F.struct(F.col(order).alias("d"), "_v", "_u", "_su", "_sq"))).alias("r")) \
+        .select("symbol", "c", "n", "gaps", F.expr("element_at(r, -1)._v").alias("v_last"),
+                *[F.expr(f"transform(r, e -> e.{x})").alias(y) for x, y in
+                  (("_v", "v"), ("_u", "u"), ("_su", "su"), ("_sq", "sq"))])
+    # sums over the pairs (t, t + h): means and variances are differences of running sums,
+    # only the lagged product is a pass over the array. With missing values all are.
+    lagged = "aggregate(u, named_struct('t', 0, 's', 0D), (a, x) -> named_struct('t', a.t + 1, 's', " \
+        "a.s + x * coalesce(get(u, a.t + h), 0D))).s"
+    whole = ("named_struct('h', h, 'm', CAST(n - h AS DOUBLE), 'sx', get(su, n - h - 1), "
+             "'sy', get(su, n - 1) - get(su, h - 1), 'sxx', get(sq, n - h - 1), 'sxy', " + lagged + ")")
+    zero = "named_struct('t', 0, 'm', 0D, 'sx', 0D, 'sy', 0D, 'sxx', 0D, 'sxy', 0D)"
+    add = ("named_struct('t', a.t + 1, 'm', a.m + 1, 'sx', a.sx + get(u, a.t), 'sy', a.sy + get(u, a.t + h), "
+           "'sxx', a.sxx + get(u, a.t) * get(u, a.t), 'sxy', a.sxy + get(u, a.t) * get(u, a.t + h))")
+    skip = "named_struct('t', a.t + 1, 'm', a.m, 'sx', a.sx, 'sy', a.sy, 'sxx', a.sxx, 'sxy', a.sxy)"
+    pairs = (f"aggregate(v, {zero}, (a, x) -> IF(x IS NOT NULL AND get(v, a.t + h) IS NOT NULL, {add}, {skip}), "
+             "a -> named_struct('h', h, 'm', a.m, 'sx', a.sx, 'sy', a.sy, 'sxx', a.sxx, 'sxy', a.sxy))")
+    each = series.select("symbol", "c", "v_last", F.inline(F.expr(
+        f"transform(sequence(1, {int(horizon)}), h -> IF(h < n, IF(gaps, {pairs}, {whole}), "
+        "named_struct('h', h, 'm', 0D, 'sx', 0D, 'sy', 0D, 'sxx', 0D, 'sxy', 0D)))")))
+    var, slope = "sxx - sx * sx / nullif(m, 0D)", "sxy - sx * sy / nullif(m, 0D)"
+    # a variance that is rounding error is none
+    b = f"IF({var} > 1e-12D * sxx, ({slope}) / nullif({var}, 0D), NULL)"
     return each.select("symbol", F.col("h").cast("int").alias("h"),
                        F.date_add(F.lit(as_of), F.col("h")).alias("target_date"),
-                       F.expr("my + b * (element_at(v, -1) - mx)").alias("prediction"))
+                       F.expr(f"c + sy / nullif(m, 0D) + {b} * (v_last - c - sx / nullif(m, 0D))").alias("prediction"))
 
 
 def ar_coefficients(bars: DataFrame, window: int = 1095, target: str = "Close",
@@ -99,15 +120,6 @@ FORECAST_SCHEMA = T.StructType([
 ])
 
 
-def ols_fit_np(X: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Least squares with intercept: solve on centred X and y (minimum-norm
-    when collinear), intercept from the means. Returns [b0, b1..bp]."""
-    xm = X.mean(axis=0)
-    ym = float(y.mean())
-    beta, *_ = np.linalg.lstsq(X - xm, y - ym, rcond=None)
-    return np.concatenate([[ym - float(xm @ beta)], beta])
-
-
 def _seed_for(seed: int, symbol: str, scenario: int) -> int:
     import zlib
     return (seed * 1_000_003 + zlib.crc32(str(symbol).encode()) * 31 + int(scenario)) % (2**32)
@@ -121,56 +133,86 @@ def training_frame(features: DataFrame, window: int, as_of: dt.date, causal: boo
     return train_window(rows, window, order="Datetime")
 
 
-def roll_forward(hist: pd.DataFrame, horizon: int, as_of: dt.date, window: int,
-                 cal: list[dt.date], cols: list[str], causal: bool = True,
-                 noise_scale: float = 0.0, seed: int = 42, scenario: int = 0,
-                 clip: bool = True) -> pd.DataFrame:
-    """Refit and predict day by day for one series (a ``training_frame`` in date order)."""
-    n = len(hist)
-    X, y = np.empty((n + horizon, len(cols))), np.empty(n + horizon)
-    X[:n], y[:n] = hist[cols].to_numpy(dtype=float), hist["Close"].to_numpy(dtype=float)
-    bars = {c: np.empty(n + horizon) for c in feat.BAR_COLS}
-    for c in feat.BAR_COLS:
-        bars[c][:n] = hist[f"bar_{c}"].to_numpy(dtype=float)
-    max_price = float(np.nanmax([bars[c][:n] for c in feat.PRICE_COLS]))
-    max_volume = float(np.nanmax(bars["Volume"][:n]))
+def roll_forward(window: fa.SlidingFactor, state: dict, horizon: int, as_of: dt.date,
+                 most_rows: int, cal: list[dt.date], cols: list[str], causal: bool = True,
+                 noise_scale: float = 0.0, seed: int = 42, clip: bool = True) -> np.ndarray:
+    """Predictions of one path, refitted day by day: a day drops the oldest row, solves
+    the window's factor and adds the predicted row. ``state`` is the path's row of
+    ``rollout.state``."""
+    bars = {c: np.concatenate([np.asarray(state[c], dtype=float), np.empty(horizon)]) for c in feat.BAR_COLS}
+    n = len(state["Close"])
+    max_price, max_volume = float(state["max_price"]), float(state["max_volume"])
     ceiling = max(max_price, rec.PRICE_CEILING_FLOOR)
-    trend = float(hist["trend"].iloc[-1])
-    rng = np.random.default_rng(_seed_for(seed, hist["symbol"].iloc[0], scenario))
-    for k in range(n, n + horizon):
-        first = max(0, k - window)
-        coef = ols_fit_np(X[first:k], y[first:k])
-        tails = {c: bars[c][:k] for c in feat.BAR_COLS}
+    trend = float(state["trend"])
+    rng = np.random.default_rng(_seed_for(seed, state["symbol"], state["scenario"]))
+    out = np.empty(horizon)
+    for k in range(horizon):
+        while len(window) > most_rows:
+            window.drop()
+        coef = window.solve()
+        tails = {c: bars[c][max(0, n + k - rollout.TAIL):n + k] for c in feat.BAR_COLS}
         z = {c: float(rng.standard_normal()) for c in feat.BAR_COLS} if noise_scale else None
         bar = rec.carried_bar(tails, max_price, max_volume, z, noise_scale)
         trend += 1.0
-        row = rec.next_row(tails, as_of + dt.timedelta(days=k - n + 1), trend, cal, bar, causal)
-        X[k] = [float(row[c]) for c in cols]
-        y[k] = float(coef[0] + X[k] @ coef[1:])
-        if clip:
-            y[k] = min(max(y[k], rec.MIN_PRICE), ceiling)
-        bar["Close"] = y[k]
+        row = rec.next_row(tails, as_of + dt.timedelta(days=k + 1), trend, cal, bar, causal)
+        x = np.array([float(row[c]) for c in cols])
+        y = float(coef[0] + x @ coef[1:])
+        out[k] = y = min(max(y, rec.MIN_PRICE), ceiling) if clip else y
+        window.push(np.concatenate([[1.0], x, [y]]))
+        bar["Close"] = y
         for c in feat.BAR_COLS:
-            bars[c][k] = bar[c]
+            bars[c][n + k] = bar[c]
         max_price = max(max_price, *(bar[c] for c in feat.PRICE_COLS))
         max_volume = max(max_volume, bar["Volume"])
-    return pd.DataFrame({"symbol": hist["symbol"].iloc[0], "scenario": scenario,
-                         "h": np.arange(1, horizon + 1, dtype=np.int32),
-                         "target_date": [as_of + dt.timedelta(days=h + 1) for h in range(horizon)],
-                         "prediction": y[n:]})
-
-
-def _refit_daily(features: DataFrame, horizon: int, as_of: dt.date, cal: list[dt.date], window: int,
-                 scenarios: int, noise_scale: float, seed: int, causal: bool, clip: bool) -> DataFrame:
-    cols = feat.feature_columns(features)
-    tw = training_frame(features, window, as_of, causal).select(
-        "symbol", "Datetime", "Close", *cols, *[f"bar_{c}" for c in feat.BAR_COLS],
-        F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))).alias("scenario"))
-
-    def per_path(pdf: pd.DataFrame) -> pd.DataFrame:
-        return roll_forward(pdf.sort_values("Datetime"), horizon, as_of, window, cal, cols, causal,
-                            noise_scale, seed, int(pdf["scenario"].iloc[0]), clip)
-    return tw.groupBy("symbol", "scenario").applyInPandas(per_path, FORECAST_SCHEMA)
+    return out
+
+
+FACTOR_ROWS = 512         # rows of one factor of the part of the window that stays
+
+
+def _training(features: DataFrame, window: int, as_of: dt.date, causal: bool, cols: list[str]) -> DataFrame:
+    """The training window as (symbol, Datetime, y, x, trend, bars), written once: the
+    fit and the state both read it."""
+    return stored(training_frame(features, window, as_of, causal).select(
+        "symbol", "Datetime", F.col("Close").cast("double").alias("y"), fa.inputs(cols).alias("x"), "trend",
+        *[F.col(f"bar_{c}").alias(c) for c in feat.BAR_COLS]), "training")
+
+
+def _refit_daily(held: DataFrame, horizon: int, as_of: dt.date, cal: list[dt.date], window: int,
+                 scenarios: int, noise_scale: float, seed: int, causal: bool, clip: bool,
+                 cols: list[str]) -> DataFrame:
+    """Of the training window, the rows that stay to the end are merged into factors by
+    Spark; a path gets these, the at most ``horizon`` rows that the window will drop, and
+    the series' last bars."""
+    width = len(cols)
+    series = Window.partitionBy("symbol")
+    rows = held.select("symbol", "y", "x", (F.row_number().over(series.orderBy("Datetime")) - 1).alias("i"),
+                       F.count(F.lit(1)).over(series).alias("m"))
+    leaves = F.col("i") < F.col("m") + F.lit(horizon - 1 - window)
+
+    def factor(key: tuple, table: pa.Table) -> pa.Table:
+        return fa.factor(table, width).append_column("symbol", pa.array([key[0].as_py()], pa.string()))
+    factors = (rows.where(~leaves).select("symbol", "y", "x", F.floor(F.col("i") / F.lit(FACTOR_ROWS)).alias("block"))
+               .groupBy("symbol", "block").applyInArrow(factor, f"{fa.FACTOR_SCHEMA}, symbol string")
+               .groupBy("symbol").agg(F.sum("n").alias("kept"), F.flatten(F.collect_list("r")).alias("factors")))
+    states = rollout.state(held, window, as_of, scenarios).join(factors, "symbol", "left")
+    paths = F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))).alias("scenario")
+    schema = to_arrow_schema(FORECAST_SCHEMA)
+
+    def per_path(key: tuple, left: pa.Table, first: pa.Table) -> pa.Table:
+        state = left.to_pylist()[0]
+        first = first.sort_by("i")
+        front = fa.design(fa.matrix(first["x"], width), first["y"].to_numpy())
+        kept = state["kept"] or 0
+        base = fa.triangle(np.array(state["factors"]).reshape(-1, width + 2)) if kept else None
+        path = roll_forward(fa.SlidingFactor(front, base, kept), state, horizon, as_of, window, cal, cols,
+                            causal, noise_scale, seed, clip)
+        return pa.table([pa.array([v] * horizon if n < 2 else v, f.type) for n, (v, f) in enumerate(zip(
+            (state["symbol"], state["scenario"], range(1, horizon + 1),
+             [as_of + dt.timedelta(days=h + 1) for h in range(horizon)], path), schema))], schema=schema)
+    first = rows.where(leaves).select(F.col("symbol").alias("_series"), "i", "y", "x", paths)
+    return states.groupBy("symbol", "scenario").cogroup(first.groupBy("_series", "scenario")) \
+        .applyInArrow(per_path, FORECAST_SCHEMA)
 
 
 def recursive_forecast_ols(features: DataFrame, horizon: int, as_of: dt.date,
@@ -183,18 +225,18 @@ def recursive_forecast_ols(features: DataFrame, horizon: int, as_of: dt.date,
     predictions in the price range ``[1, max(history max, 1e6)]``: a fit with many
     collinear inputs may feed back on itself without bound.
 
-    With ``refit`` every path fits anew each day on the last ``window`` rows
-    (bounded by the window, not the history). Without it, one fit per series is
-    joined to the series' one-row state and rolled forward in SQL; scenarios are
-    made from that row.
+    With ``refit`` every path fits anew each day on the last ``window`` rows: a sliding
+    window of mergeable factors (``factors.py``), so a day costs a merge and a small
+    solve. Without it, one fit per series is joined to the series' one-row state and
+    rolled forward in SQL; scenarios are made from that row.
     """
-    if refit:
-        return _refit_daily(features, horizon, as_of, cal, window, scenarios, noise_scale, seed,
-                            causal, clip)
-    from daycast.operators.models import ols_fit
     cols = cols or feat.feature_columns(features)
-    coefs = ols_fit(training_frame(features, window, as_of, causal), cols).drop("n_rows")
-    rows = rollout.state(features, window, as_of, scenarios).join(coefs, "symbol")
+    held = _training(features, window, as_of, causal, cols)
+    if refit:
+        return _refit_daily(held, horizon, as_of, cal, window, scenarios, noise_scale, seed, causal, clip, cols)
+    from daycast.operators.models import fit_rows
+    coefs = fit_rows(held.select("symbol", "y", "x"), len(cols)).drop("n_rows")
+    rows = rollout.state(held, window, as_of, scenarios).join(coefs, "symbol")
     return rollout.roll(rows, rollout.linear(cols), cols, horizon, as_of, cal, causal, noise_scale,
                         seed, clip=clip)
 
@@ -203,22 +245,30 @@ LAG_COLS = ["Close_lag_1", "Close_lag_3"]
 
 
 def recursive_forecast_lags(features: DataFrame, horizon: int, as_of: dt.date, cal: list[dt.date],
-                            window: int = 1095) -> DataFrame:
-    """The fit-once recursion on two lags of Close."""
-    return recursive_forecast_ols(features, horizon, as_of, cal, window, refit=False, cols=LAG_COLS,
+                            window: int = 1095, refit: bool = False) -> DataFrame:
+    """The recursion on two lags of Close."""
+    return recursive_forecast_ols(features, horizon, as_of, cal, window, refit=refit, cols=LAG_COLS,
                                   clip=False)
 
 
+QUANTILE_ACCURACY = 1000
+
+
 def scenario_forecast(features: DataFrame, horizon: int, as_of: dt.date,
                       cal: list[dt.date], scenarios: int = 16, window: int = 1095,
                       noise_scale: float = rec.NOISE_FACTOR, seed: int = 42,
-                      refit: bool = False, causal: bool = True) -> DataFrame:
-    """Seeded noise paths per series, then the median and 10/90% quantiles
-    of each day across paths (exact percentile per (symbol, day))."""
+                      refit: bool = False, causal: bool = True, cols: list[str] | None = None,
+                      clip: bool = True, accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
+    """Seeded noise paths per series, then the median and 10/90% quantiles of each day.
+
+    The quantiles come from a mergeable summary per (symbol, day), combined before the
+    shuffle: a quantile's rank is off by at most 1 / ``accuracy`` of the number of paths,
+    and it is a value that a path has; up to ``accuracy`` paths it is exact.
+    """
     paths = recursive_forecast_ols(features, horizon, as_of, cal, window, scenarios,
-                                   noise_scale, seed, refit, causal)
-    return paths.groupBy("symbol", "h", "target_date").agg(
-        F.percentile("prediction", 0.1).alias("p10"),
-        F.percentile("prediction", 0.5).alias("p50"),
-        F.percentile("prediction", 0.9).alias("p90"),
-        F.count(F.lit(1)).alias("paths"))
+                                   noise_scale, seed, refit, causal, cols, clip)
+    return (paths.groupBy("symbol", "h", "target_date")
+            .agg(F.percentile_approx("prediction", [0.1, 0.5, 0.9], accuracy).alias("_q"),
+                 F.count(F.lit(1)).alias("paths"))
+            .select("symbol", "h", "target_date", *[F.col("_q")[k].alias(n) for k, n in enumerate(("p10", "p50", "p90"))],
+                    "paths"))

@@ -19,17 +19,18 @@ import json
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from daycast.functions.values import mae, mape, rmse
+from daycast.operators import factors as fa
 from daycast.operators import folds as fo
-from daycast.operators.forecast import ols_fit_np
-from daycast.session import checkpoint_dir
+from daycast.session import checkpoint_dir, stored
 
 KNOWN_MODELS = ("linear", "xgboost")
 # Boosted-tree settings of the forecast service and of the unit test.
@@ -39,6 +40,7 @@ GBT_TEST_PARAMS = {"maxIter": 50, "maxDepth": 3, "stepSize": 0.1, "seed": 42}
 LEVEL_COLS = ["series_level", "series_scale"]
 ROWS_PER_TASK = 20_000   # rows of one task of a boosted fit
 FIT_BLOCKS = 16          # blocks a series' rows are dealt to for the linear fit
+FACTOR_ROWS = 2048       # rows of one factor between two fold edges, at most
 
 COEF_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
@@ -48,6 +50,17 @@ COEF_SCHEMA = T.StructType([
 ])
 
 
+class NotFittedError(ValueError):
+    """Predictions were asked of a model that was not fitted."""
+
+
+def fitted(model):
+    """The model itself; one that is absent or holds no fit is refused."""
+    if model is None or isinstance(model, TreeModel) and model.pipeline is None:
+        raise NotFittedError("the model was not fitted")
+    return model
+
+
 def known_model(name: str) -> str:
     if name not in KNOWN_MODELS:
         raise ValueError(f"no model called {name!r}; there are {', '.join(KNOWN_MODELS)}")
@@ -67,65 +80,50 @@ def check_model_inputs(df: DataFrame, feature_cols: list[str], target: str | Non
 
 # --- linear, one fit per series ----------------------------------------------------------
 
-_FACTOR = "symbol string, n long, width int, r array<double>"
+def ols_fit(df: DataFrame, feature_cols: list[str], target: str = "Close",
+            key: str = "symbol", blocks: int = FIT_BLOCKS) -> DataFrame:
+    """Coefficient table (symbol, intercept, coef[], n_rows). Rows without a target
+    are left out, null inputs count as 0."""
+    check_model_inputs(df, feature_cols, target, check_empty=False)
+    return fit_rows(df.select(F.col(key).alias("symbol"), F.col(target).cast("double").alias("y"),
+                              fa.inputs(feature_cols).alias("x")), len(feature_cols), blocks)
 
 
-def _triangle(a: np.ndarray) -> np.ndarray:
-    return np.linalg.qr(a, mode="r")
+def fit_rows(rows: DataFrame, width: int, blocks: int = FIT_BLOCKS) -> DataFrame:
+    """``ols_fit`` of rows (symbol, y, x), x an array of ``width`` inputs."""
+    data = rows.where("y IS NOT NULL").select("symbol", "y", "x", F.pmod(
+        F.xxhash64("y", "x"), F.lit(blocks)).alias("_block"))
 
+    def factor(key: tuple, table: pa.Table) -> pa.Table:
+        return fa.factor(table, width).append_column("symbol", pa.array([key[0].as_py()], pa.string()))
 
-def solve_factor(r: np.ndarray) -> np.ndarray:
-    """[b0, b1..bp] from the stacked factors of the columns (1, X, y).
+    def solve(key: tuple, table: pa.Table) -> pa.Table:
+        n = sum(table["n"].to_pylist())
+        beta = fa.solve(fa.stacked(table["r"], width), n)
+        return pa.table({"symbol": pa.array([key[0].as_py()], pa.string()), "intercept": [float(beta[0])],
+                         "coef": [beta[1:].tolist()], "n_rows": [n]})
 
-    Below the first row the factor belongs to the centred columns, so the solution
-    is the minimum-norm one of the centred system, the intercept follows.
-    """
-    r = _triangle(r)
-    p = r.shape[1] - 2
-    beta, *_ = np.linalg.lstsq(r[1:, 1:p + 1], r[1:, p + 1], rcond=None)
-    return np.concatenate([[(r[0, p + 1] - r[0, 1:p + 1] @ beta) / r[0, 0]], beta])
+    factors = data.groupBy("symbol", "_block").applyInArrow(factor, f"{fa.FACTOR_SCHEMA}, symbol string")
+    return factors.groupBy("symbol").applyInArrow(solve, COEF_SCHEMA)
 
 
-def ols_fit(df: DataFrame, feature_cols: list[str], target: str = "Close",
-            key: str = "symbol", blocks: int = FIT_BLOCKS) -> DataFrame:
-    """Coefficient table (symbol, intercept, coef[], n_rows). Rows without a target
-    are left out, null inputs count as 0."""
-    check_model_inputs(df, feature_cols, target, check_empty=False)
-    data = df.where(F.col(target).isNotNull()).select(
-        F.col(key).alias("symbol"), F.col(target).cast("double").alias("_y"),
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feature_cols])
-    data = data.withColumn("_block", F.pmod(F.xxhash64("_y", *feature_cols[:3]), F.lit(blocks)))
-
-    def factor(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[feature_cols].to_numpy(dtype=float)
-        r = _triangle(np.column_stack([np.ones(len(x)), x, pdf["_y"].to_numpy(dtype=float)]))
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "n": [len(pdf)],
-                             "width": [r.shape[1]], "r": [r.ravel()]})
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = np.concatenate([np.asarray(x).reshape(-1, w) for x, w in zip(pdf["r"], pdf["width"])])
-        short = r.shape[1] - len(r)
-        beta = solve_factor(np.vstack([r, np.zeros((max(short, 0), r.shape[1]))]))
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "intercept": [float(beta[0])],
-                             "coef": [beta[1:].tolist()], "n_rows": [int(pdf["n"].sum())]})
-
-    factors = data.groupBy("symbol", "_block").applyInPandas(factor, _FACTOR)
-    return factors.groupBy("symbol").applyInPandas(solve, COEF_SCHEMA)
-
-
-def dot(coef: str, intercept: str, feature_cols: list[str]):
-    x = F.array(*[F.col(c).cast("double") for c in feature_cols])
+def dot_array(coef: str, intercept: str, x) -> Column:
+    x = F.col(x) if isinstance(x, str) else x
     return F.aggregate(F.zip_with(F.col(coef), x, lambda b, v: b * v), F.col(intercept),
                        lambda acc, v: acc + v)
 
 
+def dot(coef: str, intercept: str, feature_cols: list[str]) -> Column:
+    return dot_array(coef, intercept, F.array(*[F.col(c).cast("double") for c in feature_cols]))
+
+
 def ols_predict(coefs: DataFrame, df: DataFrame, feature_cols: list[str],
                 key: str = "symbol") -> DataFrame:
     """Rows of df + ``prediction`` (JVM dot product after a join on the key;
     the coefficient side is one row per series). A series without coefficients
     keeps its rows, with a null prediction."""
     check_model_inputs(df, feature_cols, None, check_empty=False)
-    j = df.join(coefs.select(F.col("symbol").alias(key), "intercept", "coef"), key, "left")
+    j = df.join(fitted(coefs).select(F.col("symbol").alias(key), "intercept", "coef"), key, "left")
     return j.withColumn("prediction", dot("coef", "intercept", feature_cols)).drop("intercept", "coef")
 
 
@@ -210,7 +208,7 @@ def known_features(model: TreeModel, columns: list[str]) -> None:
 
 
 def gbt_predict(model: TreeModel, df: DataFrame) -> DataFrame:
-    known_features(model, df.columns)
+    known_features(fitted(model), df.columns)
     return model.pipeline.transform(_with_levels(df, model.levels)).drop("features", *LEVEL_COLS)
 
 
@@ -263,103 +261,174 @@ def train_or_load(path: str | None, df: DataFrame, feature_cols: list[str],
 
 # --- cross-validation ------------------------------------------------------------------------
 
-SCORED_SCHEMA = T.StructType([
+PREFIX_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
     T.StructField("fold", T.IntegerType()),
-    T.StructField("role", T.StringType()),
-    T.StructField("Datetime", T.DateType()),
-    T.StructField("y", T.DoubleType()),
-    T.StructField("p", T.DoubleType()),
+    T.StructField("intercept", T.DoubleType()),
+    T.StructField("coef", T.ArrayType(T.DoubleType())),
 ])
 
 
-def _score_linear(features: DataFrame, feature_cols: list[str], target: str,
-                  k: int, order: str = "Datetime") -> DataFrame:
-    """Per series, fit the k expanding folds in turn (each training set is a
-    prefix of the series, so the series is shipped once, not once per
-    fold). Emits the test rows with their prediction plus the first and
-    last training row of each fold (all the fold bounds need)."""
-    data = features.select("symbol", F.col(order).alias("Datetime"),
-                           F.col(target).cast("double").alias("y"),
-                           *[F.col(c).cast("double").alias(c) for c in feature_cols])
-
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("Datetime").reset_index(drop=True)
-        n, ts = len(pdf), len(pdf) // (k + 1)
-        X = pdf[feature_cols].to_numpy(dtype=float)
-        y = pdf["y"].to_numpy(dtype=float)
-        out = []
-        if ts == 0:                   # too short for the split: kept, without a fold
-            return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "fold": pd.array([pd.NA], "Int32"),
-                                 "role": ["short"], "Datetime": [None], "y": [np.nan], "p": [np.nan]})
+def fold_segments(df: DataFrame, k: int, order: str) -> DataFrame:
+    """df + ``_i`` (row of the series) and ``_seg``: 0 before the first test, f + 1 in
+    the test of fold f; null where the series is too short for the split. Fold f
+    trains on segments 0..f."""
+    w = Window.partitionBy("symbol").orderBy(order)
+    rows = df.withColumns({"_i": (F.row_number().over(w) - 1).cast("long"),
+                           "_n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
+    ts = F.floor(F.col("_n") / F.lit(k + 1)).cast("long")
+    after = F.col("_i") - (F.col("_n") - F.lit(k) * ts)      # rows since the first test row
+    return rows.withColumn("_seg", F.when(ts > 0, F.when(after < 0, F.lit(0)).otherwise(
+        F.floor(F.try_divide(after, ts)) + 1)).cast("int")).drop("_n")
+
+
+def prefix_coefficients(rows: DataFrame, width: int, k: int) -> DataFrame:
+    """(symbol, fold, intercept, coef) of the fits on segments 0..fold of ``rows``
+    (symbol, _i, _seg, y, x), x an array of ``width`` inputs.
+
+    Every block of at most ``FACTOR_ROWS`` rows between two fold edges becomes one
+    triangular factor; a series' factors, k + 1 of them and a few more for a long one,
+    are merged from the left, and each merge gives one fold's fit.
+    """
+    train = rows.where(F.col("y").isNotNull() & (F.col("_seg") < k)) \
+        .select("symbol", "_seg", F.floor(F.col("_i") / F.lit(FACTOR_ROWS)).alias("_block"), "y", "x")
+
+    def factor(key: tuple, table: pa.Table) -> pa.Table:
+        return fa.factor(table, width).append_column("symbol", pa.array([key[0].as_py()], pa.string())) \
+            .append_column("seg", pa.array([key[1].as_py()], pa.int32()))
+
+    def solve(key: tuple, table: pa.Table) -> pa.Table:
+        n, out, held, seg = 0, [], np.zeros((0, width + 2)), table["seg"].to_numpy()
         for f in range(k):
-            start = n - (k - f) * ts
-            beta = ols_fit_np(X[:start], y[:start])
-            test = np.arange(start, start + ts)
-            edges = np.array([0, start - 1])
-            out.append(pd.DataFrame({
-                "fold": f,
-                "role": ["train"] * 2 + ["test"] * len(test),
-                "Datetime": pdf["Datetime"].to_numpy()[np.concatenate([edges, test])],
-                "y": np.concatenate([y[edges], y[test]]),
-                "p": np.concatenate([[np.nan, np.nan], beta[0] + X[test] @ beta[1:]]),
-            }))
-        res = pd.concat(out, ignore_index=True)
-        res.insert(0, "symbol", pdf["symbol"].iloc[0])
-        return res
-
-    return data.groupBy("symbol").applyInPandas(per_series, SCORED_SCHEMA)
+            part = table.filter(pa.array(seg == f))
+            n += sum(part["n"].to_pylist())
+            held = np.vstack([held, fa.stacked(part["r"], width)])
+            if n:                              # no row with a target yet: no fit
+                held = fa.triangle(held)
+                beta = fa.solve(held, n)
+                out.append((f, float(beta[0]), beta[1:].tolist()))
+        fold, intercept, coef = ([r[i] for r in out] for i in range(3))
+        return pa.table({"symbol": pa.array([key[0].as_py()] * len(out), pa.string()),
+                         "fold": pa.array(fold, pa.int32()), "intercept": pa.array(intercept, pa.float64()),
+                         "coef": pa.array(coef, pa.list_(pa.float64()))})
+
+    factors = train.groupBy("symbol", "_seg", "_block") \
+        .applyInArrow(factor, f"{fa.FACTOR_SCHEMA}, symbol string, seg int")
+    return factors.groupBy("symbol").applyInArrow(solve, PREFIX_SCHEMA)
+
+
+def _cv_linear(features: DataFrame, feature_cols: list[str], target: str, k: int,
+               order: str = "Datetime") -> DataFrame:
+    """Fold bounds and metrics per (symbol, fold) of the linear model."""
+    rows = stored(fold_segments(features.select(
+        "symbol", F.col(order).alias("Datetime"), F.col(target).cast("double").alias("y"),
+        fa.inputs(feature_cols).alias("x")), k, "Datetime"), "cv")
+    coefs = prefix_coefficients(rows, len(feature_cols), k).withColumn("_seg", F.col("fold") + 1).drop("fold")
+    scored = rows.join(coefs, ["symbol", "_seg"], "left").withColumn("p", dot_array("coef", "intercept", "x"))
+    test = F.col("_seg") > 0
+    y, p = F.when(test, F.col("y")), F.when(test, F.col("p"))
+    parts = scored.groupBy("symbol", "_seg").agg(
+        F.min("Datetime").alias("_first"), F.max("Datetime").alias("_last"),
+        mae(y, p).alias("MAE"), rmse(y, p).alias("RMSE"), fo.mape_test(F.col("y"), F.col("p"), test).alias("MAPE"))
+    w = Window.partitionBy("symbol").orderBy("_seg")             # k + 1 rows a series
+    some = F.col("_seg").isNotNull()
+    return (parts.withColumns({"train_start": F.min("_first").over(w), "train_end": F.lag("_last").over(w)})
+            .where(~some | test)
+            .select("symbol", (F.col("_seg") - 1).alias("fold"),
+                    *[F.when(some, F.col(c)).alias(n) for n, c in
+                      (("train_start", "train_start"), ("train_end", "train_end"),
+                       ("test_start", "_first"), ("test_end", "_last"))], "MAE", "RMSE", "MAPE"))
 
 
 def fold_dates(df: DataFrame, k: int, order: str = "Datetime") -> list[tuple[dt.date, dt.date | None]]:
     """(first test day, first day after the test) of every fold, cut over all series'
-    days, so no series trains on days another is tested on. k + 1 rows come back."""
-    days = df.select(F.col(order).alias("d")).distinct()
-    w = Window.orderBy("d")                       # one row per day of history
-    ranked = days.withColumns({"i": F.row_number().over(w) - 1,
-                               "n": F.count(F.lit(1)).over(Window.partitionBy())})
-    ts = F.expr(f"n div {k + 1}")
-    edge = F.expr(f"i - (n - {k} * (n div {k + 1}))")
-    got = (ranked.where(ts > 0).where((edge >= 0) & (F.pmod(edge, ts) == 0)).select("d").orderBy("d").collect())
-    starts = [r.d for r in got][:k]
-    return list(zip(starts, [*starts[1:], None])) if len(starts) == k else []
-
-
-def _score_gbt(features: DataFrame, feature_cols: list[str], target: str, k: int,
-               params: dict | None) -> DataFrame:
-    """k pooled fits (k is a small constant), folds cut by date."""
-    checkpoint_dir(features.sparkSession)
-    rows = features.select("symbol", "Datetime", target, *[c for c in feature_cols if c != target]) \
-        .checkpoint(eager=True)
-    out = rows.limit(0).select("symbol", F.lit(0).alias("fold"), F.lit("").alias("role"), "Datetime",
-                               F.col(target).cast("double").alias("y"), F.lit(None).cast("double").alias("p"))
-    for f, (start, end) in enumerate(fold_dates(rows, k)):
-        train = rows.where(F.col("Datetime") < F.lit(start))
-        test = rows.where(F.col("Datetime") >= F.lit(start))
-        test = test if end is None else test.where(F.col("Datetime") < F.lit(end))
-        scored = gbt_predict(gbt_fit(train, feature_cols, target, params), test).select(
-            "symbol", F.lit(f).alias("fold"), F.lit("test").alias("role"), "Datetime",
-            F.col(target).cast("double").alias("y"), F.col("prediction").alias("p"))
-        seen = train.select("symbol", F.lit(f).alias("fold"), F.lit("train").alias("role"), "Datetime",
-                            F.col(target).cast("double").alias("y"), F.lit(None).cast("double").alias("p"))
-        out = out.unionByName(scored).unionByName(seen)
-    return out
+    days, so no series trains on days another is tested on.
+
+    The days are counted by month; only the months (a dozen rows a year) and the days
+    of the k months that hold an edge reach the driver.
+    """
+    days = stored(df.select(F.col(order).cast("date").alias("d")).where("d IS NOT NULL").distinct()
+                  .withColumn("m", F.trunc("d", "month")), "days")
+    months = sorted((r["m"], r["count"]) for r in days.groupBy("m").count().collect())
+    n = sum(c for _, c in months)
+    ts = n // (k + 1)
+    if ts == 0:
+        return []
+    wanted, at, places = [n - (k - f) * ts for f in range(k)], 0, []
+    for m, c in months:
+        places += [(m, i - at) for i in wanted if at <= i < at + c]
+        at += c
+    held: dict = {}
+    for r in days.where(F.col("m").isin(sorted({m for m, _ in places}))).orderBy("d").collect():
+        held.setdefault(r["m"], []).append(r["d"])
+    starts = [held[m][i] for m, i in places]
+    return list(zip(starts, [*starts[1:], None]))
+
+
+def _in_pools(tasks: list) -> list:
+    """Results of functions run at once, each in a scheduler pool of its own, so that
+    the many small jobs of one do not wait for those of another."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import SparkContext, inheritable_thread_target
+
+    def pooled(number: int, task):
+        SparkContext._active_spark_context.setLocalProperty("spark.scheduler.pool", f"fit-{number}")
+        return task()
+    with ThreadPoolExecutor(max(1, len(tasks))) as pool:
+        running = [pool.submit(inheritable_thread_target(pooled), n, t) for n, t in enumerate(tasks)]
+        return [r.result() for r in running]
+
+
+def _cv_gbt(features: DataFrame, feature_cols: list[str], target: str, k: int, params: dict | None,
+            with_levels: bool = True) -> DataFrame:
+    """Fold bounds and metrics per (symbol, fold) of pooled fits, folds cut by date. The
+    k fits (a small constant) run at once on the same stored rows."""
+    rows = stored(features.select("symbol", "Datetime", F.col(target).cast("double").alias(target),
+                                  *[F.col(c).cast("double").alias(c) for c in feature_cols if c != target]), "cv")
+    edges = fold_dates(rows, k)
+    day = F.col("Datetime")
+
+    def fit(start: dt.date):
+        return lambda: gbt_fit(rows.where(day < F.lit(start)), feature_cols, target, params, with_levels=with_levels)
+    models = _in_pools([fit(start) for start, _ in edges])
+    scored = None
+    for f, (model, (start, end)) in enumerate(zip(models, edges)):
+        test = rows.where(day >= F.lit(start))
+        test = test if end is None else test.where(day < F.lit(end))
+        part = gbt_predict(model, test).select("symbol", F.lit(f).alias("fold"), "Datetime",
+                                               F.col(target).alias("y"), F.col("prediction").alias("p"))
+        scored = part if scored is None else scored.unionByName(part)
+    if scored is None:                       # fewer days than folds: no split
+        scored = rows.limit(0).select("symbol", F.lit(0).alias("fold"), "Datetime", F.col(target).alias("y"),
+                                      F.lit(0.0).alias("p"))
+    tests = scored.groupBy("symbol", "fold").agg(
+        F.min("Datetime").alias("test_start"), F.max("Datetime").alias("test_end"),
+        mae(F.col("y"), F.col("p")).alias("MAE"), rmse(F.col("y"), F.col("p")).alias("RMSE"),
+        mape(F.col("y"), F.col("p")).alias("MAPE"))
+    ends = F.array(*[F.struct(F.lit(f).alias("fold"), F.max(F.when(day < F.lit(start), day)).alias("train_end"))
+                     for f, (start, _) in enumerate(edges)]) if edges else \
+        F.array().cast("array<struct<fold:int,train_end:date>>")
+    trains = (rows.groupBy("symbol").agg(F.min(day).alias("train_start"), ends.alias("_e"))
+              .select("symbol", "train_start", F.inline("_e")).where("train_end IS NOT NULL"))
+    return trains.join(tests, ["symbol", "fold"], "full").select(
+        "symbol", "fold", "train_start", "train_end", "test_start", "test_end", "MAE", "RMSE", "MAPE")
 
 
 def cross_validate(features: DataFrame, model_name: str = "linear", k: int = 5,
                    feature_cols: list[str] | None = None, target: str = "Close",
-                   params: dict | None = None) -> DataFrame:
+                   params: dict | None = None, with_levels: bool = True) -> DataFrame:
     """Expanding-window CV: fold bounds and MAE / RMSE / MAPE per (symbol, fold).
 
     A series too short for the split has one row with a null fold (linear). Boosted
-    folds are cut by date over all series.
+    folds are cut by date over all series and fitted at once.
     """
     known_model(model_name)
     from daycast.operators.features import feature_columns
     cols = feature_cols or feature_columns(features)
-    scored = _score_linear(features, cols, target, k) if model_name == "linear" \
-        else _score_gbt(features, cols, target, k, params)
-    return fo.fold_metrics(scored, "y", "p", order="Datetime")
+    if model_name == "linear":
+        return _cv_linear(features, cols, target, k)
+    return _cv_gbt(features, cols, target, k, params, with_levels)
 
 
 def cross_validate_and_save(features: DataFrame, base: str, model_name: str = "linear", k: int = 5,

@@ -17,7 +17,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daycast.session import checkpoint_dir
+from daycast.operators import manifest as mf
+from daycast.session import stored
 from daycast.sources.schemas import CURRENT, FORECAST_PAYLOAD, FORECAST_ROW, RUNS
 
 RUN_KEY = ["symbol", "model", "run_date"]
@@ -54,7 +55,7 @@ def explode_payloads(payloads: DataFrame) -> DataFrame:
 
 
 def save_payloads(spark: SparkSession, base: str, payloads: DataFrame,
-                  as_of: dt.date | None = None) -> tuple[list[str], str]:
+                  as_of: dt.date | None = None) -> mf.Version:
     """Store uploaded payloads as runs; one stored already needs ``force``."""
     keys = payloads.select("symbol", "model", F.to_date("run_date").alias("run_date"),
                            F.coalesce("force", F.lit(False)).alias("force"))
@@ -227,122 +228,111 @@ def needs_forecast(series: DataFrame, current: DataFrame, as_of: dt.date) -> Dat
                               F.coalesce(F.col("tomorrow_run") != F.lit(as_of), F.lit(True))))
 
 
-# --- storage: versioned directories --------------------------------------------------
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def latest_version(spark: SparkSession, path: str) -> str | None:
-    """Newest committed version directory (``v000001``...) under path.
-
-    A version counts only once Spark's committer has written ``_SUCCESS``,
-    so readers never see a half-written table.
-    """
-    fs, p, jvm = _fs(spark, path)
-    if not fs.exists(p):
-        return None
-    for _, name in sorted(_versions(fs, p), reverse=True):
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")):
-            return f"{path}/{name}"
-    return None
-
-
-def _versions(fs, p) -> list[tuple[int, str]]:
-    """(number, name) of every version folder, committed or not."""
-    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    return [(int(n[1:]), n) for n in names if n[:1] == "v" and n[1:].isdigit()]
-
-
-KEEP_VERSIONS = 5
+# --- storage -------------------------------------------------------------------------
 
+# One table of the store's partitions: runs by month of the run date, current forecasts
+# by model and month of the target day.
 
 def sink_atomic(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                keep: int | None = KEEP_VERSIONS) -> str:
-    """Write df as the next version of the table at path; readers switch
-    to it only after the commit. A half-written version, left by a crash, keeps its
-    number and is passed over. The last ``keep`` versions stay (None: all)."""
+                keep: int | None = mf.KEEP_VERSIONS) -> str:
+    """Write df as the next version of the table at path and return its folder; readers
+    switch to it only with the commit. Of two writers at once one is refused. The last
+    ``keep`` versions stay (None: all)."""
     spark = df.sparkSession
-    fs, p, jvm = _fs(spark, path)
-    held = sorted(_versions(fs, p)) if fs.exists(p) else []
-    target = f"{path}/v{(held[-1][0] if held else 0) + 1:06d}"
+    before, folder = mf.newest(spark, path), mf.new_folder()
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(target)
-    if keep is not None:
-        for _, name in held[:max(0, len(held) + 1 - keep)]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
-    return target
+    w.parquet(f"{path}/{folder}")
+    _commit(spark, path, before, {"table": folder}, folder, keep)
+    return f"{path}/{folder}"
+
+
+def _commit(spark: SparkSession, base: str, before: mf.Version, changed: dict, folder: str,
+            keep: int | None = mf.KEEP_VERSIONS) -> mf.Version:
+    try:
+        return mf.commit(spark, base, before, changed, keep)
+    except mf.ConcurrentCommitError:
+        mf.remove(spark, base, folder)
+        raise
+
+
+def latest_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the newest committed version of a ``sink_atomic`` table."""
+    folder = mf.newest(spark, path).partitions.get("table")
+    return folder and f"{path}/{folder}"
 
 
 def scan_versioned(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Latest committed version, or an empty frame when none exists.
-    An unreadable version raises (never silently read as empty)."""
-    v = latest_version(spark, path)
-    if v is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(v)
+    """Newest version of a ``sink_atomic`` table, or an empty frame when none exists."""
+    return mf.scan(spark, path, schema, prefix="table")
 
 
 def scan_runs(spark: SparkSession, base: str) -> DataFrame:
-    return scan_versioned(spark, f"{base}/runs", RUNS)
+    return mf.scan(spark, base, RUNS, prefix="runs/")
 
 
-def _model_dir(base: str, model: str) -> str:
-    return f"{base}/current/model={model}"
+def scan_current(spark: SparkSession, base: str, model: str | None = None) -> DataFrame:
+    """Current forecast; of one model, only its partitions are read."""
+    return mf.scan(spark, base, CURRENT, prefix="current/" if model is None else f"current/{model}/")
 
 
-def _models(spark: SparkSession, base: str) -> list[str]:
-    fs, p, _ = _fs(spark, f"{base}/current")
-    if not fs.exists(p):
-        return []
-    return sorted(st.getPath().getName().split("=", 1)[1] for st in fs.listStatus(p)
-                  if st.isDirectory() and st.getPath().getName().startswith("model="))
+def _month(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM")
 
 
-def scan_current(spark: SparkSession, base: str, model: str | None = None) -> DataFrame:
-    """Current forecast: the newest committed version of each model's table
-    (one versioned folder per model, so a run rewrites only its model)."""
-    models = [model] if model is not None else _models(spark, base)
-    paths = [v for v in (latest_version(spark, _model_dir(base, m)) for m in models) if v]
-    if not paths:
-        return spark.createDataFrame([], CURRENT)
-    return spark.read.schema(CURRENT).parquet(*paths)
+def _changed(rows: DataFrame, keys: Column, base: str, folder: str) -> dict[str, str]:
+    """Write ``rows`` by partition key to ``folder`` and name the folder of each."""
+    part = F.substring(F.sha2("_key", 256), 1, 24)           # a name any file system takes
+    kept = rows.withColumn("_key", keys).withColumn("_part", part).persist()
+    try:
+        # a row per partition the run touches: models by months
+        names = kept.select("_key", "_part").distinct().collect()
+        kept.drop("_key").repartition("_part").write.partitionBy("_part").parquet(f"{base}/{folder}")
+    finally:
+        kept.unpersist()
+    return {r["_key"]: f"{folder}/_part={r['_part']}" for r in names}
 
 
 def save_run(spark: SparkSession, base: str, forecasts: DataFrame, horizon: int | Column,
              params: dict | None = None, force: bool = False, as_of: dt.date | None = None,
              keys: DataFrame | list[tuple] | None = None,
-             params_of: Column | None = None) -> tuple[list[str], str]:
-    """Store a run: the duplicate check comes first, then each touched model's
-    merged current table, then the run index — each a new committed version.
-
-    With ``keys``, the run's (symbol, model, run_date), a duplicate is refused
-    before the forecast is computed at all. The forecast is computed once, cut in
-    the shared folder; index and tables come from that copy. Only the models of
-    the run are read and rewritten; their names (a handful per run) are the one
-    thing brought to the driver.
+             params_of: Column | None = None) -> mf.Version:
+    """Store a run and return the version it made.
+
+    The duplicate check comes first; with ``keys``, the run's (symbol, model, run_date),
+    a duplicate is refused before the forecast is computed at all. The forecast is
+    computed once, written in the shared folder. Only the (model, month) partitions that
+    hold one of its target days, and the months of its run dates, are read, merged and
+    written, all models in one job; one commit switches readers to them together. A
+    writer who was overtaken is refused and leaves nothing behind.
     """
-    index = scan_runs(spark, base)
+    before = mf.newest(spark, base)
     if isinstance(keys, list):
         keys = spark.createDataFrame(keys, "symbol string, model string, run_date date")
     if keys is not None:
         if not force or params_of is not None:      # payload keys hold those without force only
-            upsert_run(index, keys, force=False)
-    checkpoint_dir(spark)
-    forecasts = forecasts.checkpoint(eager=True)
-    new_index = upsert_run(index, run_rows(forecasts, horizon, params, params_of), force)
-    models = [r["model"] for r in forecasts.select("model").distinct().collect()]
-    cur_paths = []
-    for m in models:
-        incoming = forecasts.where(F.col("model") == m)
-        merged = merge_current(scan_current(spark, base, m), incoming, as_of=as_of)
-        cur_paths.append(sink_atomic(merged, _model_dir(base, m)))
-    idx_path = sink_atomic(new_index, f"{base}/runs")
-    return cur_paths, idx_path
+            upsert_run(mf.scan(spark, base, RUNS, before, "runs/"), keys, force=False)
+    forecasts = stored(forecasts, "run")
+    new_runs = run_rows(forecasts, horizon, params, params_of)
+    months = {r[0] for r in new_runs.select(_month("run_date")).distinct().collect()}
+    index = _of(spark, base, before, RUNS, [f"runs/{m}" for m in months])
+    new_index = upsert_run(index, new_runs, force)
+    incoming = future_only(forecasts.withColumn("target_date", F.to_date("target_date"))
+                           .withColumn("run_date", F.to_date("run_date")), as_of)
+    key = F.concat_ws("/", F.lit("current"), "model", _month("target_date"))
+    touched = [r[0] for r in incoming.select(key).distinct().collect()]
+    merged = merge_current(_of(spark, base, before, CURRENT, touched), forecasts, as_of=as_of)
+    folder = mf.new_folder()
+    changed = _changed(new_index, F.concat(F.lit("runs/"), _month("run_date")), base, f"{folder}/runs")
+    changed |= _changed(merged, key, base, f"{folder}/current")
+    return _commit(spark, base, before, changed, folder)
+
+
+def _of(spark: SparkSession, base: str, version: mf.Version, schema, keys: list[str]) -> DataFrame:
+    """Rows of the named partitions of a version."""
+    held = mf.Version(version.number, {k: version.partitions[k] for k in keys if k in version.partitions})
+    return mf.scan(spark, base, schema, held)
 
 
 PAYLOAD_SCHEMA = FORECAST_PAYLOAD

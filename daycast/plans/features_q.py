@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from daycast.functions.values import (any_nan_row, double_columns, fill_missing,
                                      ntz_epoch_micros)
 from daycast.functions.windows import series_window, trend_index
+from daycast.operators import event_table as et
 from daycast.operators import features as feat
 from daycast.operators.bars import price_history
 from daycast.plans import common
@@ -199,6 +200,51 @@ for _key, _col in EVENT_KEYS.items():
                  f"SELECT symbol, \"Date\", {O.event_sql(_col)} AS {O.q(_col)} FROM bars")
 
 
+# --- step 4b: events as a table ------------------------------------------------
+
+# An order of this price or more makes its day an event of its priority class.
+EVENT_PRICE = 450_000.0
+EVENT_REACH = 3                # days after an event that are flagged
+
+
+def _large_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "orders").where(F.col("o_totalprice") >= EVENT_PRICE)
+    return t.select(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("event_date"))
+
+
+def _event_table_query(name: str, by: list[str]):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        days = common.bars(spark, sf_dir).select("symbol", "Date")
+        out = et.as_of_events(days, _large_orders(spark, sf_dir), by=by)
+        return out.select("symbol", "Date", et.event_columns()[name].alias(name))
+    return run
+
+
+def q_post_event_flag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = common.bars(spark, sf_dir).select("symbol", "Date")
+    return et.post_events(days, _large_orders(spark, sf_dir), EVENT_REACH, by=["symbol"])
+
+
+# The first three are per series, the cycle counts the events of all series.
+EVENT_TABLE_KEYS = {"event_flag": ["symbol"], "days_since_event": ["symbol"], "days_until_event": ["symbol"],
+                    "event_cycle": []}
+
+_EVENTS_SQL = f"""WITH {O.BARS_CTE},
+events AS (
+  SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS e FROM orders WHERE o_totalprice >= {EVENT_PRICE})
+SELECT b.symbol, b."Date", """
+SQL["event_flag_table"] = _EVENTS_SQL + """CAST(EXISTS (SELECT 1 FROM events e
+  WHERE e.symbol = b.symbol AND e.e = b."Date") AS INTEGER) AS event_flag FROM bars b"""
+SQL["days_since_event_table"] = _EVENTS_SQL + """CAST(coalesce(b."Date" - (SELECT max(e.e) FROM events e
+  WHERE e.symbol = b.symbol AND e.e <= b."Date"), 0) AS BIGINT) AS days_since_event FROM bars b"""
+SQL["days_until_event_table"] = _EVENTS_SQL + """CAST(coalesce((SELECT min(e.e) FROM events e
+  WHERE e.symbol = b.symbol AND e.e >= b."Date") - b."Date", 0) AS BIGINT) AS days_until_event FROM bars b"""
+SQL["event_cycle_table"] = _EVENTS_SQL + """CAST((SELECT count(*) FROM events e
+  WHERE e.e <= b."Date") AS BIGINT) AS event_cycle FROM bars b"""
+SQL["post_event_flag_table"] = _EVENTS_SQL + f"""CAST(EXISTS (SELECT 1 FROM events e
+  WHERE e.symbol = b.symbol AND b."Date" - e.e BETWEEN 0 AND {EVENT_REACH}) AS BIGINT) AS post_event_flag FROM bars b"""
+
+
 QUERIES = {
     "daily_ohlcv": q_daily_ohlcv,
     "csv_daily_ohlcv": q_csv_daily_ohlcv,
@@ -214,4 +260,6 @@ QUERIES = {
     "assert_no_nan": q_assert_no_nan,
     "feature_table": q_feature_table,
     **{k: _event_query(c) for k, c in EVENT_KEYS.items()},
+    **{f"{k}_table": _event_table_query(k, by) for k, by in EVENT_TABLE_KEYS.items()},
+    "post_event_flag_table": q_post_event_flag_table,
 }

@@ -15,6 +15,7 @@ AS_OF = common.AS_OF
 SCENARIOS = 8
 YEAR = 365                     # the service's horizon
 MID = dt.date(1998, 1, 1)      # an as-of day in mid-history
+REFIT_DAYS, REFIT_WINDOW = 90, 100    # the window drops a row on every day
 
 
 def _features(spark, sf_dir):
@@ -64,11 +65,30 @@ def q_recursive_forecast_lags(spark, sf_dir):
     return common.round_doubles(out.select("symbol", "h", "target_date", "prediction"), 2)
 
 
+def q_recursive_refit_lags(spark, sf_dir):
+    """Refitted every day on the sliding window, two lags."""
+    out = fc.recursive_forecast_lags(_features(spark, sf_dir), REFIT_DAYS, MID, common.calendar(),
+                                     REFIT_WINDOW, refit=True)
+    return common.round_doubles(out.select("symbol", "h", "target_date", "prediction"), 2)
+
+
 def q_scenario_forecast(spark, sf_dir):
     return fc.scenario_forecast(_features(spark, sf_dir), YEAR, AS_OF, common.calendar(),
                                 scenarios=SCENARIOS, window=WINDOW)
 
 
+def q_scenario_forecast_calm(spark, sf_dir):
+    """Without noise all quantiles are the fit-once path: two lags, for the closed form."""
+    out = fc.scenario_forecast(_features(spark, sf_dir), YEAR, MID, common.calendar(), SCENARIOS, WINDOW,
+                               noise_scale=0.0, cols=fc.LAG_COLS, clip=False)
+    return common.round_doubles(out, 2)
+
+
+def q_direct_forecast_year(spark, sf_dir):
+    """All horizons of a year."""
+    return common.round_doubles(fc.direct_forecast(common.bars(spark, sf_dir), YEAR, AS_OF, WINDOW), 2)
+
+
 QUERIES = {
     "train_window": q_train_window,
     "direct_forecast": q_direct_forecast,
@@ -79,7 +99,10 @@ QUERIES = {
     "recursive_forecast_ols": q_recursive_forecast_ols,
     "recursive_forecast_ols_once": q_recursive_forecast_ols_once,
     "recursive_forecast_lags": q_recursive_forecast_lags,
+    "recursive_refit_lags": q_recursive_refit_lags,
     "scenario_forecast": q_scenario_forecast,
+    "scenario_forecast_calm": q_scenario_forecast_calm,
+    "direct_forecast_year": q_direct_forecast_year,
 }
 
 
@@ -174,4 +197,34 @@ path(symbol, h, c1, c2, c3) AS (
   FROM path p JOIN coef c ON p.symbol = c.symbol WHERE p.h < {YEAR})
 SELECT symbol, CAST(h AS INTEGER) AS h, CAST({O.date_lit(MID)} + CAST(h AS INTEGER) AS DATE) AS target_date,
        {O.r('c1', 2)} AS prediction FROM path WHERE h >= 1""",
+    # sums over the window, about the series' mean c, carried from day to day: the
+    # oldest row goes, the predicted one comes
+    "recursive_refit_lags": f"""WITH RECURSIVE {lag_rows_cte(MID, window=False)},
+base AS (
+  SELECT symbol, i - (n - {REFIT_WINDOW}) AS k, x1 - c AS u, x2 - c AS v, y - c AS w, c
+  FROM (SELECT *, avg(y) OVER (PARTITION BY symbol) AS c FROM lagged) WHERE i >= n - {REFIT_WINDOW}),
+last AS (
+  SELECT symbol, max(CASE WHEN k = {REFIT_WINDOW - 1} THEN w END) AS c1,
+         max(CASE WHEN k = {REFIT_WINDOW - 2} THEN w END) AS c2,
+         max(CASE WHEN k = {REFIT_WINDOW - 3} THEN w END) AS c3 FROM base GROUP BY symbol),
+path(symbol, h, c, c1, c2, c3, su, sv, sw, uu, vv, uv, uw, vw) AS (
+  SELECT b.symbol, 0, any_value(c), any_value(c1), any_value(c2), any_value(c3), sum(u), sum(v), sum(w),
+         sum(u * u), sum(v * v), sum(u * v), sum(u * w), sum(v * w)
+  FROM base b JOIN last l ON l.symbol = b.symbol GROUP BY b.symbol
+  UNION ALL
+  SELECT symbol, h + 1, c, p, c1, c2, su + c1 - o.u, sv + c3 - o.v, sw + p - o.w, uu + c1 * c1 - o.u * o.u,
+         vv + c3 * c3 - o.v * o.v, uv + c1 * c3 - o.u * o.v, uw + c1 * p - o.u * o.w, vw + c3 * p - o.v * o.w
+  FROM (
+    SELECT *, sw / {REFIT_WINDOW} + b1 * (c1 - su / {REFIT_WINDOW}) + b2 * (c3 - sv / {REFIT_WINDOW}) AS p FROM (
+      SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1,
+             (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM (
+        SELECT *, uu - su * su / {REFIT_WINDOW} AS s11, vv - sv * sv / {REFIT_WINDOW} AS s22,
+               uv - su * sv / {REFIT_WINDOW} AS s12, uw - su * sw / {REFIT_WINDOW} AS s1y,
+               vw - sv * sw / {REFIT_WINDOW} AS s2y FROM path WHERE h < {REFIT_DAYS}))) q
+  JOIN (SELECT symbol AS s, k, u, v, w FROM base) o ON o.s = q.symbol AND o.k = q.h)
+SELECT symbol, CAST(h AS INTEGER) AS h, CAST({O.date_lit(MID)} + CAST(h AS INTEGER) AS DATE) AS target_date,
+       {O.r('c1 + c', 2)} AS prediction FROM path WHERE h >= 1""",
 }
+SQL["direct_forecast_year"] = SQL["direct_forecast"].replace(f"range(1, {H + 1})", f"range(1, {YEAR + 1})")
+SQL["scenario_forecast_calm"] = f"""SELECT symbol, h, target_date, prediction AS p10, prediction AS p50,
+       prediction AS p90, CAST({SCENARIOS} AS BIGINT) AS paths FROM ({SQL["recursive_forecast_lags"]})"""

@@ -92,6 +92,14 @@ def q_cross_validate_gbt(spark, sf_dir):
                                                   common.CV_FOLDS, params=md.GBT_SERVICE_PARAMS), 2)
 
 
+def q_cross_validate_stump(spark, sf_dir):
+    """Boosted cross-validation in its one-split form, folds by date, all series pooled."""
+    ft = feat.feature_table(common.bars(spark, sf_dir), common.calendar())
+    return common.round_doubles(md.cross_validate(
+        ft.select("symbol", "Datetime", "month", "Close"), "xgboost", common.CV_FOLDS, ["month"],
+        params=STUMP_PARAMS, with_levels=False), 2)
+
+
 def q_recursive_forecast_gbt(spark, sf_dir):
     ft = _features(spark, sf_dir)
     model = md.gbt_fit(training_frame(ft, common.TRAIN_WINDOW, AS_OF), feat.feature_columns(ft), as_of=AS_OF)
@@ -113,6 +121,7 @@ QUERIES = {
     "cross_validate_causal": q_cross_validate_causal,
     "cross_validate_lags": q_cross_validate_lags,
     "cross_validate_gbt": q_cross_validate_gbt,
+    "cross_validate_stump": q_cross_validate_stump,
     "recursive_forecast_gbt": q_recursive_forecast_gbt,
     "direct_forecast_gbt": q_direct_forecast_gbt,
 }
@@ -148,4 +157,30 @@ cuts AS (
 best AS (SELECT t FROM cuts GROUP BY t ORDER BY sum(sse), t LIMIT 1)
 SELECT symbol, "Datetime", {O.r('mean', 2)} AS prediction
 FROM rows r, best b JOIN cuts c ON c.t = b.t WHERE c.low = (r.m <= b.t)""",
+    "cross_validate_stump": f"""WITH {O.BARS_CTE},
+rows AS (SELECT symbol, "Date" AS d, month("Date") AS m, "Close" AS y FROM bars),
+days AS (
+  SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n, n // {K + 1} AS ts
+  FROM (SELECT DISTINCT d FROM rows)),
+folds AS (
+  SELECT f.fold, (SELECT d FROM days WHERE i = n - ({K} - f.fold) * ts) AS start,
+         (SELECT d FROM days WHERE i = n - ({K} - f.fold - 1) * ts) AS until FROM range(0, {K}) f(fold)),
+cuts AS (
+  SELECT f.fold, c.t, r.m <= c.t AS low, avg(y) AS mean, sum(y * y) - count(*) * avg(y) * avg(y) AS sse
+  FROM rows r JOIN folds f ON r.d < f.start CROSS JOIN range(1, 12) c(t) GROUP BY f.fold, c.t, r.m <= c.t),
+best AS (
+  SELECT fold, t FROM (SELECT fold, t, sum(sse) AS e FROM cuts GROUP BY fold, t)
+  QUALIFY row_number() OVER (PARTITION BY fold ORDER BY e, t) = 1),
+scored AS (
+  SELECT r.symbol, f.fold, r.d, r.y, c.mean AS p
+  FROM rows r JOIN folds f ON r.d >= f.start AND (f.until IS NULL OR r.d < f.until)
+  JOIN best b ON b.fold = f.fold JOIN cuts c ON c.fold = f.fold AND c.t = b.t AND c.low = (r.m <= b.t)),
+span AS (
+  SELECT r.symbol, f.fold, min(r.d) AS train_start, max(r.d) AS train_end
+  FROM rows r JOIN folds f ON r.d < f.start GROUP BY r.symbol, f.fold)
+SELECT s.symbol, CAST(s.fold AS INTEGER) AS fold, any_value(train_start) AS train_start,
+       any_value(train_end) AS train_end, min(d) AS test_start, max(d) AS test_end,
+       {O.r('avg(abs(y - p))', 2)} AS "MAE", {O.r('sqrt(avg((y - p) * (y - p)))', 2)} AS "RMSE",
+       {O.r('avg(abs((y - p) / y)) * 100', 2)} AS "MAPE"
+FROM scored s JOIN span t ON s.symbol = t.symbol AND s.fold = t.fold GROUP BY s.symbol, s.fold""",
 }

@@ -35,25 +35,20 @@ def _ticks(ev, ts_type):
                      price.alias("Close"), F.lit(1.0).alias("Volume"))
 
 
-BATCHES = 4        # files the events are dealt to by time, one per micro-batch
+QUARTERS = 4       # parts of the events by time, which arrive one after the other
 
 
-def _arriving(spark, sf_dir, folder):
-    """The events as files that arrive in order of time, and a stream over them."""
+def _quarters(spark, sf_dir):
+    """The events of each quarter of their time, as a frame that Spark writes as it
+    reads it: as many files as tasks."""
     ev = table(spark, sf_dir, "events")
     lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
     if lo is None:
-        ev.limit(0).write.parquet(f"{folder}/part=0")
-    else:
-        step = (hi - lo) / BATCHES
-        for k in range(BATCHES):      # written one after the other: sources take older files first
-            after, until = lo + step * k, (lo + step * (k + 1) if k < BATCHES - 1 else None)
-            rows = ev.where(F.col("ts") >= F.lit(after))
-            rows = rows if until is None else rows.where(F.col("ts") < F.lit(until))
-            rows.coalesce(1).write.parquet(f"{folder}/part={k}")
-    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
-              .parquet(f"{folder}/part=*"))
-    return _ticks(stream, ev.schema["ts"].dataType)
+        return [ev]
+    step = (hi - lo) / QUARTERS
+    edges = [lo + step * k for k in range(QUARTERS)]
+    return [ev.where(F.col("ts") >= F.lit(a)).where(F.lit(True) if b is None else F.col("ts") < F.lit(b))
+            for a, b in zip(edges, [*edges[1:], None])]
 
 
 def q_stream_daily_ohlcv(spark, sf_dir):
@@ -63,10 +58,14 @@ def q_stream_daily_ohlcv(spark, sf_dir):
 
 
 def q_incremental_features(spark, sf_dir):
+    """Every quarter of the events is one run of the stream, on the same checkpoint."""
     base, ckpt = bs.scratch_paths(spark, "incremental_features")
     bars_path, feat_path = f"{base}/bars", f"{base}/features"
-    stream = bs.stream_daily_ohlcv(_arriving(spark, sf_dir, f"{base}/events"), LATENESS)
-    bs.run_incremental_features(stream, bars_path, feat_path, ckpt, common.calendar())
+    for k, part in enumerate(_quarters(spark, sf_dir)):
+        part.write.parquet(f"{base}/events/part={k}")
+        ticks = _ticks(spark.readStream.schema(part.schema).parquet(f"{base}/events/part=*"), part.schema["ts"].dataType)
+        bs.run_incremental_features(bs.stream_daily_ohlcv(ticks, LATENESS), bars_path, feat_path, ckpt,
+                                    common.calendar())
     ft = spark.read.parquet(feat_path)
     cols = [c for c in feature_table(spark.read.parquet(bars_path), common.calendar()).columns]
     return common.round_doubles(ft.select(*cols))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults tuned for the daily-bar workloads: AQE re-plans joins and
 # coalesces the many small post-aggregation partitions; the session zone
@@ -15,6 +16,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
+    # Fits of several folds run at once, each in a pool of its own.
+    "spark.scheduler.mode": "FAIR",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -77,6 +80,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a new folder of the shared checkpoint folder, and read back.
+
+    Cuts the lineage like ``checkpoint()``; as Parquet, so that each later use reads only
+    the columns it needs."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -92,6 +106,8 @@ def ship_package(spark: SparkSession) -> None:
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    # A worker's matrix routines get the cores of its task, not all of the machine's.
+    sc.environment.setdefault("OMP_NUM_THREADS", sc.getConf().get("spark.task.cpus", "1"))
     root = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="daycast-pyfiles-"), "daycast.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

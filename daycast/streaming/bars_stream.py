@@ -6,7 +6,7 @@ feature refresh per micro-batch.
   end, so late ticks up to the allowed lateness still land in their day.
 * ``incremental_features`` — ``foreachBatch``: each batch's new days get
   their feature rows from a state of one row per symbol (rows seen, last 180
-  bars), written per epoch so replays are idempotent.
+  bars) in hash buckets, written per epoch so replays are idempotent.
 """
 
 from __future__ import annotations
@@ -104,27 +104,63 @@ def incremental_feature_rows(state: DataFrame | None, new_bars: DataFrame, calen
               .drop("_first_new", "_offset"))
 
 
-def _last_epoch(spark: SparkSession, path: str, before: int) -> int | None:
-    """Newest committed ``epoch=<id>`` folder older than this epoch."""
+STATE_BUCKETS = 256
+STATE_SCHEMA = T.StructType([
+    T.StructField("symbol", T.StringType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("tail", T.ArrayType(T.StructType(
+        [T.StructField("Date", T.DateType())] + [T.StructField(c, T.DoubleType()) for c in BAR_NAMES[2:]]))),
+])
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int")
+
+
+def _state_epochs(spark: SparkSession, path: str, before: int) -> dict[int, list[int]]:
+    """bucket -> committed epochs older than ``before`` that wrote it, oldest first."""
     fs, p, jvm = _fs(spark, path)
+    out: dict[int, list[int]] = {}
     if not fs.exists(p):
-        return None
-    ids = [int(n.split("=")[1]) for n in (s.getPath().getName() for s in fs.listStatus(p))
-           if n.startswith("epoch=")]
-    done = [i for i in ids if i < before and
-            fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/epoch={i}/_SUCCESS"))]
-    return max(done, default=None)
+        return out
+    epochs = sorted(int(n[6:]) for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith("epoch="))
+    for e in epochs:
+        folder = f"{path}/epoch={e}"
+        if e < before and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")):
+            for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)):
+                name = s.getPath().getName()
+                if name.startswith("bucket="):
+                    out.setdefault(int(name[7:]), []).append(e)
+    return out
+
+
+def read_state(spark: SparkSession, path: str, buckets: list[int] | None = None, before: int = 1 << 62) -> DataFrame | None:
+    """State of the symbols in some buckets (None: all), each bucket from the newest
+    epoch that wrote it; None when there is none."""
+    held = _state_epochs(spark, path, before)
+    paths = [f"{path}/epoch={e[-1]}/bucket={b}" for b, e in sorted(held.items()) if buckets is None or b in buckets]
+    return spark.read.schema(STATE_SCHEMA).parquet(*paths) if paths else None
+
+
+def _forget(spark: SparkSession, path: str, held: dict[int, list[int]], touched: list[int]) -> None:
+    """Of the buckets just written, versions before the last one are not read again,
+    not even by a replay."""
+    fs, _, jvm = _fs(spark, path)
+    for b in touched:
+        for e in held.get(b, [])[:-1]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/epoch={e}/bucket={b}"), True)
 
 
 def incremental_features(bars_path: str, features_path: str, calendar, fill: float = 0.0,
-                         state_path: str | None = None):
+                         state_path: str | None = None, buckets: int = STATE_BUCKETS):
     """foreachBatch handler: feature rows for the batch's days from a small state.
 
-    Idempotent under retries: a micro-batch writes its bars, its feature rows and
-    the state after it to its own ``epoch=<id>`` folders in overwrite mode, reading
-    only the state of the epoch before, so a replayed epoch replaces its earlier
-    attempt. What a batch reads is bounded by the number of symbols, not by the
-    history. Readers see the union of all epochs' bars and feature rows.
+    The state, one row per symbol, is dealt to ``buckets`` by symbol hash; a batch reads
+    and writes the buckets of the symbols it holds only, whatever the number of symbols.
+    Idempotent under retries: a micro-batch writes its bars, its feature rows and the
+    touched buckets to its own ``epoch=<id>`` folders in overwrite mode and reads buckets
+    of earlier epochs only, so a replayed epoch replaces its earlier attempt. Readers see
+    the union of all epochs' bars and feature rows.
     """
     state_path = state_path or f"{features_path}_state"
 
@@ -134,12 +170,16 @@ def incremental_features(bars_path: str, features_path: str, calendar, fill: flo
         try:
             if batch.isEmpty():
                 return
-            last = _last_epoch(spark, state_path, epoch_id)
-            state = None if last is None else spark.read.parquet(f"{state_path}/epoch={last}")
+            # at most ``buckets`` numbers
+            touched = [r[0] for r in batch.select(_bucket(buckets)).distinct().collect()]
+            held = _state_epochs(spark, state_path, epoch_id)
+            state = read_state(spark, state_path, touched, epoch_id)
             incremental_feature_rows(state, batch, calendar, fill).write.mode("overwrite") \
                 .parquet(f"{features_path}/epoch={epoch_id}")
             batch.write.mode("overwrite").parquet(f"{bars_path}/epoch={epoch_id}")
-            series_state(batch, state).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch_id}")
+            series_state(batch, state).withColumn("bucket", _bucket(buckets)).repartition("bucket") \
+                .write.mode("overwrite").partitionBy("bucket").parquet(f"{state_path}/epoch={epoch_id}")
+            _forget(spark, state_path, held, touched)
         finally:
             batch.unpersist()
 

@@ -15,14 +15,15 @@ MODULES = [m.name for m in pkgutil.walk_packages(daycast.__path__, "daycast.")
 # The queries of the daily-series part; one that goes missing is noticed.
 KEYS = set("""
 assert_no_nan calendar_parts check_epoch_unit compare_models cross_validate cross_validate_causal cross_validate_gbt
-cross_validate_lags csv_daily_ohlcv cv_trend_ols daily_ohlcv daily_range_volume day_metrics days_since_event
+cross_validate_lags cross_validate_stump csv_daily_ohlcv cv_trend_ols daily_ohlcv daily_range_volume day_metrics days_since_event
 days_until_event derived_ohlcv direct_forecast direct_forecast_as_of direct_forecast_gbt epoch_to_ts event_cycle
-event_flag expanding_folds feature_table fill_missing forecast_table forecast_vs_actual gbt_fit_predict gbt_stump
+event_flag days_since_event_table days_until_event_table event_cycle_table event_flag_table
+post_event_flag_table expanding_folds feature_table fill_missing forecast_table forecast_vs_actual gbt_fit_predict gbt_stump
 get_current incremental_features is_stale is_stale_series lag_n latest_per_target list_runs merge_current model_report
 model_report_monthly momentum needs_forecast needs_forecast_models ols_fit_lags ols_fit_predict
 ols_fit_predict_causal overlay_history_forecast period_return post_event_flag price_history recursive_forecast_ar
 recursive_forecast_ar_as_of recursive_forecast_gbt recursive_forecast_lags recursive_forecast_ols
-recursive_forecast_ols_once replace_run rolling_mean rolling_std runs_as_text scenario_forecast stream_daily_ohlcv
+recursive_forecast_ols_once recursive_refit_lags replace_run rolling_mean rolling_std runs_as_text scenario_forecast scenario_forecast_calm direct_forecast_year stream_daily_ohlcv
 train_window train_window_as_of trend_index upsert_run volume_rolling
 """.split())
 

@@ -4,6 +4,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from daycast.operators import manifest as mf
 from daycast.operators import store as st
 from daycast.sources.schemas import CURRENT, RUNS
 
@@ -81,13 +82,14 @@ def test_versioned_store_roundtrip(spark, tmp_dir):
     assert st.scan_current(spark, base, "m").count() == 5
     with pytest.raises(FileExistsError):
         st.save_run(spark, base, fc, horizon=5)
-    cur_paths, _ = st.save_run(spark, base, fc.withColumn("prediction", F.lit(7.0)), 5, force=True)
-    assert cur_paths == [f"{base}/current/model=m/v000002"]
+    two = st.save_run(spark, base, fc.withColumn("prediction", F.lit(7.0)), 5, force=True)
+    assert two.number == 2
     assert {r["prediction"] for r in st.scan_current(spark, base).collect()} == {7.0}
     other = fc.withColumn("model", F.lit("k")).withColumn("run_date", F.lit(D(2024, 1, 2)))
-    st.save_run(spark, base, other, 5)                 # another model: m is not rewritten
-    assert st.latest_version(spark, f"{base}/current/model=m").endswith("v000002")
+    three = st.save_run(spark, base, other, 5)          # another model: m is not rewritten
+    assert three.partitions["current/m/2024-01"] == two.partitions["current/m/2024-01"]
     assert st.scan_current(spark, base).count() == 5 + 4   # k keeps targets after its run date
+    assert st.scan_current(spark, base, "k").count() == 4
     assert st.scan_runs(spark, base).count() == 2
 
 
@@ -97,26 +99,80 @@ def frame(spark, n=5, model="m", run=D(2024, 1, 1)):
         "symbol string, model string, run_date date, target_date date, prediction double")
 
 
-def test_a_half_written_version_is_passed_over(spark, tmp_dir):
+def test_a_run_rewrites_the_months_it_touches_only(spark, tmp_dir):
+    base = f"{tmp_dir}/store"
+    log = []
+    for month in range(1, 7):                           # 40 days each: two or three months
+        run = D(2024, month, 1)
+        both = frame(spark, 40, "m", run).unionByName(frame(spark, 40, "k", run))
+        version = st.save_run(spark, base, both, 40)
+        log += [(m, D(2024, month, 1), run + dt.timedelta(days=i + 1), float(i)) for m in "mk" for i in range(40)]
+    assert version.number == 6
+    before = mf.newest(spark, base).partitions
+    after = st.save_run(spark, base, frame(spark, 40, "k", D(2024, 6, 15)), 40).partitions
+    changed = {k for k in after if after[k] != before.get(k)}
+    assert changed == {"current/k/2024-06", "current/k/2024-07", "runs/2024-06"}
+    log += [("k", D(2024, 6, 15), D(2024, 6, 15) + dt.timedelta(days=i + 1), float(i)) for i in range(40)]
+    want = {}
+    for model, run, day, p in sorted(log, key=lambda r: r[1]):     # the newest run wins
+        want[model, day] = (p, run)
+    got = {(r.model, r.target_date): (r.prediction, r.run_date) for r in st.scan_current(spark, base).collect()}
+    assert got == want
+    assert st.scan_runs(spark, base).count() == 13
+
+
+def test_of_two_writers_one_is_refused_by_name(spark, tmp_dir, monkeypatch):
     import os
     base = f"{tmp_dir}/store"
     st.save_run(spark, base, frame(spark), 5)
-    os.makedirs(f"{base}/current/model=m/v000002")          # a crash before _SUCCESS
-    os.makedirs(f"{base}/runs/v000010")
-    paths, index = st.save_run(spark, base, frame(spark, run=D(2024, 1, 2)), 5)
-    assert paths == [f"{base}/current/model=m/v000003"] and index == f"{base}/runs/v000011"
+    plain, late = mf.newest, []
+
+    def overtaken(*a):
+        """The other writer commits right after this one read the table."""
+        held = plain(*a)
+        if not late:
+            late.append(1)
+            st.save_run(spark, base, frame(spark, run=D(2024, 1, 2)), 5)
+        return held
+    monkeypatch.setattr(mf, "newest", overtaken)
+    with pytest.raises(mf.ConcurrentCommitError, match="version 2 of"):
+        st.save_run(spark, base, frame(spark, run=D(2024, 1, 3)), 5)
+    monkeypatch.setattr(mf, "newest", plain)
+    assert {r.run_date for r in st.scan_runs(spark, base).collect()} == {D(2024, 1, 1), D(2024, 1, 2)}
+    assert len(os.listdir(f"{base}/data")) == 2          # the refused one left nothing
+    assert st.save_run(spark, base, frame(spark, run=D(2024, 1, 3)), 5).number == 3
+    late.clear()
+    t = f"{tmp_dir}/t"
+    st.sink_atomic(spark.range(1), t)
+    held = mf.newest(spark, t)
+    st.sink_atomic(spark.range(2), t)
+    with pytest.raises(mf.ConcurrentCommitError):
+        mf.commit(spark, t, held, {"table": "data/none"})
+    assert st.scan_versioned(spark, t, "id long").count() == 2
+
+
+def test_a_torn_manifest_is_passed_over(spark, tmp_dir, monkeypatch):
+    base = f"{tmp_dir}/store"
+    st.save_run(spark, base, frame(spark), 5)
+    with open(f"{base}/_manifest/00000002.json", "w") as f:
+        f.write('{"partitions": {"curr')                 # a crash in the middle of the commit
+    with pytest.raises(mf.ConcurrentCommitError, match="is being committed"):
+        st.scan_runs(spark, base)
+    monkeypatch.setattr(mf, "SECONDS_TO_COMMIT", -1)
+    assert st.scan_runs(spark, base).count() == 1
+    assert st.save_run(spark, base, frame(spark, run=D(2024, 1, 2)), 5).number == 3
     assert st.scan_runs(spark, base).count() == 2
 
 
-def test_versions_are_numbers_and_old_ones_go(spark, tmp_dir):
+def test_old_versions_and_their_folders_go(spark, tmp_dir):
     import os
-    df = spark.range(1)
-    os.makedirs(f"{tmp_dir}/t/v1000000")
-    assert st.sink_atomic(df, f"{tmp_dir}/t").endswith("/v1000001")
-    for _ in range(4):
-        st.sink_atomic(df, f"{tmp_dir}/t", keep=2)
-    assert sorted(os.listdir(f"{tmp_dir}/t")) == ["v1000004", "v1000005"]
-    assert st.latest_version(spark, f"{tmp_dir}/t").endswith("/v1000005")
+    t = f"{tmp_dir}/t"
+    for n in range(1, 6):
+        path = st.sink_atomic(spark.range(n), t, keep=2)
+    assert sorted(os.listdir(f"{t}/_manifest")) [-2:] == ["00000004.json", "00000005.json"]
+    assert len(os.listdir(f"{t}/data")) == 2
+    assert st.latest_version(spark, t) == path and st.scan_versioned(spark, t, "id long").count() == 5
+    assert st.latest_version(spark, f"{tmp_dir}/none") is None
 
 
 def test_the_forecast_is_computed_once_and_not_for_a_refused_duplicate(spark, tmp_dir):

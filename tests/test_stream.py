@@ -94,10 +94,38 @@ def test_every_batch_after_the_first_reads_a_bounded_state(spark, tmp_dir, monke
     for k, (a, b) in enumerate(zip(edges, edges[1:])):
         handle(bars.where((F.col("Date") >= F.lit(a)) & (F.col("Date") < F.lit(b))), k)
     assert calls[0] is None and all(c is not None for c in calls[1:])
-    for k in range(1, 4):
-        state = spark.read.parquet(f"{tmp_dir}/f_state/epoch={k}")
-        assert state.agg(F.max(F.size("tail"))).first()[0] <= bs.LOOKBACK
-        assert state.count() == bars.select("symbol").distinct().count()
+    state = bs.read_state(spark, f"{tmp_dir}/f_state")
+    assert state.agg(F.max(F.size("tail"))).first()[0] <= bs.LOOKBACK
+    assert state.agg(F.sum("n")).first()[0] == bars.count()
+    assert state.count() == bars.select("symbol").distinct().count()
+
+
+def test_what_a_batch_writes_follows_the_touched_symbols(spark, tmp_dir):
+    import datetime as dt
+    import os
+    from daycast.plans import common
+    from daycast.streaming import bars_stream as bs
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    schema = "symbol string, Date date, Open double, High double, Low double, Close double, Volume double"
+
+    def bars(symbols, days):
+        return spark.createDataFrame([(s, day(k), *[float(k + 1)] * 5) for s in symbols for k in days], schema)
+
+    def size(epoch):
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(f"{tmp_dir}/f_state/epoch={epoch}")
+                   for f in names if f.endswith(".parquet"))
+    every = [f"s{k}" for k in range(60)]
+    handle = bs.incremental_features(f"{tmp_dir}/b", f"{tmp_dir}/f", common.calendar(), buckets=1000)
+    handle(bars(every, range(20)), 0)
+    handle(bars(["s7", "s8"], [20]), 1)
+    handle(bars(["s7"], [21]), 2)
+    handle(bars(["s7"], [21]), 2)                         # a replay replaces its first attempt
+    assert size(1) < size(0) / 15 and size(2) < size(0) / 30
+    held = {r.symbol: r.n for r in bs.read_state(spark, f"{tmp_dir}/f_state").collect()}
+    assert held == {s: {"s7": 22, "s8": 21}.get(s, 20) for s in every}
+    ft = spark.read.parquet(f"{tmp_dir}/f")
+    assert {r.Datetime: r.trend for r in ft.where("symbol = 's7'").collect()} == {day(k): float(k) for k in range(22)}
+    assert ft.count() == 60 * 20 + 3
 
 
 def test_the_registered_query_runs_in_several_batches(spark, monkeypatch):
