@@ -5,7 +5,7 @@
 * ``recursive_forecast_ar`` — AR(1) fit once per series, then H steps inside one
   ``aggregate`` expression.
 * ``recursive_forecast_ols`` — a model of all features. Fitted once, it is rolled
-  forward in SQL (``rollout.py``); with ``refit`` it is fitted anew every day from a
+  forward from one row per series (``rollout.py``); with ``refit`` it is fitted anew every day from a
   sliding window of mergeable factors.
 * ``recursive_forecast_lags`` — either recursion on two lags of Close.
 * ``scenario_forecast`` — seeded noise paths of the fit-once model, quantiles per day.
@@ -23,8 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from daycast.operators import factors as fa
 from daycast.operators import features as feat
@@ -111,20 +109,6 @@ def recursive_forecast_ar(bars: DataFrame, horizon: int, as_of: dt.date,
 
 # --- models of all features ----------------------------------------------------------
 
-FORECAST_SCHEMA = T.StructType([
-    T.StructField("symbol", T.StringType()),
-    T.StructField("scenario", T.IntegerType()),
-    T.StructField("h", T.IntegerType()),
-    T.StructField("target_date", T.DateType()),
-    T.StructField("prediction", T.DoubleType()),
-])
-
-
-def _seed_for(seed: int, symbol: str, scenario: int) -> int:
-    import zlib
-    return (seed * 1_000_003 + zlib.crc32(str(symbol).encode()) * 31 + int(scenario)) % (2**32)
-
-
 def training_frame(features: DataFrame, window: int, as_of: dt.date, causal: bool = True) -> DataFrame:
     """Model inputs and Close of the training window, with the raw bars as ``bar_*``."""
     raw = features.where(F.col("Datetime") <= F.lit(as_of)).withColumns(
@@ -133,40 +117,6 @@ def training_frame(features: DataFrame, window: int, as_of: dt.date, causal: boo
     return train_window(rows, window, order="Datetime")
 
 
-def roll_forward(window: fa.SlidingFactor, state: dict, horizon: int, as_of: dt.date,
-                 most_rows: int, cal: list[dt.date], cols: list[str], causal: bool = True,
-                 noise_scale: float = 0.0, seed: int = 42, clip: bool = True) -> np.ndarray:
-    """Predictions of one path, refitted day by day: a day drops the oldest row, solves
-    the window's factor and adds the predicted row. ``state`` is the path's row of
-    ``rollout.state``."""
-    bars = {c: np.concatenate([np.asarray(state[c], dtype=float), np.empty(horizon)]) for c in feat.BAR_COLS}
-    n = len(state["Close"])
-    max_price, max_volume = float(state["max_price"]), float(state["max_volume"])
-    ceiling = max(max_price, rec.PRICE_CEILING_FLOOR)
-    trend = float(state["trend"])
-    rng = np.random.default_rng(_seed_for(seed, state["symbol"], state["scenario"]))
-    out = np.empty(horizon)
-    for k in range(horizon):
-        while len(window) > most_rows:
-            window.drop()
-        coef = window.solve()
-        tails = {c: bars[c][max(0, n + k - rollout.TAIL):n + k] for c in feat.BAR_COLS}
-        z = {c: float(rng.standard_normal()) for c in feat.BAR_COLS} if noise_scale else None
-        bar = rec.carried_bar(tails, max_price, max_volume, z, noise_scale)
-        trend += 1.0
-        row = rec.next_row(tails, as_of + dt.timedelta(days=k + 1), trend, cal, bar, causal)
-        x = np.array([float(row[c]) for c in cols])
-        y = float(coef[0] + x @ coef[1:])
-        out[k] = y = min(max(y, rec.MIN_PRICE), ceiling) if clip else y
-        window.push(np.concatenate([[1.0], x, [y]]))
-        bar["Close"] = y
-        for c in feat.BAR_COLS:
-            bars[c][n + k] = bar[c]
-        max_price = max(max_price, *(bar[c] for c in feat.PRICE_COLS))
-        max_volume = max(max_volume, bar["Volume"])
-    return out
-
-
 FACTOR_ROWS = 512         # rows of one factor of the part of the window that stays
 
 
@@ -195,24 +145,31 @@ def _refit_daily(held: DataFrame, horizon: int, as_of: dt.date, cal: list[dt.dat
     factors = (rows.where(~leaves).select("symbol", "y", "x", F.floor(F.col("i") / F.lit(FACTOR_ROWS)).alias("block"))
                .groupBy("symbol", "block").applyInArrow(factor, f"{fa.FACTOR_SCHEMA}, symbol string")
                .groupBy("symbol").agg(F.sum("n").alias("kept"), F.flatten(F.collect_list("r")).alias("factors")))
-    states = rollout.state(held, window, as_of, scenarios).join(factors, "symbol", "left")
-    paths = F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))).alias("scenario")
-    schema = to_arrow_schema(FORECAST_SCHEMA)
+    every = F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))).alias("scenario")
+    states = rollout.state(held, window, as_of).join(factors, "symbol", "left").select("*", every)
 
     def per_path(key: tuple, left: pa.Table, first: pa.Table) -> pa.Table:
-        state = left.to_pylist()[0]
         first = first.sort_by("i")
-        front = fa.design(fa.matrix(first["x"], width), first["y"].to_numpy())
-        kept = state["kept"] or 0
-        base = fa.triangle(np.array(state["factors"]).reshape(-1, width + 2)) if kept else None
-        path = roll_forward(fa.SlidingFactor(front, base, kept), state, horizon, as_of, window, cal, cols,
-                            causal, noise_scale, seed, clip)
-        return pa.table([pa.array([v] * horizon if n < 2 else v, f.type) for n, (v, f) in enumerate(zip(
-            (state["symbol"], state["scenario"], range(1, horizon + 1),
-             [as_of + dt.timedelta(days=h + 1) for h in range(horizon)], path), schema))], schema=schema)
-    first = rows.where(leaves).select(F.col("symbol").alias("_series"), "i", "y", "x", paths)
+        kept = left["kept"][0].as_py() or 0
+        base = fa.triangle(fa.stacked(left["factors"], width)) if kept else None
+        held = fa.SlidingFactor(fa.design(fa.matrix(first["x"], width), first["y"].to_numpy()), base, kept)
+
+        def refit(x: np.ndarray, _: dict) -> np.ndarray:
+            """The day's fit: the oldest row goes, the window's factor is solved."""
+            while len(held) > window:
+                held.drop()
+            coef = held.solve()
+            y = float(coef[0] + x[0] @ coef[1:])
+            if clip:
+                y = min(max(y, rec.MIN_PRICE), ceiling)
+            held.push(np.concatenate([[1.0], x[0], [y]]))
+            return np.array([y])
+        ceiling = max(left["max_price"][0].as_py(), rec.PRICE_CEILING_FLOOR)
+        return pa.Table.from_batches([rollout.roll_table(left, rollout.Predictor(refit, []), cols, horizon, as_of,
+                                                         cal, causal, noise_scale, seed, clip)])
+    first = rows.where(leaves).select(F.col("symbol").alias("_series"), "i", "y", "x", every)
     return states.groupBy("symbol", "scenario").cogroup(first.groupBy("_series", "scenario")) \
-        .applyInArrow(per_path, FORECAST_SCHEMA)
+        .applyInArrow(per_path, rollout.PATH_SCHEMA)
 
 
 def recursive_forecast_ols(features: DataFrame, horizon: int, as_of: dt.date,
@@ -228,7 +185,7 @@ def recursive_forecast_ols(features: DataFrame, horizon: int, as_of: dt.date,
     With ``refit`` every path fits anew each day on the last ``window`` rows: a sliding
     window of mergeable factors (``factors.py``), so a day costs a merge and a small
     solve. Without it, one fit per series is joined to the series' one-row state and
-    rolled forward in SQL; scenarios are made from that row.
+    rolled forward (``rollout.py``); scenarios are made from that row.
     """
     cols = cols or feat.feature_columns(features)
     held = _training(features, window, as_of, causal, cols)
@@ -236,9 +193,9 @@ def recursive_forecast_ols(features: DataFrame, horizon: int, as_of: dt.date,
         return _refit_daily(held, horizon, as_of, cal, window, scenarios, noise_scale, seed, causal, clip, cols)
     from daycast.operators.models import fit_rows
     coefs = fit_rows(held.select("symbol", "y", "x"), len(cols)).drop("n_rows")
-    rows = rollout.state(held, window, as_of, scenarios).join(coefs, "symbol")
-    return rollout.roll(rows, rollout.linear(cols), cols, horizon, as_of, cal, causal, noise_scale,
-                        seed, clip=clip)
+    rows = rollout.state(held, window, as_of).join(coefs, "symbol")
+    return rollout.roll(rows, rollout.linear(), cols, horizon, as_of, cal, causal, noise_scale, seed, clip,
+                        scenarios)
 
 
 LAG_COLS = ["Close_lag_1", "Close_lag_3"]

@@ -370,13 +370,14 @@ def _in_pools(tasks: list) -> list:
     the many small jobs of one do not wait for those of another."""
     from concurrent.futures import ThreadPoolExecutor
 
-    from pyspark import SparkContext, inheritable_thread_target
+    from pyspark import inheritable_thread_target
+    spark = SparkSession.active()
 
     def pooled(number: int, task):
-        SparkContext._active_spark_context.setLocalProperty("spark.scheduler.pool", f"fit-{number}")
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{number}")
         return task()
     with ThreadPoolExecutor(max(1, len(tasks))) as pool:
-        running = [pool.submit(inheritable_thread_target(pooled), n, t) for n, t in enumerate(tasks)]
+        running = [pool.submit(inheritable_thread_target(spark)(pooled), n, t) for n, t in enumerate(tasks)]
         return [r.result() for r in running]
 
 

@@ -1,232 +1,213 @@
-"""Recursive forecasts of a model fitted once, as one SQL expression per series.
-
-A series enters as one row: arrays of its last ``TAIL`` bars. A single
-``aggregate`` over the days 1..H builds each day's inputs from the arrays (rules of
-``recursion.py``), applies the model and appends the bar, so all days of all series
-and scenarios run in one pass of one job, in the JVM. Models are SQL text over the
-inputs: a dot product with per-series coefficients, or the splits of fitted trees.
+"""Recursive forecasts of a model fitted once.
+
+Spark reduces a series to one row: arrays of its last ``TAIL`` bars, its trend and its
+maxima. The rows, not the histories, are mapped: a task takes its rows, makes the
+scenarios of each, and rolls all of them forward in step, day by day, by the rules of
+``recursion.py``. A model is a function of the paths' input matrix: a dot product with
+per-series coefficients, or fitted trees as flat arrays walked by index, so a plan has
+the same size for any number of trees, days and scenarios.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import math
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daycast.functions import calendar as cal_fn
 from daycast.functions.values import greatest_nan_safe
 from daycast.operators import features as feat
 from daycast.operators import recursion as rec
 from daycast.operators.windowing import train_window
 
 TAIL = max(feat.RETURN_PERIODS) + 1      # bars the longest look-back needs
+BLOCK = 128                              # scenarios of a series that one row stands for
+PATHS = 1024                             # paths rolled in step, at most
 
 
-def state(features: DataFrame, window: int, as_of: dt.date, scenarios: int = 1) -> DataFrame:
-    """One row per (symbol, scenario): bar arrays up to as_of, trend, maxima.
-
-    Scenarios are exploded from this small row, after everything that reads history.
-    """
+def state(features: DataFrame, window: int, as_of: dt.date) -> DataFrame:
+    """One row per symbol: bar arrays up to as_of, trend, maxima over the window."""
     tw = train_window(features, window, order="Datetime", as_of=as_of)
     ranked = tw.withColumn("_rk", F.row_number().over(
         Window.partitionBy("symbol").orderBy(F.col("Datetime").desc())))
-    bars = F.struct("Datetime", *feat.BAR_COLS)
+    bars = F.struct("Datetime", *[F.col(c).cast("double").alias(c) for c in feat.BAR_COLS])
     agg = ranked.groupBy("symbol").agg(
-        F.max("trend").alias("trend"),
-        F.max(greatest_nan_safe([F.col(c) for c in feat.PRICE_COLS], rec.MIN_PRICE)).alias("max_price"),
-        F.max("Volume").alias("max_volume"),
+        F.max("trend").cast("double").alias("trend"),
+        F.max(greatest_nan_safe([F.col(c) for c in feat.PRICE_COLS], rec.MIN_PRICE)).cast("double").alias("max_price"),
+        F.max("Volume").cast("double").alias("max_volume"),
         F.sort_array(F.collect_list(F.when(F.col("_rk") <= TAIL, bars))).alias("_bars"))
-    return agg.select("symbol", "trend", "max_price", "max_volume",
-                      *[F.expr(f"transform(_bars, b -> b.`{c}`)").alias(c) for c in feat.BAR_COLS],
-                      F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))).alias("scenario"))
-
-
-def _let(name: str, value: str, body: str) -> str:
-    """``body`` with ``name`` bound to ``value``, evaluated once."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
-def _struct(fields: dict[str, str]) -> str:
-    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
-
-
-def _n(c: str, n: int) -> str:
-    return f"least({n}, size(acc.{c}))"
-
-
-def _last_n(c: str, n: int) -> str:
-    return f"slice(acc.{c}, -{_n(c, n)}, {_n(c, n)})"
-
-
-def _windows() -> list[tuple[str, int]]:
-    return [(c, n) for c in feat.PRICE_COLS for n in feat.MA_WINDOWS] + \
-        [("Volume", n) for n in feat.VOLUME_WINDOWS]
-
-
-def _means() -> str:
-    return _struct({f"{c}_{n}": f"aggregate({_last_n(c, n)}, 0D, (a, x) -> a + x) / {_n(c, n)}"
-                    for c, n in _windows()})
-
-
-def _deviations() -> str:
-    def std(c: str, n: int) -> str:
-        squares = f"aggregate({_last_n(c, n)}, 0D, (a, x) -> a + (x - m.{c}_{n}) * (x - m.{c}_{n}))"
-        return f"CASE WHEN size(acc.{c}) > 1 THEN sqrt({squares} / ({_n(c, n)} - 1)) ELSE 0D END"
-    return _struct({f"{c}_{n}": std(c, n) for c in feat.PRICE_COLS for n in feat.STD_WINDOWS}
-                   | {f"Volume_{n}": std("Volume", n) for n in feat.VOLUME_WINDOWS})
-
-
-def standard_normal(seed: int, c: str) -> str:
-    """A draw per (seed, symbol, scenario, day, column) from two hashes (Box-Muller)."""
-    def u(salt: str) -> str:
-        return (f"((abs(xxhash64({seed}, symbol, scenario, h, '{c}', '{salt}') % {1 << 52}) + 1)"
-                f" / {float((1 << 52) + 1)!r}D)")
-    return f"(sqrt(-2D * ln({u('a')})) * cos({2 * math.pi!r}D * {u('b')}))"
-
-
-def _bar(noise_scale: float, seed: int) -> str:
-    out = {}
-    for c in feat.BAR_COLS:
-        std, ma = f"s.{c}_{rec.NOISE_STD_COL}", f"m.{c}_{rec.NOISE_STD_COL}"
-        noise = f"{float(noise_scale)!r}D * {standard_normal(seed, c)} * {std}" if noise_scale else "0D"
-        v = f"{rec.MEAN_REVERSION}D * (element_at(acc.{c}, -1) + {noise}) + " \
-            f"{1 - rec.MEAN_REVERSION!r}D * {ma}"
-        lo, hi = ("0D", "acc.max_volume") if c == "Volume" else \
-            (f"{rec.MIN_PRICE}D", f"greatest(acc.max_price, {rec.PRICE_CEILING_FLOOR}D)")
-        out[c] = f"least(greatest({v}, {lo}), {hi})"
-    return _struct(out)
-
-
-def inputs(cal: list[dt.date], causal: bool) -> dict[str, str]:
-    """SQL of every model input of the day ``d``, over acc, m, s and b."""
-    days = "array(" + ", ".join(f"DATE'{x.isoformat()}'" for x in sorted(cal)) + ")" \
-        if cal else "CAST(array() AS ARRAY<DATE>)"
-    last = {c: f"element_at(acc.{c}, -1)" for c in feat.BAR_COLS}
-    seen = last if causal else {c: f"b.{c}" for c in feat.BAR_COLS}
-
-    def full(c: str, n: int, v: str) -> str:
-        return f"CASE WHEN size(acc.{c}) >= {n} THEN {v} ELSE 0D END" if causal else v
-    out = {c: seen[c] for c in feat.BAR_COLS if c != "Close"}
-    out["trend"] = "acc.trend + 1D"
-    out["weekday"] = "CAST(weekday(d) + 1 AS DOUBLE)"
-    out["month"] = "CAST(month(d) AS DOUBLE)"
-    out["halving_event"] = f"CASE WHEN array_contains({days}, d) THEN 1D ELSE 0D END"
-    out["days_since_last_halving"] = \
-        f"CAST(coalesce(datediff(d, array_max(filter({days}, e -> e <= d))), 0) AS DOUBLE)"
-    out["days_until_next_halving"] = \
-        f"CAST(coalesce(datediff(array_min(filter({days}, e -> e >= d)), d), 0) AS DOUBLE)"
-    out["halving_cycle"] = f"CAST(size(filter({days}, e -> e <= d)) AS DOUBLE)"
-    out["post_halving_flag"] = (f"CASE WHEN exists({days}, e -> datediff(d, e) BETWEEN 0 AND "
-                                f"{cal_fn.POST_EVENT_DAYS}) THEN 1D ELSE 0D END")
-    for c in feat.BAR_COLS:
-        for k in feat.LAGS:
-            out[f"{c}_lag_{k}"] = f"coalesce(try_element_at(acc.{c}, -{k}), " \
-                + ("0D)" if causal else f"{last[c]})")
-    short, long_ = feat.MOMENTUM
-    for c in feat.PRICE_COLS:
-        for n in feat.MA_WINDOWS:
-            out[f"{c}_ma_{n}"] = full(c, n, f"m.{c}_{n}")
-        for n in feat.STD_WINDOWS:
-            out[f"{c}_std_{n}"] = full(c, n, f"s.{c}_{n}")
-        for n in feat.RETURN_PERIODS:
-            base = f"try_element_at(acc.{c}, -{n + 1 if causal else n})"
-            base = base if causal else f"CASE WHEN {base} = 0 THEN {rec.ZERO_BASE}D ELSE {base} END"
-            out[f"{c}_return_{n}"] = f"coalesce(try_divide({last[c]}, {base}) - 1D, 0D)"
-        out[f"{c}_momentum_{short}_{long_}"] = full(c, long_, f"m.{c}_{short} - m.{c}_{long_}")
-    for n in feat.VOLUME_WINDOWS:
-        out[f"Volume_ma_{n}"] = full("Volume", n, f"m.Volume_{n}")
-        out[f"Volume_std_{n}"] = full("Volume", n, f"s.Volume_{n}")
-    out["hl_range"] = f"{seen['High']} - {seen['Low']}"
-    out["candle_body"] = f"{seen['Close']} - {seen['Open']}"
-    out["log_volume"] = f"log1p({seen['Volume']})"
-    return out
-
-
-def linear(cols: list[str]) -> str:
-    """Prediction from columns ``intercept`` and ``coef`` of the row."""
-    x = "array(" + ", ".join(f"f.{c}" for c in cols) + ")"
-    return f"aggregate(zip_with(coef, {x}, (w, v) -> w * v), intercept, (a, x) -> a + x)"
-
-
-def tree(debug_string: str, cols: list[str]) -> str:
-    """SQL of one fitted regression tree, from its printed splits."""
-    lines = [ln.strip() for ln in debug_string.splitlines()[1:] if ln.strip()]
-    at = 0
-
-    def node() -> str:
-        nonlocal at
-        ln = lines[at]
-        at += 1
-        if ln.startswith("Predict:"):
-            return f"{float(ln.split(':')[1])!r}D"
-        m = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", ln)
-        if not m:
-            raise ValueError(f"not a split on a number: {ln}")
-        yes = node()
-        at += 1                                   # the matching Else
-        no = node()
-        return f"IF(f.{cols[int(m[1])]} <= {float(m[2])!r}D, {yes}, {no})"
-    return node()
-
-
-def trees(model, cols: list[str]) -> str:
-    """SQL of a fitted boosted-tree model: the weighted sum of its trees."""
-    return "(" + " + ".join(f"{float(w)!r}D * {tree(t.toDebugString, cols)}"
-                            for t, w in zip(model.trees, model.treeWeights)) + ")"
-
-
-def _step(predictor: str, cols: list[str], cal: list[dt.date], causal: bool, noise_scale: float,
-          seed: int, as_of: dt.date, extra: dict[str, str]) -> str:
-    known = inputs(cal, causal) | extra
-
-    def keep(c: str, v: str) -> str:
-        return f"slice(concat(acc.{c}, array({v})), greatest(1, size(acc.{c}) + 2 - {TAIL}), {TAIL})"
-    after = {c: keep(c, "p" if c == "Close" else f"b.{c}") for c in feat.BAR_COLS}
-    after |= {"trend": "acc.trend + 1D",
-              "max_price": "greatest(acc.max_price, b.Open, b.High, b.Low, p)",
-              "max_volume": "greatest(acc.max_volume, b.Volume)",
-              "rows": "concat(acc.rows, array(named_struct('d', d, 'p', p)))"}
-    body = _let("p", predictor, _struct(after))
-    body = _let("f", _struct({c: known[c] for c in cols}), body)
-    body = _let("b", _bar(noise_scale, seed), body)
-    body = _let("s", _deviations(), body)
-    body = _let("m", _means(), body)
-    return _let("d", f"date_add(DATE'{as_of.isoformat()}', h)", body)
-
-
-def _start() -> str:
-    fields = {c: f"transform({c}, x -> CAST(x AS DOUBLE))" for c in feat.BAR_COLS}
-    fields |= {k: f"CAST({k} AS DOUBLE)" for k in ("trend", "max_price", "max_volume")}
-    fields["rows"] = "CAST(array() AS ARRAY<STRUCT<d: DATE, p: DOUBLE>>)"
-    return _struct(fields)
-
-
-def roll(rows: DataFrame, predictor: str, cols: list[str], horizon: int, as_of: dt.date,
+    return agg.select("symbol", F.xxhash64("symbol").alias("series_key"), "trend", "max_price", "max_volume",
+                      *[F.expr(f"transform(_bars, b -> b.`{c}`)").alias(c) for c in feat.BAR_COLS])
+
+
+STATE_COLS = ["symbol", "series_key", "trend", "max_price", "max_volume", *feat.BAR_COLS]
+
+
+@dataclass
+class Predictor:
+    """A model over input matrices: ``predict(x, columns)`` for paths x inputs, with the
+    named columns of their rows (arrays as matrices)."""
+
+    predict: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray]
+    columns: list[str]
+
+
+def linear() -> Predictor:
+    """Rows hold ``intercept`` and ``coef``."""
+    return Predictor(lambda x, row: row["intercept"] + np.einsum("ij,ij->i", x, row["coef"]), ["intercept", "coef"])
+
+
+@dataclass
+class Forest:
+    """Fitted trees as flat arrays: node n sends a row with ``x[feature[n]] <= threshold[n]``
+    to ``left[n]``, others to ``right[n]``; a leaf (feature -1) holds its value."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    roots: np.ndarray
+    weights: np.ndarray
+    depth: int
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        node = np.broadcast_to(self.roots, (len(x), len(self.roots)))
+        at = np.arange(len(x))[:, None]
+        for _ in range(self.depth):
+            feature = self.feature[node]
+            lower = x[at, np.maximum(feature, 0)] <= self.threshold[node]
+            node = np.where(feature < 0, node, np.where(lower, self.left[node], self.right[node]))
+        return self.value[node] @ self.weights
+
+
+def flat_trees(model) -> Forest:
+    """Arrays of a fitted boosted-tree model, from its printed splits."""
+    nodes: list[list] = []          # feature, threshold, left, right, value
+    roots, depth = [], 0
+    for fitted in model.trees:
+        lines = iter([ln.strip() for ln in fitted.toDebugString.splitlines()[1:] if ln.strip()])
+
+        def node() -> int:
+            ln, n = next(lines), len(nodes)
+            nodes.append([-1, 0.0, n, n, 0.0])
+            if ln.startswith("Predict:"):
+                nodes[n][4] = float(ln.split(":")[1])
+                return n
+            m = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", ln)
+            if not m:
+                raise ValueError(f"not a split on a number: {ln}")
+            nodes[n][0], nodes[n][1] = int(m[1]), float(m[2])
+            nodes[n][2] = node()
+            next(lines)                                   # the matching Else
+            nodes[n][3] = node()
+            return n
+        roots.append(node())
+        depth = max(depth, fitted.depth)
+    feature, threshold, left, right, value = zip(*nodes) if nodes else [()] * 5
+    return Forest(np.array(feature, np.int32), np.array(threshold, float), np.array(left, np.int32),
+                  np.array(right, np.int32), np.array(value, float), np.array(roots, np.int32),
+                  np.array(model.treeWeights, float), depth)
+
+
+def trees(spark, model, extra: list[str]) -> Predictor:
+    """A fitted boosted-tree model; ``extra`` are inputs that are columns of the row."""
+    sent = spark.sparkContext.broadcast(flat_trees(model))     # bounded by the model's settings
+    return Predictor(lambda x, row: sent.value(np.column_stack([x, *[row[c] for c in extra]])), list(extra))
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    """A column as an array, lists of one length as a matrix."""
+    column = table[name].combine_chunks()
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _alike(table: pa.Table) -> list[pa.Table]:
+    """Rows with as many bars each (most series have ``TAIL``)."""
+    sizes = table["Close"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    return [table.filter(pa.array(sizes == n)) for n in np.unique(sizes)]
+
+
+def make_paths(table: pa.Table, horizon: int, cal: list[dt.date], causal: bool) -> rec.Paths:
+    """Paths of the rows of one length."""
+    return rec.Paths({c: _column(table, c).astype(float) for c in feat.BAR_COLS},
+                     *[_column(table, c) for c in ("trend", "max_price", "max_volume")], horizon, cal, causal)
+
+
+PATH_SCHEMA = "symbol string, scenario int, h int, target_date date, prediction double"
+_PATH = pa.schema([("symbol", pa.string()), ("scenario", pa.int32()), ("h", pa.int32()),
+                   ("target_date", pa.date32()), ("prediction", pa.float64())])
+
+
+def roll_table(table: pa.Table, predictor: Predictor, cols: list[str], horizon: int, as_of: dt.date,
+               cal: list[dt.date], causal: bool, noise: float, seed: int, clip: bool) -> pa.RecordBatch:
+    """All days of the paths of ``table``: rows of one length, one per path."""
+    paths = make_paths(table, horizon, cal, causal)
+    columns = {c: _column(table, c) for c in predictor.columns}
+    key, scenario = _column(table, "series_key"), _column(table, "scenario")
+    ceiling = np.maximum(paths.max_price, rec.PRICE_CEILING_FLOOR)
+    out = np.empty((table.num_rows, horizon))
+    for k in range(horizon):
+        z = {c: rec.standard_normal(seed, key, scenario, k + 1, n) for n, c in enumerate(feat.BAR_COLS)} \
+            if noise else None
+        bar = paths.carried_bar(z, noise)
+        x = paths.matrix(paths.inputs(as_of + dt.timedelta(days=k + 1), bar), cols)
+        y = predictor.predict(x, columns)
+        out[:, k] = np.minimum(np.maximum(y, rec.MIN_PRICE), ceiling) if clip else y
+        paths.append(bar, out[:, k])
+    n = table.num_rows
+    each = pa.array(np.repeat(np.arange(n), horizon))
+    days = pa.array([as_of + dt.timedelta(days=h + 1) for h in range(horizon)], pa.date32())
+    return pa.RecordBatch.from_arrays(
+        [table["symbol"].combine_chunks().take(each).cast(pa.string()), pa.array(np.repeat(scenario, horizon), pa.int32()),
+         pa.array(np.tile(np.arange(1, horizon + 1), n), pa.int32()),
+         days.take(pa.array(np.tile(np.arange(horizon), n))), pa.array(out.ravel())], schema=_PATH)
+
+
+def roll(rows: DataFrame, predictor: Predictor, cols: list[str], horizon: int, as_of: dt.date,
          cal: list[dt.date], causal: bool = True, noise_scale: float = 0.0, seed: int = 42,
-         extra: dict[str, str] | None = None, clip: bool = False) -> DataFrame:
+         clip: bool = False, scenarios: int = 1) -> DataFrame:
     """(symbol, scenario, h, target_date, prediction) for the days after as_of.
 
-    ``rows`` is ``state`` with whatever columns the predictor reads; ``extra`` are
-    inputs of the model that are columns of the row.
+    ``rows`` is ``state`` with whatever columns the predictor reads. ``clip`` keeps
+    predictions in the price range of the history.
     """
-    if clip:        # to the price range of the history, not of the path
-        predictor = f"least(greatest({predictor}, {rec.MIN_PRICE}D), " \
-            f"greatest(CAST(max_price AS DOUBLE), {rec.PRICE_CEILING_FLOOR}D))"
-    step = _step(predictor, cols, cal, causal, noise_scale, seed, as_of, extra or {})
-    path = F.expr(f"aggregate(sequence(1, {horizon}), {_start()}, (acc, h) -> {step}, acc -> acc.rows)")
-    return (rows.select("symbol", "scenario", F.posexplode(path).alias("_k", "_r"))
-            .select("symbol", F.col("scenario").cast("int").alias("scenario"),
-                    (F.col("_k") + 1).cast("int").alias("h"), F.col("_r.d").alias("target_date"),
-                    F.col("_r.p").alias("prediction")))
+    def run(batches):
+        for b in batches:
+            whole = pa.Table.from_batches([b])
+            for table in _alike(whole):
+                times = np.minimum(BLOCK, scenarios - _column(table, "first"))
+                each = np.repeat(np.arange(table.num_rows), times)
+                nth = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+                for s in range(0, len(each), PATHS):
+                    at = each[s:s + PATHS]
+                    part = table.take(pa.array(at))
+                    number = _column(part, "first") + nth[s:s + PATHS]
+                    yield roll_table(part.append_column("scenario", pa.array(number, pa.int32())), predictor,
+                                     cols, horizon, as_of, cal, causal, noise_scale, seed, clip)
+    first = F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1), F.lit(BLOCK))).alias("first")
+    rows = rows.select(*STATE_COLS, *predictor.columns, first)
+    if scenarios > BLOCK:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol", "first")
+    return rows.mapInArrow(run, PATH_SCHEMA)
 
 
 def next_day(rows: DataFrame, cols: list[str], as_of: dt.date, cal: list[dt.date],
              causal: bool = True) -> DataFrame:
-    """The model inputs of the day after as_of, one row per series (for inspection)."""
-    body = _let("b", _bar(0.0, 0), _struct({c: inputs(cal, causal)[c] for c in cols}))
-    body = _let("m", _means(), _let("s", _deviations(), body))
-    body = _let("d", f"date_add(DATE'{as_of.isoformat()}', 1)", body)
-    return rows.select("symbol", F.expr(_let("acc", _start(), body)).alias("x")).select("symbol", "x.*")
+    """The model inputs of the day after as_of, one row per series."""
+    def run(batches):
+        for b in batches:
+            for table in _alike(pa.Table.from_batches([b])):
+                paths = make_paths(table, 1, cal, causal)
+                x = paths.matrix(paths.inputs(as_of + dt.timedelta(days=1), paths.carried_bar()), cols)
+                yield pa.RecordBatch.from_arrays([table["symbol"].combine_chunks(), pa.array(list(x))],
+                                                 names=["symbol", "x"])
+    out = rows.select(*STATE_COLS).mapInArrow(run, "symbol string, x array<double>")
+    return out.select("symbol", *[F.col("x")[k].alias(c) for k, c in enumerate(cols)])

@@ -1,8 +1,8 @@
 """Forecasts of a boosted-tree model fitted once.
 
-* ``recursive_forecast_gbt`` — the fitted trees become SQL (nested IFs over the
-  inputs), and the recursion of ``rollout.py`` rolls all series and scenarios
-  forward in one job; there is no job per day.
+* ``recursive_forecast_gbt`` — the fitted trees become flat arrays walked by index,
+  and ``rollout.py`` rolls all series and scenarios forward in one job; there is no
+  job per day, and the plan does not grow with the trees.
 * ``direct_forecast_gbt`` — the horizon as a feature: one model of
   Close[t+h] over (inputs of t, h), one pass to score all horizons.
 """
@@ -28,14 +28,13 @@ def recursive_forecast_gbt(model: md.TreeModel, features: DataFrame, horizon: in
     ``features`` is the as-is table; ``causal`` must be the set the model was
     fitted on.
     """
-    md.known_features(model, feat.feature_columns(features))
-    rows = rollout.state(features, window, as_of, scenarios)
-    extra = {}
-    if model.levels is not None:
-        rows = rows.join(model.levels, "symbol", "left")
-        extra = {c: f"coalesce({c}, 0D)" for c in md.LEVEL_COLS}
-    return rollout.roll(rows, rollout.trees(model.pipeline.stages[-1], model.inputs), model.inputs,
-                        horizon, as_of, cal, causal, noise_scale, seed, extra)
+    md.known_features(md.fitted(model), feat.feature_columns(features))
+    rows = rollout.state(features, window, as_of)
+    extra = md.LEVEL_COLS if model.levels is not None else []
+    if extra:
+        rows = rows.join(model.levels, "symbol", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in extra})
+    return rollout.roll(rows, rollout.trees(features.sparkSession, model.pipeline.stages[-1], extra), model.features,
+                        horizon, as_of, cal, causal, noise_scale, seed, scenarios=scenarios)
 
 
 HORIZON_COL = "horizon_days"

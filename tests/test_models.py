@@ -90,27 +90,22 @@ def test_unknown_model_and_missing_feature(spark, features):
 MID = dt.date(1998, 1, 1)
 
 
-@pytest.mark.parametrize("form", ["sql", "numpy"])
-def test_causal_next_row_is_the_tables_row_of_that_day(spark, features, form):
+def test_causal_next_row_is_the_tables_row_of_that_day(spark, features):
     """The row built for day d from days before equals the causal row of a table that holds d."""
     cols = feat.feature_columns(features)
     causal = feat.causal_features(features).toPandas()
     raw = features.toPandas()
-    sym = "1-URGENT"
-    g = raw[raw.symbol == sym].sort_values("Datetime").reset_index(drop=True)
-    for k in (2, 25, 150, 250):                       # short and full look-backs
+    for k in (1, 2, 25, 150, 250):                    # short and full look-backs, series of other lengths
+        g = raw[raw.symbol == "1-URGENT"].sort_values("Datetime").reset_index(drop=True)
         day, before = g["Datetime"][k], g["Datetime"][k - 1]
-        want = causal[(causal.symbol == sym) & (causal.Datetime == day)].iloc[0]
-        if form == "sql":
-            state = rollout.state(features.where(F.col("symbol") == sym), 5000, before)
-            as_of = day - dt.timedelta(days=1)
-            got = rollout.next_day(state, cols, as_of, common.calendar()).toPandas().iloc[0]
-        else:
-            tails = {c: g[c].to_numpy(float)[:k] for c in feat.BAR_COLS}
-            bar = rec.carried_bar(tails, 1e6, 1e6)
-            got = rec.next_row(tails, day, g["trend"][k - 1] + 1, common.calendar(), bar)
-        for c in cols:
-            assert got[c] == pytest.approx(want[c], rel=1e-9, abs=1e-9), (k, c)
+        state = rollout.state(features, 5000, before)
+        got = rollout.next_day(state, cols, day - dt.timedelta(days=1), common.calendar()).toPandas().set_index("symbol")
+        want = causal[causal.Datetime == day].set_index("symbol")
+        assert "1-URGENT" in want.index
+        for sym in want.index:
+            own = raw[(raw.symbol == sym) & (raw.Datetime < day)]["Datetime"]
+            for c in cols if len(own) and own.max() <= before else []:
+                assert got.loc[sym, c] == pytest.approx(want.loc[sym, c], rel=1e-9, abs=1e-9), (k, sym, c)
 
 
 def test_refit_and_fit_once_agree_on_the_first_day_and_with_numpy(spark, features):
@@ -169,12 +164,91 @@ def test_no_forecast_reads_past_as_of(spark, features, op):
     np.testing.assert_allclose(whole.to_numpy(), known.to_numpy(), rtol=1e-9)
 
 
-def test_hash_noise_is_standard_normal_and_repeatable(spark):
-    df = spark.range(20_000).selectExpr("'s' AS symbol", "CAST(id AS INT) AS scenario", "3 AS h")
-    z = df.selectExpr(f"{rollout.standard_normal(42, 'Open')} AS z").toPandas()["z"]
-    again = df.selectExpr(f"{rollout.standard_normal(42, 'Open')} AS z").toPandas()["z"]
+def test_hash_noise_is_standard_normal_and_repeatable():
+    path, scenario = np.full(20_000, -7), np.arange(20_000)
+    z = rec.standard_normal(42, path, scenario, 3, 0)
     assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03 and abs((z ** 3).mean()) < 0.1
-    assert z.equals(again)
+    assert np.array_equal(z, rec.standard_normal(42, path, scenario, 3, 0))
+    for other in (rec.standard_normal(43, path, scenario, 3, 0), rec.standard_normal(42, path + 1, scenario, 3, 0),
+                  rec.standard_normal(42, path, scenario, 4, 0), rec.standard_normal(42, path, scenario, 3, 1)):
+        assert abs(np.corrcoef(z, other)[0, 1]) < 0.03
+
+
+def test_paths_do_not_depend_on_the_blocks(spark, features, monkeypatch):
+    cal = common.calendar()
+    run = lambda: fc.recursive_forecast_ols(features, 4, MID, cal, 300, scenarios=11, noise_scale=0.3, refit=False, \
+                                            cols=["Open", "Close_lag_1", "Volume"], clip=False).toPandas().sort_values(["symbol", "scenario", "h"]).reset_index(drop=True)
+    whole = run()
+    monkeypatch.setattr(rollout, "BLOCK", 3)
+    monkeypatch.setattr(rollout, "PATHS", 2)
+    pd.testing.assert_frame_equal(whole, run())
+    assert len(whole) == 5 * 11 * 4
+    kinds = whole.groupby(["h", "symbol"])["prediction"].nunique()
+    assert (kinds.loc[1] == 1).all() and (kinds.loc[2:] == 11).all()     # the first day is known but for its Close
+
+
+def test_quantiles_are_within_the_stated_error(spark, features):
+    cal = common.calendar()
+    paths = fc.recursive_forecast_ols(features, 3, MID, cal, 300, scenarios=400, noise_scale=0.3, refit=False).toPandas()
+    for accuracy in (20, 1000):
+        out = fc.scenario_forecast(features, 3, MID, cal, scenarios=400, window=300, accuracy=accuracy).collect()
+        assert len(out) == 15
+        for r in out:
+            own = np.sort(paths[(paths.symbol == r.symbol) & (paths.h == r.h)]["prediction"])
+            assert r.paths == len(own) == 400
+            for q, v in ((0.1, r.p10), (0.5, r.p50), (0.9, r.p90)):
+                lo, hi = np.searchsorted(own, v, "left") + 1, np.searchsorted(own, v, "right")
+                assert lo - len(own) / accuracy - 1 <= q * len(own) <= hi + len(own) / accuracy + 1
+
+
+def plain_refit(g, window, horizon, cols, cal, as_of):
+    """One series refitted on all rows of its window every day."""
+    raw = g[g.Datetime <= as_of].sort_values("Datetime").reset_index(drop=True)
+    X, y = raw[[f"x_{c}" for c in cols]].to_numpy(float)[-window:], raw["Close"].to_numpy(float)[-window:]
+    last = raw.tail(window)
+    paths = rec.Paths({c: raw[[c]].to_numpy(float).T for c in feat.BAR_COLS}, np.array([last["trend"].max()]),
+                      np.array([last[feat.PRICE_COLS].to_numpy().max()]), np.array([last["Volume"].max()]), horizon, cal)
+    ceiling, out = max(paths.max_price[0], rec.PRICE_CEILING_FLOOR), []
+    for k in range(horizon):
+        bar = paths.carried_bar()
+        x = paths.matrix(paths.inputs(as_of + dt.timedelta(days=k + 1), bar), cols)
+        xm, ym = X[-window:].mean(axis=0), y[-window:].mean()
+        beta, *_ = np.linalg.lstsq(X[-window:] - xm, y[-window:] - ym, rcond=None)
+        out.append(min(max(ym + (x[0] - xm) @ beta, rec.MIN_PRICE), ceiling))
+        X, y = np.vstack([X, x]), np.append(y, out[-1])
+        paths.append(bar, np.array([out[-1]]))
+    return out
+
+
+@pytest.mark.parametrize("window,horizon", [(120, 30), (1000, 10), (90, 120)])
+def test_sliding_refit_equals_a_plain_refit(spark, features, window, horizon):
+    cols = ["Close_lag_1", "Close_lag_3", "Close_ma_7", "trend", "Volume", "Close_std_30", "month"]
+    cal = common.calendar()
+    got = fc.recursive_forecast_ols(features, horizon, MID, cal, window, cols=cols).toPandas()
+    raw = features.toPandas()
+    causal = feat.causal_features(features).toPandas()[["symbol", "Datetime", *cols]]
+    both = raw.merge(causal.rename(columns={c: f"x_{c}" for c in cols}), on=["symbol", "Datetime"])
+    for sym, g in both.groupby("symbol"):
+        want = plain_refit(g, window, horizon, cols, cal, MID)
+        path = got[got.symbol == sym].sort_values("h")["prediction"]
+        np.testing.assert_allclose(path, want, rtol=1e-6)
+
+
+def test_flat_trees_equal_the_model_for_any_number_of_trees(spark, features):
+    causal = feat.causal_features(features)
+    cols = feat.feature_columns(causal)
+    sizes = []
+    for n in (2, 25):
+        model = md.gbt_fit(causal, cols, params={"maxIter": n, "maxDepth": 4, "stepSize": 0.3, "seed": 1})
+        forest = rollout.flat_trees(model.pipeline.stages[-1])
+        pred = md.gbt_predict(model, causal)
+        x = md._with_levels(causal, model.levels).select("symbol", "Datetime", *model.inputs).toPandas()
+        want = pred.toPandas().set_index(["symbol", "Datetime"])["prediction"]
+        got = pd.Series(forest(x[model.inputs].to_numpy(float)), pd.MultiIndex.from_frame(x[["symbol", "Datetime"]]))
+        np.testing.assert_allclose(got.loc[want.index], want, rtol=1e-9)
+        out = tf.recursive_forecast_gbt(model, features, 3, AS_OF, common.calendar())
+        sizes.append(len(out._jdf.queryExecution().analyzed().toString()))
+    assert abs(sizes[0] - sizes[1]) < 200
 
 
 def test_ar_path_is_the_recursion(spark):
