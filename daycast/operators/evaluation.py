@@ -54,3 +54,30 @@ def model_report(fva: DataFrame, grain: list[str] | None = None) -> DataFrame:
     return df.groupBy(*keys).agg(mae(y, p).alias("MAE"), rmse(y, p).alias("RMSE"),
                                  mape(y, p).alias("MAPE"),
                                  F.count(F.lit(1)).alias("days"))
+
+
+def _models(current: DataFrame, models: list[str] | None) -> list[str]:
+    """The models asked for, else those of the frame (a handful of names)."""
+    if models is not None:
+        return list(models)
+    return sorted(r["model"] for r in current.select("model").where("model IS NOT NULL").distinct().collect())
+
+
+def compare_models(current: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """(symbol, target_date, one prediction column per model); a model without a row for
+    a day is null there."""
+    return (current.groupBy("symbol", "target_date").pivot("model", _models(current, models))
+            .agg(F.max("prediction")))
+
+
+def overlay_history_forecast(bars: DataFrame, current: DataFrame, models: list[str] | None = None,
+                             target: str = "Close", since=None) -> DataFrame:
+    """(symbol, date, value, series): actual values and the models' forecasts under one
+    another, from the day ``since`` on if given."""
+    if models is not None:
+        current = current.where(F.col("model").isin(list(models)))
+    out = bars.select("symbol", F.col("Date").alias("date"), F.col(target).alias("value"),
+                      F.lit("actual").alias("series")) \
+        .unionByName(current.select("symbol", F.col("target_date").alias("date"), F.col("prediction").alias("value"),
+                                    F.col("model").alias("series")))
+    return out if since is None else out.where(F.col("date") >= F.lit(since))

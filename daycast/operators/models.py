@@ -73,6 +73,11 @@ def check_model_inputs(df: DataFrame, feature_cols: list[str], target: str | Non
     missing = [c for c in feature_cols + ([target] if target else []) if c not in df.columns]
     if missing:
         raise ValueError(f"the frame lacks the model columns {missing}")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    other = [c for c in feature_cols + ([target] if target else [])
+             if not isinstance(kinds.get(c), (T.NumericType, T.BooleanType, type(None)))]
+    if other:
+        raise ValueError(f"the model columns {other} are not numbers")
     if check_empty and df.isEmpty():
         raise ValueError("there are no rows to fit on")
     return df
@@ -209,6 +214,7 @@ def known_features(model: TreeModel, columns: list[str]) -> None:
 
 def gbt_predict(model: TreeModel, df: DataFrame) -> DataFrame:
     known_features(fitted(model), df.columns)
+    check_model_inputs(df, model.features, None, check_empty=False)
     return model.pipeline.transform(_with_levels(df, model.levels)).drop("features", *LEVEL_COLS)
 
 

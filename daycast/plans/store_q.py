@@ -193,20 +193,13 @@ def q_forecast_table(spark, sf_dir):
 
 
 def q_compare_models(spark, sf_dir):
-    cur = st.latest_per_target(_log(spark, sf_dir))
-    wide = (cur.groupBy("symbol", "target_date").pivot("model", list(common.STORE_MODELS))
-               .agg(F.max("prediction")))
-    return common.round_doubles(wide)
+    return common.round_doubles(ev.compare_models(st.latest_per_target(_log(spark, sf_dir)),
+                                                  list(common.STORE_MODELS)))
 
 
 def q_overlay_history_forecast(spark, sf_dir):
     b = common.shared_bars(spark, sf_dir)
-    cur = st.latest_per_target(forecast_log(b))
-    hist = b.select("symbol", F.col("Date").alias("date"), F.col("Close").alias("value"),
-                    F.lit("actual").alias("series"))
-    fc = cur.select("symbol", F.col("target_date").alias("date"),
-                    F.col("prediction").alias("value"), F.col("model").alias("series"))
-    return common.round_doubles(hist.unionByName(fc))
+    return common.round_doubles(ev.overlay_history_forecast(b, st.latest_per_target(forecast_log(b))))
 
 
 QUERIES = {

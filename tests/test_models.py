@@ -85,6 +85,8 @@ def test_unknown_model_and_missing_feature(spark, features):
         md.known_model("prophet")
     with pytest.raises(ValueError):
         md.check_model_inputs(features, ["nope"], "Close")
+    with pytest.raises(ValueError, match="symbol.*not numbers"):
+        md.check_model_inputs(features, ["Open", "symbol"], "Close")
 
 
 MID = dt.date(1998, 1, 1)

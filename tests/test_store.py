@@ -239,3 +239,17 @@ def test_text_forms(spark):
                     st.params_json(st.merge_params(F.col("p"), F.col("q"))).alias("j")).collect()
     assert tuple(out[0]) == ("2024-02-09", "7", "2.50", '{"a":"2","b":"9"}')
     assert out[1].d is None and out[1].n is None and out[1].j == "{}"
+
+
+def test_models_side_by_side_and_over_history(spark):
+    from daycast.operators import evaluation as ev
+    current = frame(spark, 2).unionByName(frame(spark, 1, "k"))
+    bars = spark.createDataFrame([("S", D(2024, 1, 1), 9.0)], "symbol string, Date date, Close double")
+    wide = {r.target_date: r for r in ev.compare_models(current).collect()}
+    assert (wide[D(2024, 1, 2)].k, wide[D(2024, 1, 2)].m, wide[D(2024, 1, 3)].k) == (0.0, 0.0, None)
+    assert ev.compare_models(current, ["m", "other"]).columns == ["symbol", "target_date", "m", "other"]
+    every = sorted((r.date, r.series, r.value) for r in ev.overlay_history_forecast(bars, current).collect())
+    assert every == [(D(2024, 1, 1), "actual", 9.0), (D(2024, 1, 2), "k", 0.0), (D(2024, 1, 2), "m", 0.0),
+                     (D(2024, 1, 3), "m", 1.0)]
+    some = ev.overlay_history_forecast(bars, current, ["k"], since=D(2024, 1, 2)).collect()
+    assert [(r.series, r.value) for r in some] == [("k", 0.0)]
