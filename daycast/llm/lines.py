@@ -1,19 +1,22 @@
-"""Line dedup: deletion-neighbourhood join over the words of lines.
-
-A line counts as its words (A-Z lowered). Lines of fewer than ``EXACT_WORDS``
-words are left alone. Equal lines keep their earliest occurrence by (doc_id,
-line number). Of lines of ``NEAR_WORDS`` words or more, those within one edit (a
-word inserted, deleted or replaced) of an earlier line go too:
-
-1. Every line sends four half keys: an edit leaves the first or the second half
-   as it is, counted from either length, so lines within one edit share a key.
-   Only lines sharing one with a different line go on.
+"""Line dedup: deletion-neighbourhood join over the words, or code points, of lines.
+
+A line counts as its words (A-Z lowered). Equal lines, of any number of words, keep
+their earliest occurrence by (doc_id, line number); blank lines stay. Lines near an
+earlier line go too: lines within one word edit (inserted, deleted or replaced), the
+longer of at least ``NEAR_WORDS`` words; and lines of fewer words both, within one
+edit of a code point, the longer of at least ``NEAR_CHARS`` code points (words joined
+by one space), so that short lines, and paragraphs of scripts that put no spaces
+between words, are compared as well.
+
+1. Every line sends four half keys of its units (words or code points): an edit leaves
+   the first or the second half as it is, counted from either length, so lines within
+   one edit share a key. Only lines sharing one with a different line go on.
 2. These emit all variants within the edit bound, the line itself and the line
-   without each of its words, as hashed keys. Equal variants meet in a sorted
-   stream: equal variants with the same word left out differ by a replacement,
+   without each of its units, as hashed keys. Equal variants meet in a sorted
+   stream: equal variants with the same unit left out differ by a replacement,
    a variant equal to a whole line by a deletion. Each meets the earliest of its
    kind only, so a group of any size costs its own size.
-3. The edit distance of every such pair is verified on the words themselves.
+3. The edit distance of every such pair is verified on the units themselves.
 
 Cases: null and empty texts have no lines to drop; a line's copies within a text
 count as repeats; null ids come last; rows of equal id are one document, whose
@@ -33,17 +36,17 @@ from pyspark.sql import types as T
 from daycast.llm.common import (_BASE, _INVERSE, Words, _powers, arrow_map, claim, cut, lists, mix,
                                 only_ids, run_starts, signed, texts)
 
-EXACT_WORDS = 3
-NEAR_WORDS = 8
+NEAR_WORDS = 8            # words from which words are edited, below it code points
+NEAR_CHARS = 24
 LAST_ID = np.iinfo(np.int64).max
 _LENGTH, _SIDE = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x632BE59BD9B4E019)
 
 
 class Sums:
-    """Polynomial hashes of runs of words of lines (first word, number of words)."""
+    """Polynomial hashes of runs of units of lines (first unit, number of units)."""
 
-    def __init__(self, h: np.ndarray, first: np.ndarray, n: np.ndarray):
-        self.first, self.n = first, n
+    def __init__(self, h: np.ndarray, first: np.ndarray, n: np.ndarray, salt: int = 0):
+        self.first, self.n, self.salt = first, n, np.uint64(salt)
         most = int(n.max(initial=0)) + 2
         self.power, self.inverse = _powers(_BASE, most), _powers(_INVERSE, most)
         place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -75,7 +78,7 @@ class Sums:
             m = n + shorter
             for side, (begin, end) in enumerate(((zero, m // 2), (m // 2 - shorter, n))):
                 out.append(mix(self.run(line, begin, end) + m.astype(np.uint64) * _LENGTH
-                               + np.uint64(side) * _SIDE))
+                               + np.uint64(side) * _SIDE + self.salt))
         return np.column_stack(out)
 
     def variants(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,11 +94,42 @@ class Sums:
         after = np.minimum(left + 1, size)
         tail = self.run(each, after, size) * self.power[left]
         value = head + np.where(whole, np.uint64(0), tail)
-        return mix(value + (size - ~whole).astype(np.uint64) * _LENGTH), gap
+        return mix(value + (size - ~whole).astype(np.uint64) * _LENGTH + self.salt), gap
+
+
+_CHARS = 0x5BF03635D5A5F0C3           # salt of the keys of code points
+
+
+def code_points(words: Words, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every code point, code points per line) of lines of words, one space
+    between words."""
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    word = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    size = words.ends[word] - words.starts[word] + 1                      # a place for the space
+    end = np.cumsum(size)
+    at = np.repeat(words.starts[word] - (end - size), size) + np.arange(int(end[-1]))
+    raw = words.raw[np.minimum(at, len(words.raw) - 1)]
+    raw[end - 1] = 32
+    begins = (raw & 0xC0) != 0x80
+    begins[end[np.cumsum(n) - 1] - 1] = False                            # no space after the last word
+    place = np.flatnonzero(begins)
+    value = raw[place].astype(np.uint64)
+    more = np.ones(len(place), bool)
+    for k in range(1, 4):
+        here = np.minimum(place + k, len(raw) - 1)
+        more &= (place + k < len(raw)) & ((raw[here] & 0xC0) == 0x80)
+        value |= np.where(more, raw[here].astype(np.uint64) << np.uint64(8 * k), np.uint64(0))
+    line_end = end[np.cumsum(n) - 1]
+    counts = np.diff(np.searchsorted(place, line_end), prepend=0)
+    return mix(value + np.uint64(0x3C6EF372)), counts
 
 
 class Lines:
-    """Lines with enough words of a column of texts: document, number, first word, words."""
+    """Lines with words of a column of texts: document, number, first word, words.
+
+    ``near`` holds, for words and for code points, the lines that may be within one edit
+    of another and the hashes of their units."""
 
     def __init__(self, column):
         words = Words(column)
@@ -105,13 +139,19 @@ class Lines:
         before = np.searchsorted(breaks, words.offsets)       # line breaks before each text
         line = np.searchsorted(breaks, words.starts) - before[doc]
         self.breaks = np.diff(before)
-        start = run_starts(doc * (int(line.max(initial=0)) + 1) + line)
-        n = np.diff(np.append(start, len(doc)))
-        keep = n >= EXACT_WORDS
-        self.first, self.n = start[keep], n[keep]
+        self.first = run_starts(doc * (int(line.max(initial=0)) + 1) + line)
+        self.n = np.diff(np.append(self.first, len(doc)))
         self.doc, self.line = doc[self.first], line[self.first]
-        self.sums = Sums(words.hash, self.first, self.n)
-        self.key = self.sums.keys()
+        self.key = Sums(words.hash, self.first, self.n).keys()
+
+    def near(self) -> list[tuple[np.ndarray, Sums]]:
+        # the shorter line of a pair has one unit less
+        wordy = np.flatnonzero(self.n >= NEAR_WORDS - 1)
+        few = np.flatnonzero(self.n < NEAR_WORDS)
+        h, n = code_points(self.words, self.first[few], self.n[few])
+        long_ = n >= NEAR_CHARS - 1
+        return [(wordy, Sums(self.words.hash, self.first[wordy], self.n[wordy])),
+                (few[long_], Sums(h, (np.cumsum(n) - n)[long_], n[long_], _CHARS))]
 
 
 def _one(h: np.ndarray) -> Sums:
@@ -128,7 +168,8 @@ def variants(h: np.ndarray) -> np.ndarray:
     return _one(h).variants(np.zeros(1, np.int64))[0]
 
 
-def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
+def within_one_edit(a, b) -> bool:
+    """Two sequences (words, or a text's code points) differ by one unit at most."""
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > 1:
@@ -139,14 +180,26 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[i:] == b[i + 1:] or (len(a) == len(b) and a[i + 1:] == b[i + 1:])
 
 
+def near_lines(a: bytes, b: bytes) -> bool:
+    """Two lines (lowered, one space between words) are within the edit bound."""
+    v, w = a.split(), b.split()
+    if max(len(v), len(w)) >= NEAR_WORDS:
+        return within_one_edit(v, w)
+    s, t = (x.decode("utf-8", "surrogateescape") for x in (a, b))
+    return max(len(s), len(t)) >= NEAR_CHARS and within_one_edit(s, t)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """(h, doc_id, line, keys) of every line that may be dropped."""
     def rows(batch: pa.RecordBatch) -> dict:
         got = Lines(batch.column("text"))
         ids = batch.column("doc_id").fill_null(LAST_ID).to_numpy()
-        near = got.n >= NEAR_WORDS
+        kinds = got.near()
+        which = np.concatenate([np.repeat(line, 4) for line, _ in kinds])
+        keys = np.concatenate([s.half_keys(np.arange(len(line))).ravel() for line, s in kinds])
+        order = np.argsort(which, kind="stable")
         return {"h": signed(got.key), "doc_id": ids[got.doc], "line": got.line.astype(np.int32),
-                "keys": lists(signed(got.sums.half_keys(np.flatnonzero(near)).ravel()), 4 * near)}
+                "keys": lists(signed(keys[order]), np.bincount(which, minlength=len(got.n)))}
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows,
                      "h long, doc_id long, line int, keys array<long>")
 
@@ -224,10 +277,15 @@ def _emit(near: DataFrame) -> DataFrame:
     """All variants of (h, doc_id, line, words)."""
     def rows(batch: pa.RecordBatch) -> dict:
         got = Lines(batch.column("words"))
-        hashes, gap = got.sums.variants(np.arange(len(got.n)))
-        out = {c: np.repeat(batch.column(c).to_numpy()[got.doc], got.n + 1)
-               for c in ("doc_id", "line", "h")}
-        return out | {"variant": signed(hashes), "gap": gap.astype(np.int32)}
+        parts: dict[str, list] = {c: [] for c in ("doc_id", "line", "h", "variant", "gap")}
+        for line, sums in got.near():
+            hashes, gap = sums.variants(np.arange(len(line)))
+            each = np.repeat(got.doc[line], sums.n + 1)
+            for c in ("doc_id", "line", "h"):
+                parts[c].append(batch.column(c).to_numpy()[each])
+            parts["variant"].append(signed(hashes))
+            parts["gap"].append(gap.astype(np.int32))
+        return {c: np.concatenate(v) for c, v in parts.items()}
     return arrow_map(near, rows, "variant long, gap int, doc_id long, line int, h long")
 
 
@@ -268,14 +326,13 @@ def found(got: Lines, places: pa.Array) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, near: DataFrame) -> DataFrame:
-    """(h) of losers whose edit distance to their winner is at most one word."""
+    """(h) of losers whose edit distance to their winner is at most one unit."""
     words = near.select("h", "words").dropDuplicates(["h"])
     both = (pairs.join(words.select(F.col("h").alias("loser"), F.col("words").alias("a")), "loser")
             .join(words.select(F.col("h").alias("winner"), F.col("words").alias("b")), "winner"))
 
     def rows(batch: pa.RecordBatch) -> dict:
-        ok = [within_one_edit(a.split(), b.split()) for a, b in
-              zip(texts(batch.column("a")), texts(batch.column("b")))]
+        ok = [near_lines(a, b) for a, b in zip(texts(batch.column("a")), texts(batch.column("b")))]
         return {"h": batch.column("loser").filter(pa.array(ok, pa.bool_()))}
     return arrow_map(both, rows, "h long").distinct()
 

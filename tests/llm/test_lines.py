@@ -22,21 +22,24 @@ def one_edit(a, b):
     return d[-1] <= 1
 
 
+def near(a, b):
+    if max(len(a), len(b)) >= 8:
+        return abs(len(a) - len(b)) < 2 and one_edit(a, b)
+    s, t = (b" ".join(w).decode() for w in (a, b))
+    return max(len(s), len(t)) >= 24 and abs(len(s) - len(t)) < 2 and one_edit(s, t)
+
+
 def brute(rows):
     """Kept text per row: every line against all earlier lines."""
     at = {}
     for i, t in rows:
         for k, raw in enumerate((t or "").encode().split(b"\n")):
             w = tuple(raw.lower().split())
-            if len(w) >= 3:
+            if w:
                 place = (lines.LAST_ID if i is None else i, k)
                 at[w] = min(at.get(w, place), place)
     order = sorted(at.items(), key=lambda x: x[1])
-    loses = set()
-    for n, (w, _) in enumerate(order):
-        if len(w) >= 8 and any(len(v) >= 8 and abs(len(v) - len(w)) < 2 and one_edit(v, w)
-                               for v, _ in order[:n]):
-            loses.add(w)
+    loses = {w for n, (w, _) in enumerate(order) if any(near(v, w) for v, _ in order[:n])}
     out = []
     for i, t in rows:
         if t is None:
@@ -45,7 +48,7 @@ def brute(rows):
         left = []
         for k, raw in enumerate(t.split("\n")):
             w = tuple(raw.encode().lower().split())
-            if len(w) < 3 or (w not in loses and at[w] == (lines.LAST_ID if i is None else i, k)):
+            if not w or (w not in loses and at[w] == (lines.LAST_ID if i is None else i, k)):
                 left.append(raw)
         out.append((i, "\n".join(left)))
     return out
@@ -57,7 +60,7 @@ def run(df):
 
 def test_random_edits(docs):
     rng = random.Random(6)
-    base = [[f"l{b}w{k}" for k in range(rng.choice((4, 8, 9, 15, 30)))] for b in range(12)]
+    base = [[f"l{b}w{k}" for k in range(rng.choice((1, 2, 4, 6, 7, 8, 9, 15, 30)))] for b in range(14)]
     rows = []
     for i in range(40):
         text = []
@@ -72,6 +75,43 @@ def test_random_edits(docs):
     assert run(docs(rows)) == sorted(brute(rows), key=str)
 
 
+CHINESE = "我们在河边走了很久，然后回家吃饭，晚上又出去看月亮。"
+THAI = "เราเดินไปตามแม่น้ำแล้วกลับบ้าน"
+
+
+def test_short_lines_and_scripts_without_spaces(docs):
+    """Lines of 1 to 12 words, and of code points, with an edit of one unit or two."""
+    rng = random.Random(3)
+    base = [" ".join(f"word{b}{k}" for k in range(n)) for b, n in enumerate(range(1, 13))]
+    base += [CHINESE, THAI, CHINESE + "　" + THAI, "🙂" * 30, "x" * 5000, "Read more", "Home"]
+    rows = []
+    for i in range(60):
+        text = []
+        for _ in range(rng.randrange(1, 4)):
+            line = rng.choice(base)
+            for _ in range(rng.choice((0, 0, 1, 1, 2))):
+                k = rng.randrange(len(line) + 1)
+                line = rng.choice((line[:k] + rng.choice("q水 ก") + line[k:], line[:k] + line[k + 1:],
+                                   line[:k] + rng.choice("q月😀") + line[k + 1:]))
+            text.append(line)
+        rows.append((200 - i, "\n".join(text)))
+    got = run(docs(rows))
+    assert got == sorted(brute(rows), key=str)
+    assert sum(t == "" for _, t in got) > 10
+
+
+def test_code_points_of_lines():
+    texts = [f"{CHINESE}\n{THAI} a\n\n  Été  🙂🙂 B ", "", "x"]
+    got = lines.Lines([t.encode() for t in texts])
+    h, n = lines.code_points(got.words, got.first, got.n)
+    want = [" ".join(x.split()) for t in texts for x in t.replace("B", "b").split("\n") if x.split()]
+    assert n.tolist() == [len(w) for w in want]
+    names = {}
+    for c, v in zip("".join(want), h.tolist()):
+        assert names.setdefault(c, v) == v
+    assert len(set(names.values())) == len(names)
+
+
 def test_odd_rows(docs):
     rows = ODD + [(20, "All rights reserved.\n\nall  RIGHTS reserved.\nx"), (21, "All rights reserved.")]
     assert run(docs(rows)) == sorted(brute(rows), key=str)
