@@ -1,18 +1,20 @@
 """Toxicity: class-conditional Kneser-Ney models of word spellings.
 
-Two models, toxic and ordinary, give the probability of each byte of a word
-after its last ``ORDER - 1`` bytes (word start and end are bytes of their own).
-The highest order holds class counts (a document counts each word once), with
+Two models, toxic and ordinary, give the probability of each byte of a word after
+the bytes before it: all of them back to the word's start for its first ``ORDER - 1``
+bytes, the last ``LATE - 1`` for later ones (word start and end are bytes of their
+own). The highest order holds class counts (a document counts each word once), with
 absolute discounting. All lower orders are one Kneser-Ney model of continuation
 counts pooled over both classes. So an expression neither class has seen backs
-off to the same value in both and is neutral, and a new ending of a known stem
-is still recognised.
+off to the same value in both and is neutral.
 
-A word's evidence is the difference of its two log-likelihoods; a document is
-described by its strongest word (the best run of bytes in it, so an ending
-neither class has seen takes nothing away) and the mean per word over the whole
-text (length-normalised). A logistic map of these two, fitted on documents the
-counts have not seen (two-fold cross-fitting), gives the score.
+The differences of the two log-likelihoods, added up from a word's start, are the
+evidence of its beginnings: a stem is recognised under any ending, in any language.
+A document is described by its strongest beginning, by the beginning whose evidence
+times the number of different words that have it is largest (an expression in many
+forms), by its length, which both are read against, and by the mean difference per
+word over the whole text (length-normalised). A logistic map of these, fitted on
+documents the counts have not seen (two-fold cross-fitting), gives the score.
 
 Cases: null or empty text has zero evidence; rows without label, or with a null
 id, are scored only; repeated label rows count once (largest label); without
@@ -30,14 +32,15 @@ from pyspark.sql import functions as F
 from daycast.llm.common import CACHE_WORDS, arrow_map, mix, texts
 from daycast.llm.quality import labelled
 
-ORDER = 6                 # bytes of the longest gram; a gram is packed in one integer
+ORDER = 8                 # bytes of the longest gram; a gram is packed in one integer
+LATE = 6                  # bytes of a gram that does not reach back to the word's start
 DISCOUNT = 0.75
-EVIDENCE = 2              # numbers that describe a document
+LEAST_STEM = 1.5          # evidence from which on a beginning of words is looked for
+EVIDENCE = 4              # numbers that describe a document
 # Labelled rows learned from, at most, of each class (smallest id hashes).
 SAMPLE_PER_CLASS = 5_000
-_PAD = b"\x00" * (ORDER - 2) + b"\x01"      # start of a word
-_END = b"\x02"
-_LOW = np.uint64(0xFF)
+_START, _END = b"\x01", b"\x02"
+_PAD = b"\x00" * (ORDER - 2) + _START
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,10 +48,13 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b"".join(_PAD + w + _END for w in words), np.uint8).astype(np.uint64)
     lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
     starts = np.cumsum(lengths + len(_PAD)) - lengths          # of the predicted bytes
-    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.repeat(starts, lengths) + place
     code = np.zeros(len(at), np.uint64)
     for k in range(ORDER - 1, -1, -1):
         code = (code << np.uint64(8)) | buf[at - k]
+    late = place >= ORDER - 1
+    code[late] = _ends(code[late], LATE)
     return code, lengths
 
 
@@ -82,7 +88,7 @@ def model(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> dict[st
     codes, toxic, ordinary = codes[order], toxic[order], ordinary[order]
     if not len(codes):
         e = np.zeros(0)
-        return {"gram": codes, "gram_llr": e, "ctx": codes, "ctx_llr": e}
+        return {"gram": codes, "gram_llr": e, "ctx": codes, "ctx_llr": e, "stem": codes, "stem_llr": e}
     back = shared_backoff(codes)
     ctx, first, at = np.unique(codes >> np.uint64(8), return_index=True, return_inverse=True)
     logs, lam = [], []
@@ -94,7 +100,26 @@ def model(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> dict[st
         own = np.where(seen[at], np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[at], 0.0)
         logs.append(np.log(own + weight[at] * back))
         lam.append(np.log(weight))
-    return {"gram": codes, "gram_llr": logs[0] - logs[1], "ctx": ctx, "ctx_llr": lam[0] - lam[1]}
+    llr = logs[0] - logs[1]
+    stem, stem_llr = stems(codes, llr)
+    return {"gram": codes, "gram_llr": llr, "ctx": ctx, "ctx_llr": lam[0] - lam[1],
+            "stem": stem, "stem_llr": stem_llr}
+
+
+def stems(codes: np.ndarray, llr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Beginnings of words (grams that reach back to the start) with their evidence, the
+    sum from the start on, of those that favour toxic."""
+    found, known, value = [], np.array([_START[0]], np.uint64), np.zeros(1)
+    while len(known):                            # a byte longer each time
+        up = codes >> np.uint64(8)
+        at = np.minimum(np.searchsorted(known, up), len(known) - 1)
+        on = known[at] == up
+        known, value = codes[on], llr[on] + value[at[on]]
+        strong = value >= LEAST_STEM
+        found.append((known[strong], value[strong]))
+    stem, evidence = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(stem)
+    return stem[order], evidence[order]
 
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray):
@@ -105,44 +130,52 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray):
     return np.where(hit, values[i], 0.0), hit
 
 
-def word_llr(words: list[bytes], m: dict[str, np.ndarray]) -> np.ndarray:
-    """Toxic minus ordinary log-likelihood of each word (real part), and of its best
-    run of bytes (imaginary part, 0 if none favours toxic)."""
+def word_llr(words: list[bytes], m: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[bytes, list[int]]]:
+    """Toxic minus ordinary log-likelihood of each word, and of the words that begin in a
+    telling way the places of these beginnings among the model's."""
     if not words:
-        return np.zeros(0, complex)
+        return np.zeros(0), {}
     code, lengths = grams(words)
     llr, hit = _find(m["gram"], m["gram_llr"], code)
     miss = ~hit
     llr[miss] = _find(m["ctx"], m["ctx_llr"], code[miss] >> np.uint64(8))[0]
-    first = np.cumsum(lengths) - lengths
-    best, run = np.zeros(len(words)), np.zeros(len(words))
-    for k in range(int(lengths.max())):                 # byte by byte, all words in step
-        on = np.flatnonzero(lengths > k)
-        run[on] = np.maximum(run[on] + llr[first[on] + k], 0)
-        best[on] = np.maximum(best[on], run[on])
-    return np.add.reduceat(llr, first) + 1j * best
+    stem_of: dict[bytes, list[int]] = {}
+    if len(m["stem"]):
+        at = np.minimum(np.searchsorted(m["stem"], code), len(m["stem"]) - 1)
+        on = np.flatnonzero(m["stem"][at] == code)
+        owner = np.repeat(np.arange(len(words)), lengths)[on]
+        for w, k in zip(owner.tolist(), at[on].tolist()):
+            stem_of.setdefault(words[w], []).append(k)
+    return np.add.reduceat(llr, np.cumsum(lengths) - lengths), stem_of
 
 
 class Evidence:
     """Per-document evidence, remembering the words met in a task."""
 
     def __init__(self, m: dict[str, np.ndarray]):
-        self.m, self.known = m, {}
+        self.m, self.known, self.stems = m, {}, {}
 
     def __call__(self, batch: list[bytes]) -> np.ndarray:
         words = [t.lower().split() for t in batch]
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
+            self.known, self.stems = {}, {}
         new = list(set().union(*words).difference(self.known))
         for at in range(0, len(new), 50_000):
             part = new[at:at + 50_000]
-            self.known.update(zip(part, word_llr(part, self.m).tolist()))
+            llr, stem_of = word_llr(part, self.m)
+            self.known.update(zip(part, llr.tolist()))
+            self.stems.update(stem_of)
         out = np.zeros((len(batch), EVIDENCE))
         for j, ws in enumerate(words):
             if not ws:
                 continue
-            v = np.fromiter(map(self.known.__getitem__, ws), complex, len(ws))
-            out[j] = v.imag.max(), v.real.mean()
+            found = [k for w in self.stems.keys() & set(ws) for k in self.stems[w]]
+            if found:
+                stem, n = np.unique(found, return_counts=True)
+                value = self.m["stem_llr"][stem]
+                out[j, :2] = value.max(), (n * value).max()
+            out[j, 2] = np.log1p(len(ws))
+            out[j, 3] = sum(map(self.known.__getitem__, ws)) / len(ws)
         return out
 
 

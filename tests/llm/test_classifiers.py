@@ -112,10 +112,44 @@ def test_shared_backoff_is_a_distribution():
 def test_unseen_spelling_is_neutral():
     code, _ = toxicity.grams([b"rude", b"kind"])
     m = toxicity.model(np.unique(code), np.ones(len(np.unique(code))), np.ones(len(np.unique(code))))
-    assert np.allclose(toxicity.word_llr([b"rude", b"qqqqqqqq"], m), 0)
-
-
-@pytest.mark.parametrize("name,label,least", [("op1_quality", "quality", 0.95), ("op8_toxicity", "toxic", 0.9)])
+    llr, stem_of = toxicity.word_llr([b"rude", b"qqqqqqqq"], m)
+    assert np.allclose(llr, 0) and not stem_of
+
+
+def test_a_stem_is_known_under_any_ending():
+    """Evidence of a beginning is the sum of its bytes' differences from the start on."""
+    toxic = [b"grumba", b"grumbo", b"grumbi", b"house"]
+    plain = [b"garden", b"house", b"grass", b"umbrella"]
+    codes = [toxicity.grams(w)[0] for w in (toxic, plain)]
+    every = np.unique(np.concatenate(codes))
+    n = [np.array([(c == g).sum() for g in every], float) * 50 for c in codes]
+    m = toxicity.model(every, *n)
+    _, stem_of = toxicity.word_llr([b"grumbxyz", b"house", b"agrumb"], m)
+    assert list(stem_of) == [b"grumbxyz"]
+    by = dict(zip(every.tolist(), m["gram_llr"].tolist()))
+    code = toxicity.grams([b"grumb"])[0][:5].tolist()
+    total = np.cumsum([by[c] for c in code])
+    want = {c: v for c, v in zip(code, total) if v >= toxicity.LEAST_STEM}
+    got = {int(m["stem"][k]): m["stem_llr"][k] for k in stem_of[b"grumbxyz"]}
+    assert got == pytest.approx(want) and want
+    x = toxicity.Evidence(m)([b"grumba grumbo grumbi grumba house", b"house", b""])
+    assert x[0, 1] >= 3 * max(want.values()) - 1e-9 and x[1, 0] == 0 and not x[2].any()
+
+
+def test_held_out_recall_and_precision_of_toxicity(spark):
+    """In every language there is, though the language is not looked at."""
+    folder = "/root/testdata/sf0.1"
+    out = queries.QUERIES["op8_toxicity"](spark, folder)
+    rows = (out.where("held_out").join(table(spark, folder, "labels"), "doc_id")
+            .join(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id").collect())
+    hits = sum(r.predicted and r.toxic for r in rows)
+    assert hits >= 0.9 * sum(r.toxic for r in rows) and hits >= 0.93 * sum(r.predicted for r in rows)
+    for lang in {r.lang for r in rows}:
+        own = [r for r in rows if r.lang == lang and r.toxic]
+        assert sum(r.predicted for r in own) >= 0.75 * len(own), lang
+
+
+@pytest.mark.parametrize("name,label,least", [("op1_quality", "quality", 0.95), ("op8_toxicity", "toxic", 0.95)])
 def test_held_out_accuracy_of_the_query(spark, name, label, least):
     out = queries.QUERIES[name](spark, MEDIUM)
     assert out.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
@@ -123,3 +157,54 @@ def test_held_out_accuracy_of_the_query(spark, name, label, least):
     assert out.count() == table(spark, MEDIUM, "documents").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     assert np.mean([r.predicted == r[label] for r in rows]) >= least
+
+
+def brute_ftrl(rows, epochs):
+    """Sequential FTRL-proximal updates, a number at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        if abs(zi) <= quality.L1:
+            return 0.0
+        return -(zi - np.sign(zi) * quality.L1) / ((quality.BETA + np.sqrt(n.get(i, 0.0))) / quality.ALPHA + quality.L2)
+    for _ in range(epochs):
+        for slots, values, y in rows:
+            pairs = [*zip(slots.tolist(), values.tolist()), ("bias", 1.0)]
+            w = {i: weight(i) for i, _ in pairs}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in pairs)))
+            for i, v in pairs:
+                g = (p - y) * v
+                old = n.get(i, 0.0)
+                sigma = (np.sqrt(old + g * g) - np.sqrt(old)) / quality.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = old + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_against_brute_force():
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(60):
+        slots, values = quality._sparse(" ".join(rng.choice(["a", "b", "c", "dd", "E1"], 12)).encode())
+        rows.append((slots, values, float(k % 3 == 0)))
+    got, want = quality.ftrl(rows), brute_ftrl(rows, quality.EPOCHS)
+    assert got[-1] == pytest.approx(want.pop("bias"))
+    assert np.flatnonzero(got[:-1]).tolist() == sorted(i for i, w in want.items() if w)
+    for i, w in want.items():
+        assert got[i] == pytest.approx(w)
+
+
+def test_score_is_the_sum_of_its_features():
+    text = b"One two two, 3rd LINE of words words"
+    weights = np.random.default_rng(1).normal(size=(1 << quality.BITS) + 1)
+    slots, values = quality.features(text)
+    total = weights[-1] + sum(weights[i] * v for i, v in zip(slots.tolist(), values.tolist()))
+    assert quality.scores([text, b""], weights) == pytest.approx([1 / (1 + np.exp(-total)), 1 / (1 + np.exp(-weights[-1]))])
+    n = len(text.split())
+    assert len(slots) == n + (n - 1) + n + (n - 1) + (n - 2) and values.sum() == pytest.approx(5)
+
+
+def test_word_shapes_look_at_whole_words():
+    long_ = b"a" * 80 + b"Z9"
+    assert quality._shape(long_) == b"aA0" and quality._shape(b"-a" * 9) == b"-a" * 9
