@@ -3,12 +3,19 @@
 A page is read by a tolerant tokeniser into a tree (void elements, implied ends
 of paragraphs, list items and cells; raw text of scripts and styles is skipped).
 Every block element's subtree is hashed: tag, class, text and children. Spark
-counts on how many pages of its host each subtree occurs, and subtrees recurring
-on ``MIN_PAGES`` pages and a share of ``MIN_SHARE`` of the host's pages are
-deleted from them; pages of equal main-text candidates count once, so that copies
-of a page do not make templates of its text. A text block (paragraph, heading,
-list item and the like) of an article is no template: the same sentence may be
-written twice. Nor is a subtree that holds an article (or main) element.
+counts on how many pages of its host each subtree occurs; pages of equal main-text
+candidates count once, so that copies of a page do not make templates of its text.
+
+* A subtree outside articles that recurs on ``MIN_PAGES`` pages is a template. One
+  that holds an article (or main) element is none.
+* A text block (paragraph, heading, list item and the like) of an article may recur
+  without being one: the same sentence may be written twice, and near copies of an
+  article share most of theirs. It is a template if it recurs on ``MIN_PLACED`` pages,
+  has the same place in nearly all of them (``SAME_PLACE``, counted from the article's
+  begin or from its end), and other blocks beside it in most (``OTHER_BESIDE``).
+
+The numbers are the same for a host of any size. Templates are deleted from the pages
+that hold them.
 
 What a page does not repeat elsewhere is still no main text if its element says
 so (navigation, footer, aside, form, script ...) or is called so (class, id or
@@ -38,7 +45,8 @@ from pyspark.sql import functions as F
 from daycast.llm.common import arrow_map, bitmap, cut, hash64, signed
 
 MIN_PAGES = 3
-MIN_SHARE = 0.005
+MIN_PLACED = 8
+SAME_PLACE, OTHER_BESIDE = 0.9, 0.5
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,6 +83,7 @@ _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _EMBEDDED_TAGS = {t: re.compile(
     rf"<!--.*?(?:-->|\Z)|<script(?=[\s/>]).*?</script\s*>"
     rf"|<(/?){t}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I) for t in EMBEDDED}
+_INLINE_TAGS = {t: re.compile(rf"<(/?){t}\b[^>]*>", re.I) for t in INLINE}
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
@@ -225,10 +234,10 @@ def _embedded_ends(html: str, tag: str) -> dict[int, int]:
 def _skip(html: str, at: int, tag: str) -> int:
     """Place after the element ``tag`` that begins before ``at`` (nested ones counted)."""
     depth = 1
-    for m in re.finditer(rf"<(/?){tag}\b[^>]*>", html[at:], re.I):
+    for m in _INLINE_TAGS[tag].finditer(html, at):
         depth += -1 if m.group(1) else 1
         if not depth:
-            return at + m.end()
+            return m.end()
     return at
 
 
@@ -239,14 +248,32 @@ def host(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].rsplit("@", 1)[-1].lower() or url
 
 
-def candidates(html: str | None) -> tuple[list[str], list[list[int]], list[int]]:
-    """(texts, subtrees around each, all subtrees) of a page's main-text candidates."""
+def candidates(html: str | None) -> tuple[list[str], list[list[int]], list[int], bool]:
+    """(texts, subtrees around each, all subtrees, from an article) of a page's main-text
+    candidates."""
     blocks, subtrees = parse(html or "")
-    if any(b[1] for b in blocks):
+    article = any(b[1] for b in blocks)
+    if article:
         blocks = [b for b in blocks if b[1]]
     marks = signed(np.array(subtrees, np.uint64)).tolist()
     return [b[0] for b in blocks], [[marks[k] for k in b[2] if marks[k]] for b in blocks], \
-        sorted({m for m in marks if m})
+        sorted({m for m in marks if m}), article
+
+
+def block_hashes(texts: list[str]) -> list[int]:
+    return signed(np.array([hash64(t.encode("utf-8", "replace"), 1) for t in texts], np.uint64)).tolist()
+
+
+def placed(texts: list[str]) -> tuple[list[int], ...]:
+    """(hash, place from the begin, from the end, hash before, hash after) of the different
+    blocks of an article, each where it occurs first; 0 beside an end."""
+    h = block_hashes(texts)
+    first: dict[int, int] = {}
+    for k, x in enumerate(h):
+        first.setdefault(x, k)
+    at = list(first.values())
+    around = [0, *h, 0]
+    return ([h[k] for k in at], at, [len(h) - 1 - k for k in at], [around[k] for k in at], [around[k + 2] for k in at])
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -256,29 +283,52 @@ def _keyed(pages: DataFrame) -> DataFrame:
             .withColumn("key", F.xxhash64("page_id", "url", "html")))
 
 
+_PLACED = ("block", "begin", "end", "before", "after")
+
+
 def structure(pages: DataFrame) -> DataFrame:
-    """(key, host, content, subtrees, around) of every page: a hash of its main-text
-    candidates, its subtrees, and those of them that hold a candidate; no texts."""
+    """(key, host, content, subtrees, around, block...) of every page: a hash of its
+    main-text candidates, its subtrees, those of them that hold a candidate, and the
+    text blocks of its article with their places; no texts."""
     def rows(batch: pa.RecordBatch) -> dict:
         got = [candidates(h) for h in batch.column("html").to_pylist()]
+        places = [placed(g[0]) if g[3] else ([],) * 5 for g in got]
         return {"key": batch.column("key"), "host": [host(u) for u in batch.column("url").to_pylist()],
                 "content": signed(np.array([hash64("\x1f".join(g[0]).encode("utf-8", "replace"))
                                             for g in got], np.uint64)),
                 "subtrees": [g[2] for g in got],
-                "around": [sorted({m for ms in g[1] for m in ms}) for g in got]}
-    return arrow_map(_keyed(pages), rows, "key long, host string, content long, subtrees array<long>, around array<long>")
+                "around": [sorted({m for ms in g[1] for m in ms}) for g in got]} | {
+                    c: [p[k] for p in places] for k, c in enumerate(_PLACED)}
+    return arrow_map(_keyed(pages), rows, "key long, host string, content long, subtrees array<long>, "
+                     "around array<long>, " + ", ".join(f"{c} array<long>" for c in _PLACED))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree) recurring across many pages of its host, pages of equal content
-    counted once; from ``structure`` rows."""
-    size = pages.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    seen = (pages.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
-            .groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
-    return (seen.join(size, "host").where(F.col("n") >= min_share * F.col("pages"))
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, subtree) recurring on pages of its host, pages of equal content counted
+    once; from ``structure`` rows."""
+    return (pages.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
+            .groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
             .select("host", "subtree"))
 
 
+def placed_templates(pages: DataFrame, min_pages: int = MIN_PLACED) -> DataFrame:
+    """(host, block): text blocks of articles that recur in one place among others."""
+    seen = (pages.where(F.size("block") > 0).select("host", "content", *_PLACED).dropDuplicates(["host", "content"])
+            .select("host", F.explode(F.arrays_zip(*_PLACED)).alias("b")).select("host", "b.*"))
+    often = seen.groupBy("host", "block").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in _PLACED[1:]])
+    # a count per value first, so that no row holds the values of a block
+    values = (seen.join(often, ["host", "block"]).select("host", "block", "n", F.inline(kinds))
+              .groupBy("host", "block", "n", "kind", "value").agg(F.count("*").alias("times")))
+
+    def of(what, *kinds):
+        return F.greatest(*[what(F.when(F.col("kind") == k, F.col("times"))) for k in kinds])
+    return (values.groupBy("host", "block", "n").agg(of(F.max, "begin", "end").alias("placed"),
+                                                     of(F.count, "before", "after").alias("beside"))
+            .where((F.col("placed") >= SAME_PLACE * F.col("n")) & (F.col("beside") >= OTHER_BESIDE * F.col("n")))
+            .select("host", "block"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``.
 
@@ -288,8 +338,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     rows = cut(structure(pages))
     around = rows.select("key", "host", F.explode("around").alias("subtree")).distinct()
-    gone = cut(around.join(templates(rows), ["host", "subtree"]).groupBy("key")
-               .agg(F.collect_list("subtree").alias("gone")))
+    blocks = rows.select("key", "host", F.explode("block").alias("block")).distinct()
+    gone = cut(around.join(templates(rows), ["host", "subtree"]).select("key", F.col("subtree").alias("gone"))
+               .unionByName(blocks.join(placed_templates(rows), ["host", "block"])
+                            .select("key", F.col("block").alias("gone")))
+               .groupBy("key").agg(F.collect_list("gone").alias("gone")))
     held, test = bitmap(gone, F.col("key"))
     sent = pages.sparkSession.sparkContext.broadcast(held)
     schema = "page_id long, url string, text string, n_chars long"
@@ -310,9 +363,11 @@ def extract(pages: DataFrame) -> DataFrame:
     def pruned(batch: pa.RecordBatch) -> dict:
         texts = []
         for h, bad in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist()):
-            blocks, around, _ = candidates(h)
+            blocks, around, _, article = candidates(h)
             bad = set(bad or ())
-            texts.append("\n".join(t for t, ms in zip(blocks, around) if bad.isdisjoint(ms)))
+            own = block_hashes(blocks) if article else [0] * len(blocks)
+            texts.append("\n".join(t for t, ms, b in zip(blocks, around, own)
+                                   if bad.isdisjoint(ms) and b not in bad))
         return out(batch, texts)
 
     keyed = _keyed(pages)

@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter
 from html import unescape
 
 import pytest
@@ -40,12 +42,88 @@ def test_templates_go_where_there_is_no_article(spark):
     assert got[9] == "Made by us\nOwn words"
 
 
-def test_recurring_paragraphs_of_articles_stay_and_recurring_boxes_go(spark):
+def test_recurring_boxes_of_articles_go(spark):
     rows = [(k, "http://x.y/", f"<article><p>Same words</p><div>Read our <b>letter</b></div><p>Own {k}</p></article>")
             for k in range(4)]
     assert texts(spark, rows) == {k: f"Same words\nOwn {k}" for k in range(4)}
 
 
+@pytest.mark.parametrize("place", ["begin", "third", "end", "last but one"])
+def test_a_notice_in_the_articles_of_a_site_goes(spark, place):
+    """Wherever its fixed place is, on hosts of any size, without a telling class."""
+    rng = random.Random(4)
+    rows, want = [], {}
+    for h, n in (("a.b", 12), ("c.d", 40), ("e.f", 7)):
+        for k in range(n):
+            own = [f"Words {h} {k} {j}" for j in range(rng.randrange(3, 9))]
+            at = {"begin": 0, "third": 2, "end": len(own), "last but one": len(own) - 1}[place]
+            page = own[:at] + ["Follow us on our channel for more stories"] + own[at:]
+            key = len(rows)
+            rows.append((key, f"http://{h}/{k}", "<article>" + "".join(f"<p>{t}</p>" for t in page) + "</article>"))
+            want[key] = "\n".join(own if h != "e.f" else page)       # on too few pages to tell
+    assert texts(spark, rows) == want
+
+
+def test_sentences_written_twice_and_near_copies_stay(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+
+    def add(host, blocks):
+        want[len(rows)] = "\n".join(blocks)
+        rows.append((len(rows), f"http://{host}/", "<article>" + "".join(f"<p>{t}</p>" for t in blocks) + "</article>"))
+    for k in range(60):                                    # one sentence in many articles, anywhere
+        own = [f"Words {k} {j}" for j in range(rng.randrange(6, 12))]
+        own.insert(rng.randrange(len(own) + 1), "It was a long day.")
+        add("a.b", own)
+    for k in range(30):                                    # an article with another paragraph each time
+        own = [f"Common paragraph {j}" for j in range(10)]
+        own[rng.randrange(10)] = f"Changed {k}"
+        add("c.d", own)
+    for k in range(20):                                    # its exact copies
+        add("g.h", [f"Copied {j}" for j in range(4)])
+    assert texts(spark, rows) == want
+
+
+def brute_templates(pages, least, place, beside):
+    """Counts of every block over the different articles of its host, one by one."""
+    hosts = {}
+    for host, blocks in pages:
+        hosts.setdefault(host, set()).add(tuple(blocks))
+    out = set()
+    for host, contents in hosts.items():
+        for t in {t for c in contents for t in c}:
+            at = [(c.index(t), len(c) - 1 - c.index(t), (None, *c)[c.index(t)], (*c, None)[c.index(t) + 1])
+                  for c in contents if t in c]
+            n, kinds = len(at), [Counter(x) for x in zip(*at)]
+            if n >= least and max(max(k.values()) for k in kinds[:2]) >= place * n \
+                    and max(map(len, kinds[2:])) >= beside * n:
+                out.add((host, t))
+    return out
+
+
+def test_placed_templates_against_brute_force(spark):
+    rng = random.Random(9)
+    made = []
+    for k in range(300):
+        blocks = [f"t{rng.randrange(60)}" for _ in range(rng.randrange(2, 7))]
+        blocks = ([f"top{rng.randrange(2)}"] if rng.random() < .5 else []) + blocks \
+            + (["end"] if rng.random() < .3 else [])
+        made.append((f"h{rng.randrange(3)}.x", blocks))
+    rows = pages(spark, [(k, f"http://{h}/", "<main>" + "".join(f"<p>{t}</p>" for t in b) + "</main>")
+                         for k, (h, b) in enumerate(made)])
+    want = brute_templates(made, html.MIN_PLACED, html.SAME_PLACE, html.OTHER_BESIDE)
+    names = dict(zip(html.block_hashes(sorted({t for _, b in made for t in b})), sorted({t for _, b in made for t in b})))
+    got = {(r.host, names[r.block]) for r in html.placed_templates(html.structure(rows)).collect()}
+    assert got == want and want
+
+
+def test_a_page_of_many_skipped_and_nested_elements():
+    many = "<span class='ad'>x</span> word " * 20_000
+    assert html.candidates(f"<article><p>{many}</p></article>")[0] == ["word " * 19_999 + "word"]
+    deep = "<div>" * 3000 + "text" + "</div>" * 3000
+    assert html.candidates(f"<article>{deep}</article>")[0] == ["text"]
+
+
 def test_copies_of_a_page_keep_their_text(spark):
     plain = "<div><p>One</p><p>Two</p></div><div>Three</div>"
     wrapped = "<div id=page><div>Site</div><article><p>Four</p><div>Five</div></article></div>"
@@ -56,7 +134,7 @@ def test_copies_of_a_page_keep_their_text(spark):
 
 def test_a_subtree_with_an_article_is_no_template():
     """Also if it is equal on pages that differ elsewhere."""
-    blocks, around, marks = html.candidates("<div><div>Box</div><div role=\"main\"><p>Text</p></div></div>")
+    blocks, around, marks, _ = html.candidates("<div><div>Box</div><div role=\"main\"><p>Text</p></div></div>")
     assert blocks == ["Text"] and around == [[]] and len(marks) == 1
 
 
