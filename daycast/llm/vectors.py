@@ -5,7 +5,8 @@ with a count. The second-moment matrix of all classes, added up by Spark, gives
 an orthogonal basis with the strongest directions first; turning into it changes
 no cosine. Classes are dealt to cells of the leading coordinates (two vectors
 with cosine >= t differ by at most sqrt(2 - 2t) in each, so only neighbouring
-cells can link) and cells into tiles of at most about ``TILE`` classes. Tiles of
+cells can link), large cells into tiles of about ``TILE`` classes, and small cells
+share a tile. Tiles of
 the same or neighbouring cells meet in one task: it takes both in blocks, adds up
 the products of the leading coordinates first, bounds the rest of the product by
 the product of the suffix norms, and stops where the cosine cannot reach the
@@ -26,14 +27,14 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daycast.llm.common import arrow_map, cut, hash64, signed
 from daycast.llm.graph import UnionFind, components
 
 THRESHOLD = 0.9
-TILE = 8192               # classes of a tile
+TILE = 16384              # classes of a tile
 BLOCK = 1024              # rows of a block of the comparison
 STEP = 16                 # coordinates added at a time
 CELL_AXES = 3             # leading coordinates that make the cells
@@ -212,17 +213,24 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) ->
     cells = cut(_cells(classes, basis, threshold))
     axes = [f"c{k}" for k in range(CELL_AXES)]
     sizes = cells.groupBy("dim", *axes).agg(F.count("*").alias("size"))
+    # a large cell is dealt to tiles of its own, small ones share a tile with those that
+    # follow (there are at most a few hundred cells of a length)
+    small = F.col("size") <= tile
+    before = F.sum(F.when(small, F.col("size")).otherwise(0)).over(
+        Window.partitionBy("dim").orderBy(*axes).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("shared", F.when(small, F.floor(F.coalesce(before, F.lit(0)) / F.lit(tile))))
+    deal = F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / tile))
     tiled = (cells.join(sizes, ["dim", *axes])
-             .withColumn("deal", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / tile)))
-             .withColumn("tile", F.xxhash64(*axes, "deal")))
+             .withColumn("tile", F.when(small, F.xxhash64(F.lit("shared"), "dim", "shared"))
+                         .otherwise(F.xxhash64("dim", *axes, deal))))
     tiles = cut(tiled.select("dim", *axes, "tile").distinct())
     half = [o for o in itertools.product((-1, 0, 1), repeat=CELL_AXES) if o >= (0,) * CELL_AXES]
     step = F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in half])).alias("o")
-    reach = tiles.select("dim", *axes, F.col("tile").alias("tile_a"), step).select(
-        "dim", "tile_a", *[(F.col(c) + F.col("o")[k]).alias(c) for k, c in enumerate(axes)],
-        F.expr("o = array(0, 0, 0)").alias("own"))
-    pairs = cut(reach.join(tiles.withColumnRenamed("tile", "tile_b"), ["dim", *axes])
-                .where("not own or tile_a <= tile_b").select("dim", "tile_a", "tile_b"))
+    reach = tiles.select("dim", *axes, F.col("tile").alias("one"), step).select(
+        "dim", "one", *[(F.col(c) + F.col("o")[k]).alias(c) for k, c in enumerate(axes)])
+    pairs = cut(reach.join(tiles.withColumnRenamed("tile", "other"), ["dim", *axes])
+                .select("dim", F.least("one", "other").alias("tile_a"), F.greatest("one", "other").alias("tile_b"))
+                .distinct())
     sides = [pairs.select("dim", F.col(t).alias("tile"), "tile_a", "tile_b", F.lit(s).alias("side"))
              for s, t in enumerate(("tile_a", "tile_b"))]
     both = sides[0].unionByName(sides[1].where("tile_a <> tile_b"))

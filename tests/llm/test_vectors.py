@@ -98,3 +98,40 @@ def test_pruning_loses_nothing():
     a, b, _ = vectors.compare(x[:100], x[100:], t[:100], t[100:], 0.6, False)
     assert np.array_equal(a, (x[:100] @ x[100:].T >= 0.6).sum(axis=1))
     assert np.array_equal(b, (x[:100] @ x[100:].T >= 0.6).sum(axis=0))
+
+
+def test_planted_near_copies_in_a_whole_table(spark):
+    """All links of sf0.1's vectors with 900 planted near copies, at small and production tiles."""
+    held = [(r.vec_id, r.embedding) for r in table(spark, "/root/testdata/sf0.1", "embeddings").collect()]
+    rng = np.random.default_rng(12)
+    rows = list(held)
+    for k in range(900):
+        v = np.array(held[rng.integers(0, 400)][1], float)
+        rows.append((100_000 + k, (v + rng.normal(0, rng.uniform(0.02, 0.09), len(v)) * np.linalg.norm(v)).tolist()))
+    x = np.array([v for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= 0.9
+    want = {i: int(n) - 1 for (i, _), n in zip(rows, links.sum(axis=1))}
+    assert sum(want.values()) > 1000
+    got = {r[0]: r for r in run(frame(spark, rows))}
+    assert {i: r[1] for i, r in got.items()} == want
+    for a, b in zip(*np.nonzero(links)):
+        assert got[rows[a][0]][2] == got[rows[b][0]][2]
+
+
+def test_small_cells_share_a_tile(spark, monkeypatch):
+    """No more meetings than tiles of the asked size need, and every pair in one of them."""
+    met = []
+    plain = vectors.compare
+    monkeypatch.setattr(vectors, "_meet", lambda rows, basis, t: met.append(
+        rows.select("tile_a", "tile_b", "tile", "cls").collect()) or rows.select(
+            "cls", "cls", "cls").toDF("cls", "n", "root").limit(0))
+    rng = np.random.default_rng(3)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(400, 16)))]
+    classes = vectors._units(frame(spark, rows)).where("dim > 0").select("cls", "dim", "unit").withColumn(
+        "times", queries.F.lit(1).cast("long"))
+    got = vectors.links.__defaults__
+    monkeypatch.setattr(vectors.links, "__defaults__", (got[0], 1000))
+    vectors.links(classes).collect()
+    assert {(r.tile_a, r.tile_b) for r in met[0]} == {(met[0][0].tile, met[0][0].tile)} and len(met[0]) == 400
+    assert plain is vectors.compare
