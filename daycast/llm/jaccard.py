@@ -394,17 +394,20 @@ def link_classes(docs: DataFrame, found: DataFrame, percent: int = PERCENT) -> D
     if wide.isEmpty():
         return components(links)
 
-    def labelled() -> DataFrame:
-        return (wide.join(components(links).withColumnRenamed("id", "cls"), "cls", "left")
+    def labelled(rows: DataFrame) -> DataFrame:
+        return (rows.join(components(links).withColumnRenamed("id", "cls"), "cls", "left")
                 .withColumn("label", F.coalesce("component", "cls")).drop("component"))
 
-    # the smallest class of every chunk's components, dealt anew
-    tops = labelled().where("label = cls").withColumn(
-        "sum", F.sum("weight").over(_by("block"))).withColumn(
-        "deal", F.pmod(F.xxhash64("cls", F.lit(7)), F.ceil(F.col("sum") / CHUNK_WEIGHT)))
+    # the smallest class of every chunk's components, dealt anew: counted and dealt without
+    # the texts, which are joined when the deal is known
+    tops = labelled(wide.select("cls", "block", "weight")).where("label = cls")
+    total = tops.groupBy("block").agg(F.sum("weight").alias("sum"))
+    dealt = cut(tops.join(total, "block").select("cls", "block", "label", F.pmod(
+        F.xxhash64("cls", F.lit(7)), F.ceil(F.col("sum") / CHUNK_WEIGHT)).alias("deal")))
+    tops = dealt.join(wide.select("cls", "text"), "cls")
     links = cut(links.unionByName(_grouped(tops.select("block", "deal", side, "label", "text"),
                                            ["block", "deal"], percent)))
-    now = cut(labelled().drop("many", "weight", "doc_id"))
+    now = cut(labelled(wide).drop("many", "weight", "doc_id"))
     chunks = now.groupBy("block", "chunk", "size").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     x, y = chunks.alias("x"), chunks.alias("y")
     pairs = x.join(y, F.expr("x.block = y.block and x.chunk < y.chunk and abs(x.size - y.size) <= 1 "
@@ -416,11 +419,6 @@ def link_classes(docs: DataFrame, found: DataFrame, percent: int = PERCENT) -> D
     return components(links.unionByName(_grouped(across, ["block", "i", "j"], percent)))
 
 
-def _by(*keys: str):
-    from pyspark.sql import Window
-    return Window.partitionBy(*keys)
-
-
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     found = cut(digests(docs))
