@@ -40,8 +40,7 @@ _DIGIT = re.compile(rb"[0-9]+")
 
 
 def _shape(word: bytes) -> bytes:
-    s = _DIGIT.sub(b"0", _UPPER.sub(b"A", _LOWER.sub(b"a", word[:64])))
-    return s[:8]
+    return _DIGIT.sub(b"0", _UPPER.sub(b"A", _LOWER.sub(b"a", word)))
 
 
 def _word_key(word: bytes) -> int:
