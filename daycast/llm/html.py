@@ -10,12 +10,12 @@ candidates count once, so that copies of a page do not make templates of its tex
   that holds an article (or main) element is none.
 * A text block (paragraph, heading, list item and the like) of an article may recur
   without being one: the same sentence may be written twice, and near copies of an
-  article share most of theirs. It is a template if it recurs on ``MIN_PLACED`` pages,
-  has the same place in nearly all of them (``SAME_PLACE``, counted from the article's
-  begin or from its end), and other blocks beside it in most (``OTHER_BESIDE``).
+  article share most of theirs. It is a template if it recurs on ``MIN_PLACED`` pages
+  and ``SITE_SHARE`` of the host's, has the same place in nearly all of them
+  (``SAME_PLACE``, counted from the article's begin or from its end), and other blocks
+  beside it in most (``OTHER_BESIDE``).
 
-The numbers are the same for a host of any size. Templates are deleted from the pages
-that hold them.
+Templates are deleted from the pages that hold them.
 
 What a page does not repeat elsewhere is still no main text if its element says
 so (navigation, footer, aside, form, script ...) or is called so (class, id or
@@ -46,7 +46,7 @@ from daycast.llm.common import arrow_map, bitmap, cut, hash64, signed
 
 MIN_PAGES = 3
 MIN_PLACED = 8
-SAME_PLACE, OTHER_BESIDE = 0.9, 0.5
+SITE_SHARE, SAME_PLACE, OTHER_BESIDE = 0.5, 0.9, 0.8
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -313,9 +313,11 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
 def placed_templates(pages: DataFrame, min_pages: int = MIN_PLACED) -> DataFrame:
     """(host, block): text blocks of articles that recur in one place among others."""
-    seen = (pages.where(F.size("block") > 0).select("host", "content", *_PLACED).dropDuplicates(["host", "content"])
-            .select("host", F.explode(F.arrays_zip(*_PLACED)).alias("b")).select("host", "b.*"))
-    often = seen.groupBy("host", "block").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    articles = pages.where(F.size("block") > 0).select("host", "content", *_PLACED).dropDuplicates(["host", "content"])
+    seen = articles.select("host", F.explode(F.arrays_zip(*_PLACED)).alias("b")).select("host", "b.*")
+    size = articles.groupBy("host").agg(F.count("*").alias("articles"))
+    often = (seen.groupBy("host", "block").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+             .join(size, "host").where(F.col("n") >= SITE_SHARE * F.col("articles")).drop("articles"))
     kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in _PLACED[1:]])
     # a count per value first, so that no row holds the values of a block
     values = (seen.join(often, ["host", "block"]).select("host", "block", "n", F.inline(kinds))

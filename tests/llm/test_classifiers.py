@@ -208,3 +208,11 @@ def test_score_is_the_sum_of_its_features():
 def test_word_shapes_look_at_whole_words():
     long_ = b"a" * 80 + b"Z9"
     assert quality._shape(long_) == b"aA0" and quality._shape(b"-a" * 9) == b"-a" * 9
+
+
+@pytest.mark.parametrize("op", [quality, toxicity])
+def test_clashing_columns_of_the_labels(labelled, op):
+    d, lab, _ = labelled
+    wide = lab.withColumns({c: F.lit("x") for c in ("text", "y", "h", "score", "shard", "slots", "code", "held_out")})
+    a, b = (sorted(map(tuple, op.score(d, op.train(d, x)).collect()), key=str) for x in (lab, wide))
+    assert a == b

@@ -119,3 +119,10 @@ def test_whole_items_of_the_small_table_are_caught(spark):
         some |= {r.doc_id} if share > 0 else set()
     got = {r.doc_id for r in queries.QUERIES["op6_templates"](spark, SMALL).collect() if r.contaminated}
     assert whole and whole <= got <= some
+
+
+def test_clashing_columns_of_the_benchmark(spark, docs, items):
+    from pyspark.sql import functions as F
+    wide = items.withColumns({c: F.lit("x") for c in ("doc_id", "row", "h", "at", "slots", "length", "__row", "words")})
+    rows = [(1, QUESTION), (2, words(*range(60), stem="fill"))]
+    assert found(docs(rows), wide) == found(docs(rows), items) == {1: [1]}

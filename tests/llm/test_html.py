@@ -84,7 +84,7 @@ def test_sentences_written_twice_and_near_copies_stay(spark):
     assert texts(spark, rows) == want
 
 
-def brute_templates(pages, least, place, beside):
+def brute_templates(pages, least, share, place, beside):
     """Counts of every block over the different articles of its host, one by one."""
     hosts = {}
     for host, blocks in pages:
@@ -95,7 +95,7 @@ def brute_templates(pages, least, place, beside):
             at = [(c.index(t), len(c) - 1 - c.index(t), (None, *c)[c.index(t)], (*c, None)[c.index(t) + 1])
                   for c in contents if t in c]
             n, kinds = len(at), [Counter(x) for x in zip(*at)]
-            if n >= least and max(max(k.values()) for k in kinds[:2]) >= place * n \
+            if n >= max(least, share * len(contents)) and max(max(k.values()) for k in kinds[:2]) >= place * n \
                     and max(map(len, kinds[2:])) >= beside * n:
                 out.add((host, t))
     return out
@@ -105,13 +105,13 @@ def test_placed_templates_against_brute_force(spark):
     rng = random.Random(9)
     made = []
     for k in range(300):
-        blocks = [f"t{rng.randrange(60)}" for _ in range(rng.randrange(2, 7))]
-        blocks = ([f"top{rng.randrange(2)}"] if rng.random() < .5 else []) + blocks \
-            + (["end"] if rng.random() < .3 else [])
+        blocks = [f"t{rng.randrange(400)}" for _ in range(rng.randrange(2, 7))]
+        blocks = ([f"top{int(rng.random() < .2)}"] if rng.random() < .8 else []) + blocks \
+            + (["end"] if rng.random() < .7 else [])
         made.append((f"h{rng.randrange(3)}.x", blocks))
     rows = pages(spark, [(k, f"http://{h}/", "<main>" + "".join(f"<p>{t}</p>" for t in b) + "</main>")
                          for k, (h, b) in enumerate(made)])
-    want = brute_templates(made, html.MIN_PLACED, html.SAME_PLACE, html.OTHER_BESIDE)
+    want = brute_templates(made, html.MIN_PLACED, html.SITE_SHARE, html.SAME_PLACE, html.OTHER_BESIDE)
     names = dict(zip(html.block_hashes(sorted({t for _, b in made for t in b})), sorted({t for _, b in made for t in b})))
     got = {(r.host, names[r.block]) for r in html.placed_templates(html.structure(rows)).collect()}
     assert got == want and want
