@@ -40,8 +40,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents, the one with the smallest id; rows
-    without an id stay."""
+    """Of every group of linked documents, the one with the smallest id; rows of one id
+    are one document, which stays or goes whole; rows without an id stay."""
     prepare(spark)
     groups = jaccard.groups(docs)
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()

@@ -53,10 +53,12 @@ def direct_pairs(features: DataFrame, horizons: list[int], as_of: dt.date, windo
 
 
 def direct_forecast_gbt(features: DataFrame, horizons: list[int], as_of: dt.date, cal: list[dt.date],
-                        window: int = 1095, params: dict | None = None) -> DataFrame:
-    """(symbol, h, target_date, prediction): one model with the horizon as a feature."""
-    cols = feat.feature_columns(features) + [HORIZON_COL]
-    model = md.gbt_fit(direct_pairs(features, horizons, as_of, window), cols, params=params)
+                        window: int = 1095, params: dict | None = None, cols: list[str] | None = None,
+                        with_levels: bool = True) -> DataFrame:
+    """(symbol, h, target_date, prediction): one model with the horizon as a feature, besides
+    the inputs ``cols`` (default: all)."""
+    cols = [*(feat.feature_columns(features) if cols is None else cols), HORIZON_COL]
+    model = md.gbt_fit(direct_pairs(features, horizons, as_of, window), cols, params=params, with_levels=with_levels)
     rows = rollout.next_day(rollout.state(features, window, as_of), cols[:-1], as_of, cal)
     asked = rows.withColumn(HORIZON_COL, F.explode(F.array(*[F.lit(float(h)) for h in horizons])))
     h = F.col(HORIZON_COL).cast("int")

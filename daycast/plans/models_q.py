@@ -16,7 +16,7 @@ from daycast.operators.forecast import LAG_COLS, training_frame
 from daycast.operators.tree_forecast import direct_forecast_gbt, recursive_forecast_gbt
 from daycast.plans import common
 from daycast.plans import oracle as O
-from daycast.plans.forecast_q import lag_rows_cte, ols2
+from daycast.plans.forecast_q import lag_rows_cte, ols2, window_cte
 
 AS_OF = common.AS_OF
 TEST_FROM = AS_OF - dt.timedelta(days=365)     # last year of history is held out
@@ -111,6 +111,13 @@ def q_direct_forecast_gbt(spark, sf_dir):
                                common.TRAIN_WINDOW, md.GBT_SERVICE_PARAMS)
 
 
+def q_direct_forecast_stump(spark, sf_dir):
+    """The direct boosted form with one split, on the horizon."""
+    return common.round_doubles(direct_forecast_gbt(
+        _features(spark, sf_dir), HORIZONS, AS_OF, common.calendar(), common.TRAIN_WINDOW, STUMP_PARAMS,
+        cols=[], with_levels=False), 2)
+
+
 QUERIES = {
     "ols_fit_predict": q_ols_fit_predict,
     "ols_fit_predict_causal": q_ols_fit_predict_causal,
@@ -124,6 +131,7 @@ QUERIES = {
     "cross_validate_stump": q_cross_validate_stump,
     "recursive_forecast_gbt": q_recursive_forecast_gbt,
     "direct_forecast_gbt": q_direct_forecast_gbt,
+    "direct_forecast_stump": q_direct_forecast_stump,
 }
 
 K = common.CV_FOLDS
@@ -183,4 +191,16 @@ SELECT s.symbol, CAST(s.fold AS INTEGER) AS fold, any_value(train_start) AS trai
        {O.r('avg(abs(y - p))', 2)} AS "MAE", {O.r('sqrt(avg((y - p) * (y - p)))', 2)} AS "RMSE",
        {O.r('avg(abs((y - p) / y)) * 100', 2)} AS "MAPE"
 FROM scored s JOIN span t ON s.symbol = t.symbol AND s.fold = t.fold GROUP BY s.symbol, s.fold""",
+    "direct_forecast_stump": f"""WITH {window_cte(AS_OF)},
+pairs AS (
+  SELECT t.h, b."Close" AS y FROM tw a CROSS JOIN (SELECT unnest({HORIZONS}) AS h) t
+  JOIN tw b ON b.symbol = a.symbol AND b.i = a.i + t.h - 1),
+cuts AS (
+  SELECT c.t, p.h <= c.t AS low, avg(y) AS mean, sum(y * y) - count(*) * avg(y) * avg(y) AS sse
+  FROM pairs p CROSS JOIN (SELECT unnest({HORIZONS[:-1]}) AS t) c GROUP BY c.t, p.h <= c.t),
+best AS (SELECT t FROM cuts GROUP BY t ORDER BY sum(sse), t LIMIT 1)
+SELECT s.symbol, CAST(h.h AS INTEGER) AS h, CAST({O.date_lit(AS_OF)} + CAST(h.h AS INTEGER) AS DATE) AS target_date,
+       {O.r('c.mean', 2)} AS prediction
+FROM (SELECT DISTINCT symbol FROM tw) s CROSS JOIN (SELECT unnest({HORIZONS}) AS h) h, best b
+JOIN cuts c ON c.t = b.t AND c.low = (h.h <= b.t)""",
 }

@@ -16,7 +16,7 @@ MODULES = [m.name for m in pkgutil.walk_packages(daycast.__path__, "daycast.")
 KEYS = set("""
 assert_no_nan calendar_parts check_epoch_unit compare_models cross_validate cross_validate_causal cross_validate_gbt
 cross_validate_lags cross_validate_stump csv_daily_ohlcv cv_trend_ols daily_ohlcv daily_range_volume day_metrics days_since_event
-days_until_event derived_ohlcv direct_forecast direct_forecast_as_of direct_forecast_gbt epoch_to_ts event_cycle
+days_until_event derived_ohlcv direct_forecast direct_forecast_as_of direct_forecast_gbt direct_forecast_stump epoch_to_ts event_cycle
 event_flag days_since_event_table days_until_event_table event_cycle_table event_flag_table
 post_event_flag_table expanding_folds feature_table fill_missing forecast_table forecast_vs_actual gbt_fit_predict gbt_stump
 get_current incremental_features is_stale is_stale_series lag_n latest_per_target list_runs merge_current model_report
