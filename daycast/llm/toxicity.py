@@ -219,14 +219,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic",
             f"n{g}": np.bincount(at[groups == g], minlength=len(code)) for g in range(4)}
 
     counted = arrow_map(sample, count, "code long, n0 long, n1 long, n2 long, n3 long")
-    got = counted.groupBy("code").agg(*[F.sum(f"n{g}").alias(f"n{g}") for g in range(4)]).toPandas()
-    n = [got[f"n{g}"].to_numpy(float) for g in range(4)]    # half 0 toxic, ordinary, half 1 ...
-    codes = got.code.to_numpy(np.int64).view(np.uint64)
-    whole = model(codes, n[0] + n[2], n[1] + n[3])
+    got = counted.groupBy("code").agg(*[F.sum(f"n{g}").cast("int").alias(f"n{g}") for g in range(4)]).toArrow()
+    n = [got[f"n{g}"].to_numpy() for g in range(4)]         # half 0 toxic, ordinary, half 1 ...
+    codes = got["code"].to_numpy().view(np.uint64)
+    del got
     if not (n[0] + n[2]).sum() or not (n[1] + n[3]).sum():
         return None
-    other = docs.sparkSession.sparkContext.broadcast(
-        [model(codes, n[2], n[3]), model(codes, n[0], n[1])])  # for half 0: counts of half 1
+    # for half 0: counts of half 1; one model at a time on the driver
+    other = [docs.sparkSession.sparkContext.broadcast(model(codes, *n[2 * h:2 * h + 2])) for h in (1, 0)]
 
     def evidence(batch: pa.RecordBatch) -> dict:
         half = _half(batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False))
@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic",
         x = np.zeros((len(body), EVIDENCE))
         for h in (0, 1):
             own = np.flatnonzero(half == h)
-            x[own] = Evidence(other.value[h])([body[i] for i in own])
+            x[own] = Evidence(other[h].value)([body[i] for i in own])
         return {"y": batch.column("y")} | {f"x{k}": x[:, k] for k in range(EVIDENCE)}
 
     names = [f"x{k}" for k in range(EVIDENCE)]
@@ -242,7 +242,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic",
     x = seen[names].to_numpy()
     scale = np.maximum(x.std(axis=0), 1e-9)
     w = calibrate(x / scale, seen.y.to_numpy(float))
-    return whole | {"weights": np.append(w[:-1] / scale, w[-1])}
+    for half in other:
+        half.unpersist()
+    return model(codes, n[0] + n[2], n[1] + n[3]) | {"weights": np.append(w[:-1] / scale, w[-1])}
 
 
 def score(docs: DataFrame, m: dict[str, np.ndarray] | None) -> DataFrame:
