@@ -39,6 +39,7 @@ DIMS = 4
 BITS = 12                 # a key has DIMS * BITS bits
 BUCKETS = 4096            # places of the hashed vector
 SEED = 11
+PART_IDS = 1 << 23        # ids of a partition of the sorted stream, about
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 _AXES = [f"x{k}" for k in range(DIMS)]
@@ -114,19 +115,19 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                      "doc_id long, n long, " + "".join(f"{c} double, " for c in _AXES) + "ids binary")
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """``encoded`` rows with their place on the curve."""
+def keyed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``encoded`` rows with their place on the curve, and how many partitions their ids ask for."""
     fine = [F.when(~F.isnan(c), F.col(c)) for c in _AXES]
-    got = rows.agg(*[F.avg(c) for c in fine], *[F.stddev_pop(c) for c in fine]).first()
+    got = rows.agg(*[F.avg(c) for c in fine], *[F.stddev_pop(c) for c in fine], F.sum("n")).first()
     mean, spread = (np.array([v or 0.0 for v in got[k:k + DIMS]]) for k in (0, DIMS))
 
     def place(batch: pa.RecordBatch) -> dict:
         x = np.column_stack([batch.column(c).to_numpy() for c in _AXES])
         return {c: batch.column(c) for c in ("doc_id", "n", "ids")} | {"key": hilbert(grid(x, mean, spread), BITS)}
-    return arrow_map(rows, place, "doc_id long, n long, ids binary, key long")
+    return arrow_map(rows, place, "doc_id long, n long, ids binary, key long"), max(1, -(-(got[-1] or 0) // PART_IDS))
 
 
-def along_curve(rows: DataFrame) -> DataFrame:
+def along_curve(rows: DataFrame, parts: int) -> DataFrame:
     """(part, at, doc_id, n, ids): documents in order, with the ids before each in its partition."""
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0
@@ -138,7 +139,7 @@ def along_curve(rows: DataFrame) -> DataFrame:
                 names=["part", "at", "doc_id", "n", "ids"])
             at = int(ends[-1]) if len(ends) else at
     order = [F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("tie")]
-    return (rows.withColumn("tie", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return (rows.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
             .select("doc_id", "n", "ids").mapInArrow(run, "part int, at long, doc_id long, n long, ids binary"))
 
 
@@ -167,7 +168,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, wit
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of
     every piece; ids are little-endian uint32."""
     spark: SparkSession = docs.sparkSession
-    rows = stored(along_curve(keyed(stored(encoded(docs, path, end_id), "encoded"))), "ordered")
+    rows = stored(along_curve(*keyed(stored(encoded(docs, path, end_id), "encoded"))), "ordered")
     # one row per partition
     totals = rows.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
     first, total = {}, 0
