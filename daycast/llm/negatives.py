@@ -69,7 +69,7 @@ def integers(rows: DataFrame, scale: int = SCALE) -> DataFrame:
             v = np.floor(np.where(np.isfinite(x), x, 0.0) * float(scale))
         # |score| <= dim * max ** 2, and a window's ends are 100 times a score
         limit = np.repeat(np.sqrt(2.0 ** 56 / np.maximum(dim, 1)), dim)
-        large = np.flatnonzero(~(np.abs(v) <= limit))
+        large = np.flatnonzero(~(np.abs(v) <= limit) & np.repeat(bad == 0, dim))
         if len(large):
             at = np.repeat(np.arange(len(dim)), dim)[large[0]]
             raise ValueError(f"vec_id {batch.column('vec_id')[int(at)]}: scores would not fit 64 bits")

@@ -64,7 +64,7 @@ def test_odd_rows(spark):
             (9, [0.0, 0.0], 1), (7, [None, 1.0], 2), (8, [float("nan"), 1.0], 2), (10, [float("inf"), 1.0], 2),
             (11, one, None), (None, one, 2), (12, [0.8], 1), (15, [0.9], 1), (13, [0.7], 2), (14, [0.85, 0.5], 2),
             (14, [0.85, 0.5], 2), (16, [0.9, 0.1], 1), (18, [-1.0, 0.0], 2), (20, [-0.5, 0.0], 2), (21, [-0.9, 0.0], 1),
-            (22, [7e5, 0.0], 3), (24, [7e5, 1.0], 3), (25, [6e5, 0.0], 4), (2, [0.85, 0.5], 2)]
+            (23, [1e300, float("nan")], 1), (22, [7e5, 0.0], 3), (24, [7e5, 1.0], 3), (25, [6e5, 0.0], 4), (2, [0.85, 0.5], 2)]
     assert run(frame(spark, rows)) == brute(rows)
     assert run(frame(spark, [])) == []
     assert run(frame(spark, [(1, one, 1), (2, one, 2)])) == []
