@@ -9,16 +9,25 @@ token is p(class | history) * p(token | class):
 * p(class | history) is a maximum-entropy model. Its features are the classes of
   the last word (n-gram), of the word before (skip), a coarse class of the third
   last (skip), the pairs (last, before) and (last, third last), and a bias, all
-  hashed into ``2**BITS`` weight rows.
-* p(token | class) = (c + 1) / (N + V + 1) from the counts of the class' words; a
-  class' unknown words share one place. Single-word classes have p = 1.
-
-All counts cover all training rows. A history is three classes, so the corpus
-reduces to a table of (history, class) counts of bounded size; training runs
-rounds of gradient updates over it, one feature family a round: every Spark task
-adds up what its histories hold and what the model expects of them, the driver
-adds the tasks' sums and takes the step gradient / (logarithmic mean of held and
-expected), which never lowers the likelihood. Scoring looks up histories in numpy
+  hashed into ``2**BITS`` weight rows. With ``word_rounds``, features of the words
+  themselves join them: the last word (2-gram), the last two (3-gram) and the word
+  before the last (skip), each hashed into a weight row.
+* p(token | class, history) is a softmax over the words of the class, a word of
+  count c scoring log(c + 1) and the weights of the same hashed word features at
+  the word's place (4 bits of its hash); each place has room for one unknown word.
+  Without ``word_rounds`` it is (c + 1) / (N + V + 1) from the counts of the class'
+  words, whose unknown words share one place. Single-word classes have p = 1.
+
+All counts cover all training rows. Histories of classes reduce the corpus to a
+table of (history, class) counts of bounded size; training runs rounds of gradient
+updates over it, one feature family a round: every Spark task adds up what its
+histories hold and what the model expects of them, the driver adds the tasks' sums
+and takes the step gradient / (logarithmic mean of held and expected), which never
+lowers the likelihood. Histories of words do not reduce: a round over them reads all
+training texts, tasks add up held and expected counts of every weight, Spark adds up
+the tasks' blocks of rows, and all families step at once by a share each, which never
+lowers the likelihood either. Their rows a family follow the number of distinct words
+up to ``2**WORD_BITS``, so a worker can hold them. Scoring looks up histories in numpy
 batches. Counts of the ``FREQUENT`` most frequent
 words travel to the tasks; those of all other words are joined by Spark.
 
@@ -36,8 +45,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daycast.llm.common import (Numbers, Words, arrow_map, cut, lists, mix, most_frequent,
-                                signed)
+from daycast.llm.common import (Numbers, Words, arrow_map, chain, claim, cut, lists, mix,
+                                most_frequent, signed)
 
 OWN = 31
 END_CLASS, SUFFIX, PUNCTUATED = OWN, 24, 8
@@ -51,6 +60,11 @@ SWEEPS = 2                         # rounds over all feature families
 PRIOR = 0.5                        # added to held and expected counts
 TASKS = 8                          # tasks of a gradient round
 FREQUENT = 1 << 18                 # words whose counts are sent to the tasks
+PLACE_BITS = 4                     # places of a class' words: the top bits of their hashes
+PLACES = 1 << PLACE_BITS
+WORD_FAMILIES, WORD_BITS = 3, 14
+WORDS_A_ROW = 32                   # distinct words for a row of each family
+WORD_TASKS, WORD_BLOCK = 16, 256   # least tasks of a round over words; rows whose sums travel together
 # Keys of the feature families (bias, last, before, third last, two pairs), their rows.
 _KEYS = (1, WIDE, WIDE, COARSE, WIDE * WIDE, WIDE * COARSE)
 _ROWS = tuple(min(k, 1 << BITS) for k in _KEYS)
@@ -100,23 +114,29 @@ class Lexis:
         return np.where(own, at, suffix_classes(words)), self.counts[at]
 
 
-def histories(words: Words, cls_of: np.ndarray):
-    """(history code, class) of every token, ends included, text after text, and
-    which tokens are words."""
+def token_hashes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every token, ends (0) included, text after text; which are words; place in the text."""
     total = len(words.hash) + len(words.counts)
     ends = np.cumsum(words.counts + 1) - 1
     is_word = np.ones(total, bool)
     is_word[ends] = False
-    cls = np.full(total, END_CLASS, np.int64)
-    cls[is_word] = cls_of
     h = np.zeros(total, np.uint64)
     h[is_word] = words.hash
+    return h, is_word, np.arange(total) - np.repeat(ends - words.counts, words.counts + 1)
+
+
+def histories(words: Words, cls_of: np.ndarray):
+    """(history code, class) of every token, ends included, text after text, and
+    which tokens are words."""
+    h, is_word, place = token_hashes(words)
+    total = len(h)
+    cls = np.full(total, END_CLASS, np.int64)
+    cls[is_word] = cls_of
     again = np.zeros(total, bool)
     again[1:] = (h[1:] == h[:-1]) & is_word[1:] & is_word[:-1]
     cls[again] = REPEAT
     coarse = np.full(total, COARSE - 1, np.int64)
     coarse[is_word] = coarse_classes(words)
-    place = np.arange(total) - np.repeat(ends - words.counts, words.counts + 1)
     past = []
     for k, (values, start) in enumerate(((cls, START), (cls, START), (coarse, COARSE - 1)), 1):
         p = np.full(total, start, np.int64)
@@ -126,6 +146,23 @@ def histories(words: Words, cls_of: np.ndarray):
     return (past[0] * WIDE + past[1]) * COARSE + past[2], cls, is_word
 
 
+def word_histories(words: Words, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Weight rows of the hashed words before every token, an array per family of
+    ``rows`` rows, and the token's place among the words of its class."""
+    h, _, place = token_hashes(words)
+    past = []
+    for k in (1, 2):
+        p = np.zeros(len(h), np.uint64)
+        p[k:] = h[:-k]
+        p[place < k] = 0
+        past.append(p)
+    one, two = past
+    shift = np.uint64(65 - rows.bit_length())
+    keys = chain([one]), chain([one, two]), chain([two])
+    return ([(k >> shift).astype(np.int64) + f * rows for f, k in enumerate(keys)],
+            (h >> np.uint64(64 - PLACE_BITS)).astype(np.int64))
+
+
 def feature_rows(codes: np.ndarray) -> np.ndarray:
     """Weight rows of the features of each history, a column per family."""
     one, rest = codes // (WIDE * COARSE), codes % (WIDE * COARSE)
@@ -144,6 +181,133 @@ def class_log_probabilities(codes: np.ndarray, weights: np.ndarray) -> np.ndarra
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+class ClassTable:
+    """Natural log of p(class | history of classes), filled as histories are met."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.done = weights, np.zeros(CONTEXTS, bool)
+        self.values = np.zeros((CONTEXTS, CLASSES), np.float32)
+
+    def __call__(self, code: np.ndarray) -> np.ndarray:
+        fresh = np.flatnonzero(np.bincount(code, minlength=CONTEXTS).astype(bool) & ~self.done)
+        for s in range(0, len(fresh), 8192):
+            part = fresh[s:s + 8192]
+            self.values[part] = class_log_probabilities(part, self.weights)
+        self.done[fresh] = True
+        return self.values
+
+
+def in_classes(cls: np.ndarray) -> np.ndarray:
+    """Tokens whose class holds many words."""
+    return (cls > END_CLASS) & (cls < REPEAT)
+
+
+def word_scores(code, cls, rows, table, places, weights) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all classes and of all places of the token's class, one row per token.
+
+    ``places``: the words' counts, each + 1, and one unknown word, of every class and
+    place; ``rows``: the families' weight rows in ``weights`` (of classes, of places)."""
+    by_class = np.take(table, code, axis=0)
+    by_place = np.take(np.log(places / places.sum(axis=1, keepdims=True)).astype(np.float32), cls, axis=0)
+    for r in rows:
+        by_class += np.take(weights[0], r, axis=0)
+        by_place += np.take(weights[1], r, axis=0)
+    return by_class, by_place
+
+
+def word_log_probabilities(code, cls, rows, place, table, places, weights) -> np.ndarray:
+    """Natural log of p(class | history) and, for a word of a class of many, of what
+    its probability in the class has beside the factor (c + 1)."""
+    out, many, mass = np.empty(len(code)), in_classes(cls), np.log(places)
+    for s in range(0, len(code), 4096):
+        c, p, at = cls[s:s + 4096], place[s:s + 4096], np.arange(min(4096, len(code) - s))
+        z, u = word_scores(code[s:s + 4096], c, [r[s:s + 4096] for r in rows], table, places, weights)
+        got = z[at, c].astype(float) - np.log(np.exp(z) @ np.ones(CLASSES, np.float32))
+        inner = u[at, p].astype(float) - np.log(np.exp(u) @ np.ones(PLACES, np.float32)) - mass[c, p]
+        out[s:s + 4096] = got + np.where(many[s:s + 4096], inner, 0)
+    return out
+
+
+def add_word_gradient(held, expected, code, cls, rows, place, table, places, weights) -> None:
+    """Adds the tokens' counts to ``held`` and the model's to ``expected``, (of classes, of
+    places) per weight row; their difference is the gradient of the log-likelihood.
+
+    Expected counts lie in pairs in complex numbers (a last column may be empty), which
+    numpy adds up in half as many steps."""
+    used = rows if weights[0].any() or weights[1].any() else []
+    for s in range(0, len(code), 4096):
+        c, at = cls[s:s + 4096], slice(s, s + 4096)
+        scores = word_scores(code[at], c, [r[at] for r in used], table, places, weights)
+        many = np.flatnonzero(in_classes(c))
+        for z, h, e, which, outcome in zip(scores, held, expected, (slice(None), many), (c, place[at])):
+            z, width = z[which], z.shape[1]
+            p = np.zeros((len(z), 2 * e.shape[1]), np.float32)
+            np.exp(z, out=p[:, :width])
+            if used:                                        # the tables' own rows sum to one
+                p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
+            p = p.view(np.complex64)
+            for r in rows:
+                r = r[at][which]
+                np.add.at(h.reshape(-1), r * width + outcome[which], np.int32(1))
+                np.add.at(e.reshape(-1), (r[:, None] * e.shape[1] + np.arange(e.shape[1])).reshape(-1),
+                          p.reshape(-1))
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Fewer partitions: what a task adds up has a bounded size, but travels once a task."""
+    return rows.coalesce(max(WORD_TASKS, rows.rdd.getNumPartitions() // 8))
+
+
+def fit_words(rows: DataFrame, m: dict, rounds: int) -> list[np.ndarray]:
+    """Weights of the word features (of classes, of places) by rounds of distributed
+    updates over all texts."""
+    n, spark = WORD_FAMILIES * m["word_rows"], rows.sparkSession
+    weights = [np.zeros((n, k), np.float32) for k in (CLASSES, PLACES)]
+    texts = few(rows)
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast({
+            "weights": m["weights"], "keys": m["keys"][:OWN], "counts": m["counts"][:OWN],
+            "places": m["places"], "word_weights": weights})
+
+        def add(batches):
+            claim(__name__)
+            m = sent.value
+            lexis, table = Lexis(m["keys"], m["counts"]), ClassTable(m["weights"])
+            held = [np.zeros((n, k), np.int32) for k in (CLASSES, PLACES)]
+            expected = [np.zeros((n, (k + 1) // 2), np.complex64) for k in (CLASSES, PLACES)]
+            for batch in batches:
+                words = Words(batch.column("text"))
+                code, cls, _ = histories(words, lexis(words)[0])
+                features, place = word_histories(words, n // WORD_FAMILIES)
+                add_word_gradient(held, expected, code, cls, features, place, table(code), m["places"],
+                                  m["word_weights"])
+            for s in range(0, n, WORD_BLOCK):
+                part = slice(s, s + WORD_BLOCK)
+                if held[0][part].any():
+                    sums = [h[part] for h in held]
+                    sums += [e[part].view(np.float32)[:, :h.shape[1]] for e, h in zip(expected, held)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([s], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in sums],
+                        names=["first", "held", "held_in", "expected", "expected_in"])
+
+        def steps(group: pa.Table) -> pa.Table:
+            def total(name, kind):
+                return sum(np.frombuffer(x, kind).astype(float) for x in group[name].to_pylist())
+            change = [step(total(f"held{k}", np.int32), total(f"expected{k}", np.float32)) / WORD_FAMILIES
+                      for k in ("", "_in")]
+            return pa.table([group["first"][:1]] + [pa.array([x.astype(np.float32).tobytes()], pa.binary())
+                                                    for x in change], names=["first", "step", "step_in"])
+        got = (texts.mapInArrow(add, "first int, held binary, held_in binary, expected binary, expected_in binary")
+               .groupBy("first").applyInArrow(steps, "first int, step binary, step_in binary").toArrow())
+        for name, w in zip(("step", "step_in"), weights):
+            for first, change in zip(got["first"].to_pylist(), got[name]):
+                change = np.frombuffer(change.as_buffer(), np.float32).reshape(-1, w.shape[1])
+                w[first:first + len(change)] += change
+            np.clip(w, -20, 20, out=w)          # the families' sums have exponentials in float32
+        sent.unpersist()
+    return weights
+
+
 def held_and_expected(codes: np.ndarray, cls: np.ndarray, n: np.ndarray, weights: np.ndarray,
                       family: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of (feature, class) in (history, class, count) rows, and by the model;
@@ -204,8 +368,9 @@ def fit(cells: DataFrame, sweeps: int = SWEEPS) -> np.ndarray:
     return weights
 
 
-def train(docs: DataFrame, learn) -> dict:
-    """Counts and model from the rows where the boolean column ``learn`` is true."""
+def train(docs: DataFrame, learn, word_rounds: int = 0) -> dict:
+    """Counts and model from the rows where the boolean column ``learn`` is true;
+    ``word_rounds``: rounds over the features of words (0: histories of classes only)."""
     rows = docs.where(learn).select("text")
 
     def count(batch: pa.RecordBatch) -> dict:
@@ -220,22 +385,36 @@ def train(docs: DataFrame, learn) -> dict:
     top = most_frequent(counts, "h", "n", FREQUENT)
     keys, n_of = top.h.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.int64)
     # words and types of every suffix class, without the words that are classes themselves
-    size = np.zeros((CLASSES, 2))
-    for r in counts.where(~F.col("h").isin([int(x) for x in signed(keys[:OWN])])).groupBy("sfx") \
+    size, places = np.zeros((CLASSES, 2)), np.ones((CLASSES, PLACES))
+    for r in counts.where(~F.col("h").isin([int(x) for x in signed(keys[:OWN])])) \
+            .groupBy("sfx", F.shiftrightunsigned("h", 64 - PLACE_BITS).alias("place")) \
             .agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        size[r.sfx] = r.n, r.v
-
-    def cells(batch: pa.RecordBatch) -> dict:
-        words = Words(batch.column("text"))
-        code, cls, _ = histories(words, Lexis(keys[:OWN], n_of[:OWN])(words)[0])
-        cell, n = np.unique(code * CLASSES + cls, return_counts=True)
-        return {"cell": cell, "n": n}
-
-    table = (arrow_map(rows, cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        size[r.sfx] += r.n, r.v
+        places[r.sfx, r.place] += r.n + r.v
+    own_keys, own_counts = keys[:OWN], n_of[:OWN]
+
+    def cells(batches):
+        claim(__name__)
+        lexis, n = Lexis(own_keys, own_counts), np.zeros(CONTEXTS * CLASSES, np.int64)
+        for batch in batches:
+            words = Words(batch.column("text"))
+            code, cls, _ = histories(words, lexis(words)[0])
+            np.add.at(n, code * CLASSES + cls, 1)
+        met = np.flatnonzero(n)
+        for s in range(0, len(met), 1 << 16):
+            cell = met[s:s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell])], names=["cell", "n"])
+
+    table = (few(rows).mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
              .select(F.expr(f"cell div {CLASSES}").alias("code"),
                      F.expr(f"cell % {CLASSES}").alias("cls"), "n"))
-    return {"weights": fit(table), "keys": keys, "counts": n_of, "size": size, "table": counts,
-            "tokens": int(total[0]) + n_docs, "types": int(total[1]) + (n_docs > 0), "ends": n_docs}
+    m = {"weights": fit(table), "keys": keys, "counts": n_of, "size": size, "table": counts,
+         "tokens": int(total[0]) + n_docs, "types": int(total[1]) + (n_docs > 0), "ends": n_docs}
+    if word_rounds:
+        m |= {"places": places, "word_rows":
+              1 << min(WORD_BITS, max(6, (m["types"] // WORDS_A_ROW).bit_length()))}
+        m["word_weights"] = fit_words(rows, m, word_rounds)
+    return m
 
 
 def score(docs: DataFrame, learn, m: dict) -> DataFrame:
@@ -251,25 +430,24 @@ def score(docs: DataFrame, learn, m: dict) -> DataFrame:
         m = sent.value
         if not state:
             state["lexis"] = Lexis(m["keys"], m["counts"])
-            state["table"] = np.zeros((CONTEXTS, CLASSES), np.float32)
-            state["done"] = np.zeros(CONTEXTS, bool)
-        table, done = state["table"], state["done"]
+            state["table"] = ClassTable(m["weights"])
         words = Words(batch.column("text"))
         cls_of, count_of = state["lexis"](words)
         code, cls, is_word = histories(words, cls_of)
-        fresh = np.flatnonzero(np.bincount(code, minlength=CONTEXTS).astype(bool) & ~done)
-        for s in range(0, len(fresh), 8192):
-            part = fresh[s:s + 8192]
-            table[part] = class_log_probabilities(part, m["weights"]) / np.log(10)
-        done[fresh] = True
-        model = table[code, cls].astype(float) - places[cls]
+        table = state["table"](code)
+        if "word_weights" in m:
+            features, place = word_histories(words, m["word_rows"])
+            model = word_log_probabilities(code, cls, features, place, table, m["places"],
+                                           m["word_weights"]) / np.log(10)
+        else:
+            model = table[code, cls].astype(float) / np.log(10) - places[cls]
         known = np.ones(len(code), bool) if m["ends"] else is_word.copy()
         n = np.full(len(code), m["ends"], np.int64)
         n[is_word] = count_of
         rare = n < 0
         known &= ~rare
         logs = np.log10(np.where(rare, 0, n) + 1.0)
-        in_class = (cls > END_CLASS) & (cls < REPEAT)
+        in_class = in_classes(cls)
         length = words.counts + 1
         start = np.cumsum(length) - length
         # a rare word's occurrences in its text, and those scored through its class

@@ -13,6 +13,7 @@ from daycast.llm.common import fold, prepare, table
 WORD_VOCABULARY = "word_bpe_49k.json"
 QUALITY_FOLDS, QUALITY_HELD = 3, 1
 LM_FOLDS, LM_HELD = 7, 2
+LM_WORD_ROUNDS = 1                 # gradient rounds over the features of words
 
 
 def _scored(docs: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
@@ -64,7 +65,7 @@ def op7_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
     learn = F.coalesce(fold("doc_id", LM_FOLDS) != LM_HELD, F.lit(True))
-    return maxent.score(docs, learn, maxent.train(docs, learn))
+    return maxent.score(docs, learn, maxent.train(docs, learn, LM_WORD_ROUNDS))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,3 +173,130 @@ def test_model_score_against_brute_force(docs):
     got = {r.doc_id: r.score for r in scored(docs(rows))}
     want = {i: s for (i, _), s in zip(rows, brute_model(rows, held))}
     assert any(held) and got == pytest.approx(want, rel=1e-4)
+
+
+def brute_words(rows, held, m, rounds):
+    """The model with word features by loops over single tokens, from the model of classes."""
+    def tokens(t):
+        words = Words([(t or "").encode()])
+        code, cls, _ = maxent.histories(words, maxent.Lexis(m["keys"], m["counts"])(words)[0])
+        features, place = maxent.word_histories(words, m["word_rows"])
+        base = np.exp(maxent.class_log_probabilities(code, m["weights"]))
+        return list(zip(base, cls, zip(*features), place, (t or "").encode().lower().split() + [None]))
+    many = range(maxent.END_CLASS + 1, maxent.REPEAT)
+    docs = [tokens(t) for _, t in rows]
+    counts = Counter()
+    for t, h in zip(docs, held):
+        for _, c, _, s, w in t:
+            if not h and w:
+                counts[w] += 1
+    names = list(counts)
+    w = Words([b" ".join(names)])
+    own, places = maxent.Lexis(m["keys"][:maxent.OWN], m["counts"][:maxent.OWN])(w)[0], Counter()
+    for name, c, h in zip(names, own, w.hash):
+        if c >= maxent.OWN:
+            places[c, int(h) >> 64 - maxent.PLACE_BITS] += counts[name] + 1
+    u, v = Counter(), Counter()
+
+    def probabilities(base, c, features):
+        p = base * [math.exp(sum(u[f, k] for f in features)) for k in range(maxent.CLASSES)]
+        q = np.array([(places[c, k] + 1) * math.exp(sum(v[f, k] for f in features)) for k in range(maxent.PLACES)])
+        return p / p.sum(), q / q.sum()
+    for _ in range(rounds):
+        held_u, held_v, expected_u, expected_v = Counter(), Counter(), Counter(), Counter()
+        for t, h in zip(docs, held):
+            for base, c, features, s, _ in [] if h else t:
+                p, q = probabilities(base, c, features)
+                for f in features:
+                    held_u[f, c] += 1
+                    for k in range(maxent.CLASSES):
+                        expected_u[f, k] += p[k]
+                    if c in many:
+                        held_v[f, s] += 1
+                        for k in range(maxent.PLACES):
+                            expected_v[f, k] += q[k]
+        for weights, got, want in ((u, held_u, expected_u), (v, held_v, expected_v)):
+            for k in want:
+                weights[k] += math.log((got[k] + maxent.PRIOR) / (want[k] + maxent.PRIOR)) / maxent.WORD_FAMILIES
+    out = []
+    for t in docs:
+        total = 0.0
+        for base, c, features, s, name in t:
+            p, q = probabilities(base, c, features)
+            total += math.log10(p[c])
+            if c in many:
+                total += math.log10(q[s] * (counts[name] + 1) / (places[c, s] + 1))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("rounds, frequent", [(1, 1 << 18), (2, 40)])
+def test_word_features_against_brute_force(docs, monkeypatch, rounds, frequent):
+    monkeypatch.setattr(maxent, "FREQUENT", frequent)
+    rng = np.random.default_rng(3)
+    names = [f"{a}{b}{c}" for a in "bdgk" for b in ("an", "or", "el") for c in ("", "s", "ed", ".", ",")]
+    share = rng.dirichlet(np.full(len(names), 0.4))
+    rows = [(int(i), " ".join(rng.choice(names, int(rng.integers(0, 25)), p=share))) for i in range(40)]
+    rows += [(50, "bans Bans bans kor, new"), (51, None), (52, "new newer")]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    d = docs(rows)
+    learn = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    m = maxent.train(d, learn, rounds)
+    got = {r.doc_id: r.score for r in maxent.score(d, learn, m).collect()}
+    want = {i: s for (i, _), s in zip(rows, brute_words(rows, held, m, rounds))}
+    assert any(held) and got == pytest.approx(want, rel=1e-4)
+
+
+def test_words_of_any_history_sum_to_one(docs):
+    rows = [(k, f"the cat sat on the mat. the dog ate, w{k} the cat ran w{k}x w{k % 7}y") for k in range(60)]
+    m = maxent.train(docs(rows), F.lit(True), 2)
+    table = maxent.ClassTable(m["weights"])
+    c = Counter(w for _, t in rows for w in t.split())
+    words = Words([" ".join(c).encode()])
+    cls, _ = maxent.Lexis(m["keys"], m["counts"])(words)
+    place = (words.hash >> np.uint64(64 - maxent.PLACE_BITS)).astype(int)
+    outcomes = [(k, 0, 0) for k in (*range(maxent.END_CLASS + 1), maxent.REPEAT)]
+    outcomes += [(k, s, n) for k, s, n in zip(cls, place, c.values()) if k >= maxent.OWN]
+    outcomes += [(k, s, 0) for k in range(maxent.END_CLASS + 1, maxent.REPEAT) for s in range(maxent.PLACES)]
+    cls, place, n = (np.array(x) for x in zip(*outcomes))
+    rng = np.random.default_rng(1)
+    assert all(w.any() for w in m["word_weights"])
+    for _ in range(20):
+        code = np.full(len(cls), rng.integers(0, maxent.CONTEXTS))
+        features = [np.full(len(cls), f * m["word_rows"] + rng.integers(0, m["word_rows"]))
+                    for f in range(maxent.WORD_FAMILIES)]
+        p = np.exp(maxent.word_log_probabilities(code, cls, features, place, table(code), m["places"],
+                                                 m["word_weights"]))
+        assert (p * (n + 1)).sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_words_of_one_class_are_told_apart_by_the_words_before(spark, tmp_path):
+    """Equal counts, suffixes and classes: only pairs and skip pairs of the words differ."""
+    rng = np.random.default_rng(5)
+    a, b = ([f"{x}{y}an" for y in "bcdfghjk"] for x in "kt")
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 7 == 2]
+    common = [f"f{k:02d}" for k in range(maxent.OWN)]
+    rows = []
+    for i in ids:
+        k, j = rng.integers(0, 8, 2)
+        x, y, z = rng.choice(common, 3)
+        rows.append((i, f"{x} {a[k]} {b[k]} {y} {a[j].upper()} {z} {b[j]} " + " ".join(common)))
+    tests = [(seen, skip, k, (k + (not seen) * (1 + k % 3)) % 8) for seen in (True, False)
+             for skip in (True, False) for k in range(8)]
+    rows += [(i, f"f00 {a[k]} {'f01 ' if skip else ''}{b[j]} f02") for i, (_, skip, k, j) in zip(held, tests)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score - r.base_score for r in queries.QUERIES["op7_maxent"](spark, str(tmp_path)).collect()}
+    for skip in (True, False):
+        seen, unseen = ([got[i] for i, (s, p, _, _) in zip(held, tests) if (s, p) == (x, skip)] for x in (True, False))
+        assert np.mean(seen) > np.mean(unseen) + 0.1
+
+
+@pytest.mark.parametrize("rows", [ODD, [], [(i, "a b c") for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]])
+def test_word_features_on_odd_tables(docs, rows):
+    """Odd rows, no rows, and none to learn from."""
+    learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
+    d = docs(rows)
+    got = maxent.score(d, learn, maxent.train(d, learn, 2)).collect()
+    check(got, rows)
+    assert all(np.isfinite(r.score) and r.score <= 0 for r in got)
